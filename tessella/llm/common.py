@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; bounds the memory of a Python worker.
@@ -58,6 +58,12 @@ def doc_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def once(value: Column) -> Column:
+    """The value as the only row of a generator: filters above aren't pushed below it, which would compute it again, and
+    once for each element where a lambda refers to it."""
+    return F.explode(F.array(value))
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column with about `limit` bytes each; a longer text is a range of its own."""
     sizes = np.asarray(pc.binary_length(column).fill_null(0), dtype=np.int64)
