@@ -53,6 +53,10 @@ def _bands(window: Column, seeds: list[int]) -> Column:
     return F.transform(F.array(*map(F.lit, seeds)), lambda c: F.array_min(F.transform(window, lambda h: h.bitwiseXOR(c))))
 
 
+def _starts(n: Column, half: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), n - 1, F.lit(half)), lambda i: F.struct(F.lit(half).alias("half"), i.alias("start")))
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: str = "doc_id", text_col: str = "text", containment: float = 0.8, bands: int = 64) -> DataFrame:
     """(doc_id, license, n_shared, n_shingles, first_word): the templates of which some window of the document holds the given share of
     shingles. n_shared is the most that one window holds, first_word the start of the first such window.
@@ -74,7 +78,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, i
     found = found.filter(F.arrays_overlap("s", universe))
     known = spark.createDataFrame([(r.license, r.shingles, 1 << (len(r.shingles) - 1).bit_length()) for r in rows], "license string, t array<bigint>, half int")
     halves = sorted({1 << (len(r.shingles) - 1).bit_length() for r in rows}) or [1]
-    starts = F.flatten(F.array(*(F.transform(F.sequence(F.lit(0), F.size("s") - 1, F.lit(h)), lambda i, h=h: F.struct(F.lit(h).alias("half"), i.alias("start"))) for h in halves)))
+    starts = F.flatten(F.array(*(_starts(F.size("s"), h) for h in halves)))
     windows = found.select("doc_id", "s", F.explode(starts).alias("at")).select("doc_id", "at.half", "at.start", F.slice("s", F.col("at.start") + 1, F.col("at.half") * 2).alias("window")).filter(F.arrays_overlap("window", universe))
     keyed = windows.select("doc_id", "half", "start", "window", F.posexplode(_bands(F.col("window"), seeds)).alias("band", "value"))
     wanted = known.select("license", "t", "half", F.posexplode(_bands(F.col("t"), seeds)).alias("band", "value"))
