@@ -35,8 +35,13 @@ class Scratch:
         self.spark, self.base = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
-        path, schema = f"{self.base}/{table}", df.schema
-        df.write.option("compression", "zstd").parquet(path)
+        path, schema, key = f"{self.base}/{table}", df.schema, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, "false")
+        self.spark.conf.set(key, "true")  # the table replaces the shuffle files that made it
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(key, before)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, table: str) -> None:
@@ -58,6 +63,18 @@ def doc_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def bucket_count(spark: SparkSession, least: int = 1024) -> int:
+    """Buckets of packed hashes: a power of two, some for each shuffle partition, so a bucket's share of the data stays one task's work."""
+    wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(least, 1 << (wanted - 1).bit_length())
+
+
+def grouped_ranges(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order by key and the n + 1 cuts between the keys 0 to n - 1 in it."""
+    order = np.argsort(keys, kind="stable")
+    return order, np.searchsorted(keys[order], np.arange(n + 1))
+
+
 def once(value: Column) -> Column:
     """The value as the only row of a generator: filters above aren't pushed below it, which would compute it again, and
     once for each element where a lambda refers to it."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat_format, decontamination, language_id, licenses, line_dedup, media, packing, quality
+from tessella.llm import chat_format, decontamination, language_id, licenses, line_dedup, media, packing, quality, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op2_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").filter(~_held_out())
     scores = quality.score_documents(_table(spark, sf_dir, "documents"), labels)
@@ -61,7 +66,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_curve_packing, op2_template_leaks, op5_quality, op6_compression_language, op7_license_scan, op8_chat_format, op9_telephony, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_curve_packing, op2_template_leaks, op4_block_anchors, op5_quality, op6_compression_language, op7_license_scan, op8_chat_format, op9_telephony, op10_line_dedup)}
 
 OP10_SQL = r"""
 WITH l AS (SELECT doc_id, x.i AS i, x.line AS line, translate(trim(x.line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
@@ -82,4 +87,14 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id
 """
 
-SQL: dict[str, str] = {"op2_template_leaks": decontamination.SQL, "op7_license_scan": licenses.scan_sql(), "op8_chat_format": OP8_SQL, "op10_line_dedup": OP10_SQL}
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+  r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM g) WHERE n > 1),
+  x AS (SELECT DISTINCT doc_id, i + j AS i FROM r, range(35) t(j)),
+  k AS (SELECT d.doc_id, d.i, word, x.i IS NULL AS kept FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d) d LEFT JOIN x ON x.doc_id = d.doc_id AND x.i = d.i),
+  a AS (SELECT doc_id, count(*) AS n, count(*) FILTER (NOT kept) AS gone, string_agg(word, ' ' ORDER BY i) FILTER (kept) AS t FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op4_block_anchors": OP4_SQL, "op2_template_leaks": decontamination.SQL, "op7_license_scan": licenses.scan_sql(), "op8_chat_format": OP8_SQL, "op10_line_dedup": OP10_SQL}
