@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat_format, decontamination, language_id, licenses, line_dedup, media, packing, quality, substring_dedup
+from tessella.llm import chat_format, decontamination, language_id, licenses, line_dedup, media, ngram_join, packing, quality, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op4_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -66,7 +70,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_curve_packing, op2_template_leaks, op4_block_anchors, op5_quality, op6_compression_language, op7_license_scan, op8_chat_format, op9_telephony, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_curve_packing, op2_template_leaks, op3_trie_join, op4_block_anchors, op5_quality, op6_compression_language, op7_license_scan, op8_chat_format, op9_telephony, op10_line_dedup)}
 
 OP10_SQL = r"""
 WITH l AS (SELECT doc_id, x.i AS i, x.line AS line, translate(trim(x.line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
@@ -97,4 +101,15 @@ WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''),
 SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op4_block_anchors": OP4_SQL, "op2_template_leaks": decontamination.SQL, "op7_license_scan": licenses.scan_sql(), "op8_chat_format": OP8_SQL, "op10_line_dedup": OP10_SQL}
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 4], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+  e AS (SELECT x, y FROM o JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * o >= 80 * (nx.n + ny.n - o)),
+  b AS (SELECT x AS v, y AS u FROM e UNION ALL SELECT y, x FROM e),
+  c AS (SELECT doc_id AS v, doc_id AS l FROM d UNION SELECT b.u, c.l FROM c JOIN b ON b.v = c.v)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(l) AS component_id FROM c GROUP BY v) m ON m.v = d.doc_id
+"""
+
+SQL: dict[str, str] = {"op3_trie_join": OP3_SQL, "op4_block_anchors": OP4_SQL, "op2_template_leaks": decontamination.SQL, "op7_license_scan": licenses.scan_sql(), "op8_chat_format": OP8_SQL, "op10_line_dedup": OP10_SQL}
