@@ -29,5 +29,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    for module in ("filters",):
+    for module in ("filters", "sampling", "joins"):
         importlib.import_module(f"tessella.queries.{module}")
