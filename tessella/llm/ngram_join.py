@@ -306,7 +306,8 @@ def trie_join(stored: list[int], probes: list[int], tokens: list[np.ndarray], si
         left = np.zeros((width + 1, len(group)), dtype=np.int32)  # shingles of the probe from this one on
         left[:-1] = np.cumsum(has[::-1], axis=0, dtype=np.int32)[::-1]
         need = (4 * size[group] + 4) // 5
-        stack = [(0, np.zeros(len(group), dtype=np.int32), np.flatnonzero(left[0] >= need))]
+        able = np.flatnonzero(left[0] >= need)
+        stack = [(0, np.zeros(len(able), dtype=np.int32), able)]
         for place, i in enumerate(stored):
             own, after = tokens[i], tokens[stored[place + 1]] if place + 1 < len(stored) else np.empty(0, dtype=np.int64)
             m = min(len(own), len(after))
