@@ -36,19 +36,22 @@ def bare(word: Column) -> Column:
     return F.lower(F.translate(word, MARKS, ""))
 
 
-def canonical(w: Column) -> Column:
+def plain_words(w: Column) -> Column:
+    return F.transform(w, bare)
+
+
+def canonical(w: Column, plain: Column, digits: Column) -> Column:
     """The words with placeholders: anything with a digit is a number; a word of UNITS a unit; a capitalised word that doesn't
-    begin a sentence a name; others are lower-cased without punctuation."""
-    units = F.lit("|" + "|".join(UNITS) + "|")
+    begin a sentence a name; others are plain: lower-cased without punctuation. digits: whether the text has any."""
 
     def one(x: Column, i: Column) -> Column:
-        plain = bare(x)
         before = F.substring(w[F.greatest(i - 1, F.lit(0))], -1, 1)
+        capital = ~F.ascii(x).between(97, 122) & (F.lower(F.substring(x, 1, 1)) != F.substring(x, 1, 1))
         return (
-            F.when(F.translate(x, "0123456789", "") != x, NUMBER)
-            .when((i > 0) & (F.lower(F.substring(x, 1, 1)) != F.substring(x, 1, 1)) & ~before.isin(".", "!", "?", ":"), NAME)
-            .when((F.length(plain) <= 7) & (F.instr(units, F.concat(F.lit("|"), plain, F.lit("|"))) > 0) & (plain != ""), UNIT)
-            .otherwise(plain)
+            F.when(digits & (F.translate(x, "0123456789", "") != x), NUMBER)
+            .when((i > 0) & capital & ~before.isin(".", "!", "?", ":"), NAME)
+            .when(plain[i].isin(UNITS), UNIT)
+            .otherwise(plain[i])
         )
 
     return F.transform(w, one)
@@ -59,14 +62,20 @@ def windows(hashes: Column) -> Column:
     return F.when(F.size(hashes) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(hashes) - WINDOW), lambda i: F.xxhash64(*(hashes[i + j] for j in range(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _spelt(rows: DataFrame, key: str) -> DataFrame:
+    """(key, w, c): the words and their canonical forms."""
+    split = rows.select(key, words(F.col("text")).alias("w"), F.col("text").rlike("[0-9]").alias("digits"))
+    plain = split.select(key, "w", "digits", once(plain_words(F.col("w"))).alias("plain"))
+    return plain.select(key, "w", once(canonical(F.col("w"), F.col("plain"), F.col("digits"))).alias("c"))
+
+
 def _hashed(rows: DataFrame, key: str) -> DataFrame:
-    hashes = F.transform(canonical(F.col("w")), lambda x: F.xxhash64(x))
-    return rows.select(key, words(F.col("text")).alias("w")).select(key, once(hashes).alias("h")).select(key, once(windows(F.col("h"))).alias("win"))
+    hashes = _spelt(rows, key).select(key, once(F.transform("c", lambda x: F.xxhash64(x))).alias("h"))
+    return hashes.select(key, once(windows(F.col("h"))).alias("win"))
 
 
 def _detailed(rows: DataFrame, key: str, prefix: str) -> DataFrame:
-    spelt = rows.select(key, words(F.col("text")).alias("w")).select(key, "w", once(canonical(F.col("w"))).alias("c"))
-    hashed = spelt.select(key, "w", "c", once(F.transform("c", lambda x: F.xxhash64(x))).alias("h"))
+    hashed = _spelt(rows, key).select(key, "w", "c", once(F.transform("c", lambda x: F.xxhash64(x))).alias("h"))
     return hashed.select(key, F.col("w").alias(f"{prefix}_w"), F.col("c").alias(f"{prefix}_c"), once(windows(F.col("h"))).alias(f"{prefix}_win"))
 
 
