@@ -29,5 +29,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    for module in ("filters", "sampling", "joins", "aggregates", "ranking", "verifiers", "retrieval", "attribution"):
+    for module in ("filters", "sampling", "joins", "aggregates", "ranking", "verifiers", "retrieval", "attribution", "conversion", "sources", "streams"):
         importlib.import_module(f"tessella.queries.{module}")
