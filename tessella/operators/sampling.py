@@ -78,8 +78,8 @@ def holdout_sides(n: int, held: int) -> list[bool]:
 
 
 def dealt_to_holdout(place: Column, n: int, held: int) -> Column:
-    """The same rule for one place (from 0) without the list before it: before place p the holdout has ceil(p * held / n) rows."""
-    share = lambda p: F.ceil(p * F.lit(held) / F.lit(max(n, 1)))
+    """The same rule for one place (from 0) without the list before it: before place p the holdout has min(held, floor((p - 1) * held / n) + 1)."""
+    share = lambda p: F.when(p <= 0, 0).otherwise(F.least(F.lit(held), F.floor((p - 1) * F.lit(held) / F.lit(max(n, 1))) + 1))
     return share(place + 1) > share(place)
 
 

@@ -80,7 +80,7 @@ def m09_prefer_then_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH t AS (SELECT p_partkey, split_part(p_type, ' ', 1) AS family, p_size % 2 = 0 AS passed FROM part),
   s AS (SELECT *, count(*) OVER (PARTITION BY passed, family) AS n FROM t),
   o AS (SELECT p_partkey, row_number() OVER (ORDER BY n DESC, passed, family, md5(p_partkey::VARCHAR || '-42'), p_partkey) - 1 AS p, count(*) OVER () AS total FROM s)
-SELECT p_partkey, ceil((p + 1) * 50 / total) > ceil(p * 50 / total) AS holdout FROM o""")
+SELECT p_partkey, least(50, floor(p * 50 / total) + 1) > CASE WHEN p = 0 THEN 0 ELSE least(50, floor((p - 1) * 50 / total) + 1) END AS holdout FROM o""")
 def m10_stratified_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.operators.joins import dense_index as index
 
