@@ -22,11 +22,11 @@ def m01_m02_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.resample(rows, S.parse_amount("2.5", rows.count()), "doc_id").select("doc_id", F.col("copy").cast("long").alias("copy"))
 
 
-@query(f"""WITH a AS (SELECT doc_id FROM documents WHERE lang = 'es' ORDER BY {H}, doc_id LIMIT 30), b AS (SELECT doc_id FROM documents WHERE lang = 'de')
+@query(f"""WITH a AS (SELECT doc_id FROM documents WHERE lang = 'es' ORDER BY {H}, doc_id LIMIT 10), b AS (SELECT doc_id FROM documents WHERE lang = 'de')
 SELECT row_number() OVER (ORDER BY o, doc_id) - 1 AS index, doc_id, s AS dataset_source FROM (SELECT doc_id, 0 AS o, 'spanish' AS s FROM a UNION ALL SELECT doc_id, 1, 'german' FROM b)""")
 def m03_concat_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir).select("doc_id", "lang")
-    mixed = S.mix([("spanish", d.filter("lang = 'es'"), "30"), ("german", d.filter("lang = 'de'"), "1.0")], "doc_id")
+    mixed = S.mix([("spanish", d.filter("lang = 'es'"), "10"), ("german", d.filter("lang = 'de'"), "1.0")], "doc_id")
     return dense_index(mixed).select("index", "doc_id", "dataset_source")
 
 
