@@ -26,7 +26,9 @@ BUCKETS = 256
 SKETCH_BITS = 22
 SECTIONS = 64
 #: Shingles of one chunk of a family.
-FAMILY_CHUNK = 1 << 19
+FAMILY_CHUNK = 1 << 18
+#: Bits of the filter of wanted documents that is broadcast: 2**FILTER_BITS / 64 rows at most, whatever the input.
+FILTER_BITS = 23
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -247,6 +249,16 @@ def _family_edges(sets: DataFrame, sketch: np.ndarray) -> DataFrame:
     return sets.mapInArrow(send, "bucket int, tokens binary, sids binary").groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
+def _maybe(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is in ids, and by chance a few others: a one-hash bit set as a small broadcast table. Beyond its
+    capacity it only lets more rows through to the exact join."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    word = F.floor(at("sid") / 64)
+    bits = ids.groupBy(word.alias("word__")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at("sid") % 64).cast("int"))).alias("bits__"))
+    hit = F.getbit("bits__", (at(id_col) % 64).cast("int")) == 1
+    return docs.join(F.broadcast(bits), F.floor(at(id_col) / 64) == F.col("word__")).filter(hit).drop("word__", "bits__")
+
+
 def connected(edges: DataFrame, tmp: Scratch, name: str) -> DataFrame:
     """(v, label): the smallest vertex of the component of every vertex of (a, b) edges.
 
@@ -368,7 +380,8 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     A set is the distinct five-word shingles of a text, words being `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a shorter text is one shingle,
     a text without words has none and links with nothing. Two documents link when 100 * intersection >= 80 * union; component_id is the
-    smallest doc_id that links reach. Null text is empty. Rows that repeat an id are each a row; rows with a null id are left out.
+    smallest doc_id that links reach. Null text is empty. Rows that repeat an id are each a row, and one document as far as links
+    go; rows with a null id are left out.
     """
     spark = docs.sparkSession
     tmp = Scratch(spark, "ngrams")
@@ -378,13 +391,14 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     shared = found.filter("shared >= 0").groupBy("s1").agg(F.sum("shared").alias("shared"), F.max("n").alias("n")).filter(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("n") * 2 / 25)))
     reps = tmp.write(digest.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("sid")), "reps")
     wanted = tmp.write(reps.join(shared.select("s1"), "s1").select("sid", "n", "s1"), "wanted")
-    sets = tmp.write(_sets(own.join(wanted, own["doc_id"] == wanted["sid"]).select("sid", "n", "s1", "text")).dropDuplicates(["sid", "n", "tokens"]), "sets")
+    some = _maybe(own, wanted, "doc_id").join(wanted.hint("merge"), F.col("doc_id") == F.col("sid")).select("sid", "n", "s1", "text")
+    sets = tmp.write(_sets(some), "sets")
     sketch = _sketch(sets)
     family = connected(_family_edges(sets, sketch), tmp, "family").select(F.col("v").alias("sid"), F.col("label").alias("family"))
-    small = tmp.write(sets.select("sid", "n").join(family, "sid"), "members")
+    small = tmp.write(sets.select("sid", "n").dropDuplicates(["sid"]).join(family, "sid"), "members")
     sizes = small.groupBy("family").agg(F.ceil(F.sum("n") / FAMILY_CHUNK).cast("int").alias("k"))
     member = small.join(sizes, "family").select("sid", "family", "k", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int").alias("chunk"))
-    spread = sets.join(member, "sid").select("sid", "n", "tokens", "family", "chunk", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("with"))
+    spread = sets.join(member.hint("merge"), "sid").select("sid", "n", "tokens", "family", "chunk", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("with"))
     spread = spread.select("sid", "n", "tokens", "family", "chunk", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"))
     links = tmp.write(_links(spread, sketch), "links")
     component = connected(links, tmp, "component")
