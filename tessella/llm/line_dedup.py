@@ -23,6 +23,7 @@ from tessella.llm.common import Scratch, doc_columns, fresh
 BLANKS = " \t\n\x0b\x0c\r"
 SECTIONS = 256
 PROBES = 4
+SALTS = 16
 _UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
@@ -131,8 +132,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # exact: partial counts before the shuffle, so a line of a third of all documents is one row per task
     distinct = pairs.groupBy("line", "doc_id").agg(F.lit(1).alias("one"))
     verdict = distinct.groupBy("line").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
-    # a hot line's rows are split by the skew join
-    losing = pairs.join(verdict.select("line", "keeper"), "line").filter(F.col("doc_id") < F.col("keeper"))
+    # a hot line's rows are spread over the salts, each with a copy of its verdict
+    salted = verdict.select("line", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    losing = pairs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["line", "salt"]).filter(F.col("doc_id") < F.col("keeper"))
     dropped = losing.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))  # at most the lines of one document
     extra = [fresh(c, docs.columns) for c in ("n_lines", "n_dropped", "kept_text")]
     flag, key = fresh("lines__", docs.columns), fresh("key__", docs.columns)
