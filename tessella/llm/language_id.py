@@ -27,7 +27,10 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     share = dictionary_bytes // sample_docs * 2
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null and doc_id is not null")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample_docs).select("lang", "doc_id").distinct()
+    # a hash bound leaves some times sample_docs rows of each language for the window, however many there are; one row for each class
+    share_of = rows.groupBy("lang").agg((F.lit(8.0 * sample_docs) / F.count("*")).alias("share"))
+    likely = rows.select("lang", "doc_id").join(F.broadcast(share_of), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= F.col("share") * (1 << 30)).drop("share")
+    chosen = likely.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample_docs).select("lang", "doc_id").distinct()
     # sample_docs ids for each language
     heads = rows.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.max(F.substring("text", 1, share)).alias("head"))
     parts: dict[str, list[tuple[int, str]]] = {}
