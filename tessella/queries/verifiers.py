@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import verifiers as V
+from tessella.functions.constraints import check
 from tessella.queries import query, table
 from tessella.queries.filters import lit, strip_sql
 
@@ -117,3 +118,42 @@ def v20_repeat_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 8).alias("prompt"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
     return d.join(b, "item_id").select("doc_id", V.repeats_prompt(F.col("text"), F.col("prompt")).alias("repeats"))
+
+
+# Constraints of the larger registry with the SQL of their test.
+_WORDS = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}_'']+')"
+_SPACED = r"list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> '')"
+_W, _S, _L = _WORDS.format("text"), _SPACED.format("text"), _SPACED.format("lower(text)")
+V21 = {
+    "length_constraints:number_words": ({"num_words": 60, "relation": "at least"}, f"len({_W}) >= 60"),
+    "detectable_content:number_placeholders": ({"num_placeholders": 1}, r"len(regexp_extract_all(text, '\[.*?\]')) >= 1"),
+    "detectable_format:number_bullet_lists": ({"num_bullets": 0}, r"len(regexp_extract_all(text, '(?m)^\s*\*[^\*].*$')) + len(regexp_extract_all(text, '(?m)^\s*-.*$')) = 0"),
+    "detectable_format:constrained_response": ({"options": ["the", "der"]}, "contains(text, 'the') OR contains(text, 'der')"),
+    "combination:constrained_start": ({"starter": "The"}, r"regexp_matches(text, '(?m)^\s*The.*$')"),
+    "paragraphs:paragraphs2": ({"num_paragraphs": 1}, "len(string_split(text, chr(10) || chr(10))) = 1 AND trim(text) <> ''"),
+    "keywords:existence": ({"keywords": ["the", "an"]}, "regexp_matches(text, '(?i)the') AND regexp_matches(text, '(?i)an')"),
+    "keywords:frequency": ({"keyword": "the", "frequency": 5, "relation": "less than"}, "len(regexp_extract_all(text, '(?i)the')) < 5"),
+    "keywords:word_once": ({"keyword": "que"}, "len(regexp_extract_all(text, '(?i)que')) = 1"),
+    "keywords:forbidden_words": ({"forbidden_words": ["der", "the"]}, f"NOT list_has_any(list_transform({_W}, lambda x: lower(x)), ['der', 'the'])"),
+    "keywords:exclude_word_harder": ({"keyword": "the"}, "NOT contains(text, ' the ')"),
+    "keywords:letter_frequency": ({"letter": "t", "let_frequency": 20, "let_relation": "at least"}, "length(lower(text)) - length(replace(lower(text), 't', '')) >= 20"),
+    "letters:letter_counting": ({"N": 200, "relation": "less than"}, "len(regexp_extract_all(text, '[a-zA-Z]')) < 200"),
+    "change_case:capital_word_frequency": ({"capital_frequency": 1, "capital_relation": "at least"}, f"len(list_filter({_W}, lambda x: x = upper(x) AND x <> lower(x))) >= 1"),
+    "count:lowercase_counting": ({"N": 40}, f"len(list_filter({_W}, lambda x: regexp_matches(x, '^[a-z]+$'))) <= 40"),
+    "keywords:no_adjacent_consecutive": ({}, f"len(list_filter(range(1, len({_L})), lambda i: unicode({_L}[i + 1]) - unicode({_L}[i]) = 1)) = 0"),
+    "detectable_format:square_brackets": ({}, f"len(list_filter({_S}, lambda x: NOT (starts_with(x, '[') AND ends_with(x, ']')))) = 0"),
+    "first_word:first_word_answer": ({"first_word": "the"}, f"coalesce({_L}[1] = 'the', false)"),
+    "last_word:last_word_answer": ({"last_word": "the"}, rf"coalesce(regexp_replace({_L}[-1], '[^\p{{L}}\p{{N}}_\s]', '', 'g') = 'the', false)"),
+    "count:count_unique": ({}, f"len(list_distinct({_W})) = len({_W})"),
+    "new:palindrome": ({}, f"len(list_filter({_S}, lambda x: x = reverse(x))) > 0"),
+    "punctuation:punctuation_dot": ({}, "NOT contains(text, '.')"),
+    "punctuation:punctuation_exclamation": ({}, "NOT contains(text, '!')"),
+    "detectable_format:title": ({}, "regexp_matches(text, '<<[^\\n]*[^<>\\n ]+[^\\n]*>>')"),
+    "copy:copy": ({"prompt_to_repeat": "Than in"}, "lower(trim(text)) = 'than in'"),
+}
+
+
+@query("SELECT conv_id, turn, " + ", ".join(f"{sql} AS {name.split(':')[1]}" for name, (_, sql) in V21.items()) + " FROM conversations")
+def v21_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *(check(name, text, **args).alias(name.split(":")[1]) for name, (args, _) in V21.items()))
