@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Where capabilities are named in a text.
 COMMAND = r"(?m)(?:^|\||&&|;|\$\()\s*([a-z][a-z0-9_.+-]{1,24})\b"
@@ -83,3 +88,41 @@ def front_matter(text: Column) -> Column:
 def fingerprint(*columns: Column, length: int = 64) -> Column:
     """A prefix of the SHA-256 of the columns' JSON."""
     return F.substring(F.sha2(F.to_json(F.struct(*columns)), 256), 1, length)
+
+
+# English words that are no keywords.
+STOP_WORDS = ["the", "and", "for", "with", "that", "this", "from", "are", "was", "not", "but", "have", "has", "you", "your", "all", "can", "will", "its", "our", "out", "use", "how", "what", "when", "which", "who", "most", "should", "other", "there", "after", "then", "only", "those", "these"]
+
+
+@F.pandas_udf(T.StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    """Compatibility composition, which Spark has no function for."""
+    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
+def keywords(text: Column) -> Column:
+    """Distinct keywords, sorted: ASCII words of three characters or more but stop words, and pairs of neighbouring Han characters."""
+    low = F.lower(nfkc(text))
+    latin = F.filter(F.regexp_extract_all(low, F.lit("[a-z0-9_-]+"), F.lit(0)), lambda x: (F.length(x) > 2) & ~x.isin(STOP_WORDS))
+    runs = F.regexp_extract_all(low, F.lit("[\\u4e00-\\u9fff\\u3400-\\u4dbf]+"), F.lit(0))
+    pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substr(r, i, F.lit(2))))))
+    return F.array_sort(F.array_distinct(F.concat(latin, pairs)))
+
+
+def capped_selection(candidates: DataFrame, quotas: DataFrame, keep: Callable[[DataFrame], DataFrame], per_env: int, rounds: int = 1000) -> DataFrame:
+    """(task, env, cand): what tasks pick one after another, best candidates first, up to their need, while no env gives more than per_env.
+
+    candidates: (task, task_order, rank, env, cand); quotas: (task, need). All tasks propose at once; an env keeps the proposals of
+    the earliest tasks and turns the others down, and tasks then propose their next ones. Envs rank tasks alike, so the end is
+    what picking in order gives. keep: writes a table and reads it again, to cut the plan of each round.
+    """
+    left = keep(candidates.join(quotas.filter("need > 0"), "task"))
+    by_task, by_env = Window.partitionBy("task").orderBy("rank", "cand"), Window.partitionBy("env").orderBy("task_order", "rank", "cand")
+    for _ in range(rounds):
+        asked = left.withColumn("p", F.row_number().over(by_task)).filter("p <= need")
+        judged = keep(asked.withColumn("q", F.row_number().over(by_env)))
+        refused = judged.filter(F.col("q") > per_env).select("task", "cand")
+        if not refused.limit(1).count():
+            return judged.select("task", "env", "cand")
+        left = keep(left.join(refused, ["task", "cand"], "left_anti"))
+    raise RuntimeError("more rounds than allowed")

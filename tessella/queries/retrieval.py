@@ -44,10 +44,36 @@ _K = ["the", "ein", "que"]
 @query(f"""WITH h AS (SELECT doc_id, {", ".join(f"len(regexp_extract_all(lower(text), '{k}')) AS k{i}" for i, k in enumerate(_K))} FROM documents WHERE regexp_matches(lower(text), '{"|".join(_K)}')),
   n AS (SELECT count(*) AS n, {", ".join(f"count(*) FILTER (k{i} > 0) AS d{i}" for i in range(len(_K)))} FROM h)
 SELECT doc_id, {" + ".join(f"ln(1.0 + k{i}) * ln(1.0 + n / greatest(d{i}, 1))" for i in range(len(_K)))} AS score FROM h, n""")
-def r08_r09_r10_keyword_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+def r09_r10_keyword_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.keyword_rank(table(spark, sf_dir, "documents"), "doc_id", "text", _K)
 
 
+@query("""WITH k AS (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_-]+'), lambda x: length(x) > 2 AND x NOT IN (STOPS))) AS k FROM benchmark)
+SELECT item_id, array_to_string(list_sort(list(DISTINCT k)), ' ') AS keywords FROM k GROUP BY 1""".replace("STOPS", ", ".join(f"'{x}'" for x in R.STOP_WORDS)))
+def r08_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(R.keywords(F.col("text")), " ").alias("keywords")).filter("keywords <> ''")
+
+
+def kept_in(spark: SparkSession):
+    """Writes a table below the shared folder and reads it again."""
+    from tessella.queries.sources import shared
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = shared(spark)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return keep
+
+
+@query()
+def r05_capped_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "lineitem").filter("l_partkey < 40").select(F.col("l_partkey").alias("task"), F.col("l_partkey").alias("task_order"), (-F.col("l_quantity")).alias("rank"), (F.col("l_suppkey") % 12).alias("env"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("cand"))
+    best = c.groupBy("task", "task_order", "env", "cand").agg(F.min("rank").alias("rank"))
+    quotas = best.select("task").distinct().withColumn("need", F.lit(6))
+    return R.capped_selection(best, quotas, kept_in(spark), 10)
+
+
 @query("""WITH g(word, pos, syn) AS (VALUES ('error', 1, 'fault'), ('error', 2, 'failure'), ('error', 3, 'bug'), ('error', 4, 'defect'), ('click', 1, 'tap'))
 SELECT event_id, coalesce(syn, event_type) AS term FROM events LEFT JOIN g ON word = event_type AND pos <= 3""")
 def r11_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

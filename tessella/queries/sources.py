@@ -84,7 +84,7 @@ def src07_t01_session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT user_id, event_type AS tool, count(*) AS calls, bool_or(value > 90) AS passed FROM events GROUP BY ALL")
-def t04_t05_t06_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def t04_t05_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("tool")).agg(F.count("*").alias("calls"), F.bool_or(F.col("value") > 90).alias("passed"))
 
 
@@ -100,3 +100,14 @@ def t07_t08_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src09_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("conv_id"), "text")
     return relevant_lines(rows, "conv_id", "text", r"the\w+ing", 0).select("conv_id", F.col("line_no").cast("long").alias("line_no"), F.md5("line").alias("line"))
+
+
+@query("""WITH r AS (SELECT user_id, event_id AS line_no, CASE event_type WHEN 'view' THEN 'raw_assistant' WHEN 'click' THEN 'assistant' WHEN 'purchase' THEN 'raw_tool' WHEN 'signup' THEN 'tool' ELSE 'raw_user' END AS type, event_id // 500 AS step, (event_id // 700)::VARCHAR AS call, props AS content FROM events),
+  l AS (SELECT *, replace(type, 'raw_', '') AS role, starts_with(type, 'raw_') AS raw, CASE replace(type, 'raw_', '') WHEN 'user' THEN 'u' || line_no WHEN 'tool' THEN 't' || call ELSE 'a' || step END AS key FROM r WHERE step < 18),
+  g AS (SELECT user_id, role, key, min(line_no) FILTER (raw) AS line_no, arg_min(content, line_no) FILTER (raw) AS raw, arg_max(content, line_no) FILTER (NOT raw) AS delta FROM l GROUP BY ALL)
+SELECT user_id, line_no, role, raw, coalesce(delta, raw) AS effective FROM g WHERE line_no IS NOT NULL""")
+def t06_message_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    type_ = F.when(kind == "view", "raw_assistant").when(kind == "click", "assistant").when(kind == "purchase", "raw_tool").when(kind == "signup", "tool").otherwise("raw_user")
+    records = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("line_no"), type_.alias("type"), F.floor(F.col("event_id") / 500).alias("step"), F.floor(F.col("event_id") / 700).cast("string").alias("tool_call_id"), F.col("props").alias("content"))
+    return S.message_tracks(records, "user_id", 18)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import verifiers as V
 from tessella.functions.constraints import check
+from tessella.functions.latex import math_match, strict_math_match
 from tessella.queries import query, table
 from tessella.queries.filters import lit, strip_sql
 
@@ -157,3 +158,11 @@ V21 = {
 def v21_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", *(check(name, text, **args).alias(name.split(":")[1]) for name, (args, _) in V21.items()))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 <> 2 THEN 1.0 ELSE 0.0 END AS math, CASE WHEN p_size % 3 = 1 THEN 1.0 ELSE 0.0 END AS strict FROM part")
+def v03_v04_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_partkey").cast("string")
+    said = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(r"so \boxed{\frac{"), n, F.lit("}{7}}"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit(r"Final Answer: The final answer is $\frac{"), n, F.lit("}{7}$. I hope it is correct."))).otherwise(F.lit("it is $8$, not $9$"))
+    label = F.concat(F.lit(r"\frac{"), n, F.lit("}{7}"))
+    return table(spark, sf_dir, "part").select("p_partkey", math_match(said, label).alias("math"), strict_math_match(said, label).alias("strict"))

@@ -61,6 +61,24 @@ def session_messages(lines: DataFrame, session: str, line_no: str, value: str) -
     return rows.withColumn("k", F.row_number().over(first)).filter("k = 1").select(session, line_no, "role", "content")
 
 
+def message_tracks(records: DataFrame, session: str, up_to_step: int) -> DataFrame:
+    """(session, line_no, role, raw, effective): what was recorded first and what the model saw.
+
+    records: session, line_no, type, step, tool_call_id, content. Only records after the last context_snapshot and before up_to_step count.
+    An `assistant` record changes the raw_assistant of its step, a `tool` record the raw_tool of its call; other raw records stay.
+    """
+    w = Window.partitionBy(session)
+    snapshot = F.coalesce(F.max(F.when(F.col("type") == "context_snapshot", F.col("line_no"))).over(w), F.lit(-1))
+    live = records.withColumn("after__", snapshot).filter((F.col("line_no") > F.col("after__")) & (F.col("step") < up_to_step))
+    raw = F.startswith("type", F.lit("raw_"))
+    role = F.replace("type", F.lit("raw_"), F.lit(""))
+    key = F.when(role == "user", F.concat(F.lit("u"), F.col("line_no").cast("string"))).when(role == "tool", F.concat(F.lit("t"), F.coalesce("tool_call_id", F.lit("")))).otherwise(F.concat(F.lit("a"), F.col("step").cast("string")))
+    g = live.filter(role.isin("user", "assistant", "tool")).withColumn("role", role).withColumn("raw__", raw).groupBy(session, "role", key.alias("key__"))
+    first = lambda value, when: F.min_by(F.when(when, F.col(value)), F.when(when, F.col("line_no")))
+    tracks = g.agg(F.min(F.when(F.col("raw__"), F.col("line_no"))).alias("line_no"), first("content", F.col("raw__")).alias("raw"), F.max_by(F.when(~F.col("raw__"), F.col("content")), F.when(~F.col("raw__"), F.col("line_no"))).alias("delta"))
+    return tracks.filter("line_no is not null").select(session, "line_no", "role", "raw", F.coalesce("delta", "raw").alias("effective"))
+
+
 def latest_checkpoint(rows: DataFrame, run: str, step: str, values: list[str]) -> DataFrame:
     """The state of each run's last step; of equal steps the last written counts."""
     return rows.groupBy(run).agg(F.max_by(F.struct(step, *values), F.struct(step, "ts")).alias("s")).select(run, "s.*")
