@@ -7,12 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.plans.tables import keep
+
 
 def dense_index(df: DataFrame, order: list) -> DataFrame:
     """Column `index`: places from 0 in a global order, without one task for all rows: a range sort, counts for each partition, and
-    row numbers inside them. The counts are one row for each partition."""
+    row numbers inside them. The sorted rows are written with their partition's number, since a second evaluation could cut
+    the ranges elsewhere. The counts are one row for each partition."""
     part, key = "index_part__", [c if isinstance(c, Column) else F.col(c) for c in order]
-    placed = df.repartitionByRange(*key).withColumn(part, F.spark_partition_id())
+    placed = keep(df.repartitionByRange(*key).withColumn(part, F.spark_partition_id()))
     inside = placed.withColumn("index", F.row_number().over(Window.partitionBy(part).orderBy(*key)))
     counts = placed.groupBy(part).agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")

@@ -107,20 +107,23 @@ def prefix_within(df: DataFrame, by: str, order: list[str], size: str, budget: i
 
 
 def next_fit(df: DataFrame, by: str, order: list[str], size: str, capacity: int) -> DataFrame:
-    """Column `pack`: items in order go to the open pack while they fit, else a new one opens. A fold in order, a group at a time."""
-    schema = T.StructType([*df.schema.fields, T.StructField("pack", T.LongType())])
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        packs, pack, held = [], 0, 0
-        for n in rows[size]:
-            if held and held + n > capacity:
-                pack, held = pack + 1, 0
-            held += n
-            packs.append(pack)
-        return rows.assign(pack=packs)
-
-    return df.groupBy(by).applyInPandas(fold, schema)
+    """Column `pack`: items in order go to the open pack while they fit, else a new one opens. A fold over sorted rows, whose memory
+    doesn't hang on a group's size."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, pack, held = object(), 0, 0
+        for rows in batches:
+            packs = []
+            for group, n in zip(rows[by], rows[size], strict=True):
+                if group != last:
+                    last, pack, held = group, 0, 0
+                elif held and held + n > capacity:
+                    pack, held = pack + 1, 0
+                held += n
+                packs.append(pack)
+            yield rows.assign(pack=packs)
+
+    return df.repartition(by).sortWithinPartitions(by, *order).mapInPandas(work, T.StructType([*df.schema.fields, T.StructField("pack", T.LongType())]))
 
 
 def split_conversations(turns: DataFrame, size: str, budget: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import retrieval as R
+from tessella.plans.tables import keep
 from tessella.queries import query, table
 
 _SHELL = "'import os.path' || chr(10) || 'cat ' || props || ' | grep x && python3 run.py > out' || event_id % 3 || '.json'"
@@ -54,24 +55,12 @@ def r08_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(R.keywords(F.col("text")), " ").alias("keywords")).filter("keywords <> ''")
 
 
-def kept_in(spark: SparkSession):
-    """Writes a table below the shared folder and reads it again."""
-    from tessella.queries.sources import shared
-
-    def keep(df: DataFrame) -> DataFrame:
-        path = shared(spark)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return keep
-
-
 @query()
 def r05_capped_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "lineitem").filter("l_partkey < 40").select(F.col("l_partkey").alias("task"), F.col("l_partkey").alias("task_order"), (-F.col("l_quantity")).alias("rank"), (F.col("l_suppkey") % 12).alias("env"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("cand"))
     best = c.groupBy("task", "task_order", "env", "cand").agg(F.min("rank").alias("rank"))
     quotas = best.select("task").distinct().withColumn("need", F.lit(6))
-    return R.capped_selection(best, quotas, kept_in(spark), 10)
+    return R.capped_selection(best, quotas, keep, 10)
 
 
 @query("""WITH g(word, pos, syn) AS (VALUES ('error', 1, 'fault'), ('error', 2, 'failure'), ('error', 3, 'bug'), ('error', 4, 'defect'), ('click', 1, 'tap'))

@@ -2,33 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators.retrieval import relevant_lines
 from tessella.sources import files as S
+from tessella.plans.tables import shared_folder
 from tessella.queries import query, table
 
 
-def shared(spark: SparkSession) -> str:
-    """A fresh folder below the shared one; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessella-")
-    return f"{base.rstrip('/')}/queries-{uuid.uuid4().hex}"
-
-
 @query("SELECT doc_id, lang, n_chars FROM documents")
 def src01_snk01_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared(spark)
+    path = shared_folder(spark)
     S.write_jsonl(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), path)
     return S.read_jsonl(spark, path, "doc_id long, lang string, n_chars long").drop("_bad")
 
 
 @query("SELECT doc_id AS id, quality FROM labels UNION ALL SELECT item_id, NULL FROM benchmark")
 def src02_src04_parquet_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared(spark)
+    path = shared_folder(spark)
     table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality").write.parquet(f"{path}/a")
     table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")).write.parquet(f"{path}/b")
     return S.read_many(spark, [f"{path}/a", f"{path}/b"])
@@ -36,7 +28,7 @@ def src02_src04_parquet_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def src08_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared(spark)
+    path = shared_folder(spark)
     S.write_tsv(table(spark, sf_dir, "nation"), path)
     return S.read_tsv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
 
