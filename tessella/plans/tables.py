@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessella-")
-    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+def shared_base(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only where that is unset, as in tests, a temporary one, which goes when the program ends."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        own = tempfile.mkdtemp(prefix="tessella-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = f"file://{own}"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str = "tables") -> str:
+    """A fresh folder below the shared one."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame) -> DataFrame:
