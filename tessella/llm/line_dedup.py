@@ -9,7 +9,6 @@ document that keeps the line. Pass 3 drops the lines of documents that hold a su
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,21 +23,12 @@ BLANKS = " \t\n\x0b\x0c\r"
 SECTIONS = 256
 PROBES = 4
 SALTS = 16
-_UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-
-
-def line_key(line: str) -> str:
-    """The line without ASCII blanks at both ends, A-Z in lower case."""
-    return line.strip(BLANKS).translate(_UPPER)
-
-
-def _digest(key: str) -> bytes:
-    return xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass"))
+_digest = xxhash.xxh3_128_digest
 
 
 def _keys(text: str | None, min_chars: int) -> list[bytes | None]:
-    """For each line its key's digest, or None for lines too short to count."""
-    return [_digest(k) if len(k := line_key(x)) >= min_chars else None for x in (text or "").split("\n")]
+    """For each line the digest of its key, or None for lines too short to count. Lower-casing bytes changes A-Z alone."""
+    return [_digest(k.encode().lower()) if len(k := x.strip(BLANKS)) >= min_chars else None for x in (text or "").split("\n")]
 
 
 def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -159,7 +149,3 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     schema = joined.select(*names).schema.add(extra[0], "long").add(extra[1], "long").add(extra[2], "string")
     return joined.mapInArrow(keep, schema)
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
