@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,27 +10,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.plans.tables import shared_folder
+
 #: Bytes of text that one numpy step works on; bounds the memory of a Python worker.
 SLICE_BYTES = 1 << 20
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where it is unset (tests), a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 class Scratch:
     """Tables written to the shared folder, so that later jobs read them instead of a long lineage.
 
-    A written table survives the loss of executors. `drop` removes one that no later plan reads.
+    A written table survives the loss of executors.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.base = spark, shared_folder(spark, name)
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
         path, schema, key = f"{self.base}/{table}", df.schema, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -44,11 +35,6 @@ class Scratch:
             self.spark.conf.set(key, before)
         return self.spark.read.schema(schema).parquet(path)
 
-    def drop(self, table: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{table}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def fresh(name: str, taken: list[str]) -> str:
     """A column name that no input column has, whatever the case."""

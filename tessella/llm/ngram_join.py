@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, doc_columns, grouped_ranges, mix, slices, window_hashes, word_table
+from tessella.llm.common import Scratch, doc_columns, fresh, grouped_ranges, mix, slices, window_hashes, word_table
 
 SHINGLE = 5
 CHUNK = 1 << 20
@@ -409,5 +409,6 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose document is the smallest of its group."""
     groups = near_groups(docs, id_col=id_col, text_col=text_col)
-    copies = Scratch(docs.sparkSession, "copies").write(groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("copy__")).distinct(), "ids")
-    return docs.join(copies, F.col(id_col).cast("long") == F.col("copy__"), "left_anti")
+    name = fresh("copy__", docs.columns)
+    copies = Scratch(docs.sparkSession, "copies").write(groups.filter("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "ids")
+    return docs.join(copies, F.col(id_col).cast("long") == F.col(name), "left_anti")
