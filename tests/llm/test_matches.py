@@ -172,3 +172,10 @@ def test_slots_that_disagree_are_no_leak(spark):
     good, bad = item.replace("5", "8"), item.replace("5", "8", 2)
     docs = spark.createDataFrame([(1, good), (2, bad)], SCHEMA)
     assert [r.doc_id for r in decontamination.find_leaks(docs, bench).collect()] == [1]
+
+
+def test_one_changed_word_does_not_hide_a_short_item(spark):
+    item = "which of these fifteen words would you change so that nobody can find them again"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x y z {item.replace('would', 'might')} x"), (2, "which of these fifteen words are not the same text at all here")], SCHEMA)
+    assert [r.doc_id for r in decontamination.find_leaks(docs, bench).collect()] == [1]
