@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions alone.
 
 Numbers, units and names become typed placeholders, so a question whose parameters were changed has the same
-canonical windows as before. Every window of eight canonical words of a document is hash-joined with the windows of
+canonical windows as before. Every window of five canonical words of a document is hash-joined with the windows of
 the benchmark. For documents that share enough windows with an item, the placeholders are aligned: each slot value of
 the item has to stand for one value in the document.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, doc_columns, once
+from tessella.llm.common import Scratch, doc_columns, fresh, once
 
 # Words that count as units.
 UNITS = [
@@ -23,7 +23,7 @@ UNITS = [
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
 MARKS = ".,;:!?\"'()[]"
 BLANKS = r"[\x20\x09-\x0D]+"
-WINDOW = 8
+WINDOW = 5
 #: Most rows of a side that is broadcast; beyond that the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -120,8 +120,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, with all their columns, whose documents have no leak."""
     found = Scratch(docs.sparkSession, "leaked").write(find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select("doc_id").distinct(), "ids")
-    key = F.col(id_col).cast("long")
-    return docs.join(_small(found.withColumnRenamed("doc_id", "leaked__")), key == F.col("leaked__"), "left_anti")
+    name = fresh("leaked__", docs.columns)
+    return docs.join(_small(found.withColumnRenamed("doc_id", name)), F.col(id_col).cast("long") == F.col(name), "left_anti")
 
 
 SQL = rf"""
