@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.functions.text import strip
+from tessella.functions.text import let, strip
 from tessella.functions.verifiers import is_json, words_of
 
 Constraint = Callable[..., Column]
@@ -183,9 +183,9 @@ def exclude_word(text: Column, keyword: str) -> Column:
 @instruction("detectable_content:rephrase_paragraph")
 def rephrase_paragraph(text: Column, original_paragraph: str, low: int, high: int) -> Column:
     """Words in common, by their counts, between low and high."""
-    mine, theirs = words(F.lower(text)), words(F.lower(F.lit(original_paragraph)))
+    theirs = words(F.lower(F.lit(original_paragraph)))
     count = lambda ws, w: F.size(F.filter(ws, lambda x: x == w))
-    return F.aggregate(F.array_distinct(theirs), F.lit(0), lambda n, w: n + F.least(count(mine, w), count(theirs, w))).between(low, high)
+    return let(words(F.lower(text)), lambda mine: F.aggregate(F.array_distinct(theirs), F.lit(0), lambda n, w: n + F.least(count(mine, w), count(theirs, w)))).between(low, high)
 
 
 @instruction("detectable_content:rephrase")
@@ -307,7 +307,7 @@ def sentence_hyphens(text: Column) -> Column:
 def no_adjacent_letters(text: Column) -> Column:
     """No word begins with the letter after that of the word before it."""
     first = F.transform(words_of(F.lower(text)), lambda x: F.ascii(x))
-    return ~F.exists(F.transform(first, lambda x, i: F.coalesce(F.get(first, i + 1) - x == 1, F.lit(False))), lambda x: x)
+    return let(first, lambda a: ~F.exists(F.zip_with(a, F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: F.coalesce(y - x == 1, F.lit(False))), lambda x: x))
 
 
 @instruction("detectable_format:square_brackets")
@@ -317,9 +317,8 @@ def square_brackets(text: Column) -> Column:
 
 @instruction("detectable_format:bigram_wrapping")
 def bigram_wrapping(text: Column) -> Column:
-    w = words_of(text)
-    odd = F.transform(w, lambda x, i: F.when((i % 2 == 0) & (i + 1 < F.size(w)), F.startswith(x, F.lit("<<"))).when(i % 2 == 1, F.endswith(x, F.lit(">>"))).otherwise(F.lit(True)))
-    return F.forall(odd, lambda x: x)
+    wrapped = lambda w: F.transform(w, lambda x, i: F.when((i % 2 == 0) & (i + 1 < F.size(w)), F.startswith(x, F.lit("<<"))).when(i % 2 == 1, F.endswith(x, F.lit(">>"))).otherwise(F.lit(True)))
+    return F.forall(let(words_of(text), wrapped), lambda x: x)
 
 
 @instruction("first_word:first_word_sent")
@@ -356,8 +355,7 @@ def counting_composition(text: Column, n_sent: int, n_words: int) -> Column:
 
 @instruction("count:count_unique")
 def unique_words(text: Column) -> Column:
-    w = words(text)
-    return F.size(F.array_distinct(w)) == F.size(w)
+    return let(words(text), lambda w: F.size(F.array_distinct(w)) == F.size(w))
 
 
 @instruction("new:palindrome")

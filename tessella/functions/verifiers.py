@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.functions.text import replace_all, strip
+from tessella.functions.text import let, replace_all, strip
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -44,10 +44,13 @@ def tokens(text: Column) -> Column:
 
 def token_f1(text: Column, label: Column) -> Column:
     """F1 of the multisets of normalised words; 0 without any in common."""
-    a, b = tokens(text), tokens(label)
     count = lambda words, w: F.size(F.filter(words, lambda x: x == w))
-    common = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, w: n + F.least(count(a, w), count(b, w)))
-    return F.when(common > 0, 2.0 * common / (F.size(a) + F.size(b))).otherwise(0.0)
+
+    def score_of(s: Column) -> Column:
+        common = F.aggregate(F.array_distinct(s["a"]), F.lit(0), lambda n, w: n + F.least(count(s["a"], w), count(s["b"], w)))
+        return F.when(common > 0, 2.0 * common / (F.size(s["a"]) + F.size(s["b"]))).otherwise(0.0)
+
+    return let(F.struct(tokens(text).alias("a"), tokens(label).alias("b")), score_of)
 
 
 def best_f1(text: Column, labels: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import is_code_fragment, is_complex_math, is_math_or_code, is_multi_line, is_structured_list, is_transition, paragraphs, sentences
+from tessella.functions.text import is_code_fragment, is_complex_math, is_math_or_code, is_multi_line, is_structured_list, is_transition, once, paragraphs, sentences
 
 #: Shortest block that counts, by kind: for any repetition and for consecutive ones.
 LEAST = {"line": (5, 10), "paragraph": (10, 20)}
@@ -36,11 +36,15 @@ def consecutive_repetitions(docs: DataFrame, kind: str, **columns: str) -> DataF
 
 
 def ngram_repetitions(docs: DataFrame, n: int = 3, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ngram, n, first_pos): lower-cased word n-grams that occur `least` times or more."""
+    """(doc_id, ngram, n, first_pos): lower-cased word n-grams that occur `least` times or more, twice at least."""
     words = F.array_remove(F.split(F.lower(text_col), r"\s+"), "")
     grams = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " ")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("w")).select("doc_id", F.posexplode(grams).alias("pos", "ngram"))
-    return rows.groupBy("doc_id", "ngram").agg(F.count("*").alias("n"), F.min("pos").cast("long").alias("first_pos")).filter(F.col("n") >= least)
+    rows = docs.select(F.col(id_col).alias("doc_id"), once(words).alias("w")).select("doc_id", once(grams).alias("g")).select("doc_id", "g", once(F.sort_array("g")).alias("s"))
+    # what is there twice stands next to itself in order; only such n-grams are exploded and shuffled
+    again = F.array_distinct(F.filter(F.zip_with("s", F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()))
+    some = rows.select("doc_id", "g", once(again).alias("again")).filter(F.size("again") > 0)
+    found = some.select("doc_id", "again", F.posexplode("g").alias("pos", "ngram")).filter(F.array_contains("again", F.col("ngram")))
+    return found.groupBy("doc_id", "ngram").agg(F.count("*").alias("n"), F.min("pos").cast("long").alias("first_pos")).filter(F.col("n") >= least)
 
 
 def block_verdict(docs: DataFrame, consecutive: int = 10, total: int = 40, **columns: str) -> DataFrame:
