@@ -75,3 +75,20 @@ def run_bucket(name: Column) -> Column:
 def family(task: Column) -> Column:
     """What stands before the first hyphen."""
     return F.substring_index(task, "-", 1)
+
+
+def pair_with_exemplars(failures: DataFrame, exemplars: DataFrame, groups: int, per_group: int) -> DataFrame:
+    """(class, n, exemplar, place): the largest classes of failures, each with its exemplars of the shortest recovery; classes
+    without one have a null exemplar."""
+    size = failures.groupBy("class").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "class").limit(groups)
+    best = exemplars.withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy("turns", "exemplar"))).filter(F.col("place") <= per_group)
+    return size.join(best, "class", "left").select("class", "n", "exemplar", "place")
+
+
+def complementary_group(candidates: list[tuple[str, float, frozenset]], size: int) -> list[str]:
+    """Names of a bounded list's candidates, best score first, each with something that every one picked before lacks and the other way round."""
+    picked: list[tuple[str, frozenset]] = []
+    for name, _, items in sorted(candidates, key=lambda c: (-c[1], c[0])):
+        if len(picked) < size and all(items - other and other - items for _, other in picked):
+            picked.append((name, items))
+    return [name for name, _ in picked]

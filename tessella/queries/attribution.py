@@ -108,3 +108,12 @@ def c07_evidence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c08_c09_c10_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     usable = F.when(F.col("p_size") < 5, "too_small").when(F.col("p_retailprice") > 1500, "too_dear").otherwise("usable")
     return table(spark, sf_dir, "part").select("p_partkey", A.run_bucket(F.col("p_name")).alias("bucket"), A.family(F.col("p_type")).alias("family"), shorten_label(F.concat("p_type", F.lit(" tasks (all), more"))).alias("label"), usable.alias("usable"))
+
+
+@query(f"""WITH e AS (SELECT event_id, value, {OBS_SQL} AS o FROM events), c AS (SELECT *, {CLASS_SQL} AS class FROM e), g AS (SELECT class, count(*) AS n FROM c WHERE class IS NOT NULL AND value < 50 GROUP BY 1 ORDER BY n DESC, class LIMIT 4),
+  x AS (SELECT class, event_id AS exemplar, row_number() OVER (PARTITION BY class ORDER BY value, event_id) AS place FROM c WHERE class IS NOT NULL AND value >= 50)
+SELECT g.class, n, exemplar, place FROM g LEFT JOIN x ON x.class = g.class AND place <= 3""")
+def j12_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = log(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "value"), "event_id").withColumn("class", error_class(F.col("o"))).filter("class is not null")
+    exemplars = e.filter("value >= 50").select("class", F.col("event_id").alias("exemplar"), F.col("value").alias("turns"))
+    return A.pair_with_exemplars(e.filter("value < 50"), exemplars, 4, 3).withColumn("place", F.col("place").cast("long"))

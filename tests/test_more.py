@@ -108,3 +108,10 @@ def test_message_tracks(spark):
     df = spark.createDataFrame(rows, "session string, line_no long, type string, step int, tool_call_id string, content string")
     got = [(r.line_no, r.raw, r.effective) for r in files.message_tracks(df, "session", 2).orderBy("line_no").collect()]
     assert got == [(2, "hi", "hi"), (3, "a", "A"), (5, "t", "t"), (6, "u", "U")]
+
+
+def test_complementary_group():
+    from tessella.operators.attribution import complementary_group
+
+    rows = [("a", 3.0, frozenset("xy")), ("b", 2.0, frozenset("x")), ("c", 1.0, frozenset("yz")), ("d", 1.0, frozenset("w"))]
+    assert complementary_group(rows, 3) == ["a", "c", "d"] and complementary_group(rows, 1) == ["a"] and complementary_group([], 2) == []
