@@ -18,11 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, doc_columns, fresh, grouped_ranges, mix, slices, window_hashes, word_table
+from tessella.llm.common import Scratch, bucket_count, doc_columns, fresh, grouped_ranges, mix, slices, window_hashes, word_table
 
 SHINGLE = 5
 CHUNK = 1 << 20
-BUCKETS = 256
 SKETCH_BITS = 22
 SECTIONS = 64
 #: Shingles of one chunk of a family.
@@ -79,11 +78,11 @@ def _rows(kinds: dict[str, pa.DataType], columns: list) -> pa.RecordBatch:
 FOUND = {"doc_id": pa.int64(), "n": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "shared": pa.int64()}
 
 
-def _digests(docs: DataFrame) -> DataFrame:
+def _digests(docs: DataFrame, buckets: int) -> DataFrame:
     """Two kinds of rows. With doc_id and shared -1: a document's set. With null doc_id: of set s1, `shared` of its smallest
     shingles are also among those of another set."""
     packet = {"bucket": pa.int32(), "rows": pa.binary(), "tokens": pa.binary(), "refs": pa.binary(), "sets": pa.binary(), "sizes": pa.binary()}
-    shift = np.uint64(64 - (BUCKETS - 1).bit_length())
+    shift = np.uint64(64 - (buckets - 1).bit_length())
 
     class Chunk:
         def __init__(self):
@@ -113,10 +112,10 @@ def _digests(docs: DataFrame) -> DataFrame:
                 return
             ids, size, s1, s2 = (np.concatenate(x) for x in zip(*self.digests, strict=True))
             for part in np.array_split(np.arange(len(ids)), max(1, len(ids) // 4096)):
-                yield _rows(packet, [[int(part[0] % BUCKETS)], [np.stack([x[part] for x in (ids, size, s1, s2)]).astype(np.int64).tobytes()], *([[None]] * 4)])
+                yield _rows(packet, [[int(s1[part[0]]) % buckets], [np.stack([x[part] for x in (ids, size, s1, s2)]).astype(np.int64).tobytes()], *([[None]] * 4)])
             tokens, owner = np.concatenate(self.tokens), np.concatenate(self.owner).astype(np.int64)
             sets, sizes = np.array(self.sets, dtype=np.uint64), np.array(self.sizes, dtype=np.int64)
-            order, cuts = grouped_ranges((tokens >> shift).astype(np.int64), BUCKETS)
+            order, cuts = grouped_ranges((tokens >> shift).astype(np.int64), buckets)
             tokens, owner = tokens[order], owner[order]
             low = (tokens >> (shift - np.uint64(32))).astype(np.uint32)
             for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
@@ -214,10 +213,10 @@ def _sketch(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def _family_edges(sets: DataFrame, sketch: np.ndarray) -> DataFrame:
+def _family_edges(sets: DataFrame, sketch: np.ndarray, buckets: int) -> DataFrame:
     """(a, b): each set of a prefix shingle with the smallest set that has it too."""
     shared = sets.sparkSession.sparkContext.broadcast(sketch.tobytes())
-    shift = np.uint64(64 - (BUCKETS - 1).bit_length())
+    shift = np.uint64(64 - (buckets - 1).bit_length())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = np.frombuffer(shared.value, np.uint8)
@@ -228,7 +227,7 @@ def _family_edges(sets: DataFrame, sketch: np.ndarray) -> DataFrame:
                 at = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
                 keep = at <= _misses(size)[owner]
                 tokens, sids = tokens[order][keep], np.asarray(part.column("sid"))[owner[keep]]
-                order, cuts = grouped_ranges((tokens >> shift).astype(np.int64), BUCKETS)
+                order, cuts = grouped_ranges((tokens >> shift).astype(np.int64), buckets)
                 full = np.flatnonzero(cuts[1:] > cuts[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([x[order[cuts[b] : cuts[b + 1]]].tobytes() for b in full], pa.binary()) for x in (tokens, sids))], names=["bucket", "tokens", "sids"])
 
@@ -384,9 +383,9 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     go; rows with a null id are left out.
     """
     spark = docs.sparkSession
-    tmp = Scratch(spark, "ngrams")
+    tmp, buckets = Scratch(spark, "ngrams"), bucket_count(spark, 256)
     own = doc_columns(docs, id_col, text_col).filter(F.col("doc_id").isNotNull())
-    found = tmp.write(_digests(own), "found")
+    found = tmp.write(_digests(own, buckets), "found")
     digest = found.filter("shared = -1").select("doc_id", "n", "s1", "s2")
     shared = found.filter("shared >= 0").groupBy("s1").agg(F.sum("shared").alias("shared"), F.max("n").alias("n")).filter(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("n") * 2 / 25)))
     reps = tmp.write(digest.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("sid")), "reps")
@@ -394,7 +393,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     some = _maybe(own, wanted, "doc_id").join(wanted.hint("merge"), F.col("doc_id") == F.col("sid")).select("sid", "n", "s1", "text")
     sets = tmp.write(_sets(some), "sets")
     sketch = _sketch(sets)
-    family = connected(_family_edges(sets, sketch), tmp, "family").select(F.col("v").alias("sid"), F.col("label").alias("family"))
+    family = connected(_family_edges(sets, sketch, buckets), tmp, "family").select(F.col("v").alias("sid"), F.col("label").alias("family"))
     small = tmp.write(sets.select("sid", "n").dropDuplicates(["sid"]).join(family, "sid"), "members")
     sizes = small.groupBy("family").agg(F.ceil(F.sum("n") / FAMILY_CHUNK).cast("int").alias("k"))
     member = small.join(sizes, "family").select("sid", "family", "k", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int").alias("chunk"))
