@@ -9,6 +9,7 @@ to sequences whose lengths are powers of two, so nothing is padded.
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,12 +25,23 @@ from tessella.llm.common import doc_columns, slices, word_table
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizers file, which it matches in texts before any splitting."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in tokens):
+        raise ValueError("added tokens that take blanks or whole words only aren't matched literally")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 @lru_cache(maxsize=4)
-def tokenizer(path: str, pattern: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a rank file. Its ids are those of the same vocabulary's tokenizers file; a test compares them."""
+def tokenizer(path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> tiktoken.Encoding:
+    """The byte-level BPE of a rank file with added tokens. Its ids are those of the same vocabulary's tokenizers file; a test compares them."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    special = dict(added)
+    ranks = {word: i for word, i in ranks.items() if i not in special.values()}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
@@ -114,11 +126,12 @@ class _Packer:
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
 
-def pack_documents(docs: DataFrame, *, vocabulary: str, pattern: str, size: int = 2048, end_id: int = 1, dims: int = 4, bits: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, *, vocabulary: str, pattern: str, added: dict[str, int] | None = None, size: int = 2048, end_id: int = 1, dims: int = 4, bits: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of a document: doc_id, start (ids of the document before it), length, doc_tokens (with the end
     id), sequence_id, offset in that sequence, and ids as packed little-endian unsigned 32-bit numbers.
 
     vocabulary and pattern: the tokenizer's rank file, at the same path on every machine, and its splitting pattern.
+    added: tokens that are matched in texts as a whole, with their ids; without them such strings are plain text.
     Null and empty texts are the end id alone. Rows that repeat an id are documents of their own. size is a power of two.
     """
     own = doc_columns(docs, id_col, text_col)
@@ -130,11 +143,11 @@ def pack_documents(docs: DataFrame, *, vocabulary: str, pattern: str, size: int
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(keys) if keys else [], pa.int64())], names=["doc_id", "text", "curve"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = tokenizer(vocabulary, pattern)
+        encoding = tokenizer(vocabulary, pattern, tuple((added or {}).items()))
         packer = _Packer(size, TaskContext.get().partitionId() << 36)
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encoding.encode_to_numpy(text.as_py(), disallowed_special=())
+                ids = encoding.encode_to_numpy(text.as_py(), allowed_special="all", disallowed_special=())
                 packer.add(doc, np.append(ids, np.uint32(end_id)))
                 if len(packer.out) >= 2000:
                     yield packer.batch()

@@ -79,6 +79,25 @@ def test_rank_file_gives_the_ids_of_the_tokenizers_file(text):
     assert own.encode_to_numpy(text, disallowed_special=()).tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext|", " ", "\n", "a b", "é 漢字", "'s 12", "<|"]), max_size=8).map("".join))
+def test_added_tokens_are_matched_in_texts(text):
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    own = packing.tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tuple(added.items()))
+    assert own.encode_to_numpy(text, allowed_special="all", disallowed_special=()).tolist() == reference.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_query_gives_added_tokens(spark, tmp_path):
+    text = "a <|endoftext|> b"
+    spark.createDataFrame([(1, text), (2, "plain")], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids + [1]
+    rows = queries.op1_curve_packing(spark, str(tmp_path)).filter("doc_id = 1").collect()
+    assert {r.doc_tokens for r in rows} == {len(ids)} == {sum(r.length for r in rows)}
+    if len(rows) == 1:
+        assert rows[0].ids_crc32 == zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+
+
 def test_quality_learns_from_labels(spark):
     rows = queries.op5_quality(spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
