@@ -2,8 +2,9 @@
 
 Numbers, units and names become typed placeholders, so a question whose parameters were changed has the same
 canonical windows as before. Every window of five canonical words of a document is hash-joined with the windows of
-the benchmark. For documents that share enough windows with an item, the placeholders are aligned: each slot value of
-the item has to stand for one value in the document.
+the benchmark. For documents that share enough windows with an item, the windows' places are aligned in several ways:
+by each offset, by each offset with the nearest places around it, and by first places. In one alignment with enough
+windows each slot value of the item has to stand for one value in the document.
 """
 
 from __future__ import annotations
@@ -85,10 +86,10 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = 0.5) -> DataFrame:
-    """(doc_id, item_id, n_windows, item_windows, n_slots): documents with at least `coverage` of an item's distinct windows, whose slots agree.
+    """(doc_id, item_id, n_windows, item_windows, n_slots): documents with an alignment of at least `coverage` of an item's distinct windows, whose slots agree.
 
     n_slots counts distinct (kind, item value) pairs of aligned placeholders; they agree if each has one value in the
-    document. Items of fewer than WINDOW words are no evidence and match nothing, as do null and empty texts. Rows that
+    document. n_windows and n_slots are the largest of the alignments that agree. Items of fewer than WINDOW words are no evidence and match nothing, as do null and empty texts. Rows that
     repeat an id are judged each, and one leak is enough.
     """
     tmp = Scratch(docs.sparkSession, "leaks")
@@ -99,24 +100,58 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     shared = probes.join(_small(wanted), "hash").groupBy("doc_id", "item_id", "hash").agg(F.max("n").alias("n"))
     near = shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("k"), F.max("n").alias("n")).filter(F.col("k") >= F.col("n") * coverage)
     near = tmp.write(near.select("doc_id", "item_id"), "near")
-    pairs = _detailed(own.join(_small(near.select("doc_id").distinct()), "doc_id"), "doc_id", "d").join(near, "doc_id").join(_detailed(items.join(_small(near.select("item_id").distinct()), "item_id"), "item_id", "i"), "item_id")
-
-    def slot(p: Column, q: Column, j: int) -> Column:
-        kind = F.get(F.col("i_c"), p + j)
-        left, right = bare(F.get(F.col("i_w"), p + j)), bare(F.get(F.col("d_w"), q + j))
-        return F.when(kind.startswith("<"), F.struct(kind.alias("kind"), left.alias("item"), right.alias("doc")))
-
-    def aligned(p: Column) -> Column:
-        q = (F.array_position(F.col("d_win"), F.get(F.col("i_win"), p)) - 1).cast("int")
-        return F.when(q >= 0, F.array(*(slot(p, q, j) for j in range(WINDOW)))).otherwise(F.array())
-
-    slots = F.array_distinct(F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.size("i_win") - 1), aligned)), lambda x: x.isNotNull()))
-    judged = pairs.select("doc_id", "item_id", F.size(F.array_intersect("i_win", "d_win")).alias("k"), F.size(F.array_distinct("i_win")).alias("n"), once(slots).alias("slots"))
+    pairs = tmp.write(_pairs(own, items, near), "pairs")
+    exact = pairs.select(*TEXT, F.lit(0).alias("rule"), (F.col("q") - F.col("p")).alias("at"), *VALUES)
+    judged = exact.unionByName(_nearest(pairs)).unionByName(_first(pairs)).groupBy(*KEY).agg(F.size(F.collect_set("hash")).alias("k"), F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     left = F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["kind"], x["item"]))))
     judged = judged.select("doc_id", "item_id", "k", "n", left.alias("left"), F.size("slots").alias("all")).filter((F.col("k") >= F.col("n") * coverage) & (F.col("left") == F.col("all")))
     return judged.groupBy("doc_id", "item_id").agg(F.max("k").cast("long").alias("n_windows"), F.max("n").cast("long").alias("item_windows"), F.max("left").cast("long").alias("n_slots"))
 
 
+# Columns: one alignment of an item with a document's text, and what it holds.
+TEXT = ["doc_id", "row", "item_id"]
+KEY, VALUES = [*TEXT, "rule", "at"], ["hash", "n", "slots"]
+
+
+def _pairs(own: DataFrame, items: DataFrame, near: DataFrame) -> DataFrame:
+    """(doc_id, row, item_id, p, q, hash, n, slots): every place of an item's window, p, with every place of it in a near document, q. row: a hash of the text."""
+
+    def places(rows: DataFrame, key: str, *more: Column) -> DataFrame:
+        return rows.select(key, *more, "w", "c", F.posexplode("win").alias("at", "hash"))
+
+    def spelt(side: DataFrame, key: str) -> DataFrame:
+        return _detailed(side, key, "x").select(key, F.col("x_w").alias("w"), F.col("x_c").alias("c"), F.col("x_win").alias("win"))
+
+    part = lambda x: F.slice(x, F.col("at") + 1, WINDOW)
+    near_items = spelt(items.join(_small(near.select("item_id").distinct()), "item_id"), "item_id")
+    i = places(near_items, "item_id", F.size(F.array_distinct("win")).alias("n")).select("item_id", "n", "hash", F.col("at").alias("p"), part("c").alias("kinds"), plain_words(part("w")).alias("left"))
+    near_docs = spelt(own.join(_small(near.select("doc_id").distinct()), "doc_id"), "doc_id")
+    d = places(near_docs, "doc_id", F.xxhash64("w").alias("row")).select("doc_id", "row", "hash", F.col("at").alias("q"), part("w").alias("words"))
+    both = d.join(_small(i), "hash").join(_small(near), ["doc_id", "item_id"])
+    slots = F.zip_with("kinds", F.arrays_zip("left", plain_words(F.col("words")).alias("right")), lambda k, x: F.when(k.startswith("<"), F.struct(k.alias("kind"), x["left"].alias("item"), x["right"].alias("doc"))))
+    return both.select(*TEXT, "p", "q", "hash", "n", F.filter(slots, lambda x: x.isNotNull()).alias("slots"))
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """For each offset `at`: each window of the item at its place nearest to that offset, an item's length away at most, so
+    that words put in or left out don't break the alignment."""
+    far, offset = F.greatest(F.col("n"), F.lit(WINDOW)), F.col("q") - F.col("p")
+    block = F.floor(F.col("offset") / F.col("far"))
+    placed = pairs.withColumn("far", far).withColumn("offset", offset)
+    at = placed.select(*TEXT, F.col("offset").alias("at"), block.alias("block")).distinct()
+    close = placed.select(*TEXT, "p", "far", "offset", *VALUES, F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    gap = F.abs(F.col("offset") - F.col("at"))
+    joined = close.join(at, [*TEXT, "block"]).filter(gap <= F.col("far"))
+    best = joined.groupBy(*TEXT, "at", "p").agg(F.min_by(F.struct(*VALUES), F.struct(gap, "offset")).alias("v"))
+    return best.select(*TEXT, F.lit(1).alias("rule"), "at", "v.*")
+
+
+def _first(pairs: DataFrame) -> DataFrame:
+    """Each window of the item at its first place in the document: parts of an item in any order."""
+    best = pairs.groupBy(*TEXT, "p").agg(F.min_by(F.struct(*VALUES), "q").alias("v"))
+    return best.select(*TEXT, F.lit(2).alias("rule"), F.lit(0).alias("at"), "v.*")
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, with all their columns, whose documents have no leak."""
     found = Scratch(docs.sparkSession, "leaked").write(find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select("doc_id").distinct(), "ids")

@@ -179,3 +179,18 @@ def test_one_changed_word_does_not_hide_a_short_item(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     docs = spark.createDataFrame([(1, f"x y z {item.replace('would', 'might')} x"), (2, "which of these fifteen words are not the same text at all here")], SCHEMA)
     assert [r.doc_id for r in decontamination.find_leaks(docs, bench).collect()] == [1]
+
+
+GAVE = "She gave 3 red apples to Tom and she gave 5 red apples to Ann before lunch, so how many red apples did she give away?"
+SHOP = "A shop sells 12 boxes of pens at 4 dollars each and pays 7 dollars of rent, so how much of it is left for the owner at night?"
+
+
+def test_each_place_of_a_window_may_align(spark):
+    bench = spark.createDataFrame([(1, GAVE), (2, SHOP)], "item_id long, text string")
+    before = "Yesterday a shop sells 10 boxes of pens at 3 dollars each. Then: "
+    rows = [
+        (1, GAVE), (2, GAVE.replace("3", "8").replace("5", "9")), (3, before + SHOP), (4, f"{before}{SHOP} {before}"),
+        (5, before + SHOP.replace("pays", "then pays")), (6, before + SHOP.replace("boxes", "crates")), (7, before * 3), (8, "Out. " * 50 + SHOP + before),
+    ]
+    found = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(spark.createDataFrame(rows, SCHEMA), bench).collect()}
+    assert found == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (6, 2), (8, 2)}
