@@ -78,10 +78,22 @@ def has_ctrl_c(text: Column) -> Column:
     return text.rlike(CTRL_C)
 
 
-def leaked(docs: DataFrame, canaries: DataFrame, most: int = 10_000) -> DataFrame:
-    """(doc_id, n): documents that hold canary texts, and how many. A list of up to `most` canaries is searched as literals."""
-    texts = [r.canary for r in canaries.select("canary").limit(most + 1).collect()]
-    if len(texts) > most:
-        raise ValueError(f"more than {most} canaries; use the decontamination join")
-    n = reduce(lambda a, b: a + b, [F.when(F.contains("text", F.lit(t)), 1).otherwise(0) for t in texts], F.lit(0))
-    return docs.select("doc_id", n.cast("long").alias("n")).filter("n > 0")
+def leaked(docs: DataFrame, canaries: DataFrame, window: int = 5) -> DataFrame:
+    """(doc_id, n): documents that hold canary texts, and how many.
+
+    The words of a canary but the first and last stand in a document as they are, so hashes of `window` of them are joined
+    and `contains` confirms. Canaries of fewer words are held against every document.
+    """
+    listed = canaries.filter("canary is not null").groupBy("canary").agg(F.count("*").alias("times")).withColumn("w", F.split("canary", " "))
+    run = lambda w, i: F.xxhash64(F.slice(w, i, window))
+    long, short = listed.filter(F.size("w") >= window + 2), listed.filter(F.size("w") < window + 2)
+    keys = long.select(F.xxhash64("canary").alias("canary_id"), run(F.col("w"), F.lit(2)).alias("hash"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("row"), F.split("text", " ").alias("w"))
+    runs = F.when(F.size("w") >= window, F.transform(F.sequence(F.lit(1), F.size("w") - window + 1), lambda i: run(F.col("w"), i)))
+    near = rows.select("doc_id", "row", F.explode(F.array_distinct(runs)).alias("hash")).join(keys, "hash").select(F.col("doc_id").alias("id"), F.col("row").alias("text_id"), "canary_id").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("text_id"))
+    texts = rows.select("doc_id", "row", "text").distinct()
+    found = texts.join(near, same).join(long.select(F.xxhash64("canary").alias("canary_id"), "canary", "times"), "canary_id").filter(F.contains("text", "canary")).select("doc_id", "row", "times")
+    found = found.unionByName(texts.join(short, F.contains("text", "canary")).select("doc_id", "row", "times"))
+    counts = found.groupBy(F.col("doc_id").alias("id"), F.col("row").alias("text_id")).agg(F.sum("times").cast("long").alias("n"))
+    return rows.join(counts, same).select("doc_id", "n")

@@ -223,3 +223,8 @@ def f35_ctrl_c(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT d.doc_id, count(*) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text[:60]) WHERE b.item_id < 20 GROUP BY d.doc_id")
 def f36_canary_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").filter("item_id < 20").select(F.substring("text", 1, 60).alias("canary")))
+
+
+@query()
+def f36_canary_guard_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(F.col("text").alias("canary")))
