@@ -57,7 +57,7 @@ def r08_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def r05_capped_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "lineitem").filter("l_partkey < 40").select(F.col("l_partkey").alias("task"), F.col("l_partkey").alias("task_order"), (-F.col("l_quantity")).alias("rank"), (F.col("l_suppkey") % 12).alias("env"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("cand"))
+    c = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("task"), F.col("l_partkey").alias("task_order"), (-F.col("l_quantity")).alias("rank"), (F.col("l_suppkey") % 12).alias("env"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("cand"))
     best = c.groupBy("task", "task_order", "env", "cand").agg(F.min("rank").alias("rank"))
     quotas = best.select("task").distinct().withColumn("need", F.lit(6))
     return R.capped_selection(best, quotas, keep, 10)
@@ -97,14 +97,23 @@ def r16_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
   p(id, depth, trail) AS (SELECT id, 0, id::VARCHAR FROM r WHERE parent IS NULL UNION ALL SELECT r.id, p.depth + 1, p.trail || '>' || r.id FROM r JOIN p ON r.parent = p.id WHERE k <= 2)
 SELECT id, depth, trail FROM p WHERE id NOT IN (SELECT parent FROM r WHERE parent IS NOT NULL AND k <= 2)""")
 def r17_reply_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reply_paths(spark, table(spark, sf_dir, "events").filter("event_id < 600"), "replies__")
+
+
+@query()
+def r17_reply_tree_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reply_paths(spark, table(spark, sf_dir, "events"), "all_replies__")
+
+
+def _reply_paths(spark: SparkSession, events: DataFrame, view: str) -> DataFrame:
     from pyspark.sql import Window
 
     from tessella.operators.joins import lineage
 
-    e = table(spark, sf_dir, "events").filter("event_id < 600").select(F.col("event_id").alias("id"), F.when(F.col("event_id") > 0, F.floor(F.col("event_id") / 3)).alias("parent"), "value")
+    e = events.select(F.col("event_id").alias("id"), F.when(F.col("event_id") > 0, F.floor(F.col("event_id") / 3)).alias("parent"), "value")
     kept = e.withColumn("k", F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("value"), "id"))).filter("k <= 2 or parent is null")
-    kept.createOrReplaceTempView("replies__")
-    paths = lineage(spark.sql, "replies__", "id", "parent", "parent IS NULL").select("id", "depth", "trail")
+    kept.createOrReplaceTempView(view)
+    paths = lineage(spark.sql, view, "id", "parent", "parent IS NULL").select("id", "depth", "trail")
     return paths.join(kept.filter("parent is not null").select(F.col("parent").alias("id")).distinct(), "id", "left_anti")
 
 
