@@ -193,3 +193,12 @@ def complementary_pairs(changes: DataFrame, key: str, items: str) -> DataFrame:
         raise ValueError("more than 10000 candidates")
     a, b = changes.select(F.col(key).alias("x"), F.col(items).alias("p")), changes.select(F.col(key).alias("y"), F.col(items).alias("q"))
     return a.join(F.broadcast(b), F.col("x") < F.col("y")).filter((F.size(F.array_except("p", "q")) > 0) & (F.size(F.array_except("q", "p")) > 0)).select("x", "y")
+
+
+def complementary_by_items(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """Pairs (x, y) of candidates of which neither's items hold the other's, from rows (key, item): both share fewer than each has."""
+    own = rows.select(F.col(key).alias("x"), F.col(item).alias("item")).distinct()
+    sizes = own.groupBy("x").agg(F.count("*").alias("p"))
+    shared = own.join(own.withColumnRenamed("x", "y"), "item").filter("x < y").groupBy("x", "y").agg(F.count("*").alias("both"))
+    pairs = sizes.join(sizes.select(F.col("x").alias("y"), F.col("p").alias("q")), F.col("x") < F.col("y")).join(shared, ["x", "y"], "left")
+    return pairs.filter(F.coalesce("both", F.lit(0)) < F.least("p", "q")).select("x", "y")

@@ -185,6 +185,11 @@ def w29_complementary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.complementary_pairs(s, "run", "d")
 
 
+@query()
+def w29_complementary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.complementary_by_items(trials(spark, sf_dir).filter(passed()), "run", "task_id")
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1")
 def w30_structural_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h")).join(table(spark, sf_dir, "labels").filter("quality = 0"), "doc_id", "left_anti")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 from tessella import queries as Q
-from tessella.operators import chat
+from tessella.operators import chat, ranking
+from tessella.queries.aggregates import trials
 
 Q.load()
 
@@ -59,3 +60,16 @@ def test_reply_tree_over_the_whole_table(spark, sf):
             want.add((i, depth, trail))
     got = {tuple(r) for r in Q.QUERIES["r17_reply_tree_whole"](spark, sf).select("id", "depth", "trail").collect()}
     assert max(i for i, _, _ in got) >= 600 and got == want
+
+
+def test_complementary_runs_of_all_tasks(spark, sf):
+    solved = defaultdict(set)
+    for r in trials(spark, sf).filter("reward > 0").select("run", "task_id").collect():
+        solved[r.run].add(r.task_id)
+    want = {(x, y) for x, p in solved.items() for y, q in solved.items() if x < y and p - q and q - p}
+    assert {tuple(r) for r in Q.QUERIES["w29_complementary_whole"](spark, sf).collect()} == want
+
+
+def test_complementary_by_items(spark):
+    rows = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 3), (2, 3), (3, 2), (4, 9), (5, 1), (5, 2)], "run int, task int")
+    assert {tuple(r) for r in ranking.complementary_by_items(rows, "run", "task").collect()} == {(1, 2), (1, 4), (2, 4), (2, 5), (3, 4), (4, 5)}
