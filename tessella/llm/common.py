@@ -14,6 +14,8 @@ from tessella.plans.tables import shared_folder
 
 #: Bytes of text that one numpy step works on; bounds the memory of a Python worker.
 SLICE_BYTES = 1 << 20
+#: Bits of a filter of ids that is broadcast.
+FILTER_BITS = 23
 
 
 class Scratch:
@@ -55,6 +57,16 @@ def bucket_count(spark: SparkSession, least: int = 1024) -> int:
     return max(least, 1 << (wanted - 1).bit_length())
 
 
+def maybe(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is in the first column of ids, and by chance a few others: a one-hash bit set as a small broadcast
+    table of at most 2**FILTER_BITS / 64 rows. Beyond its capacity it only lets more rows through to the exact join."""
+    word, bits = fresh("word__", docs.columns), fresh("bits__", docs.columns)
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    own, other = at(F.col(id_col).cast("long")), at(F.col(ids.columns[0]).cast("long"))
+    table = ids.groupBy(F.floor(other / 64).alias(word)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (other % 64).cast("int"))).alias(bits))
+    return docs.join(F.broadcast(table), F.floor(own / 64) == F.col(word)).filter(F.getbit(bits, (own % 64).cast("int")) == 1).drop(word, bits)
+
+
 def grouped_ranges(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """A stable order by key and the n + 1 cuts between the keys 0 to n - 1 in it."""
     order = np.argsort(keys, kind="stable")
@@ -82,6 +94,8 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
 
 _R, _Q1, _Q2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Powers that a worker keeps; those of longer inputs are made anew.
+KEPT_POWERS = 1 << 21
 
 
 def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +107,9 @@ def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(size, base), np.full(size, inverse)
         up[0] = down[0] = 1
         with np.errstate(over="ignore"):
-            have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        _POWERS[int(base)] = have
+            have = np.multiply.accumulate(up, out=up), np.multiply.accumulate(down, out=down)
+        if size <= KEPT_POWERS:
+            _POWERS[int(base)] = have
     return have[0][:n], have[1][:n]
 
 
@@ -107,21 +122,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about SLICE_BYTES that end behind a blank; the data's last byte is one."""
+    start = 0
+    while start < len(data):
+        end = min(start + SLICE_BYTES, len(data))
+        while end < len(data) and not _BLANK[data[end - 1]]:
+            more = np.flatnonzero(_BLANK[data[end : end + SLICE_BYTES]])
+            end = end + int(more[0]) + 1 if len(more) else min(end + SLICE_BYTES, len(data))
+        yield start, end
+        start = end
+
+
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[32, 9, 10, 11, 12, 13]] = True
+
+
 def word_table(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words `[^\\x20\\x09-\\x0D]+` of all texts: (hash, document index, start and end in the texts joined by one space)."""
+    """Words `[^\\x20\\x09-\\x0D]+` of all texts: (hash, document index, start and end in the texts joined by one space).
+
+    A long text is worked on in pieces between words, so that the memory beyond the result is that of a piece.
+    """
     data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    gap = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-    if not gap[0]:
-        edge = np.concatenate([[0], edge])
-    starts, ends = edge[0::2], edge[1::2]
+    found = []
+    for a, b in _pieces(data):
+        part = data[a:b]
+        gap = _BLANK[part]
+        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        if not gap[0]:
+            edge = np.concatenate([[0], edge])
+        starts, ends = edge[0::2], edge[1::2]
+        up, down = _powers(_R, len(part))
+        total = np.empty(len(part) + 1, dtype=np.uint64)
+        total[0] = 0
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
+        found.append((mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _Q2), starts + a, ends + a))
+    hashes, starts, ends = found[0] if len(found) == 1 else (np.concatenate(x) for x in zip(*found, strict=True))
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     doc = np.searchsorted(np.cumsum(lengths + 1), starts, side="right")
-    up, down = _powers(_R, len(data))
-    total = np.empty(len(data) + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _Q2)
     return hashes, doc, starts, ends
 
 

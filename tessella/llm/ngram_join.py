@@ -2,11 +2,16 @@
 
 1. One scan hashes each text's shingles. Equal sets are one set from here on (its smallest document id). The smallest
    hashes of each set meet in buckets; a set that shares too few of them with others can have no partner and goes.
-2. The sets left are ordered rarest shingle first, with frequencies from a sketch of fixed size (any fixed order is
-   right). Sets that share a shingle of their prefixes are in one family: by the prefix principle, linked sets are.
-3. A family is cut into chunks; each pair of chunks is one task. It stores one chunk in a trie of globally ordered
-   shingles and runs the other through it: partial overlaps are shared by all sets below a node, and a probe leaves
-   a subtree when its remaining shingles can't reach the needed overlap. Links inside one component aren't repeated.
+2. The sets left are ordered rarest shingle first, with frequencies from a sketch (any fixed order is right). All sets
+   that have a shingle in their prefixes are one star around the smallest of them: by the prefix principle linked sets
+   share a star.
+3. Each star is one task, which stores its sets in a trie of globally ordered shingles and runs the same sets through
+   it: partial overlaps are shared by all sets below a node, and a probe leaves a subtree when its remaining shingles,
+   or those of the longest set below, can't reach the needed overlap. Links inside one component aren't repeated.
+4. A large star is dealt into chunks of sets of like size, each with a copy of its centre. What the chunks find are
+   components; only sets outside a star's largest component are then probed into the star's other chunks of like size.
+   A family of near copies is one component after its chunks, however large, so its cost grows with its size alone.
+   (Sets of a large star that aren't similar meet chunk by chunk: that cost grows with the square of their number.)
 """
 
 from __future__ import annotations
@@ -15,19 +20,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, bucket_count, doc_columns, fresh, grouped_ranges, mix, slices, window_hashes, word_table
+from tessella.llm.common import Scratch, bucket_count, doc_columns, fresh, grouped_ranges, maybe, mix, slices, window_hashes, word_table
 
 SHINGLE = 5
 CHUNK = 1 << 20
-SKETCH_BITS = 22
+#: Most bits of a sketch's index; it is broadcast with a byte for each cell.
+SKETCH_BITS = 23
 SECTIONS = 64
-#: Shingles of one chunk of a family.
-FAMILY_CHUNK = 1 << 18
-#: Bits of the filter of wanted documents that is broadcast: 2**FILTER_BITS / 64 rows at most, whatever the input.
-FILTER_BITS = 23
+#: Shingles of one chunk of a star, with SET_COST more for each set.
+STAR_CHUNK = 1 << 15
+SET_COST = 32
+#: Ratio of set sizes in a band; linked sets are at most one band apart, as it is above 1 / 0.8.
+BAND = 1.26
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -188,14 +196,19 @@ def _token_slices(batch: pa.RecordBatch, limit: int = CHUNK) -> Iterator[tuple[p
         yield part, np.frombuffer(b"".join(part.column("tokens").to_pylist()), np.uint64), np.asarray(part.column("n"))
 
 
-def _sketch(sets: DataFrame) -> np.ndarray:
-    """Frequencies of shingles by the first SKETCH_BITS bits of their hashes, as bytes: exact below 128, logarithms above."""
-    per = (1 << SKETCH_BITS) // SECTIONS
+def sketch_bits(shingles: int) -> int:
+    """Index bits of a sketch for so many shingles: some cells for each, as far as a broadcast allows."""
+    return min(SKETCH_BITS, max(12, (2 * shingles).bit_length()))
+
+
+def _sketch(sets: DataFrame, bits: int) -> bytes:
+    """Frequencies of shingles by the first bits of their hashes, as bytes: exact below 128, logarithms above."""
+    per = (1 << bits) // SECTIONS
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, tokens, _ in _token_slices(batch):
-                at, counts = np.unique((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32), return_counts=True)
+                at, counts = np.unique((tokens >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
                 cuts = np.searchsorted(at, np.arange(SECTIONS + 1) * per)
                 yield pa.RecordBatch.from_arrays([pa.array(range(SECTIONS), pa.int32()), *(pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in range(SECTIONS)], pa.binary()) for x in (at, counts.astype(np.uint32)))], names=["section", "at", "counts"])
 
@@ -207,23 +220,22 @@ def _sketch(sets: DataFrame) -> np.ndarray:
         small = np.where(total < 128, total, np.minimum(255, 128 + 4 * np.log2(np.maximum(total, 128) / 128)))
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([small.astype(np.uint8).tobytes()], pa.binary())], names=["section", "bytes"])
 
-    out = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+    out = np.zeros(1 << bits, dtype=np.uint8)
     for row in sets.mapInArrow(send, "section int, at binary, counts binary").groupBy("section").applyInArrow(add, "section int, bytes binary").collect():  # SECTIONS rows of fixed size
         out[row.section * per : (row.section + 1) * per] = np.frombuffer(row.bytes, np.uint8)
-    return out
+    return out.tobytes()
 
 
-def _family_edges(sets: DataFrame, sketch: np.ndarray, buckets: int) -> DataFrame:
-    """(a, b): each set of a prefix shingle with the smallest set that has it too."""
-    shared = sets.sparkSession.sparkContext.broadcast(sketch.tobytes())
+def _stars(sets: DataFrame, sketch: Broadcast, bits: int, buckets: int) -> DataFrame:
+    """(sid, hub): for each prefix shingle that several sets have, those sets and the smallest of them, which is in the rows too."""
     shift = np.uint64(64 - (buckets - 1).bit_length())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = np.frombuffer(shared.value, np.uint8)
+        rare = np.frombuffer(sketch.value, np.uint8)
         for batch in batches:
             for part, tokens, size in _token_slices(batch):
                 owner = np.repeat(np.arange(len(size)), size)
-                order = np.lexsort((tokens, rare[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], owner))
+                order = np.lexsort((tokens, rare[(tokens >> np.uint64(64 - bits)).astype(np.int64)], owner))
                 at = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
                 keep = at <= _misses(size)[owner]
                 tokens, sids = tokens[order][keep], np.asarray(part.column("sid"))[owner[keep]]
@@ -242,20 +254,11 @@ def _family_edges(sets: DataFrame, sketch: np.ndarray, buckets: int) -> DataFram
         new = np.ones(len(token), dtype=bool)
         new[1:] = token[1:] != token[:-1]
         hub = sid[np.flatnonzero(new)][np.cumsum(new) - 1]
-        pairs = np.unique(np.stack([sid, hub], axis=1)[sid != hub], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return sets.mapInArrow(send, "bucket int, tokens binary, sids binary").groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
-
+        pairs = np.stack([sid, hub], axis=1)[sid != hub]
+        pairs = np.unique(np.concatenate([pairs, np.stack([pairs[:, 1]] * 2, axis=1)]), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["sid", "hub"])
 
-def _maybe(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of docs whose id is in ids, and by chance a few others: a one-hash bit set as a small broadcast table. Beyond its
-    capacity it only lets more rows through to the exact join."""
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
-    word = F.floor(at("sid") / 64)
-    bits = ids.groupBy(word.alias("word__")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at("sid") % 64).cast("int"))).alias("bits__"))
-    hit = F.getbit("bits__", (at(id_col) % 64).cast("int")) == 1
-    return docs.join(F.broadcast(bits), F.floor(at(id_col) / 64) == F.col("word__")).filter(hit).drop("word__", "bits__")
+    return sets.mapInArrow(send, "bucket int, tokens binary, sids binary").groupBy("bucket").applyInArrow(meet, "sid long, hub long").distinct()
 
 
 def connected(edges: DataFrame, tmp: Scratch, name: str) -> DataFrame:
@@ -286,10 +289,10 @@ def connected(edges: DataFrame, tmp: Scratch, name: str) -> DataFrame:
 
 
 class _Forest:
-    """Components of the sets of one task."""
+    """Components of the sets of one task; sets that begin with one label are one component."""
 
-    def __init__(self, n: int):
-        self.of = np.arange(n)
+    def __init__(self, labels: np.ndarray):
+        self.of = np.unique(labels, return_inverse=True)[1]
 
     def join(self, one: int, others: np.ndarray) -> list[int]:
         """Joins `one` with others; gives an index for each component that it wasn't in."""
@@ -300,78 +303,148 @@ class _Forest:
         return others[at[new]].tolist()
 
 
-def trie_join(stored: list[int], probes: list[int], tokens: list[np.ndarray], size: np.ndarray, forest: _Forest) -> Iterator[tuple[int, int]]:
+class _Probes:
+    """The probing sets of one task by their shingles."""
+
+    def __init__(self, lists: list[np.ndarray], width: int):
+        flat, self.width = np.concatenate([*lists, np.empty(0, dtype=np.int64)]), width
+        owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        self.keys, self.end = owner * width + flat, np.cumsum([len(x) for x in lists])
+        order = np.argsort(flat, kind="stable")
+        self.owner, self.begin, self.n = owner[order], np.searchsorted(flat[order], np.arange(width + 1)), len(lists)
+
+    def overlaps(self, shingles: np.ndarray) -> np.ndarray:
+        """How many of the shingles each probe has."""
+        first, count = self.begin[shingles], self.begin[shingles + 1] - self.begin[shingles]
+        at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return np.bincount(self.owner[at], minlength=self.n)
+
+    def left(self, probes: np.ndarray, shingle: int) -> np.ndarray:
+        """How many shingles after this one each of the probes has."""
+        return self.end[probes] - np.searchsorted(self.keys, probes * self.width + shingle, side="right")
+
+
+def _branches(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists in lexicographic order: the length that each has in common with the next, and the last list that has as much in common."""
+    common = np.zeros(len(lists), dtype=np.int64)
+    for place in range(len(lists) - 1):
+        m = min(len(lists[place]), len(lists[place + 1]))
+        differ = np.flatnonzero(lists[place][:m] != lists[place + 1][:m])
+        common[place] = differ[0] if len(differ) else m
+    last, open_ = np.full(len(lists), len(lists) - 1), []
+    for place in range(len(lists)):
+        while open_ and common[open_[-1]] > common[place]:
+            last[open_.pop()] = place
+        open_.append(place)
+    return common, last
+
+
+def trie_join(stored: np.ndarray, probes: np.ndarray, tokens: list[np.ndarray], size: np.ndarray, forest: _Forest) -> Iterator[tuple[int, int]]:
     """Links between stored and probing sets that join two components. tokens: ids of shared shingles, ascending in the global order.
 
     The stored sets in lexicographic order are a trie walked depth first: the stack holds, for the nodes above, the
-    partial overlaps of the probes that can still reach 0.8 of their size below it.
+    partial overlaps of the probes that can still be linked with a set below. Memory follows the number of shingles.
     """
-    width = 1 + max((int(t[-1]) for t in (tokens[i] for i in [*stored, *probes]) if len(t)), default=0)
-    stored = sorted(stored, key=lambda i: tokens[i].tolist())
-    batch = max(16, (1 << 24) // width)
-    for start in range(0, len(probes), batch):
-        group = np.array(probes[start : start + batch])
-        has = np.zeros((width, len(group)), dtype=np.uint8)
-        for c, i in enumerate(group):
-            has[tokens[i], c] = 1
-        left = np.zeros((width + 1, len(group)), dtype=np.int32)  # shingles of the probe from this one on
-        left[:-1] = np.cumsum(has[::-1], axis=0, dtype=np.int32)[::-1]
-        need = (4 * size[group] + 4) // 5
-        able = np.flatnonzero(left[0] >= need)
-        stack = [(0, np.zeros(len(able), dtype=np.int32), able)]
-        for place, i in enumerate(stored):
-            own, after = tokens[i], tokens[stored[place + 1]] if place + 1 < len(stored) else np.empty(0, dtype=np.int64)
-            m = min(len(own), len(after))
-            differ = np.flatnonzero(own[:m] != after[:m])
-            common = int(differ[0]) if len(differ) else m
-            depth, overlap, alive = stack[-1]
-            if common > depth:
-                if len(alive):
-                    overlap = overlap + has[np.ix_(own[depth:common], alive)].sum(axis=0, dtype=np.int32)
-                    still = overlap + left[own[common - 1] + 1, alive] >= need[alive]
-                    overlap, alive = overlap[still], alive[still]
-                depth = common
-                stack.append((depth, overlap, alive))
+    if not len(stored) or not len(probes):
+        return
+    stored = np.array(sorted(stored, key=lambda i: tokens[i].astype(">u4").tobytes()))
+    lists, width = [tokens[i] for i in stored], 1 + max((int(t[-1]) for t in tokens if len(t)), default=0)
+    table, (common, last) = _Probes([tokens[i] for i in probes], width), _branches(lists)
+    length, own_size, probe_size = np.array([len(x) for x in lists]), size[stored], size[probes]
+
+    def able(alive: np.ndarray, overlap: np.ndarray, depth: int, at: int, first: int, final: int) -> tuple[np.ndarray, np.ndarray]:
+        """The probes that may be linked with one of the stored sets first to final, all alike in the first `depth` shingles."""
+        below = forest.of[stored[first : final + 1]]
+        reach = overlap + np.minimum(table.left(alive, at), length[first : final + 1].max() - depth)
+        good = 180 * reach >= 80 * (probe_size[alive] + own_size[first : final + 1].min())
+        if (below == below[0]).all():
+            good &= forest.of[probes[alive]] != below[0]
+        return alive[good], overlap[good]
+
+    every = np.arange(len(probes))
+    stack = [(0, *able(every, np.zeros(len(every), dtype=np.int64), 0, -1, 0, len(stored) - 1))]
+    for place, i in enumerate(stored):
+        own, (depth, alive, overlap) = lists[place], stack[-1]
+        if common[place] > depth:
             if len(alive):
-                whole = overlap + has[np.ix_(own[depth:], alive)].sum(axis=0, dtype=np.int32) if len(own) > depth else overlap
-                good = group[alive[(180 * whole.astype(np.int64) >= 80 * (size[group[alive]] + size[i])) & (group[alive] != i)]]
-                if len(good):
-                    for j in forest.join(i, good):
-                        yield i, j
-            while stack[-1][0] > common:
-                stack.pop()
-            # the next branch leaves at `common`, which is on the stack or above its top
-
-
-def _links(families: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(a, b) inside groups (family, i, j) of packed chunks."""
-    shared = families.sparkSession.sparkContext.broadcast(sketch.tobytes())
+                overlap = overlap + table.overlaps(own[depth : common[place]])[alive]
+                alive, overlap = able(alive, overlap, int(common[place]), int(own[common[place] - 1]), place, int(last[place]))
+            depth = int(common[place])
+            stack.append((depth, alive, overlap))
+        other = forest.of[probes[alive]] != forest.of[i]
+        if other.any():
+            alive, overlap = alive[other], overlap[other]
+            whole = overlap + table.overlaps(own[depth:])[alive]
+            good = alive[180 * whole >= 80 * (probe_size[alive] + size[i])]
+            for j in forest.join(i, probes[good]):
+                yield i, j
+        while stack[-1][0] > common[place]:
+            stack.pop()
+        # the next branch leaves at common[place], which is on the stack or above its top
+
+
+def _links(chunks: DataFrame, keys: list[str], sketch: Broadcast, bits: int) -> DataFrame:
+    """(a, b) inside groups of rows (sid, n, tokens, label, stored, probe)."""
 
     def work(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = np.frombuffer(shared.value, np.uint8)
-        sids, chunk, tokens, size = [], [], [], []
+        rare = np.frombuffer(sketch.value, np.uint8)
+        columns, tokens = {c: [] for c in ("sid", "n", "label", "stored", "probe")}, []
         for batch in batches:
-            sids.append(np.asarray(batch.column("sid")))
-            chunk.append(np.asarray(batch.column("chunk")))
-            size.append(np.asarray(batch.column("n")))
+            for c, parts in columns.items():
+                parts.append(batch.column(c).to_numpy(zero_copy_only=False))
             tokens += [np.frombuffer(x, np.uint64) for x in batch.column("tokens").to_pylist()]
-        sid, part, n = np.concatenate(sids), np.concatenate(chunk), np.concatenate(size)
-        every = np.concatenate(tokens)
-        found, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
+        sid, n, label, stored, probe = (np.concatenate(x) for x in columns.values())
+        found, inverse, counts = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
         # the global order, frequent shingles first, so that near copies share long paths; shingles of one set alone can't overlap
         place = np.empty(len(found), dtype=np.int64)
-        order = np.lexsort((found, -rare[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)))
+        order = np.lexsort((found, -rare[(found >> np.uint64(64 - bits)).astype(np.int64)].astype(np.int64)))
         useful = counts[order] > 1
         place[order] = np.where(useful, np.cumsum(useful) - 1, -1)
-        ids, cut = place[inverse], np.cumsum(n)[:-1]
-        lists = [np.sort(x[x >= 0]) for x in np.split(ids, cut)]
-        i, j = (k.as_py() for k in key[1:])
-        one = np.flatnonzero(part == i).tolist()
-        other = one if i == j else np.flatnonzero(part == j).tolist()
-        pairs = np.array(list(trie_join(one, other, lists, n, _Forest(len(sid)))), dtype=np.int64).reshape(-1, 2)
+        lists = [np.sort(x[x >= 0]) for x in np.split(place[inverse], np.cumsum(n)[:-1])]
+        pairs = np.array(list(trie_join(np.flatnonzero(stored), np.flatnonzero(probe), lists, n, _Forest(label))), dtype=np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(sid[pairs[:, 0]]), pa.array(sid[pairs[:, 1]])], names=["a", "b"])
 
-    return families.groupBy("family", "i", "j").applyInArrow(work, "a long, b long")
+    return chunks.groupBy(*keys).applyInArrow(work, "a long, b long")
+
+
+def _dealt(stars: DataFrame, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Members (hub, sid, n, band, c) of chunks, with band -1 for stars of one chunk; and the chunks (hub, band, k) of larger stars."""
+    weight = F.sum(F.col("n") + SET_COST)
+    banded = stars.withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int"))
+    bands = tmp.write(banded.groupBy("hub", "band").agg(weight.alias("weight")), "bands")
+    large = bands.groupBy("hub").agg(F.sum("weight").alias("all")).filter(F.col("all") > STAR_CHUNK).select("hub")
+    chunks = tmp.write(bands.join(large, "hub").select("hub", "band", F.ceil(F.col("weight") / STAR_CHUNK).cast("int").alias("k")), "chunks")
+    found = banded.join(chunks, ["hub", "band"], "left")
+    c = F.coalesce(F.pmod(F.xxhash64("sid"), F.col("k")).cast("int"), F.lit(0))
+    return found.select("hub", "sid", "n", F.when(F.col("k").isNull(), -1).otherwise(F.col("band")).alias("band"), c.alias("c")), chunks
+
+
+def _star_links(sets: DataFrame, sketch: Broadcast, bits: int, buckets: int, tmp: Scratch) -> DataFrame:
+    """(a, b): links that make up the components of the sets."""
+    sizes = sets.select("sid", "n").dropDuplicates(["sid"])
+    stars = tmp.write(_stars(sets, sketch, bits, buckets).join(sizes, "sid"), "stars")
+    members, chunks = _dealt(stars, tmp)
+    members = tmp.write(members, "dealt")
+    # a large star's centre is in each of its chunks of like size
+    centre = members.filter("sid = hub and band >= 0").select("hub", "sid", "n", F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"))
+    centres = centre.join(chunks, ["hub", "band"]).select("hub", "sid", "n", "band", F.explode(F.expr("sequence(0, k - 1)")).alias("c"))
+    every = F.lit(True)
+    placed = members.union(centres.select(*members.columns)).select("hub", "band", "c", "sid", F.col("sid").alias("label"), every.alias("stored"), every.alias("probe"))
+    links = tmp.write(_links(placed.join(sets, "sid"), ["hub", "band", "c"], sketch, bits), "links")
+    if not chunks.limit(1).count():
+        return links
+    # larger stars: sets outside the largest component are held against the other chunks
+    near = connected(links, tmp, "near").withColumnRenamed("v", "sid")
+    owned = tmp.write(members.filter("band >= 0").join(near, "sid", "left").withColumn("label", F.coalesce("label", "sid")), "owned")
+    most = owned.groupBy("hub", "label").agg(F.count("*").alias("m")).groupBy("hub").agg(F.max_by("label", F.struct("m", "label")).alias("most"))
+    odd = owned.join(most, "hub").filter("label <> most").select("hub", "sid", "n", "label", F.col("band").alias("home"), F.col("c").alias("at"), F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"))
+    aimed = tmp.write(odd.join(chunks, ["hub", "band"]), "aimed")
+    parts = aimed.groupBy("hub", "band").agg(F.ceil(F.sum(F.col("n") + SET_COST) / STAR_CHUNK).cast("int").alias("parts"))
+    probes = aimed.join(parts, ["hub", "band"]).select("hub", "band", F.explode(F.expr("sequence(0, k - 1)")).alias("c"), F.pmod(F.xxhash64("sid", F.lit(1)), F.col("parts")).cast("int").alias("part"), "sid", "label", "home", "at")
+    probes = probes.filter("home <> band or at <> c").select("hub", "band", "c", "part", "sid", "label", F.lit(False).alias("stored"), F.lit(True).alias("probe"))
+    held = owned.join(parts, ["hub", "band"]).select("hub", "band", "c", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "sid", "label", F.lit(True).alias("stored"), F.lit(False).alias("probe"))
+    far = tmp.write(_links(held.union(probes).join(sets, "sid"), ["hub", "band", "c", "part"], sketch, bits), "far-links")
+    return links.union(far)
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -390,16 +463,10 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     shared = found.filter("shared >= 0").groupBy("s1").agg(F.sum("shared").alias("shared"), F.max("n").alias("n")).filter(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("n") * 2 / 25)))
     reps = tmp.write(digest.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("sid")), "reps")
     wanted = tmp.write(reps.join(shared.select("s1"), "s1").select("sid", "n", "s1"), "wanted")
-    some = _maybe(own, wanted, "doc_id").join(wanted.hint("merge"), F.col("doc_id") == F.col("sid")).select("sid", "n", "s1", "text")
+    some = maybe(own, wanted, "doc_id").join(wanted.hint("merge"), F.col("doc_id") == F.col("sid")).select("sid", "n", "s1", "text")
     sets = tmp.write(_sets(some), "sets")
-    sketch = _sketch(sets)
-    family = connected(_family_edges(sets, sketch, buckets), tmp, "family").select(F.col("v").alias("sid"), F.col("label").alias("family"))
-    small = tmp.write(sets.select("sid", "n").dropDuplicates(["sid"]).join(family, "sid"), "members")
-    sizes = small.groupBy("family").agg(F.ceil(F.sum("n") / FAMILY_CHUNK).cast("int").alias("k"))
-    member = small.join(sizes, "family").select("sid", "family", "k", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int").alias("chunk"))
-    spread = sets.join(member.hint("merge"), "sid").select("sid", "n", "tokens", "family", "chunk", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("with"))
-    spread = spread.select("sid", "n", "tokens", "family", "chunk", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"))
-    links = tmp.write(_links(spread, sketch), "links")
+    bits = sketch_bits(wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    links = _star_links(sets, spark.sparkContext.broadcast(_sketch(sets, bits)), bits, buckets, tmp)
     component = connected(links, tmp, "component")
     label = reps.join(component.select(F.col("v").alias("sid"), "label"), "sid", "left").select("n", "s1", "s2", F.coalesce("label", "sid").alias("component_id"))
     return digest.join(label, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -6,9 +6,10 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
-from tessella.llm import decontamination, line_dedup, ngram_join, substring_dedup
+from tessella.llm import common, decontamination, line_dedup, ngram_join, substring_dedup
 from tessella.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string"
@@ -138,10 +139,50 @@ def test_ngram_join(spark, rows):
 
 
 def test_families_in_many_chunks(spark, rows, monkeypatch):
-    monkeypatch.setattr(ngram_join, "FAMILY_CHUNK", 100)
+    monkeypatch.setattr(ngram_join, "STAR_CHUNK", 300)
     assert sorted(tuple(r) for r in ngram_join.near_groups(frame(spark, rows)).collect()) == brute_groups(rows)
 
 
+def test_chains_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "STAR_CHUNK", 200)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[i : i + 44])) for i in range(0, 120)] + [(500 + i, " ".join(words[200 + 9 * i : 200 + 9 * i + 44 + 2 * (i % 7)])) for i in range(15)]
+    assert sorted(tuple(r) for r in ngram_join.near_groups(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()) == brute_groups(rows)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_trie_join_finds_the_components(seed):
+    r = np.random.default_rng(seed)
+    base = [np.sort(r.choice(60, r.integers(1, 40), replace=False)) for _ in range(4)]
+    sets = [np.unique(np.where(r.random(len(b)) < 0.07, r.integers(0, 60, len(b)), b)) for b in (base[r.integers(4)] for _ in range(40))]
+    size = np.array([len(x) for x in sets])
+    linked = lambda i, j: 180 * len(np.intersect1d(sets[i], sets[j])) >= 80 * (size[i] + size[j])
+    want = ngram_join._Forest(np.arange(40))
+    for i in range(40):
+        for j in range(i):
+            if linked(i, j):
+                want.join(i, np.array([j]))
+    stored, probes = (np.arange(40), np.arange(40)) if seed % 2 else (np.arange(0, 40, 2), np.arange(1, 40, 2))
+    got = list(ngram_join.trie_join(stored, probes, sets, size, ngram_join._Forest(np.arange(40))))
+    assert all(linked(i, j) for i, j in got)
+    if seed % 2:
+        assert len(got) == 40 - len(set(want.of))
+    else:
+        across = {(i, j) for i in stored for j in probes if linked(i, j)}
+        joined = ngram_join._Forest(np.arange(40))
+        for i, j in got:
+            joined.join(i, np.array([j]))
+        assert all(joined.of[i] == joined.of[j] for i, j in across)
+
+
+def test_long_texts_hash_alike_in_pieces(monkeypatch):
+    texts = [b"a bc  def\t" * 50, b"", b" x", b"y" * 300, b"one two"]
+    whole = common.word_table(texts)
+    monkeypatch.setattr(common, "SLICE_BYTES", 16)
+    for x, y in zip(whole, common.word_table(texts), strict=True):
+        assert x.tolist() == y.tolist()
+
+
 def test_connected_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 300), (300, 400), (7, 7)], "a long, b long")
     got = {r.v: r.label for r in ngram_join.connected(edges, Scratch(spark, "test"), "c").collect()}
