@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +14,28 @@ from pyspark.sql import functions as F
 from tessella.plans.tables import shared_folder
 
 #: Bytes of text that one numpy step works on; bounds the memory of a Python worker.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Bits of a filter of ids that is broadcast.
 FILTER_BITS = 23
 
 
+#: Rows of one Arrow batch while a table is written, which the JVM and the Python worker hold at the same time.
+BATCH_ROWS = 2000
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function over batches; after a task the memory that it freed goes back to the system, as workers live on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 class Scratch:
     """Tables written to the shared folder, so that later jobs read them instead of a long lineage.
 
@@ -28,13 +46,17 @@ class Scratch:
         self.spark, self.base = spark, shared_folder(spark, name)
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
-        path, schema, key = f"{self.base}/{table}", df.schema, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(key, "false")
-        self.spark.conf.set(key, "true")  # the table replaces the shuffle files that made it
+        path, schema = f"{self.base}/{table}", df.schema
+        # the table replaces the shuffle files that made it
+        wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
+        before = {key: self.spark.conf.get(key) for key in wanted}
         try:
+            for key, value in wanted.items():
+                self.spark.conf.set(key, value)
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.set(key, before)
+            for key, value in before.items():
+                self.spark.conf.set(key, value)
         return self.spark.read.schema(schema).parquet(path)
 
 

@@ -24,10 +24,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, bucket_count, doc_columns, fresh, grouped_ranges, maybe, mix, slices, window_hashes, word_table
+from tessella.llm.common import Scratch, bucket_count, doc_columns, fresh, grouped_ranges, maybe, mix, slices, tidy, window_hashes, word_table
 
 SHINGLE = 5
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Most bits of a sketch's index; it is broadcast with a byte for each cell.
 SKETCH_BITS = 23
 SECTIONS = 64
@@ -130,6 +130,8 @@ def _digests(docs: DataFrame, buckets: int) -> DataFrame:
                 used, refs = np.unique(owner[cuts[b] : cuts[b + 1]], return_inverse=True)
                 yield _rows(packet, [[int(b)], [None], [low[cuts[b] : cuts[b + 1]].tobytes()], [refs.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes()], [sets[used].tobytes()], [sizes[used].tobytes()]])
 
+    @tidy
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = Chunk()
         for batch in batches:
@@ -177,6 +179,8 @@ def _digests(docs: DataFrame, buckets: int) -> DataFrame:
 def _sets(docs: DataFrame) -> DataFrame:
     """(sid, n, tokens) of documents joined with their (n, s1): the text whose set has that signature."""
 
+    @tidy
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column("text")):
@@ -205,6 +209,8 @@ def _sketch(sets: DataFrame, bits: int) -> bytes:
     """Frequencies of shingles by the first bits of their hashes, as bytes: exact below 128, logarithms above."""
     per = (1 << bits) // SECTIONS
 
+    @tidy
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, tokens, _ in _token_slices(batch):
@@ -230,6 +236,8 @@ def _stars(sets: DataFrame, sketch: Broadcast, bits: int, buckets: int) -> DataF
     """(sid, hub): for each prefix shingle that several sets have, those sets and the smallest of them, which is in the rows too."""
     shift = np.uint64(64 - (buckets - 1).bit_length())
 
+    @tidy
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = np.frombuffer(sketch.value, np.uint8)
         for batch in batches:
