@@ -1,9 +1,10 @@
 """Packing along a space-filling curve.
 
-A document's hashed words are projected to a few dimensions; its place on a Hilbert curve through them is the sort
-key. Spark range-sorts the documents by (key, id), so a large group of copies is split between tasks; each task
-tokenises its stretch of the curve and cuts the stream of ids into sequences. The rest at the end of a stretch goes
-to sequences whose lengths are powers of two, so nothing is padded.
+A document's hashed words are projected to a direction in a few dimensions; its place on a Hilbert curve through the
+cube around them is the sort key. A weighted sample of keys cuts the curve into stretches with about as many bytes of
+text each, so neither many copies nor long texts make one task large; each task sorts its stretch by (key, id),
+tokenises it and cuts the stream of ids into sequences. The rest at the end of a stretch goes to sequences whose
+lengths are powers of two, so nothing is padded.
 """
 
 from __future__ import annotations
@@ -15,13 +16,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import doc_columns, slices, word_table
+from tessella.llm.common import Scratch, doc_columns, slices, tidy, word_table
 
+#: Bytes of text of one task's stretch, and of one where there are fewer stretches than shuffle partitions.
+STRETCH_BYTES, LEAST_BYTES = 32 << 20, 1 << 20
+#: Most keys that are sampled, for any number of stretches.
+SAMPLE = 1 << 20
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -71,15 +77,33 @@ def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
 
 
 def curve_keys(texts: list[bytes], dims: int = 4, bits: int = 8) -> np.ndarray:
-    """Hilbert keys of texts: the sums of random signs of their words, scaled to the unit cube."""
+    """Hilbert keys of texts: the direction of the sums of random signs of their words, whatever their length."""
     hashes, doc, _, _ = word_table(texts)
-    n = np.maximum(np.bincount(doc, minlength=len(texts)), 1)
-    axes = []
-    for i in range(dims):
-        signs = ((hashes >> np.uint64(7 * i + 3)) & np.uint64(1)).astype(np.float64) * 2 - 1
-        z = np.bincount(doc, weights=signs, minlength=len(texts)) / np.sqrt(n)
-        axes.append(np.clip((1 + np.tanh(z / 4)) / 2 * (1 << bits), 0, (1 << bits) - 1).astype(np.int64))
-    return hilbert_keys(np.column_stack(axes), bits)
+    z = np.column_stack([np.bincount(doc, weights=((hashes >> np.uint64(7 * i + 3)) & np.uint64(1)).astype(np.float64) * 2 - 1, minlength=len(texts)) for i in range(dims)])
+    z = z / np.maximum(np.sqrt((z**2).sum(axis=1, keepdims=True)), 1)
+    return hilbert_keys(np.clip((1 + z) / 2 * (1 << bits), 0, (1 << bits) - 1).astype(np.int64), bits)
+
+
+def _stretches(curve: np.ndarray, doc: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """How many of the sorted cuts (curve, doc_id) lie at or before each key."""
+    order = np.lexsort((np.repeat([0, 1], [len(cuts), len(curve)]), np.concatenate([cuts[:, 1], doc]), np.concatenate([cuts[:, 0], curve])))
+    before = np.empty(len(order), dtype=np.int64)
+    before[order] = np.cumsum(order < len(cuts))
+    return before[len(cuts) :].astype(np.int32)
+
+
+def _cuts(keys: DataFrame) -> np.ndarray:
+    """Keys that cut rows (doc_id, curve, bytes) into stretches of about equal bytes. The driver sees at most some 2 * SAMPLE rows."""
+    total = int(keys.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0])
+    held = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    parts = max(1, -(-total // STRETCH_BYTES), min(held, total // LEAST_BYTES))
+    rate = min(SAMPLE, 32 * parts) / max(total, 1)
+    times = F.floor(F.col("bytes") * rate + F.pmod(F.xxhash64("doc_id", "curve"), F.lit(1 << 30)) / (1 << 30))
+    sample = keys.select("curve", "doc_id", times.alias("times")).filter("times > 0").toArrow()
+    curve, doc, times = (np.asarray(sample.column(c).to_numpy()) for c in ("curve", "doc_id", "times"))
+    order = np.lexsort((doc, curve))
+    at = np.searchsorted(np.cumsum(times[order]), np.arange(1, parts) * times.sum() / parts)
+    return np.column_stack([curve[order][at], doc[order][at]]) if len(order) else np.empty((0, 2), dtype=np.int64)
 
 
 class _Packer:
@@ -136,11 +160,31 @@ def pack_documents(docs: DataFrame, *, vocabulary: str, pattern: str, added: dic
     """
     own = doc_columns(docs, id_col, text_col)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    least = -(1 << 63)  # stands for a null id, as Spark sorts it first
+
+    @tidy
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
             keys = [curve_keys([x.encode() for x in texts[a:b].to_pylist()], dims, bits) for a, b in slices(texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(keys) if keys else [], pa.int64())], names=["doc_id", "text", "curve"])
+            size = np.asarray(pc.binary_length(texts), dtype=np.int64) + 64
+            yield pa.RecordBatch.from_arrays([batch.column(0).fill_null(least), pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(size)], names=["doc_id", "curve", "bytes"])
+
+    cuts = _cuts(Scratch(docs.sparkSession, "packing").write(own.mapInArrow(key, "doc_id long, curve long, bytes long"), "keys"))
+    shared = docs.sparkSession.sparkContext.broadcast(cuts)
+
+    @tidy
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                curve = curve_keys([x.encode() for x in part.column(1).to_pylist()], dims, bits)
+                stretch = _stretches(curve, np.asarray(part.column(0).fill_null(least)), shared.value)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(curve), pa.array(stretch)], names=["doc_id", "text", "curve", "stretch"])
+
+    @tidy
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = tokenizer(vocabulary, pattern, tuple((added or {}).items()))
@@ -154,5 +198,5 @@ def pack_documents(docs: DataFrame, *, vocabulary: str, pattern: str, added: dic
         packer.end()
         yield packer.batch()
 
-    placed = own.mapInArrow(place, "doc_id long, text string, curve long")
-    return placed.repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id").mapInArrow(pack, SCHEMA)
+    placed = own.mapInArrow(place, "doc_id long, text string, curve long, stretch int").repartitionById(len(cuts) + 1, "stretch")
+    return placed.sortWithinPartitions("curve", "doc_id", F.xxhash64("text")).select("doc_id", "text").mapInArrow(pack, SCHEMA)
