@@ -13,17 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontamination, line_dedup, ngram_join, packing, quality
-from tessella.llm.common import Scratch, fresh
+from tessella.llm.common import Scratch, fresh, maybe
 
 #: A document goes if its quality score is below this: only clear rejects.
 REJECT_BELOW = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; it learns from all labels of the stage's documents."""
+    """Documents that the quality classifier rejects go; it learns from all labels of the stage's documents. Statistics for learning
+    are taken of labelled documents alone."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    stats = Scratch(spark, "quality-stage").write(quality.document_statistics(docs), "stats")
-    return quality.keep_good(docs, quality.fit(stats, labels), threshold=REJECT_BELOW)
+    labelled = maybe(docs, labels.filter("quality in (0, 1)").select("doc_id"), "doc_id")
+    return quality.keep_good(docs, quality.fit(quality.document_statistics(labelled), labels), threshold=REJECT_BELOW)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ log prior odds, taken from Mahalanobis distances with Cholesky factors that are
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, mix, slices, window_hashes, word_table
+from tessella.llm.common import Scratch, mix, slices, tidy, window_hashes, word_table
 
 STATISTICS = ("log_words", "log_word_length", "upper", "bang", "symbol", "digit", "newline", "distinct_words", "adjacent_repeats", "distinct_5grams", "log_ratio", "longest_line", "upper_words", "non_letter_words")
 
@@ -34,7 +34,8 @@ def _distinct(doc: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def statistics(texts: list[bytes]) -> np.ndarray:
-    """One row of STATISTICS per text, transformed to be nearer to normal; counts of empty texts are zero."""
+    """One row of STATISTICS per text, transformed to be nearer to normal: logarithms of sizes, square roots of counts a word,
+    angles of shares. Those of empty texts are zero."""
     n = len(texts)
     hashes, doc, starts, ends = word_table(texts)
     data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
@@ -43,15 +44,14 @@ def statistics(texts: list[bytes]) -> np.ndarray:
     words = np.bincount(doc, minlength=n)
 
     def count(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(mask)])
-        return total[begin[1:] - 1] - total[begin[:-1]]
+        return np.add.reduceat(mask, begin[:-1], dtype=np.int64)  # with the blank behind each text, which no mask has
 
     upper = (data >= 65) & (data <= 90) | (data == 0xC3) & (np.roll(data, -1) < 0x9F)
     lower = (data >= 97) & (data <= 122) | (data == 0xC3) & (np.roll(data, -1) >= 0x9F)
     letter, bang, digit, newline = upper | lower, data == 33, (data >= 48) & (data <= 57), data == 10
     symbol = (data > 32) & (data < 127) & ~letter & ~digit & ~np.isin(data, np.frombuffer(b".,!", dtype=np.uint8))
     letters = np.maximum(count(letter), 1)
-    caps, all_letters = (np.concatenate([[0], np.cumsum(m)]) for m in (upper, letter))
+    caps, all_letters = (np.concatenate([[0], np.cumsum(m, dtype=np.int32)]) for m in (upper, letter))
     word_caps, word_letters = caps[ends] - caps[starts], all_letters[ends] - all_letters[starts]
     same = np.zeros(len(doc))
     same[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
@@ -65,22 +65,22 @@ def statistics(texts: list[bytes]) -> np.ndarray:
     gaps = np.diff(np.concatenate([[-1], bounds]))
     longest = np.zeros(n)
     np.maximum.at(longest, np.searchsorted(begin[1:], bounds, side="right").clip(max=n - 1), gaps)
-    root = np.sqrt
+    root, angle = np.sqrt, lambda share: np.arcsin(np.sqrt(np.clip(share, 0, 1)))
     return np.column_stack([
         np.log1p(words),
         np.log1p(size / np.maximum(words, 1)),
-        count(upper) / letters,
-        count(bang) / np.maximum(words, 1),
-        count(symbol) / np.maximum(size, 1),
-        count(digit) / np.maximum(size, 1),
-        count(newline) / np.maximum(words, 1),
+        angle(count(upper) / letters),
+        root(count(bang) / np.maximum(words, 1)),
+        angle(count(symbol) / np.maximum(size, 1)),
+        angle(count(digit) / np.maximum(size, 1)),
+        root(count(newline) / np.maximum(words, 1)),
         _distinct(doc, hashes, n) / np.maximum(root(words), 1) / 10,
-        _share(doc, same, n, words),
-        _distinct(gram_doc, grams[inside], n) / np.maximum(n_grams, 1),
+        angle(_share(doc, same, n, words)),
+        angle(_distinct(gram_doc, grams[inside], n) / np.maximum(n_grams, 1)),
         np.log((packed + 20) / (size + 20)),
         np.log1p(longest),
-        _share(doc, ((word_caps >= 2) & (word_caps == word_letters)).astype(float), n, words),
-        _share(doc, (word_letters == 0).astype(float), n, words),
+        angle(_share(doc, ((word_caps >= 2) & (word_caps == word_letters)).astype(float), n, words)),
+        angle(_share(doc, (word_letters == 0).astype(float), n, words)),
     ])
 
 
@@ -92,16 +92,21 @@ def _packed(texts: list[bytes]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Gaussian:
-    """One class: its mean, the Cholesky factor of its shrunk covariance and its number of rows."""
+    """One class: its mean, the Cholesky factor of its shrunk covariance and its number of rows. The factor is inverted once here,
+    so that a Mahalanobis distance is one product."""
 
     mean: np.ndarray
     factor: np.ndarray
     rows: float
+    inverse: np.ndarray = field(init=False)
+
+    def __post_init__(self):
+        object.__setattr__(self, "inverse", np.tril(np.linalg.inv(self.factor)))
 
 
 def _log_density(g: Gaussian, x: np.ndarray) -> np.ndarray:
-    z = np.linalg.solve(g.factor, (x - g.mean).T)
-    return -0.5 * (z**2).sum(axis=0) - np.log(np.diag(g.factor)).sum() + np.log(g.rows)
+    z = (x - g.mean) @ g.inverse.T
+    return -0.5 * (z**2).sum(axis=1) - np.log(np.diag(g.factor)).sum() + np.log(g.rows)
 
 
 def probability(model: dict[int, Gaussian], x: np.ndarray) -> np.ndarray:
@@ -123,6 +128,8 @@ def _encoded(column: pa.Array) -> Iterator[list[bytes]]:
 def document_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, stats): the statistics of every whole text as packed doubles. Null text counts as empty."""
 
+    @tidy
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [x.astype("<f8").tobytes() for texts in _encoded(batch.column(1)) for x in statistics(texts)]
@@ -137,6 +144,8 @@ def fit(stats: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_c
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
     upper = np.triu_indices(d + 1)
 
+    @tidy
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {c: np.zeros((d + 1, d + 1)) for c in (0, 1)}
         for batch in batches:
@@ -169,6 +178,8 @@ def fit(stats: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_c
 def score(stats: DataFrame, model: dict[int, Gaussian]) -> DataFrame:
     """(doc_id, score) from a table of statistics."""
 
+    @tidy
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(probability(model, _stack(batch.column("stats"))))], names=["doc_id", "score"])
@@ -179,6 +190,8 @@ def score(stats: DataFrame, model: dict[int, Gaussian]) -> DataFrame:
 def keep_good(docs: DataFrame, model: dict[int, Gaussian], *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose score is at least the threshold, with all their columns and in one pass without a shuffle."""
 
+    @tidy
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [probability(model, statistics(texts)) >= threshold for texts in _encoded(batch.column(text_col))]
