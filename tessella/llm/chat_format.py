@@ -1,7 +1,9 @@
 """Chat formatting: records of any known layout become canonical turns and one marked-up text.
 
-A record's fingerprint is the hash of its sorted nested field paths and their kinds. It selects a declarative mapping
-that says where turns, roles and texts are. Control strings inside roles and texts are escaped reversibly.
+A mapping declares which fields it reads. A record's fingerprint is the hash of the sorted nested paths, with their
+kinds, of those fields alone; the further fields of records, turns and parts of texts are left out, whatever they are.
+The first mapping that knows the fingerprint says where turns, roles and texts are. Control strings inside roles and
+texts are escaped reversibly.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ _CONTROL, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
 @dataclass(frozen=True)
 class Mapping:
-    """Where a layout keeps its turns: a list field with role and text fields, or single fields with fixed roles."""
+    """Where a layout keeps its turns: a list field with role and text fields, or single fields with fixed roles. Either may have a
+    `system` field for a turn before the others."""
 
     name: str
     turns: str | None = None
@@ -32,22 +35,56 @@ class Mapping:
     text: str = "content"
     roles: tuple[tuple[str, str], ...] = ()
     fields: tuple[tuple[str, str], ...] = ()
-
-    def apply(self, record: dict[str, Any]) -> list[tuple[str, str]]:
+    optional: tuple[str, ...] = ("system",)
+
+    def view(self, record: dict[str, Any]) -> dict[str, Any]:
+        """The record's fields that the mapping reads. A text may be a list of parts with types and texts."""
+        if self.turns is None:
+            return {k: record[k] for k, _ in self.fields if k in record}
+        turns = record.get(self.turns)
+        if isinstance(turns, list):
+            turns = [{k: _parts(t[k]) for k in (self.role, self.text) if k in t} if isinstance(t, dict) else t for t in turns]
+        return ({self.turns: turns} if self.turns in record else {}) | ({"system": record["system"]} if "system" in record else {})
+
+    def apply(self, view: dict[str, Any]) -> list[tuple[str, str]]:
         if self.turns is not None:
-            names = dict(self.roles)
-            return [(names.get(role := str(t.get(self.role) or ""), role), str(t.get(self.text) or "")) for t in record.get(self.turns) or []]
+            names, head = dict(self.roles), view.get("system")
+            turns = [(names.get(role := t.get(self.role) or "", role), _plain(t.get(self.text))) for t in view[self.turns] or []]
+            return [("system", head), *turns] if head else turns
         out: list[tuple[str, str]] = []
-        for field, role in self.fields:
-            text = record.get(field)
-            if text is None or text == "" and role == "context":
+        for name, role in self.fields:
+            text = view.get(name)
+            if text is None or text == "" and name in self.optional:
                 continue
             if role == "context":  # further input of the turn before it
-                out[-1:] = [(out[-1][0], f"{out[-1][1]}\n\n{text}")]
+                out = [*out[:-1], (out[-1][0], f"{out[-1][1]}\n\n{text}") if out else ("user", text)]
             else:
-                out.append((role, str(text)))
+                out.append((role, text))
         return out
 
+    def prints(self) -> Iterator[str]:
+        """The fingerprints of its views."""
+        if self.turns is None:
+            kinds = [("string", "null", None) if f in self.optional else ("string", "null") for f, _ in self.fields]
+            for chosen in itertools.product(*kinds):
+                yield fingerprint({f".{f}:{k}" for (f, _), k in zip(self.fields, chosen, strict=True) if k})
+            return
+        role, text = f".{self.turns}[].{self.role}", f".{self.turns}[].{self.text}"
+        roles = [{f"{role}:string"}, {f"{role}:string", f"{role}:null"}]
+        texts = [f"{text}:string", f"{text}:null", f"{text}:list", f"{text}[].type:string", f"{text}[].text:string", f"{text}[].text:null"]
+        bodies = [{f".{self.turns}:list"}, *(r | {t for t, y in zip(texts, chosen, strict=True) if y} for r in roles for chosen in itertools.product((False, True), repeat=len(texts)) if any(chosen))]
+        for body, system in itertools.product(bodies, (set(), {".system:string"}, {".system:null"})):
+            yield fingerprint(body | system)
+
+
+def _parts(text: Any) -> Any:
+    return [{k: p[k] for k in ("type", "text") if k in p} if isinstance(p, dict) else p for p in text] if isinstance(text, list) else text
+
+
+def _plain(text: str | list | None) -> str:
+    """The text, or the texts of its parts, a line each; parts without text (pictures, say) give none."""
+    return "\n".join(p["text"] for p in text if p.get("text")) if isinstance(text, list) else text or ""
+
 
 def field_paths(value: Any, at: str = "") -> set[str]:
     """Nested field paths with the kinds of their values; list elements share the path `[]`."""
@@ -63,29 +100,28 @@ def fingerprint(paths: set[str]) -> str:
     return hashlib.blake2b("\n".join(sorted(paths)).encode(), digest_size=8).hexdigest()
 
 
-def _registry() -> dict[str, Mapping]:
-    """Fingerprints of the known layouts, with and without their optional fields."""
-    human = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
-    lists = [Mapping("messages", "messages"), Mapping("conversations", "conversations", "from", "value", human), Mapping("dialogue", "dialogue", "speaker", "utterance")]
-    single = [
-        (Mapping("prompt", fields=(("system", "system"), ("prompt", "user"), ("response", "assistant"))), {"system"}),
-        (Mapping("completion", fields=(("system", "system"), ("prompt", "user"), ("completion", "assistant"))), {"system"}),
-        (Mapping("instruction", fields=(("system", "system"), ("instruction", "user"), ("input", "context"), ("output", "assistant"))), {"system", "input"}),
-        (Mapping("question", fields=(("system", "system"), ("question", "user"), ("answer", "assistant"))), {"system"}),
-    ]
-    known: dict[str, Mapping] = {}
-    for m in lists:
-        known[fingerprint({f".{m.turns}:list"})] = m
-        for role, text in itertools.product(({"string"}, {"string", "null"}), ({"string"}, {"string", "null"}, {"null"})):
-            known[fingerprint({f".{m.turns}[].{m.role}:{k}" for k in role} | {f".{m.turns}[].{m.text}:{k}" for k in text})] = m
-    for m, optional in single:
-        names = [f for f, _ in m.fields]
-        for kinds in itertools.product(*(("string", "null", None) if f in optional else ("string", "null") for f in names)):
-            known[fingerprint({f".{f}:{k}" for f, k in zip(names, kinds, strict=True) if k})] = m
-    return known
+_NAMES = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
+
+#: The known layouts; of a record that has the fields of several the first is taken.
+LAYOUTS = [
+    Mapping("messages", "messages"),
+    Mapping("conversations", "conversations", "from", "value", _NAMES),
+    Mapping("dialogue", "dialogue", "speaker", "utterance"),
+    Mapping("prompt", fields=(("system", "system"), ("prompt", "user"), ("response", "assistant"))),
+    Mapping("completion", fields=(("system", "system"), ("prompt", "user"), ("completion", "assistant"))),
+    Mapping("instruction", fields=(("system", "system"), ("instruction", "user"), ("input", "context"), ("output", "assistant")), optional=("system", "input")),
+    Mapping("question", fields=(("system", "system"), ("question", "user"), ("answer", "assistant"))),
+]
+PRINTS = {m.name: frozenset(m.prints()) for m in LAYOUTS}
 
 
-MAPPINGS = _registry()
+def choose(record: Any) -> tuple[Mapping | None, dict[str, Any], str]:
+    """The mapping of a record, its view of it and the fingerprint; without a mapping, the fingerprint of the whole record."""
+    if isinstance(record, dict):
+        for m in LAYOUTS:
+            if (print_ := fingerprint(field_paths(view := m.view(record)))) in PRINTS[m.name]:
+                return m, view, print_
+    return None, {}, fingerprint(field_paths(record))
 
 
 def escape(text: str) -> str:
@@ -131,8 +167,8 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def format_chats(records: DataFrame, *, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
     """(conv_id, layout, fingerprint, formatted, loss_spans) for every row of JSON records.
 
-    Unknown layouts, records that are no JSON object and null records have layout null, formatted "" and no spans, so no row
-    is lost. Null roles and texts are empty. Repeated ids are records of their own.
+    Fields that a layout's mapping doesn't read are left out. Unknown layouts, records that are no JSON object and null records
+    have layout null, formatted "" and no spans, so no row is lost; unknown_layouts counts them. Null roles and texts are empty. Repeated ids are records of their own.
     """
     schema = "conv_id long, layout string, fingerprint string, formatted string, loss_spans array<struct<start:long,end:long>>"
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -145,9 +181,8 @@ def format_chats(records: DataFrame, *, id_col: str = "conv_id", record_col: str
                     record = json.loads(text or "null", strict=False)
                 except ValueError:
                     record = None
-                print_ = fingerprint(field_paths(record))
-                mapping = MAPPINGS.get(print_) if isinstance(record, dict) else None
-                formatted, spans = render(mapping.apply(record)) if mapping else ("", [])
+                mapping, view, print_ = choose(record)
+                formatted, spans = render(mapping.apply(view)) if mapping else ("", [])
                 rows.append((mapping.name if mapping else None, print_, formatted, [{"start": a, "end": b} for a, b in spans]))
             layout, prints, formatted, spans = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(layout, pa.string()), pa.array(prints, pa.string()), pa.array(formatted, pa.string()), pa.array(spans, span)], names=["conv_id", "layout", "fingerprint", "formatted", "loss_spans"])
@@ -155,6 +190,11 @@ def format_chats(records: DataFrame, *, id_col: str = "conv_id", record_col: str
     return records.select(F.col(id_col).cast("long").alias("conv_id"), F.col(record_col).cast("string").alias("record")).mapInArrow(work, schema)
 
 
+def unknown_layouts(formatted: DataFrame) -> DataFrame:
+    """(fingerprint, n) of the rows that no mapping knows."""
+    return formatted.filter("layout is null").groupBy("fingerprint").agg(F.count("*").alias("n"))
+
+
 def digest(formatted: DataFrame) -> DataFrame:
     """What is read back from formatted chats: turns, their hash, and the text under the loss mask."""
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -181,13 +221,14 @@ def records_from_turns(turns: DataFrame, *, id_col: str = "conv_id", turn_col: s
     """(conv_id, record): rows of turns as one JSON record for each conversation, in order of (turn, role, text).
 
     A user's turn with the assistant's answer alone becomes a prompt layout, other conversations a dialogue or, where the id is
-    even, messages. Null roles and texts are empty. One conversation has to fit a cell, as its formatted text has to.
+    even, messages; each has further fields that no mapping reads. Null roles and texts are empty. One conversation has to fit a
+    cell, as its formatted text has to.
     """
     rows = turns.select(F.col(id_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     t, last = F.col("t"), F.element_at("t", -1)
     pair = (F.size(t) == 2) & (t[0]["role"] == "user") & (last["role"] == "assistant")
-    prompt = F.to_json(F.struct(t[0]["text"].alias("prompt"), last["text"].alias("response")))
-    messages = F.to_json(F.struct(F.transform(t, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages")))
-    dialogue = F.to_json(F.struct(F.transform(t, lambda x: F.struct(x["role"].alias("speaker"), x["text"].alias("utterance"))).alias("dialogue")))
+    prompt = F.to_json(F.struct(F.col("conv_id").alias("id"), t[0]["text"].alias("prompt"), last["text"].alias("response")))
+    messages = F.to_json(F.struct(F.transform(t, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"), x["turn"].alias("index"))).alias("messages")))
+    dialogue = F.to_json(F.struct(F.transform(t, lambda x: F.struct(x["role"].alias("speaker"), x["text"].alias("utterance"))).alias("dialogue"), F.size(t).alias("n_turns")))
     return grouped.select("conv_id", F.when(pair, prompt).when(F.col("conv_id") % 2 == 0, messages).otherwise(dialogue).alias("record"))
