@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import SLICE_BYTES, slices, tidy
+
 A_LAW, MU_LAW, ADPCM = 6, 7, 0x11
 
 # Fixed values of the IMA ADPCM format: step sizes and index changes.
@@ -88,8 +90,23 @@ def read_wav(data: bytes) -> tuple[int, int, int, bytes]:
     raise ValueError("no samples")
 
 
-def expand(codec: int, block: int, samples: bytes) -> np.ndarray:
-    return decode_adpcm(samples, block) if codec == ADPCM else TABLES[codec][np.frombuffer(samples, dtype=np.uint8)]
+def expand_all(files: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
+    """16-bit samples of each (codec, block size, coded samples). Whole ADPCM blocks of one size are decoded together."""
+    out: list[np.ndarray] = [np.empty(0, dtype=np.int16)] * len(files)
+    together: dict[int, list[int]] = {}
+    for i, (codec, block, samples) in enumerate(files):
+        if codec != ADPCM:
+            out[i] = TABLES[codec][np.frombuffer(samples, dtype=np.uint8)]
+        elif len(samples) % block:
+            out[i] = decode_adpcm(samples, block)
+        else:
+            together.setdefault(block, []).append(i)
+    for block, found in together.items():
+        pcm = decode_adpcm(b"".join(files[i][2] for i in found), block)
+        cuts = np.cumsum([len(files[i][2]) // block * (1 + 2 * (block - 4)) for i in found])[:-1]
+        for i, part in zip(found, np.split(pcm, cuts), strict=True):
+            out[i] = part
+    return out
 
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
@@ -115,8 +132,11 @@ def features(pcm: np.ndarray) -> str:
 
 
 def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: int = 64) -> DataFrame:
-    """(doc_id, n_bytes, media): every text's UTF-8 bytes, filled with zero bytes to a positive multiple of `unit`, as the mu-law
-    samples of a WAV file. Null text is empty. Rows that repeat an id are stored each."""
+    """(doc_id, n_bytes, media): every text's UTF-8 bytes, filled with zero bytes to a positive multiple of `unit`, as the coded
+    samples of a WAV file: of mu-law, A-law, or ADPCM with blocks of `unit` bytes, by a checksum of the bytes, so that equal texts are
+    equal files. Null text is empty. Rows that repeat an id are stored each."""
+
+    @tidy
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +145,9 @@ def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 ids.append(doc)
                 sizes.append(len(data))
-                files.append(wav(data.ljust(max(unit, -(-len(data) // unit) * unit), b"\0")))
+                data = data.ljust(max(unit, -(-len(data) // unit) * unit), b"\0")
+                codec = (MU_LAW, A_LAW, ADPCM)[zlib.crc32(data) % 3]
+                files.append(wav(data, codec, block=unit if codec == ADPCM else 1))
                 held += len(files[-1])
                 if held > 4 << 20:
                     yield _stored(ids, sizes, files)
@@ -152,24 +174,28 @@ def decode_telephony(media: DataFrame, *, media_col: str = "media", rate: int =
         schema = schema.add(name, kind)
     arrow = {"integer": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
-    def one(data: bytes | None) -> dict:
-        if data is None:
-            return {}
-        out = {"media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
-        try:
-            codec, own, block, samples = read_wav(data)
-        except (ValueError, struct.error):
-            return out
-        pcm = resample(expand(codec, block, samples), own, rate)
-        out |= {"codec": codec, "payload_bytes": len(samples), "payload_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-64:]), "feature": features(pcm)}
-        return out | ({"pcm": pcm.astype("<i2").tobytes()} if keep_pcm else {})
+    def some(files: list[bytes | None]) -> list[dict]:
+        rows = [{} if x is None else {"media_bytes": len(x), "media_sha256": hashlib.sha256(x).hexdigest()} for x in files]
+        found = []
+        for row, data in zip(rows, files, strict=True):
+            try:
+                if data is not None:
+                    found.append((row, *read_wav(data)))
+            except (ValueError, struct.error):
+                continue
+        for (row, codec, own, _, samples), wide in zip(found, expand_all([(c, b, s) for _, c, _, b, s in found]), strict=True):
+            pcm = resample(wide, own, rate)
+            row |= {"codec": codec, "payload_bytes": len(samples), "payload_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-64:]), "feature": features(pcm)}
+            row |= {"pcm": pcm.astype("<i2").tobytes()} if keep_pcm else {}
+        return rows
+
+    @tidy
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = 64  # files at a time
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                rows = [one(x.as_py()) for x in part.column(media_col)]
+            for a, b in slices(batch.column(media_col), SLICE_BYTES // 2):
+                part = batch.slice(a, b - a)
+                rows = some(part.column(media_col).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array([r.get(c) for r in rows], arrow[k]) for c, k in kinds.items())], names=[*names, *kinds])
 
     return media.mapInArrow(work, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import chat_format, decontamination, language_id, licenses, line_dedup, media, ngram_join, packing, quality, substring_dedup
+from tessella.llm.common import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +63,8 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = media.store_texts(_table(spark, sf_dir, "documents"))
-    return media.decode_telephony(files, keep_pcm=False).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    stored = Scratch(spark, "telephony").write(media.decode_telephony(files), "pcm")  # the resampled PCM is a column of this table
+    return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
