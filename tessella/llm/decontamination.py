@@ -169,11 +169,17 @@ WITH src AS (SELECT 0 AS side, doc_id AS id, coalesce(text, '') AS text FROM doc
     WHEN plain IN ({", ".join(f"'{u}'" for u in UNITS)}) THEN '{UNIT}' ELSE plain END AS c FROM wd),
   wn AS (SELECT side, id, p, string_agg(c, ' ') OVER o AS win, count(*) OVER o AS len FROM cn WINDOW o AS (PARTITION BY side, id ORDER BY p ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
   iw AS (SELECT id AS item_id, p, win, count(DISTINCT win) OVER (PARTITION BY id) AS n FROM wn WHERE side = 1 AND len = {WINDOW}),
-  dw AS (SELECT id AS doc_id, win, min(p) AS q FROM wn WHERE side = 0 AND len = {WINDOW} GROUP BY ALL),
-  al AS (SELECT doc_id, item_id, p, q, win, n FROM dw JOIN iw USING (win)),
-  cv AS (SELECT doc_id, item_id, count(DISTINCT win) AS k, max(n) AS n FROM al GROUP BY ALL HAVING count(DISTINCT win) >= max(n) * 0.5),
-  sl AS (SELECT DISTINCT al.doc_id, al.item_id, a.c AS kind, a.plain AS item, b.plain AS doc FROM al JOIN cv USING (doc_id, item_id), range({WINDOW}) r(j), cn a, cn b
-    WHERE a.side = 1 AND a.id = al.item_id AND a.p = al.p + j AND b.side = 0 AND b.id = al.doc_id AND b.p = al.q + j AND a.c LIKE '<%'),
-  sc AS (SELECT doc_id, item_id, count(*) AS pairs, count(DISTINCT (kind, item)) AS slots FROM sl GROUP BY ALL)
-SELECT doc_id, item_id, k::BIGINT AS n_windows, n::BIGINT AS item_windows, coalesce(slots, 0)::BIGINT AS n_slots FROM cv LEFT JOIN sc USING (doc_id, item_id) WHERE coalesce(pairs, 0) = coalesce(slots, 0)
+  dw AS (SELECT id AS doc_id, win, p AS q FROM wn WHERE side = 0 AND len = {WINDOW}),
+  cv AS (SELECT doc_id, item_id FROM dw JOIN iw USING (win) GROUP BY ALL HAVING count(DISTINCT win) >= max(n) * 0.5),
+  al AS (SELECT doc_id, item_id, p, q, win, n, q - p AS off FROM dw JOIN iw USING (win) JOIN cv USING (doc_id, item_id)),
+  ag AS (SELECT doc_id, item_id, 0 AS rule, off AS pos, p, q, win, n FROM al
+    UNION ALL SELECT doc_id, item_id, 1, pos, p, arg_min(q, {{'gap': abs(off - pos), 'off': off}}), any_value(win), any_value(n)
+      FROM al JOIN (SELECT DISTINCT doc_id, item_id, off AS pos FROM al) USING (doc_id, item_id) WHERE abs(off - pos) <= greatest(n, {WINDOW}) GROUP BY doc_id, item_id, pos, p
+    UNION ALL SELECT doc_id, item_id, 2, 0, p, min(q), any_value(win), any_value(n) FROM al GROUP BY doc_id, item_id, p),
+  ck AS (SELECT doc_id, item_id, rule, pos, count(DISTINCT win) AS k, max(n) AS n FROM ag GROUP BY ALL HAVING count(DISTINCT win) >= max(n) * 0.5),
+  sl AS (SELECT DISTINCT doc_id, item_id, rule, pos, a.c AS kind, a.plain AS item, b.plain AS doc FROM ag JOIN ck USING (doc_id, item_id, rule, pos), range({WINDOW}) r(j), cn a, cn b
+    WHERE a.side = 1 AND a.id = item_id AND a.p = ag.p + j AND b.side = 0 AND b.id = doc_id AND b.p = ag.q + j AND a.c LIKE '<%'),
+  sc AS (SELECT doc_id, item_id, rule, pos, count(*) AS pairs, count(DISTINCT (kind, item)) AS slots FROM sl GROUP BY ALL)
+SELECT doc_id, item_id, max(k)::BIGINT AS n_windows, max(n)::BIGINT AS item_windows, max(coalesce(slots, 0))::BIGINT AS n_slots
+FROM ck LEFT JOIN sc USING (doc_id, item_id, rule, pos) WHERE coalesce(pairs, 0) = coalesce(slots, 0) GROUP BY doc_id, item_id
 """
