@@ -14,21 +14,24 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.common import tidy
+
 UNKNOWN = "und"
 #: Bytes that are compressed at a time, so that a long text is held against the dictionary and not against itself.
 PART = 2048
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 256, dictionary_bytes: int = 98_304) -> dict[str, bytes]:
+def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 256, dictionary_bytes: int = 98_304, max_languages: int = 256) -> dict[str, bytes]:
     """A dictionary for each non-null language: the heads of the sample_docs documents with the smallest hashed ids.
 
-    Only the sample is bounded this way; classification reads whole texts.
+    Of more than max_languages tags those of most documents (the first by name on a tie) are learnt, so stray tags can't make the
+    model large. Only the sample is bounded this way; classification reads whole texts.
     """
     share = dictionary_bytes // sample_docs * 2
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null and doc_id is not null")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # a hash bound leaves some times sample_docs rows of each language for the window, however many there are; one row for each class
-    share_of = rows.groupBy("lang").agg((F.lit(8.0 * sample_docs) / F.count("*")).alias("share"))
+    share_of = rows.groupBy("lang").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "lang").limit(max_languages).select("lang", (F.lit(8.0 * sample_docs) / F.col("docs")).alias("share"))
     likely = rows.select("lang", "doc_id").join(F.broadcast(share_of), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= F.col("share") * (1 << 30)).drop("share")
     chosen = likely.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample_docs).select("lang", "doc_id").distinct()
     # sample_docs ids for each language
@@ -74,6 +77,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, id_col: str = "
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
+    @tidy
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(shared.value)
         for batch in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, bucket_count, doc_columns, grouped_ranges, slices, window_hashes, word_table
+from tessella.llm.common import Scratch, bucket_count, doc_columns, grouped_ranges, slices, tidy, window_hashes, word_table
 
 CHUNK_WORDS = 1 << 20
 
@@ -107,6 +107,8 @@ def _anchors(docs: DataFrame, block: int, window: int, buckets: int) -> DataFram
             for part in np.array_split(full, max(1, len(full) // 256)):
                 yield _rows(packet, [part.astype(np.int32), [low[cuts[b] : cuts[b + 1]].tobytes() for b in part], *([x[own[b] : own[b + 1]].tobytes() for b in part] for x in (block_low, keys, numbers))])
 
+    @tidy
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = Chunk()
         for batch in batches:
@@ -200,6 +202,8 @@ def _repeats(docs: DataFrame, block: int, window: int, buckets: int) -> DataFram
                 packed = [runs(keys[cuts[b] : cuts[b + 1]], starts[cuts[b] : cuts[b + 1]]) for b in part]
                 yield _rows(packet, [part.astype(np.int32), [known[known_cuts[b] : known_cuts[b + 1]].tobytes() for b in part], [hashes[cuts[b] : cuts[b + 1]].tobytes() for b in part], *([p[i].tobytes() for p in packed] for i in range(3))])
 
+    @tidy
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = Chunk()
         for batch in batches:
@@ -248,6 +252,8 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     repeats = tmp.write(_repeats(probed, block, window, buckets), "repeats")
     runs = repeats.groupBy("k").agg(F.collect_list(F.struct("start", "length")).alias("runs"))
 
+    @tidy
+
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column("text")):
@@ -258,8 +264,9 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     keep = np.ones(len(words), dtype=bool)
                     if gone:
                         mark = np.zeros(len(words) + 1, dtype=np.int32)
-                        np.add.at(mark, [r["start"] for r in gone], 1)
-                        np.add.at(mark, [r["start"] + r["length"] - 1 + window for r in gone], -1)
+                        start, length = np.array([(r["start"], r["length"]) for r in gone]).T
+                        np.add.at(mark, np.minimum(start, len(words)), 1)
+                        np.add.at(mark, np.minimum(start + length - 1 + window, len(words)), -1)
                         keep = np.cumsum(mark)[:-1] == 0
                     n.append(len(words))
                     removed.append(int(len(words) - keep.sum()))
