@@ -78,6 +78,12 @@ def test_line_dedup(spark, rows):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_many_repeated_lines_joins(spark, rows, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
+    got = line_dedup.dedup_lines(frame(spark, rows))
+    assert sorted(((r[0], r[-3], r[-2], r[-1]) for r in got.collect()), key=repr) == brute_lines(rows)
+
+
 def test_full_filters_only_let_more_through(spark, rows):
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA), filter_bits=2048)
     assert sorted((tuple(r) for r in got.drop("text").collect()), key=repr) == brute_lines(rows)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
 import struct
 import zlib
 from collections import defaultdict
@@ -9,6 +12,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -38,13 +42,16 @@ def test_hilbert_curve_steps_are_neighbours():
     assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
 
 
+VOCABULARY = {"vocabulary": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "added": packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))}
+
+
 def check_packing(rows, texts):
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
         pieces[r.doc_id].append(r)
         sequences[r.sequence_id].append((r.offset, r.length))
+        assert len(r.ids) == 4 * r.length
     want = defaultdict(list)
     for doc, text in texts:
         want[doc].append(reference.encode(text or "", add_special_tokens=False).ids + [1])
@@ -52,6 +59,7 @@ def check_packing(rows, texts):
     for doc, lists in want.items():
         got = sorted((p.start, bytes(p.ids)) for p in pieces[doc])
         assert sum(len(x) // 4 for _, x in got) == sum(map(len, lists))
+        assert {p.doc_tokens for p in pieces[doc]} == set(map(len, lists))
         if len(lists) == 1:
             assert b"".join(x for _, x in got) == struct.pack(f"<{len(lists[0])}I", *lists[0])
     for spans in sequences.values():
@@ -60,14 +68,37 @@ def check_packing(rows, texts):
             assert offset == at
             at += n
         assert at == 2048 or at & (at - 1) == 0
+    # little padding: nearly all sequences are full
+    total = sum(len(x) for lists in want.values() for x in lists)
+    assert len(sequences) <= total // 2048 + 11 * (1 + max(sequences, default=0) // (1 << 36) + 1)
 
 
 def test_packing_holds_every_id_once(odd, spark, sf):
-    options = {"vocabulary": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
-    check_packing(packing.pack_documents(odd, **options).collect(), ODD)
+    check_packing(packing.pack_documents(odd, **VOCABULARY).collect(), ODD)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    check_packing(packing.pack_documents(docs, **options).collect(), [tuple(r) for r in docs.collect()])
-    assert packing.pack_documents(odd.limit(0), **options).count() == 0
+    check_packing(packing.pack_documents(docs, **VOCABULARY).collect(), [tuple(r) for r in docs.collect()])
+    assert packing.pack_documents(odd.limit(0), **VOCABULARY).count() == 0
+
+
+def test_stretches_have_like_bytes(spark, sf, monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH_BYTES", 20_000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    copies = spark.range(100).selectExpr("id + 10000 as doc_id", "repeat('copy of one text ', 200) as text")
+    rows = packing.pack_documents(docs.union(copies), **VOCABULARY).collect()
+    held = defaultdict(int)
+    for r in rows:
+        held[r.sequence_id >> 36] += r.length
+    longest = max(r.doc_tokens for r in rows)
+    assert len(held) > 10 and max(held.values()) < longest + 4 * sum(held.values()) / len(held)
+    check_packing(rows, [tuple(r) for r in docs.union(copies).collect()])
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_stretches_by_sorted_cuts(seed):
+    r = np.random.default_rng(seed)
+    cuts = np.array(sorted(map(tuple, r.integers(0, 5, (6, 2)).tolist())))
+    curve, doc = r.integers(0, 5, 50), r.integers(0, 5, 50)
+    assert packing._stretches(curve, doc, cuts).tolist() == [sum(tuple(c) <= (a, b) for c in cuts.tolist()) for a, b in zip(curve, doc, strict=True)]
 
 
 @settings(max_examples=200, deadline=None)
@@ -105,6 +136,43 @@ def test_quality_learns_from_labels(spark):
     assert right > 0.93
 
 
+def plain_statistics(text):
+    """The statistics of one text by Python's own means."""
+    data, words = text.encode(), re.findall(rb"[^\x20\x09-\x0d]+", text.encode())
+    n, size = max(len(words), 1), max(len(data), 1)
+    upper, lower = (lambda c: "A" <= c <= "Z" or "\xc0" <= c < "\xdf"), (lambda c: "a" <= c <= "z" or "\xdf" <= c <= "\xff")
+    letters = [c for c in text if upper(c) or lower(c)]
+    grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    angle = lambda a, b: math.asin(math.sqrt(min(1, a / max(b, 1))))
+    shape = [[c for c in w.decode() if upper(c) or lower(c)] for w in words]
+    caps = [x for x in shape if len(x) >= 2 and all(map(upper, x))]
+    packed = len(zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=False).compress(data))
+    return [
+        math.log1p(len(words)), math.log1p(len(data) / n), angle(sum(map(upper, letters)), len(letters)), math.sqrt(text.count("!") / n),
+        angle(sum("!" <= c <= "~" and not c.isalnum() and c not in ".,!" for c in text), size), angle(sum("0" <= c <= "9" for c in text), size), math.sqrt(text.count("\n") / n),
+        len(set(words)) / max(math.sqrt(len(words)), 1) / 10, angle(sum(a == b for a, b in zip(words, words[1:], strict=False)), len(words)), angle(len(set(grams)), len(grams)),
+        math.log((packed + 20) / (len(data) + 20)), math.log1p(max(map(len, ("\n" + text).encode().split(b"\n")[1:])) + 1 if text else 1), angle(len(caps), len(words)), angle(sum(not x for x in shape), len(words)),
+    ]
+
+
+def test_quality_by_plain_statistics_and_solves(spark, sf):
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    x = {i: np.array(plain_statistics(t)) for i, t in docs}
+    assert np.allclose(quality.statistics([t.encode() for _, t in docs]), np.array([x[i] for i, _ in docs]), atol=1e-9)
+    logs = []
+    for c in (0, 1):
+        own = np.array([x[i] for i, _ in docs if labels.get(i) == c])
+        mean, d = own.mean(axis=0), own.shape[1]
+        cov = (own - mean).T @ (own - mean) / len(own)
+        cov = 0.95 * cov + 0.05 * np.diag(np.diag(cov)) + 1e-4 * np.eye(d)
+        logs.append({i: -0.5 * (v - mean) @ np.linalg.solve(cov, v - mean) - 0.5 * np.linalg.slogdet(cov)[1] + math.log(len(own)) for i, v in x.items()})
+    got = {r.doc_id: r for r in queries.op5_quality(spark, sf).collect()}
+    for i, _ in docs:
+        p = 1 / (1 + math.exp(min(50, max(-50, logs[0][i] - logs[1][i]))))
+        assert abs(got[i].score - p) < 1e-5 and got[i].predicted == int(got[i].score >= 0.7) and got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
 def test_quality_of_odd_rows_and_missing_labels(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1), (5, 0), (6, None), (99, 1)], "doc_id long, quality int")
     scores = quality.score_documents(odd, labels)
@@ -136,6 +204,31 @@ def test_language_by_compression(spark, odd, empty):
     assert language_id.identify(empty, learnt).count() == 0
 
 
+def test_language_by_a_plain_loop(spark, sf):
+    rows = [r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("crc32(cast(doc_id as string)) % 4 <> 2")
+    words = language_id.learn(docs)
+    assert set(words) == {r.lang for r in rows if r.lang} and all(0 < len(w) <= 98_304 for w in words.values())
+    got = {r.doc_id: r for r in queries.op6_compression_language(spark, sf).collect()}
+    for r in rows[:60]:
+        data, sizes = (r.text or "").lower().encode(), {}
+        for lang, w in words.items():
+            squeeze = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(w.ljust(16, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(squeeze.compress(data[i : i + 2048])) for i in range(0, len(data), 2048))
+        best = min(sizes, key=lambda k: (sizes[k], k)) if any(map(str.isalpha, r.text or "")) else "und"
+        assert got[r.doc_id].lang_pred == best
+        if best != "und":
+            least, second = sorted(sizes.values())[:2]
+            assert got[r.doc_id].rejected == ((second - least) / least < 0.01)
+
+
+def test_languages_on_a_tie_and_too_many(spark):
+    docs = spark.createDataFrame([(i, "some words to learn", f"l{i % 7}") for i in range(40)], "doc_id long, text string, lang string")
+    assert sorted(language_id.learn(docs, max_languages=3)) == ["l0", "l1", "l2"]
+    found = language_id.identify(docs, {"b": b"same words here", "a": b"same words here"}).collect()
+    assert {(r.lang_pred, r.rejected, r.score) for r in found} == {("a", True, 0.5)}
+
+
 def adpcm_by_hand(data, block):
     out = []
     for at in range(0, len(data), block):
@@ -165,15 +258,26 @@ def test_telephony_codecs():
 
 
 def test_media_round_trip(spark, odd, empty):
-    rows = media.decode_telephony(media.store_texts(odd)).collect()
-    want = sorted(((t or "").encode() for _, t in ODD), key=len)
-    got = sorted(rows, key=lambda r: r.n_bytes)
-    for data, r in zip(want, got, strict=True):
+    texts = [*ODD, *((100 + i, f"text {i} " * (i % 9)) for i in range(40))]
+    docs = spark.createDataFrame(texts, SCHEMA)
+    rows, codecs = media.decode_telephony(media.store_texts(docs)).collect(), set()
+    for (_, text), r in zip(sorted(texts, key=repr), sorted(rows, key=lambda r: repr((r.doc_id, dict(texts)[r.doc_id]))), strict=True):
+        data = (text or "").encode()
         padded = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(data), len(padded), zlib.crc32(padded[-64:]))
-        assert len(r.pcm) == 4 * len(padded)
+        assert r.payload_sha256 == hashlib.sha256(padded).hexdigest()
+        file = media.wav(padded, r.codec, block=64 if r.codec == media.ADPCM else 1)
+        assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
+        pcm = adpcm_by_hand(padded, 64) if r.codec == media.ADPCM else [int(media.TABLES[r.codec][b]) for b in padded]
+        wide = [x for a, b in zip(pcm, [*pcm[1:], pcm[-1]], strict=True) for x in (a, (a + b) >> 1)]
+        assert bytes(r.pcm) == struct.pack(f"<{len(wide)}h", *wide)
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(wide, wide[1:], strict=False))
+        assert r.feature == f"n={len(wide)};peak={max(map(abs, wide))};ms={sum(x * x for x in wide) // len(wide)};zc={crossings};crc={zlib.crc32(bytes(r.pcm))}"
+        codecs.add(r.codec)
+    assert codecs == {media.MU_LAW, media.A_LAW, media.ADPCM}
     assert len({(r.payload_sha256, r.feature) for r in rows if r.doc_id in (6, 7)}) == 1
     assert media.decode_telephony(media.store_texts(empty)).count() == 0
+    assert media.decode_telephony(media.store_texts(odd), keep_pcm=False).columns[-1] == "feature"
     broken = spark.createDataFrame([(1, None), (2, b"no wav")], "doc_id long, media binary")
     assert all(r.codec is None and r.feature is None for r in media.decode_telephony(broken).collect())
 
@@ -204,6 +308,34 @@ def test_layouts_by_fingerprint(spark):
     assert chat_format.parse(out[3].formatted) == [("user", "add\n\n1 2"), ("assistant", "3")]
 
 
+def test_layouts_leave_further_fields_out(spark):
+    user, both = [("user", "hi")], [("user", "hi"), ("assistant", "ho")]
+    rows = [
+        ('{"id": 7, "messages": [{"role": "user", "content": "hi", "name": "Ann"}], "meta": {"a": [1]}}', "messages", user),
+        ('{"instruction": "hi", "output": "ho", "source": "web", "input": ""}', "instruction", both),
+        ('{"system": "be kind", "conversations": [{"from": "human", "value": "hi", "weight": 1}]}', "conversations", [("system", "be kind"), *user]),
+        ('{"prompt": "hi", "messages": [{"role": "user", "content": "hi"}]}', "messages", user),
+        ('{"messages": [{"role": "user", "content": [{"type": "text", "text": "hi"}, {"type": "image", "url": "x"}, {"type": "text", "text": "you"}]}]}', "messages", [("user", "hi\\nyou")]),
+        ('{"messages": [{"role": "user", "content": [{"type": "image", "url": "x"}]}, {"role": "assistant", "content": null}]}', "messages", [("user", ""), ("assistant", "")]),
+        ('{"messages": [{"role": "user", "text": "hi"}]}', None, []),
+        ('{"messages": "hi"}', None, []),
+        ('{"messages": [{"role": "user", "content": 7}]}', None, []),
+        ('{"system": null, "question": "hi", "answer": "ho", "id": null}', "question", both),
+    ]
+    table = spark.createDataFrame([(i, r.replace("\\\\n", "\\n")) for i, (r, _, _) in enumerate(rows)], "conv_id long, record string")
+    formatted = chat_format.format_chats(table)
+    for r in formatted.collect():
+        _, layout, turns = rows[r.conv_id]
+        assert (r.layout, chat_format.parse(r.formatted)) == (layout, [(a, b.replace("\\n", "\n")) for a, b in turns])
+    assert sum(r.n for r in chat_format.unknown_layouts(formatted).collect()) == 3
+
+
+def test_a_long_conversation(spark):
+    turns = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", "long text " * 300) for i in range(400)], "conv_id long, turn long, role string, text string")
+    out = chat_format.digest(chat_format.format_chats(chat_format.records_from_turns(turns))).first()
+    assert (out.n_turns, out.loss_chars) == (400, 200 * 3000)
+
+
 def test_chat_of_odd_turns(spark):
     rows = [(1, 0, None, None), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (2, 0, "user", "x"), (2, 1, "assistant", "<|im_end|>"), (None, 0, "user", "y")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as record", "2 as t")
