@@ -21,10 +21,13 @@ def without_thinking(text: Column) -> Column:
     return strip(replace_all(F.substring_index(text, "</think>", -1), [("<answer>", ""), ("</answer>", "")]))
 
 
+NUMBER = r"[-+]?(?:\d*\.\d+|\d+)"
+
+
 def last_number(text: Column) -> Column:
-    """The last number of a text, thousands commas dropped; the whole text without any."""
+    """The last number of a text with its sign, thousands commas dropped; the whole text without any."""
     plain = F.regexp_replace(text, r"(\d),(\d)", "$1$2")
-    found = F.regexp_extract_all(plain, F.lit(r"[-+]?\d*\.\d+|\d+"), F.lit(0))
+    found = F.regexp_extract_all(plain, F.lit(NUMBER), F.lit(0))
     return F.when(F.size(found) > 0, F.element_at(found, -1)).otherwise(plain)
 
 
@@ -59,16 +62,15 @@ def best_f1(text: Column, labels: Column) -> Column:
 
 
 def answer_match(text: Column, label: Column) -> Column:
-    """Normalised equality with what follows `The answer is`, as far as the first full stop or line end."""
-    said = F.regexp_replace(strip(F.substring_index(text, "The answer is ", -1)), r"\.$", "")
-    return score(normalized(said) == normalized(label))
+    """Normalised equality with what follows the last `The answer is: `, or with the whole text without it."""
+    return score(normalized(F.substring_index(text, "The answer is: ", -1)) == normalized(label))
 
 
 def tagged_match(text: Column, label: Column, tag: str = "answer") -> Column:
-    """Normalised equality with the last tagged part, or with the whole text without tags."""
-    found = F.regexp_extract_all(text, F.lit(f"(?is)<{tag}>(.*?)</{tag}>"), F.lit(1))
-    said = F.when(F.size(found) > 0, F.element_at(found, -1)).otherwise(text)
-    return score(normalized(said) == normalized(label))
+    """Normalised equality with what follows the last opening tag, as far as the closing one; 0 unless both tags are there."""
+    both = (F.instr(text, f"<{tag}>") > 0) & (F.instr(text, f"</{tag}>") > 0)
+    said = F.substring_index(F.substring_index(text, f"<{tag}>", -1), f"</{tag}>", 1)
+    return score(both & (normalized(said) == normalized(label)))
 
 
 def puzzle_match(text: Column, label: Column) -> Column:
@@ -82,14 +84,20 @@ def finish_f1(text: Column, label: Column) -> Column:
     return F.when(~tagged, 0.0).when(f1 > 0, f1).otherwise(0.1)
 
 
-def any_label_match(text: Column, labels: Column, tag: str = "answer") -> Column:
-    said = normalized(F.regexp_extract(text, f"(?is)<{tag}>(.*?)</{tag}>", 1))
-    return score((said != "") & F.exists(labels, lambda x: normalized(x) == said))
+def any_label_match(text: Column, labels: Column, tag: str = "finish") -> Column:
+    """Normalised equality of the first tagged part, unless it is blank, with any of an array of labels; tags in any case."""
+    said = F.regexp_extract(text, f"(?is)<{tag}>(.*?)</{tag}>", 1)
+    return score((strip(said) != "") & F.exists(labels, lambda x: normalized(x) == normalized(said)))
+
+
+def max_length(n: Column, wanted: Column, longest: float) -> Column:
+    """1 less the distance from the wanted length, as a share of the configured longest; it may get negative."""
+    return 1.0 - F.abs(n - wanted) / longest
 
 
-def max_length(n: Column, limit: Column) -> Column:
-    """1 for texts of at most the limit, falling in proportion beyond it; it may get negative."""
-    return F.when(n <= limit, 1.0).otherwise(1.0 - (n - limit) / limit)
+def up_to_max_length(n: Column, wanted: Column, longest: float) -> Column:
+    """1 for fewer than the wanted length, else less what is over, as a share of the configured longest; it may get negative."""
+    return F.when(n < wanted, 1.0).otherwise(1.0 - (n - wanted) / longest)
 
 
 def soft_format(text: Column) -> Column:

@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import has_keyword, names_provider
+from tessella.functions.text import SPECIAL_TOKENS, has_keyword, names_provider, replace_all
 
-# Role names of other layouts.
-ROLE_ALIASES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+# Roles and how they are shown.
+SHOWN = {"user": "User", "human": "User", "assistant": "Assistant", "ai": "Assistant"}
 CTRL_C = r"(?i)\x03|ctrl[_-]?c"
 
 
@@ -37,12 +37,14 @@ def flags(turns: DataFrame) -> DataFrame:
 
 
 def render(turns: DataFrame) -> DataFrame:
-    """`Role: text` paragraphs of each conversation in order; blank turns are left out."""
-    role = F.lower("role")
-    for other, usual in ROLE_ALIASES.items():
-        role = F.when(role == other, usual).otherwise(role)
-    said = F.concat(F.initcap(role), F.lit(": "), F.trim("text"))
-    rows = turns.filter(F.trim("text") != "").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", said.alias("said")))).alias("t"))
+    """`Role: text` paragraphs of each conversation in order, without special tokens; null and empty texts are left out, blank ones
+    are not. Other roles are shown by name, the first letter large."""
+    role = F.lower(F.coalesce("role", F.lit("")))
+    shown = F.concat(F.upper(F.substring(role, 1, 1)), F.substring(role, 2, 1 << 30))
+    for name, as_ in SHOWN.items():
+        shown = F.when(role == name, as_).otherwise(shown)
+    said = F.concat(shown, F.lit(": "), replace_all(F.col("text"), SPECIAL_TOKENS))
+    rows = turns.filter("text <> ''").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", said.alias("said")))).alias("t"))
     return rows.select("conv_id", F.array_join(F.transform("t", lambda x: x["said"]), "\n\n").alias("text"))
 
 

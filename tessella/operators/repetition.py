@@ -5,26 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import is_code_fragment, is_complex_math, is_math_or_code, is_multi_line, is_structured_list, is_transition, once, paragraphs, sentences
+from tessella.functions.text import is_code_fragment, is_complex_math, is_math_or_code, is_multi_line, is_short_phrase, is_structured_list, is_transition, once, paragraphs, sentences
 
 #: Shortest block that counts, by kind: for any repetition and for consecutive ones.
 LEAST = {"line": (5, 10), "paragraph": (10, 20)}
 
 
+#: Repeats that count, for (paragraphs, sentences anywhere, sentences in a run): the usual setting, and that of a first look.
+USUAL, FIRST_LOOK = (10, 40, 4), (25, 40, 20)
+
+
 def blocks(docs: DataFrame, kind: str, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, pos, item): sentences or paragraphs of `least` characters or more with their places among all."""
+    """(doc_id, listed, pos, item): sentences or paragraphs of `least` characters or more with their places among all; listed:
+    whether the whole text is a list."""
     split = sentences(F.col(text_col)) if kind == "line" else paragraphs(F.col(text_col))
     # only documents with some block twice are exploded
-    some = docs.select(F.col(id_col).alias("doc_id"), split.alias("items")).filter(F.size(F.array_distinct("items")) < F.size("items"))
-    return some.select("doc_id", F.posexplode("items").alias("pos", "item")).filter(F.length("item") >= least)
+    some = docs.select(F.col(id_col).alias("doc_id"), split.alias("items"), F.col(text_col).alias("whole")).filter(F.size(F.array_distinct("items")) < F.size("items"))
+    listed = some.select("doc_id", "items", once(is_structured_list(F.col("whole"))).alias("listed"))
+    return listed.select("doc_id", "listed", F.posexplode("items").alias("pos", "item")).filter(F.length("item") >= least)
 
 
 def repetitions(docs: DataFrame, kind: str, **columns: str) -> DataFrame:
-    """(doc_id, item, total, consecutive, first_pos): blocks that occur twice or more, with the longest consecutive run."""
+    """(doc_id, item, total, consecutive, first_pos, listed): blocks that occur twice or more, with the longest consecutive run."""
     rows = blocks(docs, kind, LEAST[kind][0], **columns)
     place = Window.partitionBy("doc_id", "item").orderBy("pos")
-    runs = rows.withColumn("run", F.col("pos") - F.row_number().over(place)).groupBy("doc_id", "item", "run").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    return runs.groupBy("doc_id", "item").agg(F.sum("n").alias("total"), F.max("n").alias("consecutive"), F.min("first").cast("long").alias("first_pos")).filter("total > 1")
+    runs = rows.withColumn("run", F.col("pos") - F.row_number().over(place)).groupBy("doc_id", "item", "run").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("listed").alias("listed"))
+    return runs.groupBy("doc_id", "item").agg(F.sum("n").alias("total"), F.max("n").alias("consecutive"), F.min("first").cast("long").alias("first_pos"), F.max("listed").alias("listed")).filter("total > 1")
 
 
 def consecutive_repetitions(docs: DataFrame, kind: str, **columns: str) -> DataFrame:
@@ -47,22 +53,40 @@ def ngram_repetitions(docs: DataFrame, n: int = 3, least: int = 2, id_col: str =
     return found.groupBy("doc_id", "ngram").agg(F.count("*").alias("n"), F.min("pos").cast("long").alias("first_pos")).filter(F.col("n") >= least)
 
 
-def block_verdict(docs: DataFrame, consecutive: int = 10, total: int = 40, **columns: str) -> DataFrame:
-    """(doc_id, has_repetition, reason, example) of every document: the first block over its thresholds, paragraphs before sentences.
+def block_verdict(docs: DataFrame, paragraphs: int = USUAL[0], anywhere: int = USUAL[1], in_run: int = USUAL[2], **columns: str) -> DataFrame:
+    """(doc_id, has_repetition, repetition_reason, repetition_examples) of every document: the first block that is repeated too often,
+    paragraphs before sentences; without one the reason is "" and there are no examples.
 
-    Code, mathematics and lists may repeat more often: their thresholds are doubled, those of multi-line paragraphs four
-    times as high; transition words never count.
+    Code, complex mathematics and transition words never count. Thresholds are three times as high where the whole text is a
+    list, twice as high for blocks with mathematics, four times for paragraphs of several lines; the highest factor holds. A
+    paragraph that is never next to itself needs 20 characters and twice the repeats, 30 at most. Sentences of one word never
+    count; short phrases count in runs of twice in_run alone, whatever else they are.
     """
-
-    def judged(kind: str, order: int) -> DataFrame:
-        item = F.col("item")
-        factor: Column = F.when(is_multi_line(item), 4).when(is_math_or_code(item) | is_code_fragment(item) | is_complex_math(item) | is_structured_list(item), 2).otherwise(1)
-        rows = repetitions(docs, kind, **columns).filter(~is_transition(item)).withColumn("f", factor)
-        over_run, over_all = F.col("consecutive") >= F.lit(consecutive) * F.col("f"), F.col("total") >= F.lit(total) * F.col("f")
-        reason = F.when(over_run, F.concat(F.lit(f"consecutive_{kind}_repeated_"), F.col("consecutive"), F.lit("x"))).when(over_all, F.concat(F.lit(f"total_{kind}_repeated_"), F.col("total"), F.lit("x")))
+    item, total, run = F.col("item"), F.col("total"), F.col("consecutive")
+    ignored = is_code_fragment(item) | is_complex_math(item) | is_transition(item)
+    listed, mathematical = F.when(F.col("listed"), 3).otherwise(1), F.when(is_math_or_code(item), 2).otherwise(1)
+
+    due = paragraphs * F.greatest(listed, F.when(is_multi_line(item), 4).otherwise(1), mathematical)
+    due = F.when(run == 1, F.least(due * 2, F.lit(30))).otherwise(due)
+    scattered = (run == 1) & (F.length(item) < 20)
+    of_paragraph = F.when(~ignored & ~scattered & (total >= due), F.concat(F.lit("paragraph_repeated_"), total, F.lit("x")))
+
+    factor, said = F.greatest(mathematical, listed), F.concat(F.lit("line_repeated_"), total, F.lit("x"))
+    of_line = (
+        F.when(~item.rlike(r"\s"), F.lit(None))
+        .when(is_short_phrase(item), F.when(run >= in_run * 2, F.concat(said, F.lit("_consecutive_short_phrase"))))
+        .when(ignored, F.lit(None))
+        .when((run >= in_run * factor) & (F.length(item) >= 5), F.concat(said, F.lit("_consecutive")))
+        .when((total >= anywhere * factor) & (F.length(item) >= 10), said)
+    )
+
+    def judged(kind: str, order: int, least: int, reason: Column) -> DataFrame:
+        # what has too few repeats for any rule isn't matched against patterns
+        rows = repetitions(docs, kind, **columns).filter(F.col("total") >= least)
         return rows.select("doc_id", F.lit(order).alias("kind"), "first_pos", reason.alias("reason"), "item").filter("reason is not null")
 
-    found = judged("paragraph", 0).union(judged("line", 1)).groupBy("doc_id").agg(F.min(F.struct("kind", "first_pos", "reason", "item")).alias("m"))
-    key = columns.get("id_col", "doc_id")
-    ids = docs.select(F.col(key).alias("doc_id"))
-    return ids.join(found, "doc_id", "left").select("doc_id", F.col("m").isNotNull().alias("has_repetition"), F.col("m.reason").alias("reason"), F.col("m.item").alias("example"))
+    found = judged("paragraph", 0, paragraphs, of_paragraph).union(judged("line", 1, min(anywhere, in_run), of_line))
+    found = found.groupBy("doc_id").agg(F.min(F.struct("kind", "first_pos", "reason", "item")).alias("m"))
+    ids = docs.select(F.col(columns.get("id_col", "doc_id")).alias("doc_id"))
+    examples = F.when(F.col("m").isNull(), F.array().cast("array<string>")).otherwise(F.array("m.item"))
+    return ids.join(found, "doc_id", "left").select("doc_id", F.col("m").isNotNull().alias("has_repetition"), F.coalesce("m.reason", F.lit("")).alias("repetition_reason"), examples.alias("repetition_examples"))

@@ -47,12 +47,13 @@ def f04_code_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.is_code_fragment(F.col("html")).alias("found"))
 
 
-PHRASES = ["not sure", "so", "it", "is", "no", "wait", "yes", "okay"]
+PHRASE_SQL = f"(len(list_filter([{', '.join(map(lit, T.SHORT_PHRASES))}], lambda p: contains(lower({strip_sql('text')}), p))) > 0 OR (regexp_matches({strip_sql('text')}, {lit(T.COMPARISON)}) AND NOT regexp_matches(lower(text), {lit('|'.join(T.CODE_WORDS))})))"
 
 
-@query("SELECT conv_id, turn, " + " OR ".join(f"contains(lower({strip_sql('text')}), {lit(p)})" for p in PHRASES) + " AS found FROM conversations")
+@query(f"SELECT conv_id, turn, {PHRASE_SQL} AS found FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'cx < dz' WHEN 1 THEN text[:9] ELSE text END AS text FROM conversations)")
 def f05_short_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.contains_any(F.col("text"), PHRASES).alias("found"))
+    text = F.when(F.col("turn") % 3 == 0, "cx < dz").when(F.col("turn") % 3 == 1, F.substring("text", 1, 9)).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_short_phrase(text).alias("found"))
 
 
 @query(f"SELECT page_id, regexp_matches(html, {lit(T.one_pattern(T.COMPLEX_MATH))}) AS found FROM pages")
@@ -79,7 +80,7 @@ def f09_consecutive_repetitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {blocks_sql('[.!?]+', 5)} SELECT doc_id, item, sum(n)::BIGINT AS total, max(n) AS consecutive, min(first) AS first_pos FROM g GROUP BY doc_id, item HAVING sum(n) > 1")
 def f10_all_repetitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetitions(table(spark, sf_dir, "documents"), "line")
+    return repetition.repetitions(table(spark, sf_dir, "documents"), "line").drop("listed")
 
 
 @query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents),
@@ -89,26 +90,48 @@ def f11_ngram_repetitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.ngram_repetitions(table(spark, sf_dir, "documents"))
 
 
-def verdict_sql(consecutive: int, total: int) -> str:
-    factor = f"CASE WHEN contains({strip_sql('text')}, chr(10)) THEN 4 WHEN {MATH_SQL} OR {SINGLE_SQL} OR regexp_matches(text, {lit(T.one_pattern(T.COMPLEX_MATH))}) OR {LIST_SQL} THEN 2 ELSE 1 END"
+def verdict_sql(paragraphs: int, anywhere: int, in_run: int) -> str:
+    of = lambda rule: f"({rule.replace('text', 'item')})"
+    ignored = f"({of(SINGLE_SQL)} OR regexp_matches(item, {lit(T.one_pattern(T.COMPLEX_MATH))}) OR lower({strip_sql('item')}) IN ({', '.join(map(lit, T.TRANSITIONS))}))"
+    listed, math = "(CASE WHEN listed THEN 3 ELSE 1 END)", f"(CASE WHEN {of(MATH_SQL)} THEN 2 ELSE 1 END)"
 
-    def judged(pattern: str, least: int, kind: str, order: int) -> str:
-        return f"""SELECT doc_id, {order} AS kind, first_pos, item, CASE WHEN consecutive >= {consecutive} * f THEN 'consecutive_{kind}_repeated_' || consecutive || 'x' WHEN total >= {total} * f THEN 'total_{kind}_repeated_' || total || 'x' END AS reason
-  FROM (SELECT *, {factor.replace('text', 'item')} AS f FROM (WITH {blocks_sql(pattern, least)} SELECT doc_id, item, sum(n)::BIGINT AS total, max(n) AS consecutive, min(first) AS first_pos FROM g GROUP BY doc_id, item HAVING sum(n) > 1) WHERE lower({strip_sql('item')}) NOT IN ({', '.join(map(lit, T.TRANSITIONS))}))"""
+    def repeated(pattern: str, least: int) -> str:
+        return f"SELECT g.doc_id, item, sum(n)::BIGINT AS total, max(n) AS run, min(first) AS first_pos, any_value(listed) AS listed FROM g JOIN ({LISTED}) USING (doc_id) GROUP BY g.doc_id, item HAVING sum(n) > 1"
 
-    return f"WITH j AS ({judged(chr(10) * 2, 10, 'paragraph', 0)} UNION ALL {judged('[.!?]+', 5, 'line', 1)}), m AS (SELECT doc_id, reason, item FROM j WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY kind, first_pos) = 1)\n"
+    return f"""WITH w AS (SELECT * FROM (WITH {blocks_sql(chr(10) * 2, 10)} {repeated(chr(10) * 2, 10)})), l AS (SELECT * FROM (WITH {blocks_sql('[.!?]+', 5)} {repeated('[.!?]+', 5)})),
+  wd AS (SELECT *, {paragraphs} * greatest({listed}, CASE WHEN contains({strip_sql('item')}, chr(10)) THEN 4 ELSE 1 END, {math}) AS due FROM w),
+  j AS (SELECT doc_id, 0 AS kind, first_pos, item, 'paragraph_repeated_' || total || 'x' AS reason FROM wd WHERE NOT {ignored} AND NOT (run = 1 AND length(item) < 20) AND total >= CASE WHEN run = 1 THEN least(due * 2, 30) ELSE due END
+    UNION ALL SELECT doc_id, 1, first_pos, item, CASE WHEN NOT regexp_matches(item, '\\s') THEN NULL WHEN {of(PHRASE_SQL)} THEN CASE WHEN run >= {2 * in_run} THEN 'line_repeated_' || total || 'x_consecutive_short_phrase' END
+      WHEN {ignored} THEN NULL WHEN run >= {in_run} * greatest({math}, {listed}) AND length(item) >= 5 THEN 'line_repeated_' || total || 'x_consecutive'
+      WHEN total >= {anywhere} * greatest({math}, {listed}) AND length(item) >= 10 THEN 'line_repeated_' || total || 'x' END FROM l),
+  m AS (SELECT doc_id, reason, item FROM j WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY kind, first_pos) = 1)
+"""
 
 
-@query(verdict_sql(3, 5) + "SELECT doc_id, reason IS NOT NULL AS has_repetition, reason, item AS example FROM documents LEFT JOIN m USING (doc_id)")
+LISTED = f"SELECT doc_id, {LIST_SQL} AS listed FROM documents"
+_VERDICT = "SELECT doc_id, reason IS NOT NULL AS has_repetition, coalesce(reason, '') AS repetition_reason, coalesce(item, '') AS example FROM documents LEFT JOIN m USING (doc_id)"
+
+
+def _verdict(docs: DataFrame, thresholds: tuple[int, int, int]) -> DataFrame:
+    return repetition.block_verdict(docs, *thresholds).select("doc_id", "has_repetition", "repetition_reason", F.array_join("repetition_examples", "").alias("example"))
+
+
+@query(verdict_sql(*repetition.USUAL) + _VERDICT)
 def f12_f13_block_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.block_verdict(table(spark, sf_dir, "documents"), 3, 5)
+    return _verdict(table(spark, sf_dir, "documents"), repetition.USUAL)
 
 
-@query(verdict_sql(3, 5) + "SELECT source, split_part(reason, '_', 2) AS kind, count(*) AS n FROM documents JOIN m USING (doc_id) GROUP BY ALL")
+@query(verdict_sql(*repetition.FIRST_LOOK) + _VERDICT)
+def f12_f13_block_verdict_first_look(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verdict(table(spark, sf_dir, "documents"), repetition.FIRST_LOOK)
+
+
+@query(verdict_sql(3, 4, 2) + "SELECT source, regexp_replace(reason, '[0-9]+', 'N') AS reason, count(*) AS n FROM documents JOIN m USING (doc_id) GROUP BY ALL")
 def f14_reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = repetition.block_verdict(docs, 3, 5).filter("has_repetition")
-    return docs.select("doc_id", "source").join(found, "doc_id").groupBy("source", F.split_part("reason", F.lit("_"), F.lit(2)).alias("kind")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source", "kind")
+    found = repetition.block_verdict(docs, 3, 4, 2).filter("has_repetition")
+    reason = F.regexp_replace("repetition_reason", "[0-9]+", "N").alias("reason")
+    return docs.select("doc_id", "source").join(found, "doc_id").groupBy("source", reason).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source", "reason")
 
 
 @query("SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
@@ -127,15 +150,22 @@ def f16_f17_han_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", ratio.alias("ratio"), (ratio >= 0.05).alias("dropped"))
 
 
-_THOUGHT = "CASE turn % 3 WHEN 0 THEN '<think>' || text || '</think> rest' WHEN 1 THEN '<think>a</think> <answer>' || text || '</answer>' ELSE text END"
+_THOUGHT = "CASE turn % 3 WHEN 0 THEN '<think>' || text || '</think> rest' WHEN 1 THEN '<think>a</think>' || CASE conv_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN chr(10) ELSE '' END || '<answer>' || text || '</answer>' ELSE ' ' || text || '</think>' END"
+
+
+def _lined(x: str) -> str:
+    return f"CASE WHEN contains({x}, '</think>' || chr(10)) THEN {x} ELSE replace({x}, '</think>', '</think>' || chr(10)) END"
+
+
+_OPENED = f"(CASE WHEN contains(t, '<answer>') THEN {_lined('t')} ELSE replace({_lined('t')}, '</think>', '</think>' || chr(10) || '<answer>') END)"
 
 
 @query(f"""WITH t AS (SELECT conv_id, turn, {_THOUGHT} AS t FROM conversations)
-SELECT conv_id, turn, regexp_matches(t, '(?s)^<think>.*?</think>.*$') AS think, regexp_matches(t, '(?s)^<think>.*?</think>\\s*<answer>.*</answer>$') AS both,
-  md5(CASE WHEN contains(t, '<answer>') THEN t ELSE replace(t, '</think>', '</think>' || chr(10) || '<answer>') || '</answer>' END) AS added, md5(replace(replace(t, '<answer>', ''), '</answer>', '')) AS removed,
+SELECT conv_id, turn, regexp_full_match(t, '(?s)<think>.*?</think>.*?') AS think, regexp_full_match(t, '(?s)<think>.*?</think><answer>.*?</answer>') AS both,
+  md5(CASE WHEN ends_with({_OPENED}, '</answer>') THEN {_OPENED} ELSE {_OPENED} || chr(10) || '</answer>' END) AS added, md5({_lined(strip_sql("replace(replace(t, '<answer>', ''), '</answer>', '')"))}) AS removed,
   md5(replace(replace(replace(replace(t, '<think>', chr(10)), '</think>', ''), '<answer>', chr(10) || chr(10)), '</answer>', '')) AS bare FROM t""")
 def f18_f19_f26_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("<think>"), "text", F.lit("</think> rest"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("<think>a</think> <answer>"), "text", F.lit("</answer>"))).otherwise(F.col("text"))
+    marked = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("<think>"), "text", F.lit("</think> rest"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("<think>a</think>"), F.get(F.array(F.lit(" "), F.lit("\n"), F.lit("")), (F.col("conv_id") % 3).cast("int")), F.lit("<answer>"), "text", F.lit("</answer>"))).otherwise(F.concat(F.lit(" "), "text", F.lit("</think>")))
     t = F.col("t")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", marked.alias("t"))
     return rows.select("conv_id", "turn", T.is_think(t).alias("think"), T.is_think_answer(t).alias("both"), F.md5(T.add_answer(t)).alias("added"), F.md5(T.remove_answer(t)).alias("removed"), F.md5(T.replace_all(t, T.SPECIAL_TOKENS)).alias("bare"))
@@ -173,9 +203,13 @@ def f23_f24_f25_chat_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.flags(table(spark, sf_dir, "conversations").withColumn("text", named))
 
 
-@query("SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'User: ' WHEN 'assistant' THEN 'Assistant: ' ELSE 'System: ' END || trim(text), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
+@query("""WITH t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 1 THEN 'AI' WHEN 2 THEN 'Human' ELSE role END AS role, CASE turn % 3 WHEN 0 THEN ' <think>' || text || '</think> <answer>yes</answer>' ELSE text END AS text FROM conversations)
+SELECT conv_id, string_agg(CASE WHEN lower(role) IN ('user', 'human') THEN 'User' WHEN lower(role) IN ('assistant', 'ai') THEN 'Assistant' ELSE upper(role[1]) || lower(role[2:]) END || ': ' ||
+  replace(replace(replace(replace(text, '<think>', chr(10)), '</think>', ''), '<answer>', chr(10) || chr(10)), '</answer>', ''), chr(10) || chr(10) ORDER BY turn) AS text FROM t WHERE text <> '' GROUP BY conv_id""")
 def f27_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.render(table(spark, sf_dir, "conversations"))
+    role = F.when(F.col("turn") % 4 == 1, "AI").when(F.col("turn") % 4 == 2, "Human").otherwise(F.col("role"))
+    text = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" <think>"), "text", F.lit("</think> <answer>yes</answer>"))).otherwise(F.col("text"))
+    return chat.render(table(spark, sf_dir, "conversations").withColumns({"role": role, "text": text}))
 
 
 @query("""WITH d AS (SELECT d.*, coalesce(l.toxic, 0) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id))
@@ -209,6 +243,12 @@ def f32_tag_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(~F.arrays_overlap("tags", F.array(F.lit("system"), F.lit("tool")))).select("conv_id")
 
 
+@query(f"SELECT conv_id, bool_or(len(list_filter([{', '.join(lit(k.lower()) for k in T.LEGACY_KEYWORDS)}], lambda k: contains(lower(t), k))) > 0) AS dropped FROM (SELECT conv_id, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN text || ' Napalm GPT-3x' ELSE text END AS t FROM conversations) GROUP BY conv_id")
+def f33_legacy_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") == 1), F.concat("text", F.lit(" Napalm GPT-3x"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(T.has_legacy_keyword(text)).alias("dropped"))
+
+
 @query("SELECT conv_id, bool_and(role = CASE turn % 2 WHEN 0 THEN 'user' ELSE 'assistant' END) AS valid FROM (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn FROM conversations WHERE role <> 'system') GROUP BY conv_id")
 def f34_role_alternation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.alternates(table(spark, sf_dir, "conversations").filter("role <> 'system'"))
@@ -220,11 +260,6 @@ def f35_ctrl_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", chat.has_ctrl_c(sent).alias("found"))
 
 
-@query("SELECT d.doc_id, count(*) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text[:60]) WHERE b.item_id < 20 GROUP BY d.doc_id")
+@query("SELECT d.doc_id, count(*) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY d.doc_id")
 def f36_canary_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").filter("item_id < 20").select(F.substring("text", 1, 60).alias("canary")))
-
-
-@query()
-def f36_canary_guard_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(F.col("text").alias("canary")))

@@ -22,13 +22,13 @@ def said(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as answers: some think first, some tag their answer, and a label that some of them meet."""
     t, n = F.col("text"), F.col("turn") % 4
     head = F.substring("text", 1, 60)
-    text = F.when(n == 0, F.concat(F.lit("<think>x</think> "), head)).when(n == 1, F.concat(F.lit("so <answer>"), head, F.lit("</answer>"))).when(n == 2, F.concat(F.lit("The answer is "), head)).otherwise(F.concat(head, F.lit(" 1,234.5")))
+    text = F.when(n == 0, F.concat(F.lit("<think>x</think> "), head)).when(n == 1, F.concat(F.lit("so <answer>"), head, F.lit("</answer>"))).when(n == 2, F.concat(F.lit("The answer is: "), head)).otherwise(F.concat(head, F.when(F.col("conv_id") % 2 == 0, " 1,234.5").otherwise(" it is -7")))
     label = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("the "), head)).otherwise(F.substring("text", 11, 40))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"), F.when(n == 3, "1234.5").otherwise(label).alias("label"), t.alias("full"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"), F.when(n == 3, F.when(F.col("conv_id") % 2 == 0, "1234.5").otherwise("-7")).otherwise(label).alias("label"), t.alias("full"))
 
 
-SAID = """s AS (SELECT conv_id, turn, text AS "full", CASE turn % 4 WHEN 0 THEN '<think>x</think> ' || text[:60] WHEN 1 THEN 'so <answer>' || text[:60] || '</answer>' WHEN 2 THEN 'The answer is ' || text[:60] ELSE text[:60] || ' 1,234.5' END AS text,
-  CASE WHEN turn % 4 = 3 THEN '1234.5' WHEN conv_id % 2 = 0 THEN 'the ' || text[:60] ELSE text[11:50] END AS label FROM conversations)"""
+SAID = """s AS (SELECT conv_id, turn, text AS "full", CASE turn % 4 WHEN 0 THEN '<think>x</think> ' || text[:60] WHEN 1 THEN 'so <answer>' || text[:60] || '</answer>' WHEN 2 THEN 'The answer is: ' || text[:60] ELSE text[:60] || CASE WHEN conv_id % 2 = 0 THEN ' 1,234.5' ELSE ' it is -7' END END AS text,
+  CASE WHEN turn % 4 = 3 THEN CASE WHEN conv_id % 2 = 0 THEN '1234.5' ELSE '-7' END WHEN conv_id % 2 = 0 THEN 'the ' || text[:60] ELSE text[11:50] END AS label FROM conversations)"""
 AFTER = strip_sql("replace(replace(string_split(text, '</think>')[-1], '<answer>', ''), '</answer>', '')")
 
 
@@ -39,7 +39,7 @@ def v01_v05_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PLAIN = r"regexp_replace(text, '(\d),(\d)', '\1\2', 'g')"
-_NUM = rf"coalesce(regexp_extract_all({_PLAIN}, '[-+]?\d*\.\d+|\d+')[-1], {_PLAIN})"
+_NUM = rf"coalesce(regexp_extract_all({_PLAIN}, '[-+]?(?:\d*\.\d+|\d+)')[-1], {_PLAIN})"
 
 
 @query(f"WITH {SAID} SELECT conv_id, turn, CASE WHEN lower({_NUM}) = lower(label) THEN 1.0 ELSE 0.0 END AS number, CASE WHEN {norm_sql(AFTER)} = {norm_sql('label')} THEN 1.0 ELSE 0.0 END AS puzzle FROM s")
@@ -48,26 +48,52 @@ def v02_v10_number_puzzle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said(spark, sf_dir).select("conv_id", "turn", V.number_match(t, y).alias("number"), V.puzzle_match(t, y).alias("puzzle"))
 
 
-@query(rf"""WITH {SAID}, k AS (SELECT conv_id, turn, text, label, list_filter(string_split({norm_sql('text')}, ' '), lambda x: x <> '') AS a, list_filter(string_split({norm_sql('label')}, ' '), lambda x: x <> '') AS b FROM s),
-  c AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w))))), 0) AS common FROM k)
-SELECT conv_id, turn, CASE WHEN common > 0 THEN 2.0 * common / (len(a) + len(b)) ELSE 0.0 END AS f1 FROM c""")
+def _bag(x: str) -> str:
+    return f"list_filter(string_split({norm_sql(x)}, ' '), lambda x: x <> '')"
+
+
+def _f1(a: str, b: str) -> str:
+    common = f"coalesce(list_sum(list_transform(list_distinct({a}), lambda w: least(len(list_filter({a}, lambda x: x = w)), len(list_filter({b}, lambda x: x = w))))), 0)"
+    return f"CASE WHEN {common} > 0 THEN 2.0 * {common} / (len({a}) + len({b})) ELSE 0.0 END"
+
+
+@query(f"""WITH {SAID}, k AS (SELECT conv_id, turn, {_bag('text')} AS a, {_bag('label')} AS b, {_bag(AFTER)} AS aa, {_bag('"full"[5:44]')} AS c FROM s)
+SELECT conv_id, turn, {_f1('a', 'b')} AS f1, greatest({_f1('aa', 'b')}, {_f1('aa', 'c')}) AS best FROM k""")
 def v06_v09_token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return said(spark, sf_dir).select("conv_id", "turn", V.token_f1(F.col("text"), F.col("label")).alias("f1"))
+    labels = F.array("label", F.substring("full", 5, 40))
+    return said(spark, sf_dir).select("conv_id", "turn", V.token_f1(F.col("text"), F.col("label")).alias("f1"), V.best_f1(F.col("text"), labels).alias("best"))
 
 
-_SAYS = rf"regexp_replace({strip_sql(chr(115) + 'tring_split(text, ' + lit('The answer is ') + ')[-1]')}, '\.$', '')"
-_TAG = r"coalesce(regexp_extract_all(text, '(?is)<answer>(.*?)</answer>', 1)[-1], text)"
+_SAYS = f"string_split(text, {lit('The answer is: ')})[-1]"
+_TAG = "string_split(string_split(text, '<answer>')[-1], '</answer>')[1]"
 
 
-@query(f"WITH {SAID} SELECT conv_id, turn, CASE WHEN {norm_sql(_SAYS)} = {norm_sql('label')} THEN 1.0 ELSE 0.0 END AS answer, CASE WHEN {norm_sql(_TAG)} = {norm_sql('label')} THEN 1.0 ELSE 0.0 END AS tagged FROM s")
-def v07_v08_v12_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"""WITH {SAID} SELECT conv_id, turn, CASE WHEN {norm_sql(_SAYS)} = {norm_sql('label')} THEN 1.0 ELSE 0.0 END AS answer,
+  CASE WHEN contains(text, '<answer>') AND contains(text, '</answer>') AND {norm_sql(_TAG)} = {norm_sql('label')} THEN 1.0 ELSE 0.0 END AS tagged FROM s""")
+def v07_v08_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, y = F.col("text"), F.col("label")
     return said(spark, sf_dir).select("conv_id", "turn", V.answer_match(t, y).alias("answer"), V.tagged_match(t, y).alias("tagged"))
 
 
-@query(rf"SELECT doc_id, CASE WHEN n_chars <= 2000 THEN 1.0 ELSE 1.0 - (n_chars - 2000) / 2000 END AS length, CASE WHEN regexp_matches(text, '(?s)^.*?</think>\s*<answer>.*?</answer>') THEN 1.0 ELSE 0.0 END AS format FROM documents")
+_DONE = "string_split(string_split(text, '</finish>')[1], '<finish>')[-1]"
+
+
+@query(f"""WITH {SAID}, f AS (SELECT conv_id, turn, "full", label, CASE WHEN turn % 4 = 1 THEN replace(replace(text, '<answer>', '<finish>'), '</answer>', '</finish>') WHEN turn % 4 = 2 THEN '<FINISH>' || text || '</Finish>' ELSE text END AS text FROM s),
+  k AS (SELECT conv_id, turn, text, label, "full", {_bag(_DONE)} AS a, {_bag('label')} AS b, regexp_extract(text, '(?is)<finish>(.*?)</finish>', 1) AS found FROM f)
+SELECT conv_id, turn, CASE WHEN NOT contains(text, '<finish>') AND NOT contains(text, '</finish>') THEN 0.0 ELSE greatest(0.1, {_f1('a', 'b')}) END AS f1,
+  CASE WHEN {strip_sql('found')} <> '' AND {norm_sql('found')} IN ({norm_sql('label')}, {norm_sql(lit('The answer is: ') + ' || "full"[:60]')}) THEN 1.0 ELSE 0.0 END AS match FROM k""")
+def v11_v12_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, n = F.col("text"), F.col("turn") % 4
+    text = F.when(n == 1, F.replace(F.replace(t, F.lit("<answer>"), F.lit("<finish>")), F.lit("</answer>"), F.lit("</finish>"))).when(n == 2, F.concat(F.lit("<FINISH>"), t, F.lit("</Finish>"))).otherwise(t)
+    labels = F.array("label", F.concat(F.lit("The answer is: "), F.substring("full", 1, 60)))
+    return said(spark, sf_dir).select("conv_id", "turn", V.finish_f1(text, F.col("label")).alias("f1"), V.any_label_match(text, labels).alias("match"))
+
+
+@query(rf"""SELECT doc_id, 1.0 - abs(n_chars - 2000) / 8192 AS length, CASE WHEN n_chars < 2000 THEN 1.0 ELSE 1.0 - (n_chars - 2000) / 8192 END AS up_to,
+  CASE WHEN regexp_matches(text, '(?s)^.*?</think>\s*<answer>.*?</answer>') THEN 1.0 ELSE 0.0 END AS format FROM documents""")
 def v13_v18_length_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", V.max_length(F.col("n_chars"), F.lit(2000)).alias("length"), V.soft_format(F.col("text")).alias("format"))
+    n, wanted = F.col("n_chars"), F.lit(2000)
+    return table(spark, sf_dir, "documents").select("doc_id", V.max_length(n, wanted, 8192).alias("length"), V.up_to_max_length(n, wanted, 8192).alias("up_to"), V.soft_format(F.col("text")).alias("format"))
 
 
 @query(f"""WITH {SAID}, r AS (SELECT conv_id, CASE WHEN turn % 3 = 0 THEN CASE WHEN lower({_NUM}) = lower(label) THEN 1.0 ELSE 0.0 END WHEN turn % 3 = 1 THEN CASE WHEN {norm_sql(AFTER)} = {norm_sql('label')} THEN 1.0 ELSE 0.0 END END AS score, 1 + turn % 2 AS weight FROM s)
