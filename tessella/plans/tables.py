@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -10,14 +11,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_base(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Only where that is unset, as in tests, a temporary one, which goes when the program ends."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that spark.checkpoint.dir names, or else the one that the context was given. Only in local mode without either, as in
+    tests, a temporary one, which goes when the program ends; elsewhere its lack is an error, as machines share no local folder."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or _OWN.get(context.applicationId)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         own = tempfile.mkdtemp(prefix="tessella-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
-        path = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _OWN[context.applicationId] = f"file://{own}"
     return path.rstrip("/")
 
 

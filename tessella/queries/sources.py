@@ -75,9 +75,24 @@ def src07_t01_session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.session_messages(rows.union(bad), "conv_id", "line_no", "value").withColumn("content", F.md5("content"))
 
 
-@query("SELECT user_id, event_type AS tool, count(*) AS calls, bool_or(value > 90) AS passed FROM events GROUP BY ALL")
-def t04_t05_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("tool")).agg(F.count("*").alias("calls"), F.bool_or(F.col("value") > 90).alias("passed"))
+@query("""SELECT user_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN 'f-' || event_type ELSE 'unknown' END AS tool, 2 * count(*) AS calls FROM events WHERE event_id % 5 NOT IN (1, 2) GROUP BY ALL""")
+def t04_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, kind = F.col("event_id"), F.col("event_type")
+    name, inner = F.when(n % 3 == 0, kind), F.struct(F.when(n % 3 == 1, F.concat(F.lit("f-"), kind)).alias("name"))
+    call = F.struct(name.alias("name"), inner.alias("function"), F.lit("{}").alias("arguments"))
+    event = F.to_json(F.struct(F.when(n % 5 == 1, "raw_user").otherwise("raw_assistant").alias("type"), F.struct(F.array(call, call).alias("tool_calls")).alias("message")))
+    return S.tool_calls(table(spark, sf_dir, "events").select("user_id", F.when(n % 5 == 2, "{no json").otherwise(event).alias("line")), "user_id", "line")
+
+
+@query("""WITH r AS (SELECT CASE WHEN o_orderkey % 13 = 0 THEN '_' ELSE '' END || 'task' || o_custkey || '__' || o_orderkey AS folder, CASE WHEN o_orderkey % 3 = 0 THEN 'task' || o_custkey ELSE 'named' || o_custkey % 7 END AS task,
+  CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice - 150000 END AS reward FROM orders)
+SELECT task, arg_max(coalesce(reward > 0, false), folder) AS passed FROM r WHERE folder[1] <> '_' GROUP BY task""")
+def t05_pass_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, cust = F.col("o_orderkey"), F.col("o_custkey")
+    folder = F.concat(F.when(n % 13 == 0, "_").otherwise(""), F.lit("task"), cust, F.lit("__"), n)
+    rewards = F.struct(F.struct(F.when(n % 11 != 0, F.col("o_totalprice") - 150000).alias("reward")).alias("rewards"))
+    result = F.to_json(F.struct(F.when(n % 3 != 0, F.concat(F.lit("named"), cust % 7)).alias("task_name"), rewards.alias("verifier_result")))
+    return S.pass_map(table(spark, sf_dir, "orders").select(folder.alias("folder"), result.alias("result")), "folder", "result")
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')[:400] AS command FROM events")

@@ -120,13 +120,40 @@ def log_metrics(text: Column, names: list[str]) -> Column:
     return F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.regexp_extract(plain, rf"{n}\s*[:=]\s*([-+0-9.eE]+)", 1).try_cast("double") for n in names)))
 
 
+def _small(rows: DataFrame, most: int) -> list[list[str]]:
+    """All rows as strings; more than `most` are a ValueError and not cut off."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows; write them with another sink")
+    return [[str(v) for v in r] for r in found]
+
+
 def markdown_table(rows: DataFrame, most: int = 1000) -> str:
     """A small result as a Markdown table."""
     names = rows.columns
-    lines = [[str(v) for v in r] for r in rows.limit(most).collect()]
-    return "\n".join(["| " + " | ".join(names) + " |", "|" + "---|" * len(names), *("| " + " | ".join(x) + " |" for x in lines)])
+    return "\n".join(["| " + " | ".join(names) + " |", "|" + "---|" * len(names), *("| " + " | ".join(x) + " |" for x in _small(rows, most))])
 
 
 def latex_table(rows: DataFrame, most: int = 1000) -> str:
-    lines = [" & ".join(str(v) for v in r) + r" \\" for r in [rows.columns, *rows.limit(most).collect()]]
+    """A small result as a LaTeX table."""
+    lines = [" & ".join(r) + r" \\" for r in [rows.columns, *_small(rows, most)]]
     return "\n".join([r"\begin{tabular}{" + "l" * len(rows.columns) + "}", *lines, r"\end{tabular}"])
+
+
+def tool_calls(lines: DataFrame, key: str, line: str) -> DataFrame:
+    """(key, tool, calls) of event log lines: the tools that assistant events call, by name or by their function's name, else `unknown`.
+    Lines that are no JSON are skipped."""
+    event = F.from_json(line, "type string, message struct<tool_calls: array<struct<name: string, function: struct<name: string>>>>")
+    calls = lines.select(key, event.alias("e")).filter("e.type = 'raw_assistant'").select(key, F.explode("e.message.tool_calls").alias("c"))
+    name = F.coalesce(F.nullif("c.name", F.lit("")), F.nullif("c.function.name", F.lit("")), F.lit("unknown"))
+    return calls.groupBy(key, name.alias("tool")).agg(F.count("*").alias("calls"))
+
+
+def pass_map(results: DataFrame, folder: str, result: str) -> DataFrame:
+    """(task, passed) of JSON results of trial folders: a reward above zero. The task is the result's, or the folder's name up to `__`;
+    folders that begin with `_` and results that are no JSON are skipped, and of a task's folders the last by name counts."""
+    found = F.from_json(result, "task_name string, verifier_result struct<rewards: struct<reward: double>>, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = results.filter(~F.startswith(folder, F.lit("_"))).select(F.col(folder).alias("folder"), found.alias("r")).filter("r is not null and r._bad is null")
+    task = F.coalesce(F.nullif("r.task_name", F.lit("")), F.substring_index("folder", "__", 1))
+    passed = F.coalesce(F.col("r.verifier_result.rewards.reward") > 0, F.lit(False))
+    return rows.groupBy(task.alias("task")).agg(F.max_by(passed, "folder").alias("passed"))

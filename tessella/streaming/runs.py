@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessella.plans.tables import shared_folder
+
 LOOP_SCHEMA = "user_id long, event_id long, streak long, level string"
 
 
@@ -57,7 +59,13 @@ def counters(events: DataFrame) -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What a stream over present data gives, as a memory table: for tests and small reports."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """What a stream over present data gives, as a Parquet table beside its checkpoint in the shared folder."""
+    spark = stream.sparkSession
+    base = shared_folder(spark, f"stream-{name}")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{base}/rows").start().awaitTermination()
+    else:  # each batch holds the whole result
+        spark.createDataFrame([], stream.schema).write.parquet(f"{base}/rows")
+        writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/rows")).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
