@@ -92,3 +92,10 @@ def complementary_group(candidates: list[tuple[str, float, frozenset]], size: in
         if len(picked) < size and all(items - other and other - items for _, other in picked):
             picked.append((name, items))
     return [name for name, _ in picked]
+
+
+def usability(description: Column, final_state: Column, container: Column) -> Column:
+    """Why a task can't be evaluated, the first reason in this order; null if it can."""
+    blank = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s", " ")) == ""
+    broken = (F.instr(container, "From:") == 0) | (F.instr(container, "%post") == 0)
+    return F.when(blank(description), "no_description").when(blank(final_state), "no_test_final_state").when(blank(container), "no_container_def").when(broken, "bad_container_def")

@@ -130,3 +130,13 @@ def tool_arguments(text: Column) -> Column:
 
 def clipped(text: Column, most: int, mark: str = "\n...[truncated]...") -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(mark))).otherwise(text)
+
+
+# The tool that every row of a shell corpus offers.
+SHELL_TOOL = {"type": "function", "function": {"name": "bash", "description": "Execute a bash command. Each command runs in a new subshell.", "parameters": '{"type": "object", "properties": {"command": {"type": "string", "description": "The bash command to execute."}}, "required": ["command"]}'}}
+
+
+def with_tools(df: DataFrame, tools: list[dict] | None = None, name: str = "tools") -> DataFrame:
+    """The rows with one constant column of tool definitions; parameters are JSON text."""
+    made = [F.struct(F.lit(t["type"]).alias("type"), F.struct(*(F.lit(v).alias(k) for k, v in t["function"].items())).alias("function")) for t in (tools or [SHELL_TOOL])]
+    return df.withColumn(name, F.array(*made))

@@ -114,3 +114,9 @@ def task_matrix(rounds: DataFrame, names: list[int]) -> DataFrame:
     flipped = rounds.withColumn("flip", (F.lag("passed").over(w) != F.col("passed")).cast("int"))
     cells = [F.max(F.when(F.col("round") == r, F.when(F.col("passed"), "T").otherwise("F"))).alias(f"r{r}") for r in names]
     return flipped.groupBy("task_id").agg(*cells, F.count_if(~F.col("passed")).alias("fails"), F.coalesce(F.sum("flip"), F.lit(0)).alias("flips")).orderBy(F.desc("fails"), F.desc("flips"), "task_id")
+
+
+def selected_tasks(summaries: DataFrame, summary: str) -> DataFrame:
+    """(task): the union of `selected_tasks` of JSON summaries; those that can't be read, or have none, add nothing."""
+    found = F.from_json(summary, "selected_tasks array<string>")
+    return summaries.select(F.explode(found["selected_tasks"]).alias("task")).filter("task is not null").distinct()

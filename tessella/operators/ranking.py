@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -168,11 +169,21 @@ def masked_mean(value: Column, mask: Column) -> Column:
     return F.coalesce(F.sum(value * mask) / F.nullif(F.sum(mask), F.lit(0)), F.lit(0.0))
 
 
+#: Queries of one block that is broadcast.
+QUERY_BLOCK = 100_000
+
+
 def knn_novelty(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
-    """(key, novelty): mean cosine distance of each query to its k nearest others; 1.0 without any. A stated query set, which is
-    broadcast after a check of its size, is held against all rows."""
-    if queries.count() > 100_000:
-        raise ValueError("more than 100000 queries; use blocks of queries")
+    """(key, novelty): mean cosine distance of each query to its k nearest others; 1.0 without any. A stated query set is held against
+    all rows, in blocks that are small enough to be broadcast."""
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    if blocks > 1:
+        block = F.pmod(F.xxhash64(key), F.lit(blocks))
+        return reduce(DataFrame.union, [_knn_block(vectors, key, vector, queries.filter(block == i), k) for i in range(blocks)])
+    return _knn_block(vectors, key, vector, queries, k)
+
+
+def _knn_block(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
     q = queries.select(F.col(key).alias("q"), F.col(vector).alias("u"))
     near = vectors.select(F.col(key).alias("o"), F.col(vector).alias("v")).join(F.broadcast(q), F.col("q") != F.col("o")).select("q", "o", cosine_distance(F.col("u"), F.col("v")).alias("d"))
     w = Window.partitionBy("q").orderBy("d", "o")
@@ -188,9 +199,10 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def complementary_pairs(changes: DataFrame, key: str, items: str) -> DataFrame:
-    """Pairs (x, y) of candidates of which neither's items hold the other's, for a bounded list of candidates."""
+    """Pairs (x, y) of candidates of which neither's items hold the other's, from rows with an array of items; a long list of candidates
+    is compared by items."""
     if changes.count() > 10_000:
-        raise ValueError("more than 10000 candidates")
+        return complementary_by_items(changes.select(key, F.explode(items).alias(items)), key, items)
     a, b = changes.select(F.col(key).alias("x"), F.col(items).alias("p")), changes.select(F.col(key).alias("y"), F.col(items).alias("q"))
     return a.join(F.broadcast(b), F.col("x") < F.col("y")).filter((F.size(F.array_except("p", "q")) > 0) & (F.size(F.array_except("q", "p")) > 0)).select("x", "y")
 
@@ -202,3 +214,105 @@ def complementary_by_items(rows: DataFrame, key: str, item: str) -> DataFrame:
     shared = own.join(own.withColumnRenamed("x", "y"), "item").filter("x < y").groupBy("x", "y").agg(F.count("*").alias("both"))
     pairs = sizes.join(sizes.select(F.col("x").alias("y"), F.col("p").alias("q")), F.col("x") < F.col("y")).join(shared, ["x", "y"], "left")
     return pairs.filter(F.coalesce("both", F.lit(0)) < F.least("p", "q")).select("x", "y")
+
+
+def set_novelty(rows: DataFrame, candidates: DataFrame, key: str, item: str, k: int = 3) -> DataFrame:
+    """(key, novelty): mean cosine distance of each candidate's items, as a set, to its k nearest other candidates'; 0 to or from one
+    without items, 1.0 without others. rows: (key, item). The candidates are a short list; their items may be many."""
+    own = rows.select(F.col(key).alias("x"), F.col(item).alias("item")).distinct()
+    size = candidates.select(F.col(key).alias("x")).distinct().join(own.groupBy("x").agg(F.count("*").alias("n")), "x", "left").select("x", F.coalesce("n", F.lit(0)).alias("n"))
+    shared = own.join(own.withColumnRenamed("x", "y"), "item").filter("x <> y").groupBy("x", "y").agg(F.count("*").alias("both"))
+    others = size.select(F.col("x").alias("y"), F.col("n").alias("m"))
+    pairs = size.join(F.broadcast(others), F.col("x") != F.col("y")).join(shared, ["x", "y"], "left")
+    distance = F.when((F.col("n") == 0) | (F.col("m") == 0), 0.0).otherwise(1 - F.coalesce("both", F.lit(0)) / F.sqrt(F.col("n").cast("double") * F.col("m")))
+    near = pairs.select("x", "y", distance.alias("d")).withColumn("place", F.row_number().over(Window.partitionBy("x").orderBy("d", "y"))).filter(F.col("place") <= max(1, k))
+    return size.join(near.groupBy("x").agg(F.avg("d").alias("novelty")), "x", "left").select(F.col("x").alias(key), F.coalesce("novelty", F.lit(1.0)).alias("novelty"))
+
+
+def parent_ranks(rows: DataFrame, candidates: DataFrame, key: str, item: str, k: int = 3) -> DataFrame:
+    """candidates (key, mean, ...) with novelty, rank_score = mean * sqrt(novelty) and place, best first and ties by key."""
+    found = candidates.join(set_novelty(rows, candidates, key, item, k), key).withColumn("rank_score", F.coalesce("mean", F.lit(0.0)) * F.sqrt("novelty"))
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("rank_score"), key)).cast("long"))  # a row for each candidate
+
+
+def select_parents(rows: DataFrame, candidates: DataFrame, key: str, item: str, *, turn: int, explore_every: int = 3, tie: float = 0.0, most: int = 4, least_unique: int = 1, k: int = 3) -> DataFrame:
+    """(key, place) of at most `most` parents of the next round, from candidates (key, mean, scores, round) and rows (key, item) solved.
+
+    First the best by rank, or the most novel in every explore_every-th turn; then those whose mean ties with the highest, best
+    first; then those of the latest round that solve least_unique items or more that the incumbent doesn't, most first. The
+    incumbent has the highest mean, and of those the fewest scores. All ties go by key.
+    """
+    ranked = parent_ranks(rows, candidates, key, item, k)
+    explore = explore_every > 0 and turn > 0 and turn % explore_every == 0
+    primary = ranked.orderBy(*([F.desc("novelty"), key] if explore else ["place"])).limit(1).select(key, F.lit(0).alias("group"), F.lit(0.0).alias("order"))
+    top = candidates.agg(F.max("mean").alias("top"), F.max("round").alias("latest"))
+    ties = candidates.crossJoin(F.broadcast(top)).filter(F.col("mean") >= F.col("top") - max(0.0, tie)).select(key, F.lit(1).alias("group"), (-F.col("mean")).alias("order"))
+    incumbent = candidates.orderBy(F.desc("mean"), "scores", key).limit(1).select(F.col(key).alias("best"))
+    solved = rows.select(key, item).distinct()
+    known = solved.join(F.broadcast(incumbent), F.col(key) == F.col("best"), "left_semi").select(item)
+    unique = solved.join(known, item, "left_anti").groupBy(key).agg(F.count("*").alias("gained")).filter(F.col("gained") >= max(1, least_unique))
+    extra = candidates.crossJoin(F.broadcast(top)).filter("round = latest").join(unique, key).select(key, F.lit(2).alias("group"), (-F.col("gained").cast("double")).alias("order"))
+    first = primary.union(ties).union(extra).groupBy(key).agg(F.min(F.struct("group", "order")).alias("m"))
+    place = F.row_number().over(Window.orderBy("m.group", "m.order", key)).cast("long")  # a row for each candidate
+    return first.select(key, place.alias("place")).filter(F.col("place") <= max(1, most))
+
+
+def unique_counts(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, unique): for each candidate a map from every other candidate to the number of items that it has and the other doesn't."""
+    own = rows.select(F.col(key).alias("x"), F.col(item).alias("item")).distinct()
+    size = own.groupBy("x").agg(F.count("*").alias("n"))
+    both = own.join(own.withColumnRenamed("x", "y"), "item").filter("x <> y").groupBy("x", "y").agg(F.count("*").alias("both"))
+    pairs = size.join(F.broadcast(size.select(F.col("x").alias("y"))), F.col("x") != F.col("y")).join(both, ["x", "y"], "left")
+    return pairs.groupBy("x").agg(F.map_from_entries(F.collect_list(F.struct("y", (F.col("n") - F.coalesce("both", F.lit(0))).alias("gained")))).alias("unique")).withColumnRenamed("x", key)
+
+
+def regression_gate(rounds: DataFrame, campaign: str, tolerance: float) -> DataFrame:
+    """(campaign, round, verdict, best_round) of rows (campaign, round, config, score, unique): a fold over the rounds of each campaign.
+
+    skip: the tolerance is negative or the round has no score. accept: the first scored round, or a score of at least the bar less
+    the tolerance; at the bar itself the round is the new best. pivot: below it, but `unique` (a map from rounds to counts)
+    has items that the best round doesn't solve; the best stays. reject: else, and the best is what to go back to. The bar is
+    the mean of all earlier scores of the best round's configuration.
+    """
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        best, scores, out = None, {}, []
+        for r in rows.sort_values("round").itertuples():
+            score = None if pd.isna(r.score) else float(r.score)
+            if tolerance < 0 or score is None:
+                verdict = "skip"
+            elif best is None:
+                verdict, best = "accept", r
+            else:
+                seen = scores[best.config]
+                bar, unique = sum(seen) / len(seen), dict(r.unique if r.unique is not None else {})
+                verdict = "accept" if score >= bar - tolerance else "pivot" if unique.get(best.round, 0) > 0 else "reject"
+                best = r if score >= bar else best
+            if score is not None:
+                scores.setdefault(r.config, []).append(score)
+            out.append((getattr(r, campaign), r.round, verdict, None if best is None else best.round))
+        return pd.DataFrame(out, columns=[campaign, "round", "verdict", "best_round"]).astype({"best_round": "Int64"})
+
+    kind = {f.name: f.dataType.simpleString() for f in rounds.schema}
+    return rounds.groupBy(campaign).applyInPandas(fold, f"{campaign} {kind[campaign]}, round {kind['round']}, verdict string, best_round long")
+
+
+def failure_guard(calls: DataFrame, run: str, step: str, failed: Column, limit: int = 3) -> DataFrame:
+    """(run, step, pending, warned) for every step: how many tool calls of the step before it failed, and whether they reach the limit."""
+    steps = calls.groupBy(run, step).agg(F.count_if(F.coalesce(failed, F.lit(False))).alias("n"))
+    pending = F.coalesce(F.lag("n").over(Window.partitionBy(run).orderBy(step)), F.lit(0))
+    return steps.select(run, step, pending.alias("pending")).withColumn("warned", F.col("pending") >= limit)
+
+
+# A bonus for each successful call, penalties for failed ones and for a loop, caps of both sums, and bounds below zero.
+BONUS, PENALTY, LOOP_PENALTY, BONUS_CAP, PENALTY_CAP, FLOOR, CEILING = 0.05, 0.10, 0.20, 0.30, 0.50, -1.10, -0.60
+
+
+def shaped_reward(steps: DataFrame, run: str, step: str, terminal: str) -> DataFrame:
+    """(run, reward) of rows (run, step, successes, failures, looped, terminal): the terminal reward with the capped sums of the steps'
+    bonuses and of their penalties. A loop counts in the last step. Below zero the result stays within FLOOR and CEILING."""
+    last = F.row_number().over(Window.partitionBy(run).orderBy(F.desc(step))) == 1
+    delta = F.col("successes") * BONUS - F.col("failures") * PENALTY - F.when(last & F.col("looped"), LOOP_PENALTY).otherwise(0.0)
+    sums = steps.withColumn("delta__", delta).groupBy(run).agg(F.first(terminal).alias("t"), F.sum(F.greatest("delta__", F.lit(0.0))).alias("up"), F.sum(F.greatest(-F.col("delta__"), F.lit(0.0))).alias("down"))
+    score = F.col("t") + F.least("up", F.lit(BONUS_CAP)) - F.least("down", F.lit(PENALTY_CAP))
+    return sums.select(run, F.when(F.col("t") < 0, F.greatest(F.lit(FLOOR), F.least(F.lit(CEILING), score))).otherwise(score).alias("reward"))

@@ -53,6 +53,17 @@ def stratified_fill(df: DataFrame, domain: str, key: str, need: int, seed: int =
     return ranked(df, [domain], order).filter(F.col("rank") <= need).orderBy("rank", domain).limit(max(0, need))
 
 
+def failed_passed_mix(results: DataFrame, key: str, pool: DataFrame, *, n_failed: int = 10, n_passed: int = 6, n_held: int = 30, errors: tuple[str, ...] = ("error", "agent_error", "timeout"), seed: int = 42) -> DataFrame:
+    """(key, part): failing and passing tasks of results (key, passed, status), the first of a seeded order, and a holdout from the pool
+    without them. Tasks with a status of `errors` are in neither; a short list gives what it has. Without failing tasks the result has
+    none, which the caller has to judge."""
+    order = [shuffled(key, seed), F.col(key)]
+    sure = results.filter(~F.coalesce(F.col("status"), F.lit("")).isin(*errors)).select(key, F.when(F.col("passed"), "passing").otherwise("failing").alias("part"))
+    taken = ranked(sure, ["part"], order).filter(F.col("rank") <= F.when(F.col("part") == "failing", n_failed).otherwise(n_passed)).select(key, "part")
+    held = pool.select(key).distinct().join(taken, key, "left_anti").orderBy(*order).limit(n_held)
+    return taken.unionByName(held.withColumn("part", F.lit("holdout")))
+
+
 def rotate(prev: DataFrame, pool: DataFrame, excluded: DataFrame, avoid: DataFrame, domain: str, key: str, size: int, seed: int = 42) -> DataFrame:
     """The next set: what of the previous one is still in the pool and not excluded, then new rows to make up `size`. Column `kept`."""
     kept = pool.join(prev.select(key), key, "left_semi").join(excluded.select(key), key, "left_anti").orderBy(key).limit(size)

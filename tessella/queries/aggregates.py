@@ -69,13 +69,13 @@ def a06_pass_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(F.avg(c / n).alias("p1"), F.avg((c > 0).cast("int")).alias("pn"), *(F.avg(O.pass_at_k(n, c, k)).alias(f"u{k}") for k in (1, 2, 4)))
 
 
-@query(f"""WITH {T}, a AS (SELECT task_id, max(reward) AS s FROM t WHERE run = 0 GROUP BY 1), b AS (SELECT task_id, max(reward) AS s FROM t WHERE run = 1 AND task_id < 120 GROUP BY 1),
+@query(f"""WITH {T}, a AS (SELECT task_id, max(reward) AS s FROM t WHERE run = 0 GROUP BY 1), b AS (SELECT task_id, max(reward) AS s FROM t WHERE run = 1 GROUP BY 1),
   w AS (SELECT count(*) FILTER (b.s > a.s) AS wins, count(*) FILTER (b.s < a.s) AS losses, count(*) FILTER (a.s = b.s) AS ties FROM a JOIN b USING (task_id))
 SELECT wins, losses, ties, (SELECT sum(exp(lgamma(wins + losses + 1) - lgamma(k + 1) - lgamma(wins + losses - k + 1) - (wins + losses) * ln(2))) FROM range(wins, wins + losses + 1) r(k)) AS p FROM w""")
 def a07_sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = lambda df: df.groupBy("task_id").agg(F.max("reward").alias("score"))
     t = trials(spark, sf_dir)
-    return O.paired(best(t.filter("run = 0")), best(t.filter("run = 1 and task_id < 120")))
+    return O.paired(best(t.filter("run = 0")), best(t.filter("run = 1")))
 
 
 @query(f"WITH {T} SELECT domain, count(*) FILTER (reward > 0) AS passed, count(*) AS total, avg((reward > 0)::INT) AS pass_rate FROM t GROUP BY ROLLUP (domain)")
@@ -216,3 +216,11 @@ def a37_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a31_a39_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
     return n.agg((F.min("n") == F.max("n")).alias("complete"), F.min("n").alias("least"), F.max("n").alias("most"))
+
+
+@query("""SELECT DISTINCT o_orderstatus || o_orderpriority || o_custkey % 13 AS task FROM orders WHERE o_custkey % 10 <> 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
+def a31_m19_selected_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    orders = table(spark, sf_dir, "orders").join(taken, "o_orderkey", "left_anti")
+    corpora = orders.groupBy("o_custkey").agg(F.to_json(F.struct(F.collect_list(F.concat("o_orderstatus", "o_orderpriority", F.col("o_custkey") % 13)).alias("selected_tasks"))).alias("summary"))
+    return O.selected_tasks(corpora.select(F.when(F.col("o_custkey") % 10 == 0, "{broken").otherwise(F.col("summary")).alias("summary")), "summary")

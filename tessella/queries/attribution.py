@@ -104,10 +104,13 @@ def c07_evidence_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT p_partkey, CASE WHEN contains(p_name, 'fulleval') THEN 'fulleval' WHEN contains(p_name, 'evolve') THEN 'evolve' ELSE 'other' END AS bucket, split_part(p_type, '-', 1) AS family,
-  split_part(split_part(split_part(p_type || ' tasks (all), more', ' task', 1), ' (', 1), ', ', 1) AS label, CASE WHEN p_size < 5 THEN 'too_small' WHEN p_retailprice > 1500 THEN 'too_dear' ELSE 'usable' END AS usable FROM part""")
+  split_part(split_part(split_part(p_type || ' tasks (all), more', ' task', 1), ' (', 1), ', ', 1) AS label, CASE WHEN p_size % 5 = 0 THEN 'no_description' WHEN p_size % 7 = 0 THEN 'no_test_final_state'
+  WHEN p_size % 3 = 0 THEN 'no_container_def' WHEN p_size % 3 = 1 THEN 'bad_container_def' END AS unusable FROM part""")
 def c08_c09_c10_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    usable = F.when(F.col("p_size") < 5, "too_small").when(F.col("p_retailprice") > 1500, "too_dear").otherwise("usable")
-    return table(spark, sf_dir, "part").select("p_partkey", A.run_bucket(F.col("p_name")).alias("bucket"), A.family(F.col("p_type")).alias("family"), shorten_label(F.concat("p_type", F.lit(" tasks (all), more"))).alias("label"), usable.alias("usable"))
+    n = F.col("p_size")
+    description, final_state = F.when(n % 5 == 0, " \n").otherwise(F.col("p_name")), F.when(n % 7 != 0, F.col("p_type"))
+    container = F.get(F.array(F.lit(" "), F.lit("From: x"), F.lit("From: x\n%post\n echo")), (n % 3).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", A.run_bucket(F.col("p_name")).alias("bucket"), A.family(F.col("p_type")).alias("family"), shorten_label(F.concat("p_type", F.lit(" tasks (all), more"))).alias("label"), A.usability(description, final_state, container).alias("unusable"))
 
 
 @query(f"""WITH e AS (SELECT event_id, value, {OBS_SQL} AS o FROM events), c AS (SELECT *, {CLASS_SQL} AS class FROM e), g AS (SELECT class, count(*) AS n FROM c WHERE class IS NOT NULL AND value < 50 GROUP BY 1 ORDER BY n DESC, class LIMIT 4),

@@ -118,3 +118,10 @@ def p30_elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     click = F.when(F.col("event_type") == "click", F.col("ts"))
     g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min(click).alias("a"), F.max(click).alias("b"), F.min("ts").alias("c"), F.max("ts").alias("d"))
     return g.select("user_id", C.elapsed_seconds(*map(F.col, "abcd")).alias("seconds"))
+
+
+@query("SELECT conv_id, turn, 1 AS n, 'bash' AS tool, 'command' AS required FROM conversations")
+def p28_tools_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = C.with_tools(table(spark, sf_dir, "conversations"))
+    first = F.col("tools")[0]["function"]
+    return rows.select("conv_id", "turn", F.size("tools").alias("n"), first["name"].alias("tool"), F.get_json_object(first["parameters"], "$.required[0]").alias("required"))

@@ -36,10 +36,11 @@ def j05_j06_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
-@query(r"SELECT doc_id FROM documents d WHERE lang = 'fr' AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id < 300 AND e.doc_id <> d.doc_id AND lower(regexp_replace(e.text, '\s+', ' ', 'g')) = lower(regexp_replace(d.text, '\s+', ' ', 'g'))) AND d.doc_id >= 300")
+@query(r"""WITH c AS (SELECT doc_id, lang, lower(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id FROM c WHERE lang = 'fr' AND t NOT IN (SELECT t FROM c WHERE lang IS NULL OR lang <> 'fr')""")
 def j07_cleaned_text_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = table(spark, sf_dir, "documents").select("doc_id", "lang", F.xxhash64(F.lower(F.regexp_replace("text", r"\s+", " "))).alias("h"))
-    return clean.filter("lang = 'fr' and doc_id >= 300").join(clean.filter("doc_id < 300").select("h"), "h", "left_anti").select("doc_id")
+    return clean.filter("lang = 'fr'").join(clean.filter("lang is null or lang <> 'fr'").select("h"), "h", "left_anti").select("doc_id")
 
 
 @query("""WITH a AS (SELECT o_custkey AS k, max(o_orderstatus) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey AS k, max(o_orderstatus) AS v FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)

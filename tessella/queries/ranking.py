@@ -91,7 +91,7 @@ def w13_loop_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH n AS (SELECT event_id, (row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1) % 6 + 1 AS count FROM events) SELECT event_id, count, CASE WHEN count = 6 THEN 'hard' WHEN count >= 3 THEN 'soft' END AS hint FROM n")
-def w14_w15_edit_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+def w14_edit_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.edit_hints(table(spark, sf_dir, "events"), "user_id", "event_type", ORDER, 3, 6).select("event_id", F.col("count").cast("long").alias("count"), "hint")
 
 
@@ -160,12 +160,31 @@ def w24_position_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.length("text")).alias("start"), (F.row_number().over(w) - 1).cast("long").alias("position"))
 
 
-@query(f"""WITH {T}, g AS (SELECT run, avg(reward) AS mean, count(DISTINCT task_id) FILTER (reward > 0) AS solved FROM t GROUP BY 1) SELECT run, row_number() OVER (ORDER BY mean * sqrt(solved) DESC, run) AS place FROM g""")
-def w25_w26_parent_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+def candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(run, task_id) solved, and each run's mean, number of scores and round."""
+    t = trials(spark, sf_dir)
+    return t.filter(passed()).select("run", "task_id").distinct(), t.groupBy("run").agg(F.avg("reward").alias("mean"), F.count("*").alias("scores"), F.first(F.col("run") % 3).alias("round"))
+
+
+PARENTS = f"""{T}, s AS (SELECT DISTINCT run, task_id FROM t WHERE reward > 0), m AS (SELECT run, avg(reward) AS mean, count(*) AS scores, any_value(run % 3) AS round, count(DISTINCT task_id) FILTER (reward > 0) AS n FROM t GROUP BY 1),
+  sh AS (SELECT a.run AS x, b.run AS y, count(*) AS common FROM s a JOIN s b USING (task_id) WHERE a.run <> b.run GROUP BY ALL),
+  d AS (SELECT a.run AS x, b.run AS y, CASE WHEN a.n = 0 OR b.n = 0 THEN 0 ELSE 1 - coalesce(common, 0) / sqrt(a.n * b.n) END AS d FROM m a JOIN m b ON a.run <> b.run LEFT JOIN sh ON sh.x = a.run AND sh.y = b.run),
+  v AS (SELECT x AS run, avg(d) AS novelty FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY x ORDER BY d, y) <= 3) GROUP BY 1),
+  k AS (SELECT *, mean * sqrt(novelty) AS pn, row_number() OVER (ORDER BY mean * sqrt(novelty) DESC, run) AS place FROM m JOIN v USING (run))"""
+
+
+@query(f"WITH {PARENTS} SELECT run, place, round(novelty, 9) AS novelty FROM k")
+def w25_parent_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.parent_ranks(*candidates(spark, sf_dir), "run", "task_id").select("run", "place", F.round("novelty", 9).alias("novelty"))
+
 
-    g = trials(spark, sf_dir).groupBy("run").agg(F.avg("reward").alias("mean"), F.countDistinct(F.when(passed(), F.col("task_id"))).alias("solved"))
-    return g.select("run", F.row_number().over(Window.orderBy((-F.col("mean") * F.sqrt("solved")), "run")).cast("long").alias("place"))  # one row for each candidate
+@query(f"""WITH {PARENTS}, i AS (SELECT run FROM m ORDER BY mean DESC, scores, run LIMIT 1), u AS (SELECT run, count(*) AS gained FROM s WHERE task_id NOT IN (SELECT task_id FROM s WHERE run IN (FROM i)) GROUP BY 1),
+  c AS (SELECT run, 0 AS g, 0.0 AS o FROM (SELECT run FROM k ORDER BY novelty DESC, run LIMIT 1) UNION ALL SELECT run, 1, -mean FROM m WHERE mean >= (SELECT max(mean) FROM m) - 0.002
+    UNION ALL SELECT run, 2, -gained FROM m JOIN u USING (run) WHERE round = (SELECT max(round) FROM m)),
+  f AS (SELECT run, min((g, o)) AS m FROM c GROUP BY 1)
+SELECT * FROM (SELECT run, row_number() OVER (ORDER BY m, run) AS place FROM f) WHERE place <= 4""")
+def w26_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.select_parents(*candidates(spark, sf_dir), "run", "task_id", turn=3, tie=0.002)
 
 
 @query(f"""WITH {T}, b AS (SELECT task_id, max(reward) > 0 AS p FROM t WHERE run = 0 GROUP BY 1), c AS (SELECT run, task_id, max(reward) > 0 AS p FROM t WHERE run > 0 GROUP BY ALL)
@@ -178,15 +197,9 @@ def w27_w28_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("net", F.col("gained") - 2.0 * F.col("regressed"))
 
 
-@query(f"""WITH {T}, s AS (SELECT run, list(DISTINCT domain) AS d FROM t WHERE reward > 0 AND task_id % 100 = 1 AND tools > 40 GROUP BY 1)
+@query(f"""WITH {T}, s AS (SELECT run, list(DISTINCT task_id) AS d FROM t WHERE reward > 0 GROUP BY 1)
 SELECT a.run AS x, b.run AS y FROM s a JOIN s b ON a.run < b.run WHERE NOT list_has_all(b.d, a.d) AND NOT list_has_all(a.d, b.d)""")
 def w29_complementary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = trials(spark, sf_dir).filter(passed() & (F.col("task_id") % 100 == 1) & (F.col("tools") > 40)).groupBy("run").agg(F.collect_set("domain").alias("d"))
-    return R.complementary_pairs(s, "run", "d")
-
-
-@query()
-def w29_complementary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.complementary_by_items(trials(spark, sf_dir).filter(passed()), "run", "task_id")
 
 
@@ -196,21 +209,37 @@ def w30_structural_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.first_of(d, ["h"], ["doc_id"]).select("doc_id")
 
 
-@query("SELECT user_id, least(1.0, greatest(-1.0, sum(CASE event_type WHEN 'purchase' THEN 0.5 WHEN 'error' THEN -0.2 WHEN 'click' THEN 0.05 ELSE 0.0 END))) AS reward FROM events GROUP BY 1")
-def w31_shaped_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    step = F.when(kind == "purchase", 0.5).when(kind == "error", -0.2).when(kind == "click", 0.05).otherwise(0.0)
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.sum(step))).alias("reward"))
+@query("""WITH s AS (SELECT user_id, event_id // 200 AS step, count(*) FILTER (event_type = 'error') AS n FROM events GROUP BY ALL), p AS (SELECT user_id, step, coalesce(lag(n) OVER (PARTITION BY user_id ORDER BY step), 0) AS pending FROM s)
+SELECT user_id, step, pending, pending >= 3 AS warned FROM p""")
+def w15_failure_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = table(spark, sf_dir, "events").withColumn("step", F.floor(F.col("event_id") / 200))
+    return R.failure_guard(calls, "user_id", "step", F.col("event_type") == "error")
 
 
-@query(f"""WITH {T}, g AS (SELECT run, avg(reward) AS score FROM t GROUP BY 1), w AS (SELECT *, avg(score) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS incumbent FROM g)
-SELECT run, CASE WHEN incumbent IS NULL THEN 'baseline' WHEN score >= incumbent - 0.001 THEN 'accept' ELSE 'reject' END AS verdict FROM w""")
+@query("""WITH s AS (SELECT user_id, event_id // 2000 AS step, count(*) FILTER (event_type <> 'error') AS good, count(*) FILTER (event_type = 'error') AS bad FROM events GROUP BY ALL),
+  d AS (SELECT user_id, user_id % 3 - 1 AS t, good * 0.05 - bad * 0.1 - CASE WHEN user_id % 4 = 0 AND step = max(step) OVER (PARTITION BY user_id) THEN 0.2 ELSE 0 END AS d FROM s),
+  g AS (SELECT user_id, t, t + least(sum(greatest(d, 0)), 0.3) - least(sum(greatest(-d, 0)), 0.5) AS r FROM d GROUP BY user_id, t)
+SELECT user_id, round(CASE WHEN t < 0 THEN greatest(-1.1, least(-0.6, r)) ELSE r END, 6)::DOUBLE AS reward FROM g""")
+def w31_shaped_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("step", F.floor(F.col("event_id") / 2000))
+    steps = e.groupBy("user_id", "step").agg(F.count_if(F.col("event_type") != "error").alias("successes"), F.count_if(F.col("event_type") == "error").alias("failures"))
+    steps = steps.withColumns({"looped": F.col("user_id") % 4 == 0, "terminal": (F.col("user_id") % 3 - 1).cast("double")})
+    return R.shaped_reward(steps, "user_id", "step", "terminal").withColumn("reward", F.round("reward", 6))
+
+
+@query(f"""WITH RECURSIVE {T}, s AS (SELECT DISTINCT run, task_id FROM t WHERE reward > 0), g AS (SELECT run AS round, run % 5 AS config, CASE WHEN run <> 3 THEN round(avg(reward), 12) END AS score FROM t GROUP BY run),
+  bar AS (SELECT a.config, b.round, avg(a.score) AS bar FROM g a JOIN g b ON a.round < b.round WHERE a.score IS NOT NULL GROUP BY ALL),
+  u AS (SELECT a.run AS x, b.run AS y, count(*) FILTER (NOT EXISTS (SELECT 1 FROM s z WHERE z.run = b.run AND z.task_id = a.task_id)) AS gained FROM s a, (SELECT DISTINCT run FROM s) b WHERE a.run <> b.run GROUP BY ALL),
+  r(round, verdict, best, config) AS (SELECT round, CASE WHEN score IS NULL THEN 'skip' ELSE 'accept' END, CASE WHEN score IS NOT NULL THEN round END, CASE WHEN score IS NOT NULL THEN config END FROM g WHERE round = 0
+    UNION ALL SELECT g.round, CASE WHEN score IS NULL THEN 'skip' WHEN r.best IS NULL OR score >= bar - 0.001 THEN 'accept' WHEN gained > 0 THEN 'pivot' ELSE 'reject' END,
+      CASE WHEN score IS NOT NULL AND (r.best IS NULL OR score >= bar) THEN g.round ELSE r.best END, CASE WHEN score IS NOT NULL AND (r.best IS NULL OR score >= bar) THEN g.config ELSE r.config END
+    FROM r JOIN g ON g.round = r.round + 1 LEFT JOIN bar ON bar.config = r.config AND bar.round = g.round LEFT JOIN u ON u.x = g.round AND u.y = r.best)
+SELECT 0 AS campaign, round, verdict, best AS best_round FROM r""")
 def w32_regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    g = trials(spark, sf_dir).groupBy("run").agg(F.avg("reward").alias("score"))
-    mean = F.avg("score").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1))  # one row for each candidate
-    return g.withColumn("m", mean).select("run", F.when(F.col("m").isNull(), "baseline").when(F.col("score") >= F.col("m") - 0.001, "accept").otherwise("reject").alias("verdict"))
+    t = trials(spark, sf_dir)
+    score = F.when(F.col("run") != 3, F.round(F.avg("reward"), 12))
+    rounds = t.groupBy("run").agg(score.alias("score")).join(R.unique_counts(t.filter(passed()), "run", "task_id"), "run", "left")
+    return R.regression_gate(rounds.select(F.lit(0).alias("campaign"), F.col("run").alias("round"), (F.col("run") % 5).alias("config"), "score", "unique"), "campaign", 0.001)
 
 
 @query("""WITH d AS (SELECT q.vec_id, o.vec_id AS o, 1 - list_cosine_similarity(q.embedding::DOUBLE[], o.embedding::DOUBLE[]) AS d FROM embeddings q JOIN embeddings o ON q.vec_id <> o.vec_id WHERE q.vec_id % 100 = 0)

@@ -93,16 +93,11 @@ def r16_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", F.col("m")["origin"].alias("origin"), F.col("m")["language"].alias("language"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT event_id AS id, CASE WHEN event_id > 0 THEN event_id // 3 END AS parent, value AS v FROM events WHERE event_id < 600), r AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY v DESC, id) AS k FROM e),
+@query("""WITH RECURSIVE e AS (SELECT event_id AS id, CASE WHEN event_id > 0 THEN event_id // 3 END AS parent, value AS v FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY v DESC, id) AS k FROM e),
   p(id, depth, trail) AS (SELECT id, 0, id::VARCHAR FROM r WHERE parent IS NULL UNION ALL SELECT r.id, p.depth + 1, p.trail || '>' || r.id FROM r JOIN p ON r.parent = p.id WHERE k <= 2)
 SELECT id, depth, trail FROM p WHERE id NOT IN (SELECT parent FROM r WHERE parent IS NOT NULL AND k <= 2)""")
 def r17_reply_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reply_paths(spark, table(spark, sf_dir, "events").filter("event_id < 600"), "replies__")
-
-
-@query()
-def r17_reply_tree_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reply_paths(spark, table(spark, sf_dir, "events"), "all_replies__")
+    return _reply_paths(spark, table(spark, sf_dir, "events"), "replies__")
 
 
 def _reply_paths(spark: SparkSession, events: DataFrame, view: str) -> DataFrame:

@@ -60,14 +60,14 @@ def m07_stratified_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.stratified_fill(docs(spark, sf_dir), "source", "doc_id", 77).select("doc_id", "source")
 
 
-@query(f"""WITH kept AS (SELECT doc_id FROM documents WHERE doc_id < 60 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) ORDER BY doc_id LIMIT 80),
-  f AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM kept) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) AND doc_id NOT BETWEEN 100 AND 200),
+@query(f"""WITH kept AS (SELECT doc_id FROM documents WHERE lang = 'es' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) ORDER BY doc_id LIMIT 80),
+  f AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM kept) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 OR toxic = 1)),
   r AS (SELECT doc_id FROM ({FILL} f) ORDER BY k, source LIMIT (SELECT 80 - count(*) FROM kept))
 SELECT doc_id, true AS kept FROM kept UNION ALL SELECT doc_id, false FROM r""")
 def m08_rotating_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir)
     gone = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id").distinct()
-    return S.rotate(d.filter("doc_id < 60"), d, gone, d.filter("doc_id between 100 and 200"), "source", "doc_id", 80).select("doc_id", "kept")
+    return S.rotate(d.filter("lang = 'es'"), d, gone, table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct(), "source", "doc_id", 80).select("doc_id", "kept")
 
 
 @query(f"""WITH p AS (SELECT doc_id FROM documents WHERE lang = 'es' ORDER BY doc_id LIMIT 20), f AS (SELECT * FROM documents WHERE lang <> 'es'),
@@ -90,11 +90,12 @@ def m10_stratified_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("p_partkey", S.dealt_to_holdout(F.col("index"), t.count(), 50).alias("holdout"))
 
 
-@query(f"""WITH r AS (SELECT l.doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(l.doc_id::VARCHAR || '-42'), l.doc_id) AS k FROM labels l WHERE toxic = 0)
-SELECT doc_id, quality FROM r WHERE k <= CASE quality WHEN 0 THEN 10 ELSE 6 END""")
+@query(f"""WITH r AS (SELECT doc_id, CASE quality WHEN 1 THEN 'passing' ELSE 'failing' END AS part, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id::VARCHAR || '-42'), doc_id) AS k FROM labels WHERE toxic = 0),
+  e AS (SELECT doc_id, part FROM r WHERE k <= CASE part WHEN 'failing' THEN 10 ELSE 6 END)
+SELECT * FROM e UNION ALL SELECT doc_id, 'holdout' FROM (SELECT doc_id FROM documents WHERE lang = 'en' AND doc_id NOT IN (SELECT doc_id FROM e) ORDER BY md5(doc_id::VARCHAR || '-42'), doc_id LIMIT 30)""")
 def m11_failed_passed_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.ranked(table(spark, sf_dir, "labels").filter("toxic = 0"), ["quality"], [S.shuffled("doc_id"), F.col("doc_id")])
-    return rows.filter(F.col("rank") <= F.when(F.col("quality") == 0, 10).otherwise(6)).select("doc_id", "quality")
+    results = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("passed"), F.when(F.col("toxic") == 1, "timeout").otherwise("done").alias("status"))
+    return S.failed_passed_mix(results, "doc_id", table(spark, sf_dir, "documents").filter("lang = 'en'"))
 
 
 @query("""WITH a AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus, l_partkey ORDER BY l_quantity, l_orderkey, l_linenumber) AS t FROM lineitem),

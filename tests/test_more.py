@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import constraints, latex
-from tessella.operators import retrieval
+from tessella.functions import verifiers as V
+from tessella.operators import attribution, ranking, retrieval
+from tessella.plans import tables
 from tessella.sources import files
+from tessella.streaming import runs
 
 
 def values(spark, rows, column):
@@ -115,3 +119,88 @@ def test_complementary_group():
 
     rows = [("a", 3.0, frozenset("xy")), ("b", 2.0, frozenset("x")), ("c", 1.0, frozenset("yz")), ("d", 1.0, frozenset("w"))]
     assert complementary_group(rows, 3) == ["a", "c", "d"] and complementary_group(rows, 1) == ["a"] and complementary_group([], 2) == []
+
+
+@pytest.mark.parametrize(
+    "score, text, label, want",
+    [
+        (V.number_match, "it is -5", "-5", 1.0),
+        (V.number_match, "it is -5", "5", 0.0),
+        (V.number_match, "about 1,234.5", "1234.5", 1.0),
+        (V.number_match, "none", "NONE", 1.0),
+        (V.answer_match, "so The answer is: x", "X", 1.0),
+        (V.answer_match, "so The answer is x", "x", 0.0),
+        (V.answer_match, "x.", "x", 1.0),
+        (V.tagged_match, "paris", "paris", 0.0),
+        (V.tagged_match, "<answer>Paris</answer>", "paris", 1.0),
+        (V.tagged_match, "<answer>a</answer><answer>Paris", "paris", 1.0),
+        (V.tagged_match, "<answer>Paris", "paris", 0.0),
+        (V.puzzle_match, "<think>…</think>Paris", "paris", 1.0),
+        (V.puzzle_match, "The answer is 42", "answer is 42", 1.0),
+    ],
+)
+def test_answer_scores(spark, score, text, label, want):
+    assert spark.createDataFrame([(text, label)], "t string, y string").select(score(F.col("t"), F.col("y")).alias("v")).first().v == want
+
+
+def test_length_scores(spark):
+    rows = spark.createDataFrame([(0,), (100,), (150,), (400,)], "n int")
+    got = rows.select(V.max_length(F.col("n"), F.lit(100), 200).alias("m"), V.up_to_max_length(F.col("n"), F.lit(100), 200).alias("u")).collect()
+    assert [(r.m, r.u) for r in got] == [(0.5, 1.0), (1.0, 1.0), (0.75, 0.75), (-0.5, -0.5)]
+
+
+def test_labels_of_a_finish_tag(spark):
+    rows = spark.createDataFrame([("<FINISH>Paris</finish>",), ("<finish> </finish>",), ("Paris",)], "t string")
+    assert [r.v for r in rows.select(V.any_label_match(F.col("t"), F.array(F.lit("rome"), F.lit("paris"))).alias("v")).collect()] == [1.0, 0.0, 0.0]
+
+
+def test_gate_skips_accepts_pivots_and_rejects(spark):
+    schema = "c int, round int, config string, score double, unique map<int,bigint>"
+    rows = [(0, 0, "a", None, None), (0, 1, "a", 0.5, {}), (0, 2, "b", 0.49, {}), (0, 3, "a", 0.3, {1: 0}), (0, 4, "c", 0.3, {1: 2}), (0, 5, "d", 0.41, {1: 0}), (0, 6, "e", 0.2, None)]
+    gate = lambda tolerance: [(r.round, r.verdict, r.best_round) for r in ranking.regression_gate(spark.createDataFrame(rows, schema), "c", tolerance).orderBy("round").collect()]
+    assert gate(0.02) == [(0, "skip", None), (1, "accept", 1), (2, "accept", 1), (3, "reject", 1), (4, "pivot", 1), (5, "accept", 5), (6, "reject", 5)]
+    assert {v for _, v, _ in gate(-1.0)} == {"skip"}
+
+
+def test_parents(spark):
+    solved = spark.createDataFrame([("a", t) for t in range(10)] + [("b", t) for t in range(9)] + [("c", t) for t in (0, 20, 21)], "run string, task int")
+    nodes = spark.createDataFrame([("a", 0.5, 2, 0), ("b", 0.5, 1, 1), ("c", 0.2, 1, 2), ("d", 0.1, 1, 2)], "run string, mean double, scores int, round int")
+    novelty = {r.run: r.novelty for r in ranking.set_novelty(solved, nodes, "run", "task", 1).collect()}
+    assert novelty["d"] == 0.0 and novelty["a"] == 0.0 and novelty["c"] == 0.0
+    chosen = lambda **more: [r.run for r in ranking.select_parents(solved, nodes, "run", "task", **more).orderBy("place").collect()]
+    assert chosen(turn=3)[0] == "c" and set(chosen(turn=1)) == {"a", "b", "c"} and len(chosen(turn=1, most=2)) == 2
+    assert [r.novelty for r in ranking.set_novelty(solved, nodes.limit(1), "run", "task").collect()] == [1.0]
+
+
+def test_shared_folder_without_the_setting(spark, monkeypatch):
+    context = SimpleNamespace(getCheckpointDir=lambda: None, applicationId="app-1", master="local[4]")
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    first = tables.shared_base(bare)
+    assert first.startswith("file:///") and tables.shared_base(bare) == first
+    context.applicationId, context.master = "app-2", "spark://somewhere:7077"
+    with pytest.raises(ValueError):
+        tables.shared_base(bare)
+    context.getCheckpointDir = lambda: "hdfs://x/y/"
+    assert tables.shared_base(bare) == "hdfs://x/y"
+
+
+def test_tables_are_not_cut_off(spark):
+    assert files.markdown_table(spark.range(3)).count("\n") == 4
+    with pytest.raises(ValueError):
+        files.markdown_table(spark.range(3), 2)
+
+
+def test_usability_and_logs(spark):
+    rows = spark.createDataFrame([("d", "f", "From: x\n%post"), (" ", "f", "x"), ("d", None, "x"), ("d", "f", "\n"), ("d", "f", "From: x")], "d string, f string, c string")
+    assert [r.u for r in rows.select(attribution.usability(F.col("d"), F.col("f"), F.col("c")).alias("u")).collect()] == [None, "no_description", "no_test_final_state", "no_container_def", "bad_container_def"]
+    lines = ['{"type":"raw_assistant","message":{"tool_calls":[{"name":"sh"},{"function":{"name":"py"}},{}]}}', '{"type":"raw_user"}', "no json", '{"type":"raw_assistant","message":{}}']
+    got = files.tool_calls(spark.createDataFrame([(1, x) for x in lines], "k int, line string"), "k", "line").collect()
+    assert {(r.tool, r.calls) for r in got} == {("sh", 1), ("py", 1), ("unknown", 1)}
+    results = [("t__1", '{"verifier_result":{"rewards":{"reward":1}}}'), ("t__2", '{"verifier_result":null}'), ("_x", "{}"), ("u__1", '{"task_name":"v","verifier_result":{"rewards":{"reward":0.5}}}'), ("w__1", "broken")]
+    assert {(r.task, r.passed) for r in files.pass_map(spark.createDataFrame(results, "f string, r string"), "f", "r").collect()} == {("t", False), ("v", True)}
+
+
+def test_stream_tables(spark, tmp_path):
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none")
+    assert runs.run_to_end(runs.counters(spark.readStream.schema(schema).parquet(f"{tmp_path}/none")), "none", "complete").count() == 0

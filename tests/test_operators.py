@@ -38,6 +38,18 @@ def value(spark, column, text="", label=""):
         (lambda: T.is_structured_list(F.col("text")), "1. a\n- b", False),
         (lambda: T.is_think(F.col("text")), "<think>a</think> and more", True),
         (lambda: T.is_think(F.col("text")), "a <think>b</think>", False),
+        (lambda: T.is_think_answer(F.col("text")), "<think>a</think><answer>b</answer>", True),
+        (lambda: T.is_think_answer(F.col("text")), "<think>a</think> <answer>b</answer>", False),
+        (lambda: T.is_think_answer(F.col("text")), "<think>a</think><answer>b</answer>\n", False),
+        (lambda: T.add_answer(F.col("text")), "<think>a</think>b", "<think>a</think>\n<answer>\nb\n</answer>"),
+        (lambda: T.add_answer(F.col("text")), "<think>a</think>\n<answer>b</answer>", "<think>a</think>\n<answer>b</answer>"),
+        (lambda: T.add_answer(F.col("text")), "<answer>b", "<answer>b\n</answer>"),
+        (lambda: T.remove_answer(F.col("text")), " <think>a</think><answer>b</answer> ", "<think>a</think>\nb"),
+        (lambda: T.is_short_phrase(F.col("text")), "cz < xq", True),
+        (lambda: T.is_short_phrase(F.col("text")), "red green blue", False),
+        (lambda: T.is_short_phrase(F.col("text")), "I know", True),
+        (lambda: T.has_legacy_keyword(F.col("text")), "napalm", True),
+        (lambda: T.has_legacy_keyword(F.col("text")), "GPT 2", False),
         (lambda: T.names_provider(F.col("text")), "I am ChatGPT, an AI model.", True),
         (lambda: T.names_provider(F.col("text")), "This model was trained by OpenAI.", True),
         (lambda: T.names_provider(F.col("text")), "A claude is a name", False),
@@ -142,11 +154,41 @@ def test_overlay_takes_null_repairs(spark):
     assert {tuple(r) for r in joins.overlay(one([(1, 1), (2, 2)]), one([(2, None)]), "k", ["v"]).collect()} == {(1, 1), (2, None)}
 
 
-def test_repetition_verdicts(spark):
-    rows = [(1, "Over and over again. " * 12), (2, None), (3, ""), (4, "Therefore,\n\n" * 50), (5, "a = b + 1.\n" * 15), (6, "One two three. Four five six. " * 60)]
-    out = {r.doc_id: r for r in repetition.block_verdict(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert out[1].reason == "consecutive_line_repeated_12x" and out[6].reason == "total_line_repeated_60x"
-    assert not any(out[i].has_repetition for i in (2, 3, 4, 5))
+@pytest.mark.parametrize(
+    "text, thresholds, want",
+    [
+        (None, repetition.USUAL, ""),
+        ("", repetition.USUAL, ""),
+        ("Therefore,\n\n" * 50, repetition.USUAL, ""),
+        ("import pandas. " * 60, repetition.USUAL, ""),
+        ("import numpy as np. " * 60, repetition.USUAL, "line_repeated_60x_consecutive_short_phrase"),  # a phrase is in "numpy"
+        ("so it is no. Blue car. " * 45, repetition.USUAL, ""),
+        ("red green blue. " * 4, repetition.USUAL, "line_repeated_4x_consecutive"),
+        ("red green blue. " * 3, repetition.USUAL, ""),
+        ("red green blue. " * 19, repetition.FIRST_LOOK, ""),
+        ("red green blue. " * 20, repetition.FIRST_LOOK, "line_repeated_20x_consecutive"),
+        ("red green blue. yellow pink. " * 40, repetition.USUAL, "line_repeated_40x"),
+        ("red green blue. yellow pink. " * 39, repetition.USUAL, ""),
+        ("maybe red. " * 7, repetition.USUAL, ""),
+        ("maybe red. " * 8, repetition.USUAL, "line_repeated_8x_consecutive_short_phrase"),
+        ("word. " * 50, repetition.USUAL, ""),
+        ("red = green blue. " * 7, repetition.USUAL, ""),
+        ("large red paragraph of text\n\n" * 10, repetition.USUAL, "paragraph_repeated_10x"),
+        ("large red paragraph of text\n\n" * 9, repetition.USUAL, ""),
+        ("large red paragraph of text\n\nother blue paragraph of text\n\n" * 20, repetition.USUAL, "paragraph_repeated_20x"),
+        ("large red paragraph of text\n\nother blue paragraph of text\n\n" * 19, repetition.USUAL, ""),
+        ("large red paragraph\nof text\n\n" * 39, repetition.USUAL, ""),
+        ("large red paragraph\nof text\n\n" * 40, repetition.USUAL, "paragraph_repeated_40x"),
+        ("1. a\n2. b\n\n" + "large red paragraph of text\n\n" * 29, repetition.USUAL, ""),
+        ("1. a\n2. b\n\n" + "large red paragraph of text\n\n" * 30, repetition.USUAL, "paragraph_repeated_30x"),
+    ],
+)
+def test_repetition_verdicts(spark, text, thresholds, want):
+    out = repetition.block_verdict(spark.createDataFrame([(1, text)], "doc_id long, text string"), *thresholds).first()
+    assert out.repetition_reason == want and out.has_repetition == (want != "") == (len(out.repetition_examples) == 1)
+
+
+def test_ngrams_of_a_short_text(spark):
     assert repetition.ngram_repetitions(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).count() == 0
 
 

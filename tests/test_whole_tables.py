@@ -23,7 +23,7 @@ def test_canary_query_sees_all_items(spark, sf):
     items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     want = {(r.doc_id, n) for r in docs if (n := sum(t in r.text for t in items))}
-    assert {tuple(r) for r in Q.QUERIES["f36_canary_guard_whole"](spark, sf).collect()} == want
+    assert {tuple(r) for r in Q.QUERIES["f36_canary_guard"](spark, sf).collect()} == want
 
 
 def test_selection_over_the_whole_table(spark, sf):
@@ -58,7 +58,7 @@ def test_reply_tree_over_the_whole_table(spark, sf):
         open_ += [(c, depth + 1, f"{trail}>{c}") for _, c in best]
         if not best:
             want.add((i, depth, trail))
-    got = {tuple(r) for r in Q.QUERIES["r17_reply_tree_whole"](spark, sf).select("id", "depth", "trail").collect()}
+    got = {tuple(r) for r in Q.QUERIES["r17_reply_tree"](spark, sf).select("id", "depth", "trail").collect()}
     assert max(i for i, _, _ in got) >= 600 and got == want
 
 
@@ -67,7 +67,7 @@ def test_complementary_runs_of_all_tasks(spark, sf):
     for r in trials(spark, sf).filter("reward > 0").select("run", "task_id").collect():
         solved[r.run].add(r.task_id)
     want = {(x, y) for x, p in solved.items() for y, q in solved.items() if x < y and p - q and q - p}
-    assert {tuple(r) for r in Q.QUERIES["w29_complementary_whole"](spark, sf).collect()} == want
+    assert {tuple(r) for r in Q.QUERIES["w29_complementary"](spark, sf).collect()} == want
 
 
 def test_complementary_by_items(spark):
