@@ -45,7 +45,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, shared_folder(spark, name)
 
-    def write(self, df: DataFrame, table: str) -> DataFrame:
+    def write(self, df: DataFrame, table: str, level: int = 3) -> DataFrame:
         path, schema = f"{self.base}/{table}", df.schema
         # the table replaces the shuffle files that made it
         wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
@@ -53,7 +53,7 @@ class Scratch:
         try:
             for key, value in wanted.items():
                 self.spark.conf.set(key, value)
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
         finally:
             for key, value in before.items():
                 self.spark.conf.set(key, value)

@@ -63,7 +63,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = media.store_texts(_table(spark, sf_dir, "documents"))
-    stored = Scratch(spark, "telephony").write(media.decode_telephony(files), "pcm")  # the resampled PCM is a column of this table
+    stored = Scratch(spark, "telephony").write(media.decode_telephony(files), "pcm", level=12)  # the resampled PCM is a column of this table
     return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
