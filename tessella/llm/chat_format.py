@@ -37,6 +37,10 @@ class Mapping:
     fields: tuple[tuple[str, str], ...] = ()
     optional: tuple[str, ...] = ("system",)
 
+    def fits(self, record: dict[str, Any]) -> bool:
+        """Whether the record has the fields that all views of this mapping have."""
+        return self.turns in record if self.turns is not None else all(f in record for f, _ in self.fields if f not in self.optional)
+
     def view(self, record: dict[str, Any]) -> dict[str, Any]:
         """The record's fields that the mapping reads. A text may be a list of parts with types and texts."""
         if self.turns is None:
@@ -118,7 +122,7 @@ PRINTS = {m.name: frozenset(m.prints()) for m in LAYOUTS}
 def choose(record: Any) -> tuple[Mapping | None, dict[str, Any], str]:
     """The mapping of a record, its view of it and the fingerprint; without a mapping, the fingerprint of the whole record."""
     if isinstance(record, dict):
-        for m in LAYOUTS:
+        for m in (m for m in LAYOUTS if m.fits(record)):
             if (print_ := fingerprint(field_paths(view := m.view(record)))) in PRINTS[m.name]:
                 return m, view, print_
     return None, {}, fingerprint(field_paths(record))
