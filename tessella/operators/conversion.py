@@ -140,3 +140,23 @@ def with_tools(df: DataFrame, tools: list[dict] | None = None, name: str = "tool
     """The rows with one constant column of tool definitions; parameters are JSON text."""
     made = [F.struct(F.lit(t["type"]).alias("type"), F.struct(*(F.lit(v).alias(k) for k, v in t["function"].items())).alias("function")) for t in (tools or [SHELL_TOOL])]
     return df.withColumn(name, F.array(*made))
+
+
+def reply_paths(messages: DataFrame, view: str, top_k: int | None = None) -> DataFrame:
+    """(id, depth, trail): paths from a root to each assistant's message that nobody replied to, without deleted ones and what hangs on them.
+
+    messages: id, parent, role, quality (null: 0), deleted (null: no). Only the top_k replies by quality, then by id, go on. A message whose replies are all
+    deleted is no end of a path, as it has replies. The recursion has Spark's limits of levels and rows. view: a name for the temporary view.
+    """
+    from tessella.operators.joins import lineage
+
+    alive = messages.filter(~F.coalesce("deleted", F.lit(False)))
+    replies = alive.filter("parent is not null")
+    if top_k is not None:
+        best = Window.partitionBy("parent").orderBy(F.desc(F.coalesce("quality", F.lit(0.0))), "id")
+        replies = replies.withColumn("k__", F.row_number().over(best)).filter(F.col("k__") <= top_k)
+    columns = ["id", "parent", "role"]
+    alive.filter("parent is null").select(*columns).unionByName(replies.select(*columns)).createOrReplaceTempView(view)
+    paths = lineage(messages.sparkSession.sql, view, "id", "parent", "parent IS NULL").select("id", "depth", "trail")
+    ends = alive.filter("role = 'assistant'").select("id").join(messages.filter("parent is not null").select(F.col("parent").alias("id")).distinct(), "id", "left_anti")
+    return paths.join(ends, "id", "left_semi")

@@ -120,3 +120,12 @@ def selected_tasks(summaries: DataFrame, summary: str) -> DataFrame:
     """(task): the union of `selected_tasks` of JSON summaries; those that can't be read, or have none, add nothing."""
     found = F.from_json(summary, "selected_tasks array<string>")
     return summaries.select(F.explode(found["selected_tasks"]).alias("task")).filter("task is not null").distinct()
+
+
+def reward_breakdown(rows: DataFrame, key: str, verifier: str, score: Column, weight: Column, multiplier: float = 1.0) -> DataFrame:
+    """(key, reward, parts): multiplier * score * weight summed, and a map of the same by verifier. Null scores, of unknown verifiers, are
+    skipped; a response with no other has reward 0 and an empty map."""
+    each = rows.select(key, F.when(score.isNotNull(), F.col(verifier)).alias("v__"), (score * weight * multiplier).alias("r__"))
+    sums = each.groupBy(key, "v__").agg(F.sum("r__").alias("r__"))
+    entries = F.array_sort(F.collect_list(F.when(F.col("v__").isNotNull(), F.struct("v__", "r__"))))
+    return sums.groupBy(key).agg(F.coalesce(F.sum("r__"), F.lit(0.0)).alias("reward"), F.map_from_entries(entries).alias("parts"))

@@ -316,3 +316,59 @@ def shaped_reward(steps: DataFrame, run: str, step: str, terminal: str) -> DataF
     sums = steps.withColumn("delta__", delta).groupBy(run).agg(F.first(terminal).alias("t"), F.sum(F.greatest("delta__", F.lit(0.0))).alias("up"), F.sum(F.greatest(-F.col("delta__"), F.lit(0.0))).alias("down"))
     score = F.col("t") + F.least("up", F.lit(BONUS_CAP)) - F.least("down", F.lit(PENALTY_CAP))
     return sums.select(run, F.when(F.col("t") < 0, F.greatest(F.lit(FLOOR), F.least(F.lit(CEILING), score))).otherwise(score).alias("reward"))
+
+
+def trim_with_tools(turns: DataFrame, conv: str, order: list[str], size: str, budget: int) -> DataFrame:
+    """Messages that stay when the oldest but the first go until the rest fits the budget; a call's results go with it.
+
+    Reads role, calls (array of call ids) and call_id. Results that follow an assistant's message directly and belong to its calls form
+    one group with it; any other result, those of the first message included, is a group of its own.
+    """
+    w, back = Window.partitionBy(conv).orderBy(*order), Window.partitionBy(conv).orderBy(*(F.desc(c) for c in order))
+    so_far = (Window.unboundedPreceding, 0)
+    tool = F.col("role").eqNullSafe("tool")
+    placed = turns.withColumn("pos__", F.row_number().over(w)).withColumn("run__", F.sum(F.when(tool, 0).otherwise(1)).over(w.rowsBetween(*so_far)))
+    run = Window.partitionBy(conv, "run__").orderBy("pos__")
+    calls = F.when((F.first("role").over(run) == "assistant") & (F.first("pos__").over(run) > 1), F.first("calls").over(run))
+    own = placed.withColumn("own__", F.coalesce(tool & F.array_contains(calls, F.col("call_id")), F.lit(False)))
+    lost = F.sum(F.when(tool & ~F.col("own__"), 1).otherwise(0)).over(run.rowsBetween(*so_far))
+    grouped = own.withColumn("own__", F.col("own__") & (lost == 0)).withColumn("group__", F.sum(F.when(F.col("own__"), 0).otherwise(1)).over(w.rowsBetween(*so_far)))
+    later = grouped.withColumn("later__", F.sum(size).over(back.rowsBetween(*so_far))).withColumn("first__", F.first(size).over(w))
+    whole = F.max("later__").over(Window.partitionBy(conv, "group__"))
+    return later.withColumn("later__", whole).filter((F.col("pos__") == 1) | (F.col("later__") + F.col("first__") <= budget)).select(*turns.columns)
+
+
+def trim_at_ratio(turns: DataFrame, conv: str, order: list[str], size: str, window: int, ratio: float = 0.8) -> DataFrame:
+    """`trim_with_tools` down to a share of the context window."""
+    return trim_with_tools(turns, conv, order, size, int(window * ratio))
+
+
+def mini_eval(candidates: DataFrame, results: DataFrame, probes: DataFrame, max_regressions: int, keep: int) -> DataFrame:
+    """(idx, gained, regressed, score, outcome) of each candidate: `regressed` if it breaks more than so many tasks that the parent solved,
+    else `kept` for the best by score, then idx, and `cut` for others. Without results a candidate has no score and comes last.
+
+    candidates: (idx); results: (idx, task, solved); probes: (task, parent), each task once. Tasks without a result count as not solved.
+    """
+    total = probes.agg(F.count("*").alias("n"), F.count_if("parent").alias("p"))  # one row
+    solved = results.groupBy("idx", "task").agg(F.max("solved").alias("solved")).join(probes, "task", "left")
+    s, parent = F.coalesce("solved", F.lit(False)), F.col("parent")
+    sums = solved.groupBy("idx").agg(F.count_if(s & parent.isNotNull()).alias("hits"), F.count_if(s & F.coalesce(parent, F.lit(False))).alias("both"))
+    each = candidates.join(sums, "idx", "left").crossJoin(F.broadcast(total))
+    counted = each.select("idx", (F.col("hits") - F.col("both")).alias("gained"), (F.col("p") - F.col("both")).alias("regressed"), (F.col("hits") / F.col("n")).alias("score"))
+    dropped = F.coalesce(F.col("regressed") > max_regressions, F.lit(False))
+    place = F.row_number().over(Window.partitionBy("dropped__").orderBy(F.desc(F.coalesce("score", F.lit(-1.0))), "idx"))  # a row for each candidate of a round
+    judged = counted.withColumn("dropped__", dropped).withColumn("place__", place)
+    return judged.select("idx", "gained", "regressed", "score", F.when(F.col("dropped__"), "regressed").when(F.col("place__") <= keep, "kept").otherwise("cut").alias("outcome"))
+
+
+def structural_screen(candidates: DataFrame, rejected: DataFrame, idx: str, signature: Column, empty: Column) -> DataFrame:
+    """(idx, outcome): `empty`, `rejected` for a signature in rejected(signature), `duplicate` of an earlier one, or `kept`.
+
+    The first of a signature is an aggregate that tasks combine before the shuffle, so a very common one is no hot group.
+    """
+    signed = candidates.select(F.col(idx), F.coalesce(empty, F.lit(True)).alias("empty__"), signature.alias("signature"))
+    first = signed.filter("not empty__").groupBy("signature").agg(F.min(idx).alias("first__"))
+    known = first.join(rejected.select("signature", F.lit(True).alias("known__")).distinct(), "signature", "left")
+    judged = signed.join(known, "signature", "left")
+    outcome = F.when(F.col("empty__"), "empty").when(F.col("known__"), "rejected").when(F.col(idx) > F.col("first__"), "duplicate").otherwise("kept")
+    return judged.select(idx, outcome.alias("outcome"))

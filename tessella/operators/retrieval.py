@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -126,3 +127,41 @@ def capped_selection(candidates: DataFrame, quotas: DataFrame, keep: Callable[[D
             return judged.select("task", "env", "cand")
         left = keep(left.join(refused, ["task", "cand"], "left_anti"))
     raise RuntimeError("more rounds than allowed")
+
+
+def relevant_text(docs: DataFrame, key: str, text: str, words: list[str], around: int, head: int = 20) -> DataFrame:
+    """(key, shown): lines that hold any of the words, whatever the case, with their neighbours and `...` for each gap; of a text without such a
+    line the first ones, and `...` if there are more. A null text stays null."""
+    lines = docs.select(key, F.explode(F.array(F.split(text, "\n"))).alias("lines"))
+    hit = F.transform("lines", lambda x: F.exists(F.array(*map(F.lit, [w.lower() for w in words])), lambda w: F.contains(F.lower(x), w)))
+    hits = lines.select(key, "lines", F.explode(F.array(hit)).alias("hits"))
+    near = lambda i: F.array_contains(F.slice("hits", F.greatest(i - around, F.lit(1)), i + around + 1 - F.greatest(i - around, F.lit(1))), True)
+    kept = F.filter(F.sequence(F.lit(1), F.greatest(F.size("lines"), F.lit(1))), near)
+    placed = hits.select(key, "lines", F.explode(F.array(kept)).alias("kept"))
+    gap = lambda i, n: (n > 0) & (F.get("kept", n - 1) < i - 1)
+    found = F.array_join(F.transform("kept", lambda i, n: F.concat(F.when(gap(i, n), "...\n").otherwise(""), F.element_at("lines", i))), "\n")
+    first = F.concat(F.array_join(F.slice("lines", 1, head), "\n"), F.when(F.size("lines") > head, "\n...").otherwise(""))
+    return placed.select(key, F.when(F.col("lines").isNull(), None).when(F.size("kept") > 0, found).otherwise(first).alias("shown"))
+
+
+def entity_names(prompt: str) -> list[str]:
+    """Capitalised words of a prompt, each once, in order."""
+    return list(dict.fromkeys(re.findall(r"\b[A-Z][a-z]{2,}\b", prompt)))
+
+
+def entity_hits(memories: DataFrame, key: str, field: str, names: list[str], most: int) -> DataFrame:
+    """(key, match): how many of the names the keyword field holds, whatever the case, for the `most` best; ties by key."""
+    score = sum((F.contains(F.lower(field), F.lit(n.lower())).cast("int") for n in names), F.lit(0))
+    return memories.select(key, score.cast("double").alias("match")).filter("match > 0").orderBy(F.desc("match"), key).limit(most)
+
+
+def search_rank(hits: DataFrame, entities: DataFrame, memories: DataFrame, key: str, now: Column, half_life_days: float) -> DataFrame:
+    """(key, match, decay, place) of active memories by match, then by decayed importance, then by key.
+
+    hits: (key, match), the best of a text search; entities: keys found by entity names alone, which match with 0.5;
+    memories: (key, status, importance, accessed). Hits are a bounded list, so one window orders them.
+    """
+    named = entities.join(hits, key, "left_anti").select(key, F.lit(0.5).alias("match"))
+    found = hits.select(key, F.round("match", 9).alias("match")).unionByName(named).join(memories.filter("status = 'active'"), key)
+    scored = found.select(key, "match", decayed(F.col("importance"), F.col("accessed"), now, half_life_days).alias("decay"))
+    return scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("match"), F.desc(F.round("decay", 9)), key)))

@@ -247,3 +247,39 @@ SELECT vec_id, avg(d) AS novelty FROM (SELECT * FROM d QUALIFY row_number() OVER
 def r06_r07_j11_knn_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return R.knn_novelty(e, "vec_id", "embedding", e.filter("vec_id % 100 = 0"), 5)
+
+
+@query("""WITH m AS (SELECT event_id, user_id, ts, CASE WHEN event_type = 'click' THEN 'assistant' WHEN event_type = 'purchase' THEN 'user' ELSE 'tool' END AS role, event_type AS id, floor(value)::BIGINT AS n FROM events),
+  p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM m),
+  h AS (SELECT *, max(CASE WHEN role <> 'tool' THEN pos END) OVER (PARTITION BY user_id ORDER BY pos) AS head FROM p),
+  b AS (SELECT h.*, max(CASE WHEN h.role = 'tool' AND h.id NOT IN ('view', 'signup') THEN h.pos END) OVER (PARTITION BY h.user_id ORDER BY h.pos) AS stray, q.role AS head_role FROM h LEFT JOIN p q ON q.user_id = h.user_id AND q.pos = h.head),
+  g AS (SELECT *, CASE WHEN role = 'tool' AND head_role = 'assistant' AND head > 1 AND coalesce(stray, 0) < head THEN head ELSE pos END AS grp FROM b),
+  s AS (SELECT user_id, grp, sum(n) AS n FROM g GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY grp DESC) AS later, first_value(n) OVER (PARTITION BY user_id ORDER BY grp) AS f FROM s)
+SELECT event_id FROM g JOIN t USING (user_id, grp) WHERE pos = 1 OR later + f <= 4000""")
+def w16_w17_trim_with_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    role = F.when(kind == "click", "assistant").when(kind == "purchase", "user").otherwise("tool")
+    calls = F.when(kind == "click", F.array(F.lit("view"), F.lit("signup")))
+    turns = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", role.alias("role"), calls.alias("calls"), kind.alias("call_id"), F.floor("value").alias("n"))
+    return R.trim_at_ratio(turns, "user_id", ORDER, "n", 5000).select("event_id")
+
+
+@query(f"""WITH {T}, b AS (SELECT task_id, max(reward) > 0 AS p FROM t WHERE run = 0 GROUP BY 1), c AS (SELECT run, task_id, max(reward) > 0 AS p FROM t WHERE run > 0 GROUP BY ALL),
+  x AS (SELECT idx, b.task_id, b.p AS parent, coalesce(c.p, false) AS own, idx < 8 AS probed FROM range(1, 9) r(idx) CROSS JOIN b LEFT JOIN c ON c.run = idx AND c.task_id = b.task_id),
+  s AS (SELECT idx, CASE WHEN bool_and(probed) THEN count(*) FILTER (own AND NOT parent) END AS gained, CASE WHEN bool_and(probed) THEN count(*) FILTER (parent AND NOT own) END AS regressed, CASE WHEN bool_and(probed) THEN count(*) FILTER (own) / count(*) END AS score FROM x GROUP BY 1),
+  d AS (SELECT *, coalesce(regressed > 0.93 * (SELECT count(*) FROM b WHERE p), false) AS broke FROM s)
+SELECT idx, gained, regressed, score, CASE WHEN broke THEN 'regressed' WHEN row_number() OVER (PARTITION BY broke ORDER BY coalesce(score, -1) DESC, idx) <= 2 THEN 'kept' ELSE 'cut' END AS outcome FROM d""")
+def w27_mini_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trials(spark, sf_dir)
+    probes = t.filter("run = 0").groupBy(F.col("task_id").alias("task")).agg((F.max("reward") > 0).alias("parent"))
+    results = t.filter("run > 0").select(F.col("run").cast("long").alias("idx"), F.col("task_id").alias("task"), (F.col("reward") > 0).alias("solved"))
+    most = int(0.93 * probes.filter("parent").count())
+    return R.mini_eval(spark.range(1, 9).toDF("idx"), results, probes, most, 2)
+
+
+@query("""WITH k AS (SELECT DISTINCT md5(text) AS h FROM documents JOIN labels USING (doc_id) WHERE quality = 0), d AS (SELECT doc_id, md5(text) AS h, text IS NULL OR text = '' AS empty FROM documents)
+SELECT doc_id, CASE WHEN empty THEN 'empty' WHEN h IN (SELECT h FROM k) THEN 'rejected' WHEN doc_id > (SELECT min(o.doc_id) FROM d o WHERE o.h = d.h AND NOT o.empty) THEN 'duplicate' ELSE 'kept' END AS outcome FROM d""")
+def w30_screen_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = docs.join(table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id"), "doc_id", "left_semi").select(F.md5("text").alias("signature"))
+    return R.structural_screen(docs, known, "doc_id", F.md5("text"), F.col("text").isNull() | (F.col("text") == ""))

@@ -115,3 +115,44 @@ def _reply_paths(spark: SparkSession, events: DataFrame, view: str) -> DataFrame
 @query("""SELECT doc_id, sha256('{"source":"' || source || '","lang":"' || lang || '"}')[:16] AS h FROM documents""")
 def r18_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", R.fingerprint(F.col("source"), F.col("lang"), length=16).alias("h"))
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), p AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM l),
+  h AS (SELECT doc_id, i, l[i] AS line, contains(lower(l[i]), 'license') OR contains(lower(l[i]), 'shan') AS hit FROM p),
+  n AS (SELECT * FROM (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM h) WHERE near),
+  g AS (SELECT doc_id, i, CASE WHEN i > 1 + lag(i) OVER (PARTITION BY doc_id ORDER BY i) THEN '...' || chr(10) ELSE '' END || line AS line FROM n),
+  f AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS shown FROM g GROUP BY 1)
+SELECT doc_id, md5(coalesce(shown, array_to_string(l[:20], chr(10)) || CASE WHEN len(l) > 20 THEN chr(10) || '...' ELSE '' END)) AS shown FROM l LEFT JOIN f USING (doc_id)""")
+def r12_relevant_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.relevant_text(table(spark, sf_dir, "documents"), "doc_id", "text", ["License", "shan"], 1).select("doc_id", F.md5("shown").alias("shown"))
+
+
+@query(f"""WITH h AS (SELECT doc_id, {", ".join(f"len(regexp_extract_all(lower(text), '{k}')) AS k{i}" for i, k in enumerate(_K))} FROM documents WHERE regexp_matches(lower(text), '{"|".join(_K)}')),
+  n AS (SELECT count(*) AS n, {", ".join(f"count(*) FILTER (k{i} > 0) AS d{i}" for i in range(len(_K)))} FROM h),
+  g AS (SELECT doc_id, round({" + ".join(f"ln(1.0 + k{i}) * ln(1.0 + n / greatest(d{i}, 1))" for i in range(len(_K)))}, 9) AS match FROM h, n ORDER BY match DESC, doc_id LIMIT 50),
+  e AS (SELECT doc_id FROM documents WHERE lang IN ('de', 'es') ORDER BY doc_id LIMIT 20),
+  f AS (SELECT * FROM g UNION ALL SELECT doc_id, 0.5 FROM e WHERE doc_id NOT IN (SELECT doc_id FROM g)),
+  d AS (SELECT doc_id, match, n_chars / 1000.0 * exp(-ln(2.0) * (n_chars / 24.0) / 30) AS decay FROM f JOIN documents USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0))
+SELECT doc_id, match, round(decay, 6) AS decay, row_number() OVER (ORDER BY match DESC, round(decay, 9) DESC, doc_id) AS place FROM d""")
+def r10_r13_search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, now = table(spark, sf_dir, "documents"), F.lit("2024-12-31 00:00:00").cast("timestamp")
+    poor = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id", F.lit("archived").alias("poor")).distinct()
+    field = F.concat(F.when(F.col("lang") == "de", "german").when(F.col("lang") == "es", "spanish").otherwise(""), F.lit(", prose"))
+    accessed = F.timestamp_micros(F.unix_micros(now) - F.col("n_chars") * 3_600_000_000)
+    memories = docs.join(poor, "doc_id", "left").select("doc_id", F.coalesce("poor", F.lit("active")).alias("status"), (F.col("n_chars") / 1000.0).alias("importance"), accessed.alias("accessed"))
+    hits = R.keyword_rank(docs, "doc_id", "text", _K).select("doc_id", F.round("score", 9).alias("match")).orderBy(F.desc("match"), "doc_id").limit(50)
+    entities = R.entity_hits(docs.withColumn("field", field), "doc_id", "field", R.entity_names("What do the German and Spanish notes say of it?"), 20)
+    found = R.search_rank(hits, entities, memories, "doc_id", now, 30)
+    return found.select("doc_id", "match", F.round("decay", 6).alias("decay"), F.col("place").cast("long").alias("place"))
+
+
+@query("""WITH RECURSIVE m AS (SELECT event_id AS id, CASE WHEN event_id > 20 THEN event_id // 3 END AS parent, value AS q, event_type = 'error' AS gone, CASE WHEN event_type IN ('view', 'purchase') THEN 'assistant' ELSE 'prompter' END AS role FROM events),
+  a AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY q DESC, id) AS k FROM m WHERE NOT gone),
+  p(id, depth, trail) AS (SELECT id, 0, id::VARCHAR FROM a WHERE parent IS NULL UNION ALL SELECT a.id, p.depth + 1, p.trail || '>' || a.id FROM a JOIN p ON a.parent = p.id WHERE k <= 2)
+SELECT p.id, depth, trail FROM p JOIN m USING (id) WHERE role = 'assistant' AND p.id NOT IN (SELECT parent FROM m WHERE parent IS NOT NULL)""")
+def r17_reply_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.operators.conversion import reply_paths
+
+    kind = F.col("event_type")
+    m = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") > 20, F.floor(F.col("event_id") / 3)).alias("parent"), F.when(kind.isin("view", "purchase"), "assistant").otherwise("prompter").alias("role"), F.col("value").alias("quality"), (kind == "error").alias("deleted"))
+    return reply_paths(m, "reply_messages__", top_k=2)

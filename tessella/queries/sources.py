@@ -118,3 +118,12 @@ def t06_message_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     type_ = F.when(kind == "view", "raw_assistant").when(kind == "click", "assistant").when(kind == "purchase", "raw_tool").when(kind == "signup", "tool").otherwise("raw_user")
     records = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("line_no"), type_.alias("type"), F.floor(F.col("event_id") / 500).alias("step"), F.floor(F.col("event_id") / 700).cast("string").alias("tool_call_id"), F.col("props").alias("content"))
     return S.message_tracks(records, "user_id", 18)
+
+
+@query("SELECT event_id, 0 AS panel, event_id::DOUBLE AS step, value AS norm, NULL::DOUBLE AS failures FROM events UNION ALL SELECT event_id, 2, event_id + 1.0, NULL, 0.015 FROM events")
+def src10_log_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id").cast("string")
+    first = F.concat(F.lit("start: 1\n\x1b[32mMetrics\x1b[0m\n│ training_step: "), n, F.lit(" │ grad_norm: "), F.col("value").cast("string"), F.lit(" │\n│ grad_norm: 99 │ other: 1 ╯\n"))
+    rest = F.concat(F.lit("Metrics\n│ grad_norm: 1 │\nMetrics ─\n│ training_step: "), (F.col("event_id") + 1).cast("string"), F.lit(" │ bash/failure_rate: 1.5e-2 │"))
+    m = S.log_panels(table(spark, sf_dir, "events").select("event_id", F.concat(first, rest).alias("text")), "event_id", "text", ["training_step", "grad_norm", "bash/failure_rate"])
+    return m.select("event_id", "panel", F.col("metrics")["training_step"].alias("step"), F.col("metrics")["grad_norm"].alias("norm"), F.col("metrics")["bash/failure_rate"].alias("failures"))

@@ -192,3 +192,14 @@ def v03_v04_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(r"so \boxed{\frac{"), n, F.lit("}{7}}"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit(r"Final Answer: The final answer is $\frac{"), n, F.lit("}{7}$. I hope it is correct."))).otherwise(F.lit("it is $8$, not $9$"))
     label = F.concat(F.lit(r"\frac{"), n, F.lit("}{7}"))
     return table(spark, sf_dir, "part").select("p_partkey", math_match(said, label).alias("math"), strict_math_match(said, label).alias("strict"))
+
+
+@query(f"""WITH {SAID}, r AS (SELECT conv_id, CASE turn % 3 WHEN 0 THEN 'number' WHEN 1 THEN 'puzzle' END AS v, CASE WHEN turn % 3 = 0 THEN CASE WHEN lower({_NUM}) = lower(label) THEN 1.0 ELSE 0.0 END WHEN turn % 3 = 1 THEN CASE WHEN {norm_sql(AFTER)} = {norm_sql('label')} THEN 1.0 ELSE 0.0 END END AS score, 1 + turn % 2 AS weight FROM s)
+SELECT conv_id, coalesce(sum(10 * score * weight), 0) AS reward, sum(10 * score * weight) FILTER (v = 'number') AS number, sum(10 * score * weight) FILTER (v = 'puzzle') AS puzzle FROM r GROUP BY 1""")
+def v17_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.operators.outcomes import reward_breakdown
+
+    name = F.when(F.col("turn") % 3 == 0, "number").when(F.col("turn") % 3 == 1, "puzzle").otherwise("unknown")
+    rows = said(spark, sf_dir).withColumn("verifier", name)
+    g = reward_breakdown(rows, "conv_id", "verifier", V.registry_score(F.col("verifier"), F.col("text"), F.col("label")), (1 + F.col("turn") % 2).cast("double"), 10.0)
+    return g.select("conv_id", "reward", F.col("parts")["number"].alias("number"), F.col("parts")["puzzle"].alias("puzzle"))

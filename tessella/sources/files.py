@@ -157,3 +157,22 @@ def pass_map(results: DataFrame, folder: str, result: str) -> DataFrame:
     task = F.coalesce(F.nullif("r.task_name", F.lit("")), F.substring_index("folder", "__", 1))
     passed = F.coalesce(F.col("r.verifier_result.rewards.reward") > 0, F.lit(False))
     return rows.groupBy(task.alias("task")).agg(F.max_by(passed, "folder").alias("passed"))
+
+
+# The form of a trainer's log panels.
+ANSI = "\x1b\\[[0-9;]*m"
+BOX = "[│╭╮╰╯─]"
+PANEL = "Metrics"
+PAIR = r"([A-Za-z][\w/]*(?:_[\w/]+)*)\s*:\s*(-?\d+\.?\d*(?:[eE][+-]?\d+)?)"
+
+
+def log_panels(logs: DataFrame, key: str, text: str, names: list[str], needed: str = "training_step") -> DataFrame:
+    """(key, panel, metrics): a map of the named metrics for each panel of a log that has the needed one; a panel's first value counts."""
+    parts = F.split(F.regexp_replace(text, ANSI, ""), PANEL)
+    panels = logs.select(key, F.posexplode(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("panel", "flat"))
+    flat = F.regexp_replace("flat", BOX, " ")
+    pairs = F.struct(F.regexp_extract_all(flat, F.lit(PAIR), F.lit(1)).alias("k"), F.regexp_extract_all(flat, F.lit(PAIR), F.lit(2)).alias("v"))
+    read = panels.select(key, "panel", F.explode(F.array(pairs)).alias("p"))
+    value = lambda n: F.get("p.v", (F.array_position("p.k", n) - 1).cast("int")).cast("double")
+    metrics = read.select(key, "panel", F.explode(F.array(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(value, names))))).alias("metrics"))
+    return metrics.filter(F.col("metrics")[needed].isNotNull())
