@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,3 +162,38 @@ def reply_paths(messages: DataFrame, view: str, top_k: int | None = None) -> Dat
     paths = lineage(messages.sparkSession.sql, view, "id", "parent", "parent IS NULL").select("id", "depth", "trail")
     ends = alive.filter("role = 'assistant'").select("id").join(messages.filter("parent is not null").select(F.col("parent").alias("id")).distinct(), "id", "left_anti")
     return paths.join(ends, "id", "left_semi")
+
+
+def _qa(question: Column, truth: Column, prompt: str, suffix: str = "") -> list[Column]:
+    user = message("user", F.concat(F.lit(prompt), question, F.lit(suffix)))
+    return [F.array(user).alias("messages"), truth.alias("ground_truth"), F.lit("re_search").alias("dataset")]
+
+
+def _after_thinking(text: Column) -> Column:
+    return F.substring_index(text, "</think>", -1)
+
+
+#: Columns of a question-answering layout as messages, ground_truth and dataset: one answer, lists of answers as JSON (without
+#: blanks) with a question mark added, and aliases inside the answer. The second argument is a prompt before the question.
+QA_LAYOUTS: dict[str, Callable[[str], list[Column]]] = {
+    "one_answer": lambda prompt: _qa(F.col("question"), F.col("answer").cast("string"), prompt),
+    "answers": lambda prompt: _qa(F.col("question"), F.to_json("answer"), prompt, "?"),
+    "aliases": lambda prompt: _qa(F.col("question"), F.to_json("answer.aliases"), prompt),
+}
+
+
+def qa_rows(rows: DataFrame, key: str, layout: str, prompt: str = "") -> DataFrame:
+    """(key, messages, ground_truth, dataset) of question-answering rows of a named layout."""
+    return rows.select(key, *QA_LAYOUTS[layout](prompt))
+
+
+def long_form_rows(rows: DataFrame, key: str, prompt: str = "") -> DataFrame:
+    """(key, messages, ground_truth, no_reasoning_ground_truth, dataset) of rows with prompt and response; the prompt follows the question."""
+    user = F.array(message("user", F.concat("prompt", F.lit(prompt))))
+    return rows.select(key, user.alias("messages"), F.col("response").alias("ground_truth"), _after_thinking(F.col("response")).alias("no_reasoning_ground_truth"), F.lit("long_re_search").alias("dataset"))
+
+
+def long_form_messages(rows: DataFrame, key: str) -> DataFrame:
+    """The same columns of rows that have messages already: the last one is the truth, and no messages have none."""
+    last = F.try_element_at("messages", F.lit(-1))["content"]
+    return rows.select(key, "messages", last.alias("ground_truth"), last.alias("no_reasoning_ground_truth"), F.lit("long_re_search").alias("dataset"))

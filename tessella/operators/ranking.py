@@ -372,3 +372,59 @@ def structural_screen(candidates: DataFrame, rejected: DataFrame, idx: str, sign
     judged = signed.join(known, "signature", "left")
     outcome = F.when(F.col("empty__"), "empty").when(F.col("known__"), "rejected").when(F.col(idx) > F.col("first__"), "duplicate").otherwise("kept")
     return judged.select(idx, outcome.alias("outcome"))
+
+
+def recovery_pairs(turns: DataFrame, conv: str, order: list[str], size: str, response: Column, critical: str, most_pairs: int, most_chars: int, back: int = 4) -> DataFrame:
+    """(conv, turn_index, context_from, chars): assistant turns after the critical one, each with the context that fits the budget.
+
+    Positions count from 0. All earlier messages are the context, or those from `back` before the critical one on, if all of them are too long; a turn
+    that is too long even so, or whose response is shorter than 4 characters, is left out. The first most_pairs of a conversation stay.
+    critical: a column with the position, the same in all rows of a conversation; null: no pairs. size: characters of a message as rendered.
+    """
+    w = Window.partitionBy(conv).orderBy(*order)
+    whole = Window.partitionBy(conv)
+    placed = turns.withColumn("pos__", F.row_number().over(w) - 1).withColumn("before__", F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    start = F.greatest(F.col(critical) - back, F.lit(0))
+    cut = placed.withColumn("start__", start).withColumn("cut__", F.max(F.when(F.col("pos__") == F.col("start__"), F.col("before__"))).over(whole))
+    said = cut.filter((F.col("role") == "assistant") & (F.col("pos__") > F.col(critical)) & (F.length(F.trim(response)) >= 4))
+    full, short = F.col("before__") + F.col(size), F.col("before__") - F.col("cut__") + F.col(size)
+    fitting = said.withColumn("all__", full <= most_chars).filter(F.col("all__") | (short <= most_chars))
+    ranked = fitting.withColumn("k__", F.row_number().over(Window.partitionBy(conv).orderBy("pos__"))).filter(F.col("k__") <= most_pairs)
+    return ranked.select(conv, F.col("pos__").alias("turn_index"), F.when(F.col("all__"), 0).otherwise(F.col("start__")).alias("context_from"), F.when(F.col("all__"), full).otherwise(short).alias("chars"))
+
+
+def loop_levels(calls: DataFrame, run: str, order: list[str], fingerprint: str, name: str, messages: str, *, kept: int = 12, warn: int = 3, stop: int = 5, name_warn: int = 8, drop: int = 5) -> DataFrame:
+    """Columns `streak`, `name_streak` and `level`: equal fingerprints and equal names in a row up to this call.
+
+    `stop` from `stop` equal fingerprints on, else `warn` from `warn` on, else `name` from `name_warn` equal names on, else `ok`. Only the last `kept` calls are
+    remembered, so no streak is longer than kept + 1. A call without a fingerprint (null or empty) ends both streaks, and so does a number of messages that has fallen by `drop`
+    since the call before.
+    """
+    w = Window.partitionBy(run).orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    none = F.coalesce(F.col(fingerprint) == "", F.lit(True))
+    fallen = F.coalesce((F.lag(messages).over(w) > 0) & (F.lag(messages).over(w) - F.col(messages) >= drop), F.lit(False))
+    placed = calls.withColumn("none__", none).withColumn("fallen__", fallen)
+    for column, own in (("streak", fingerprint), ("name_streak", name)):
+        new = F.col("none__") | F.col("fallen__") | F.coalesce(F.lag("none__").over(w), F.lit(True)) | ~F.col(own).eqNullSafe(F.lag(own).over(w))
+        placed = placed.withColumn("new__", new).withColumn("island__", F.count_if("new__").over(so_far))
+        length = F.row_number().over(Window.partitionBy(run, "island__").orderBy(*order))
+        placed = placed.withColumn(column, F.when(F.col("none__"), 0).otherwise(F.least(length, F.lit(kept + 1))))
+    level = F.when(F.col("streak") >= stop, "stop").when(F.col("streak") >= warn, "warn").when(F.col("name_streak") >= name_warn, "name").otherwise("ok")
+    return placed.withColumn("level", level).drop("none__", "fallen__", "new__", "island__")
+
+
+def safe_turns(turns: DataFrame, run: str, order: list[str], failed: Column, response: Column, fraction: float, most: int) -> DataFrame:
+    """(run, turn_index) of assistant turns with calls among the first part of a run, at least its first message, whose results up to the
+    next assistant turn are some and none failed. Responses have 4 characters or more; the first `most` of a run stay. Positions count from 0.
+
+    Reads role and calls (an array). failed: of a result; null: no."""
+    w = Window.partitionBy(run).orderBy(*order)
+    placed = turns.withColumn("pos__", F.row_number().over(w) - 1).withColumn("n__", F.count("*").over(Window.partitionBy(run)))
+    speaks, result = F.coalesce(F.col("role") == "assistant", F.lit(False)), F.coalesce(F.col("role") == "tool", F.lit(False))
+    cut = placed.withColumn("part__", F.count_if(speaks).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    part = Window.partitionBy(run, "part__")
+    seen = cut.withColumn("results__", F.count_if(result).over(part)).withColumn("failed__", F.count_if(result & F.coalesce(failed, F.lit(False))).over(part))
+    early = F.col("pos__") < F.greatest(F.lit(1), F.floor(F.col("n__") * fraction))
+    fit = seen.filter(speaks & early & (F.size("calls") > 0) & (F.col("results__") > 0) & (F.col("failed__") == 0) & (F.length(F.trim(response)) >= 4))
+    return fit.withColumn("k__", F.row_number().over(w)).filter(F.col("k__") <= most).select(run, F.col("pos__").alias("turn_index"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import re
 import unicodedata
 from collections.abc import Callable
@@ -165,3 +166,51 @@ def search_rank(hits: DataFrame, entities: DataFrame, memories: DataFrame, key:
     found = hits.select(key, F.round("match", 9).alias("match")).unionByName(named).join(memories.filter("status = 'active'"), key)
     scored = found.select(key, "match", decayed(F.col("importance"), F.col("accessed"), now, half_life_days).alias("decay"))
     return scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("match"), F.desc(F.round("decay", 9)), key)))
+
+
+def _line_entries(files: DataFrame, path: str, text: str, regex: str, before: int, after: int, numbers: bool) -> DataFrame:
+    """(path, matches, entries) of files with a matching line: matching lines and their neighbours as entries, `--` for gaps."""
+    body = F.regexp_replace(text, "(\r\n|\n|\r)$", "")
+    lines = files.filter(F.length(text) > 0).select(F.col(path).alias("path"), F.explode(F.array(F.split(body, "\r\n|\n|\r"))).alias("lines"))
+    hits = lines.select("path", "lines", F.explode(F.array(F.transform("lines", lambda x: F.rlike(x, F.lit(regex))))).alias("hits")).filter(F.array_contains("hits", True))
+    low = lambda i: F.greatest(i - after, F.lit(1))
+    near = lambda i: F.array_contains(F.slice("hits", low(i), i + before + 1 - low(i)), True)
+    kept = hits.select("path", "lines", F.size(F.filter("hits", lambda x: x)).alias("matches"), F.explode(F.array(F.filter(F.sequence(F.lit(1), F.size("lines")), near))).alias("kept"))
+    shown = lambda i: F.concat("path", F.concat(F.lit(":"), i.cast("string")) if numbers else F.lit(""), F.lit(":"), F.element_at("lines", i))
+    entry = lambda i, n: F.when((n > 0) & (F.get("kept", n - 1) < i - 1), F.array(F.lit("--"), shown(i))).otherwise(F.array(shown(i)))
+    return kept.select("path", "matches", F.flatten(F.transform("kept", entry)).alias("entries"))
+
+
+def _text_entries(files: DataFrame, path: str, text: str, regex: str, numbers: bool) -> DataFrame:
+    """(path, matches, entries) of files with matches that may span lines: each match's first line with its line number."""
+    named = files.select(F.col(path).alias("path"), F.col(text).alias("text"))
+    found = named.select("path", F.explode(F.array(F.regexp_extract_all("text", F.lit(regex), F.lit(0)))).alias("found"), F.split("text", regex, -1).alias("rest")).filter(F.size("found") > 0)
+    each = found.select("path", F.size("found").alias("matches"), F.posexplode(F.arrays_zip("found", F.slice("rest", 1, F.size("found")).alias("rest"))).alias("at", "m"))
+    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    before = F.sum(breaks(F.col("m.rest")) + breaks(F.col("m.found"))).over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) - breaks(F.col("m.found"))
+    number = F.concat(F.lit(":"), (before + 1).cast("string")) if numbers else F.lit("")
+    entry = F.concat("path", number, F.lit(":"), F.substring(F.regexp_extract("m.found", "^[^\r\n]*", 0), 1, 200))
+    rows = each.select("path", "matches", "at", entry.alias("entry"))
+    return rows.groupBy("path").agg(F.first("matches").alias("matches"), F.transform(F.array_sort(F.collect_list(F.struct("at", "entry"))), lambda x: x["entry"]).alias("entries"))
+
+
+def search_files(files: DataFrame, path: str, text: str, pattern: str, mode: str = "files", *, name_like: str = "*", ignore_case: bool = False, before: int = 0, after: int = 0, numbers: bool = True, multiline: bool = False, offset: int = 0, head: int | None = 250) -> DataFrame:
+    """(path, at, entry): what a regular expression finds in files, by path and place, from `offset` on and at most `head` entries.
+
+    mode: `files` (paths), `count` (path and number of matching lines, or of matches in multiline mode) or `content` (lines, with context and gaps).
+    name_like: shell pattern of the file's name. Texts that are null or empty have no lines. Paths are taken as unique, and a multiline pattern
+    must not match the empty string. head None: no limit.
+    """
+    regex = f"(?m{'i' if ignore_case else ''}{'s' if multiline else ''}){pattern}"
+    wanted = files.filter(F.rlike(F.substring_index(path, "/", -1), F.lit("^" + fnmatch.translate(name_like))))
+    found = _text_entries(wanted, path, text, regex, numbers) if multiline else _line_entries(wanted, path, text, regex, before, after, numbers)
+    if mode == "files":
+        rows = found.select("path", F.lit(0).alias("at"), F.col("path").alias("entry"))
+    elif mode == "count":
+        rows = found.select("path", F.lit(0).alias("at"), F.concat("path", F.lit(": "), F.col("matches").cast("string")).alias("entry"))
+    elif mode == "content":
+        rows = found.select("path", F.posexplode("entries").alias("at", "entry"))
+    else:
+        raise ValueError(f"no such mode: {mode}")
+    ordered = rows.orderBy("path", "at").offset(offset) if offset or head else rows
+    return ordered.limit(head) if head else ordered

@@ -125,3 +125,22 @@ def p28_tools_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.with_tools(table(spark, sf_dir, "conversations"))
     first = F.col("tools")[0]["function"]
     return rows.select("conv_id", "turn", F.size("tools").alias("n"), first["name"].alias("tool"), F.get_json_object(first["parameters"], "$.required[0]").alias("required"))
+
+
+@query("""WITH q AS (SELECT item_id, split_part(text, ' ', 1) AS q, split_part(text, ' ', 2) AS a FROM benchmark)
+SELECT item_id, 'one' AS layout, 'Ask: ' || q AS asked, a AS truth FROM q UNION ALL SELECT item_id, 'many', 'Ask: ' || q || '?', to_json([a, 'x'])::VARCHAR FROM q UNION ALL SELECT item_id, 'alias', q, to_json([a])::VARCHAR FROM q""")
+def p15_qa_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.split("text", " ")
+    q = table(spark, sf_dir, "benchmark").select("item_id", words[0].alias("question"), F.coalesce(F.get(words, F.lit(1)), F.lit("")).alias("a"))
+    one = C.qa_rows(q.withColumn("answer", F.col("a")), "item_id", "one_answer", "Ask: ")
+    many = C.qa_rows(q.withColumn("answer", F.array("a", F.lit("x"))), "item_id", "answers", "Ask: ")
+    alias = C.qa_rows(q.withColumn("answer", F.struct(F.array("a").alias("aliases"))), "item_id", "aliases")
+    shown = lambda df, name: df.select("item_id", F.lit(name).alias("layout"), F.col("messages")[0]["content"].alias("asked"), F.col("ground_truth").alias("truth"))
+    return shown(one, "one").unionByName(shown(many, "many")).unionByName(shown(alias, "alias"))
+
+
+@query("""SELECT doc_id, 'What?' || chr(10) || 'Think.' AS asked, md5('<think>x</think>' || text) AS truth, md5(string_split(text, '</think>')[-1]) AS plain FROM documents""")
+def p16_long_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("What?").alias("prompt"), F.concat(F.lit("<think>x</think>"), "text").alias("response"))
+    rows = C.long_form_rows(d, "doc_id", "\nThink.")
+    return rows.select("doc_id", F.col("messages")[0]["content"].alias("asked"), F.md5("ground_truth").alias("truth"), F.md5("no_reasoning_ground_truth").alias("plain"))

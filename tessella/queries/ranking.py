@@ -283,3 +283,43 @@ def w30_screen_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = docs.join(table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id"), "doc_id", "left_semi").select(F.md5("text").alias("signature"))
     return R.structural_screen(docs, known, "doc_id", F.md5("text"), F.col("text").isNull() | (F.col("text") == ""))
+
+
+@query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, coalesce(length(text), 0) + 10 AS n FROM conversations),
+  c AS (SELECT conv_id, coalesce(min(pos) FILTER (role = 'user' AND pos > 1), 1) AS critical FROM p GROUP BY 1),
+  b AS (SELECT p.*, critical, coalesce((SELECT sum(n) FROM p o WHERE o.conv_id = p.conv_id AND o.pos < p.pos), 0) AS before, coalesce((SELECT sum(n) FROM p o WHERE o.conv_id = p.conv_id AND o.pos < p.pos AND o.pos >= critical - 4), 0) AS near FROM p JOIN c USING (conv_id)),
+  f AS (SELECT conv_id, pos AS turn_index, CASE WHEN before + n <= 2000 THEN 0 ELSE greatest(critical - 4, 0) END AS context_from, CASE WHEN before + n <= 2000 THEN before ELSE near END + n AS chars FROM b WHERE role = 'assistant' AND pos > critical AND length(trim(text)) >= 4 AND least(before, near) + n <= 2000)
+SELECT conv_id, turn_index, context_from, chars::BIGINT AS chars FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn_index) <= 2""")
+def w10_recovery_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    turns = table(spark, sf_dir, "conversations").withColumn("n", F.coalesce(F.length("text"), F.lit(0)) + 10)
+    pos = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    critical = F.coalesce(F.min(F.when((F.col("role") == "user") & (F.col("pos") > 1), F.col("pos"))).over(Window.partitionBy("conv_id")), F.lit(1))
+    pairs = R.recovery_pairs(turns.withColumn("pos", pos).withColumn("critical", critical), "conv_id", ["turn"], "n", F.col("text"), "critical", 2, 2000)
+    return pairs.select("conv_id", *(F.col(c).cast("long").alias(c) for c in ("turn_index", "context_from", "chars")))
+
+
+@query("""WITH c AS (SELECT event_id, user_id, ts, CASE WHEN event_type <> 'error' THEN event_type || floor(value / 400)::BIGINT ELSE '' END AS fp, event_type IN ('click', 'view', 'signup') AS name, length(props) AS m FROM events),
+  l AS (SELECT *, lag(fp) OVER w AS lf, lag(name) OVER w AS ln, lag(m) OVER w AS lm, row_number() OVER w AS pos FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  s AS (SELECT *, fp = '' OR coalesce(lf, '') = '' OR lm - m >= 2 AS broken FROM l),
+  i AS (SELECT *, max(CASE WHEN broken OR fp <> lf THEN pos END) OVER w AS a, max(CASE WHEN broken OR name <> ln THEN pos END) OVER w AS b FROM s WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
+  r AS (SELECT event_id, CASE WHEN fp = '' THEN 0 ELSE least(pos - a + 1, 13) END AS streak, CASE WHEN fp = '' THEN 0 ELSE least(pos - b + 1, 13) END AS name_streak FROM i)
+SELECT *, CASE WHEN streak >= 5 THEN 'stop' WHEN streak >= 3 THEN 'warn' WHEN name_streak >= 8 THEN 'name' ELSE 'ok' END AS level FROM r""")
+def w13_loop_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    fp = F.when(kind != "error", F.concat(kind, F.floor(F.col("value") / 400).cast("string"))).otherwise("")
+    calls = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", fp.alias("fp"), kind.isin("click", "view", "signup").cast("string").alias("name"), F.length("props").alias("m"))
+    found = R.loop_levels(calls, "user_id", ORDER, "fp", "name", "m", drop=2)
+    return found.select("event_id", F.col("streak").cast("long").alias("streak"), F.col("name_streak").cast("long").alias("name_streak"), "level")
+
+
+@query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+  a AS (SELECT user_id, pos, n, coalesce(lead(pos) OVER (PARTITION BY user_id ORDER BY pos), n) AS stop FROM p WHERE event_type = 'click'),
+  f AS (SELECT a.user_id, a.pos FROM a JOIN p ON p.user_id = a.user_id AND p.pos > a.pos AND p.pos < a.stop AND p.event_type IN ('view', 'error') WHERE a.pos < greatest(1, floor(a.n * 0.4)) GROUP BY ALL HAVING count(*) FILTER (event_type = 'error') = 0)
+SELECT user_id, pos AS turn_index FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY pos) <= 3""")
+def w11_safe_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    role = F.when(kind == "click", "assistant").when(kind.isin("view", "error"), "tool").otherwise("user")
+    turns = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "props", role.alias("role"), F.when(kind == "click", F.array("props")).alias("calls"))
+    return R.safe_turns(turns, "user_id", ORDER, kind == "error", F.col("props"), 0.4, 3).select("user_id", F.col("turn_index").cast("long").alias("turn_index"))

@@ -156,3 +156,28 @@ def r17_reply_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     m = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") > 20, F.floor(F.col("event_id") / 3)).alias("parent"), F.when(kind.isin("view", "purchase"), "assistant").otherwise("prompter").alias("role"), F.col("value").alias("quality"), (kind == "error").alias("deleted"))
     return reply_paths(m, "reply_messages__", top_k=2)
+
+
+_FOUND = """l AS (SELECT 'd/' || doc_id || '.md' AS path, string_split(CASE WHEN text LIKE '%' || chr(10) THEN text[:-2] ELSE text END, chr(10)) AS l FROM documents WHERE text <> ''), p AS (SELECT path, l, unnest(range(1, len(l) + 1)) AS i FROM l),
+  h AS (SELECT path, i, l[i] AS line, regexp_matches(l[i], '(?i)licen[cs]e') AS hit FROM p)"""
+
+
+@query(f"""WITH {_FOUND}, n AS (SELECT * FROM (SELECT *, bool_or(hit) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS near FROM h) WHERE near),
+  g AS (SELECT path, i, 1 AS k, path || ':' || i || ':' || line AS entry FROM n UNION ALL SELECT path, i, 0, '--' FROM (SELECT path, i, lag(i) OVER (PARTITION BY path ORDER BY i) AS j FROM n) WHERE j < i - 1)
+SELECT path, row_number() OVER (PARTITION BY path ORDER BY i, k) - 1 AS place, md5(entry) AS entry FROM g""")
+def src09_search_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.search_files(_files(spark, sf_dir), "path", "text", "licen[cs]e", "content", name_like="*.md", ignore_case=True, before=1, after=2, head=None)
+    return found.select("path", F.col("at").cast("long").alias("place"), F.md5("entry").alias("entry"))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
+
+
+@query(f"""WITH {_FOUND}, c AS (SELECT path, path || ': ' || count(*) AS entry FROM h WHERE hit GROUP BY 1), f AS (SELECT DISTINCT path FROM h WHERE hit ORDER BY path LIMIT 40 OFFSET 3)
+SELECT 'count' AS mode, entry FROM c UNION ALL SELECT 'files', path FROM f""")
+def src09_search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, pattern = _files(spark, sf_dir), "licen[cs]e"
+    counts = R.search_files(files, "path", "text", pattern, "count", ignore_case=True, head=None)
+    paths = R.search_files(files, "path", "text", pattern, "files", ignore_case=True, offset=3, head=40)  # a page of the report
+    return counts.select(F.lit("count").alias("mode"), "entry").unionByName(paths.select(F.lit("files").alias("mode"), "entry"))

@@ -95,3 +95,96 @@ def test_log_panels(spark):
     logs = spark.createDataFrame([(1, text), (2, "no panel"), (3, None), (4, "")], "id long, text string")
     out = files.log_panels(logs, "id", "text", ["training_step", "a/b"]).collect()
     assert sorted((r["id"], r["panel"], r["metrics"]["training_step"], r["metrics"]["a/b"]) for r in out) == [(1, 0, 3.0, -0.25), (1, 2, 4.0, None)]
+
+
+def test_search_files(spark):
+    texts = {"a/x.md": "one\nTwo foo\nthree\nfour\nfive\nfoo\n", "a/y.md": "none", "b/z.md": "foo\r\nfoo", "b/z.txt": "foo", "c.md": "", "d.md": None}
+    docs = spark.createDataFrame(list(texts.items()), "path string, text string")
+    found = lambda *a, **k: [r["entry"] for r in retrieval.search_files(docs, "path", "text", *a, **k).orderBy("path", "at").collect()]
+    assert found("FOO", ignore_case=True, name_like="*.md") == ["a/x.md", "b/z.md"]
+    assert found("foo", "count") == ["a/x.md: 2", "b/z.md: 2", "b/z.txt: 1"]
+    assert found("foo", "files", offset=1, head=1) == ["b/z.md"]
+    assert found("^foo", "content", before=1, head=None) == ["a/x.md:5:five", "a/x.md:6:foo", "b/z.md:1:foo", "b/z.md:2:foo", "b/z.txt:1:foo"]
+    assert found("foo", "content", after=1, name_like="x*") == ["a/x.md:2:Two foo", "a/x.md:3:three", "--", "a/x.md:6:foo"]
+    assert found("foo$", "content", numbers=False, name_like="z.*") == ["b/z.md:foo", "b/z.md:foo", "b/z.txt:foo"]
+    assert found("o.three|f[a-z]+e\\nf", "content", multiline=True) == ["a/x.md:2:o", "a/x.md:5:five"]
+    assert found("foo", "count", multiline=True) == ["a/x.md: 2", "b/z.md: 2", "b/z.txt: 1"]
+
+
+def pairs_by_loop(messages, critical, most_pairs, most_chars):
+    out = []
+    for i, m in enumerate(messages):
+        if critical is None or i <= critical or m["role"] != "assistant" or len((m["text"] or "").strip()) < 4:
+            continue
+        for start in (0, max(0, critical - 4)):
+            chars = sum(x["n"] for x in messages[start : i + 1])
+            if chars <= most_chars:
+                out.append((i, start, chars))
+                break
+        if len(out) == most_pairs:
+            break
+    return out
+
+
+def test_recovery_pairs(spark):
+    rng = random.Random(5)
+    rows, wanted = [], []
+    for conv in range(50):
+        critical = rng.choice([None, 0, 3, 6])
+        messages = [{"conv": conv, "turn": i, "role": rng.choice(["user", "assistant"]), "text": rng.choice(["long enough", " ab ", None]), "n": rng.randrange(1, 20), "critical": critical} for i in range(rng.randrange(1, 14))]
+        rows += messages
+        wanted += [(conv, *p) for p in pairs_by_loop(messages, critical, 3, 60)]
+    turns = spark.createDataFrame(rows, "conv long, turn long, role string, text string, n long, critical long")
+    assert sorted(tuple(r) for r in ranking.recovery_pairs(turns, "conv", ["turn"], "n", F.col("text"), "critical", 3, 60).collect()) == wanted
+    assert wanted
+
+
+def test_long_form_messages(spark):
+    rows = spark.createDataFrame([(1, [("user", "q"), ("assistant", "a")]), (2, [])], "id long, messages array<struct<role: string, content: string>>")
+    out = {r["id"]: (r["ground_truth"], r["no_reasoning_ground_truth"]) for r in conversion.long_form_messages(rows, "id").collect()}
+    assert out == {1: ("a", "a"), 2: (None, None)}
+
+
+def test_loop_levels(spark):
+    rng = random.Random(11)
+    rows, wanted = [], []
+    for run in range(12):
+        seen, names, last = [], [], 0
+        for step in range(60):
+            fp, m = rng.choice(["", None, *["a"] * 12, *["b"] * 3]), rng.choice([10, 10, 10, 10, 10, 10, 10, 5, 0])
+            name = None if not fp else "n"
+            if last > 0 and last - m >= 5:
+                seen, names = [], []
+            last = m
+            s = t = 0
+            if fp:
+                while s < len(seen) and seen[-1 - s] == fp:
+                    s += 1
+                while t < len(names) and names[-1 - t] == name:
+                    t += 1
+                s, t = s + 1, t + 1
+            seen, names = [*seen, fp or ""][-12:], [*names, name or ""][-12:]
+            rows.append((run, step, fp, name, m))
+            wanted.append((run, step, s, t, "stop" if s >= 5 else "warn" if s >= 3 else "name" if t >= 8 else "ok"))
+    calls = spark.createDataFrame(rows, "run long, step long, fp string, name string, m long")
+    out = ranking.loop_levels(calls, "run", ["step"], "fp", "name", "m").select("run", "step", "streak", "name_streak", "level")
+    assert sorted(tuple(r) for r in out.collect()) == wanted
+    assert {w[4] for w in wanted} == {"stop", "warn", "name", "ok"} and max(w[2] for w in wanted) <= 13
+
+
+def test_safe_turns(spark):
+    rng = random.Random(12)
+    rows, wanted = [], []
+    for run in range(60):
+        turns = [(run, i, role := rng.choice(["assistant", "tool", "tool", "user"]), rng.choice([["c"], ["c"], [], None]) if role == "assistant" else None, rng.choice([True, False, False, None]), rng.choice(["abcd", " a "])) for i in range(rng.randrange(1, 16))]
+        rows += turns
+        found = []
+        for i, t in enumerate(turns):
+            end = next((j for j in range(i + 1, len(turns)) if turns[j][2] == "assistant"), len(turns))
+            results = [x[4] for x in turns[i + 1 : end] if x[2] == "tool"]
+            if i < max(1, int(len(turns) * 0.6)) and t[2] == "assistant" and t[3] and results and not any(results) and len(t[5].strip()) >= 4:
+                found.append((run, i))
+        wanted += found[:2]
+    turns = spark.createDataFrame(rows, "run long, i long, role string, calls array<string>, bad boolean, said string")
+    assert sorted(tuple(r) for r in ranking.safe_turns(turns, "run", ["i"], F.col("bad"), F.col("said"), 0.6, 2).collect()) == wanted
+    assert wanted
