@@ -146,3 +146,26 @@ def frontier_weight(prior_successes: Column, prior_attempts: Column, successes:
     """How much a task is worth trying: highest where half of all attempts succeed, never below the exploration share."""
     rate = (prior_successes + successes + 1) / (prior_attempts + attempts + 2)
     return F.greatest(4 * rate * (1 - rate), F.lit(exploration))
+
+
+def probe_tasks(tasks: DataFrame, focus: DataFrame, n_solved: int, n_unsolved: int, *, stable: bool = True, most: int | None = None) -> DataFrame:
+    """(task, place): tasks that a candidate is tried on: some that the parent solved (canaries) and some that it did not.
+
+    tasks: (task, parent, stability), each task once; focus: (task, place), a short list. Focused tasks that the parent did not solve come first, then other
+    unsolved ones, then canaries; without such focus canaries come first. Canaries go by stability (null: 1), then by the task's SHA-256, or by
+    name alone where `stable` is off; unsolved ones by hash or name. With none of all these the first tasks by name stand in.
+    """
+    rank = F.sha2("task", 256) if stable else F.col("task")
+    solved, unsolved = (tasks.filter(x) for x in (F.coalesce("parent", F.lit(False)), ~F.coalesce("parent", F.lit(False))))
+    order = [F.desc(F.coalesce("stability", F.lit(1.0))), rank] if stable else [rank]
+    numbered = lambda df, by, group: df.select("task", F.lit(group).alias("group"), F.row_number().over(Window.orderBy(*by)).alias("at"))
+    named = focus.join(unsolved, "task", "left_semi").groupBy("task").agg(F.min("place").alias("at")).select("task", F.lit(0).alias("group"), "at")
+    extra = numbered(unsolved.orderBy(rank, "task").limit(n_unsolved), [rank, "task"], 1)
+    canaries = numbered(solved.orderBy(*order, "task").limit(n_solved), [*order, "task"], 2)
+    other = numbered(tasks.orderBy("task").limit(max(1, n_solved + n_unsolved)), ["task"], 3)
+    listed = named.unionByName(extra).unionByName(canaries).unionByName(other)  # no more rows than the focus list and the wanted numbers
+    whole = listed.select("*", F.bool_or(F.col("group") == 0).over(Window.partitionBy()).alias("focused"), F.bool_or(F.col("group") < 3).over(Window.partitionBy()).alias("any"))
+    turn = F.when(~F.col("focused") & (F.col("group") == 2), 0).otherwise(F.col("group"))
+    first = whole.filter((F.col("group") < 3) | ~F.col("any")).groupBy("task").agg(F.min(F.struct(turn.alias("turn"), "at")).alias("o"))
+    placed = first.withColumn("place", F.row_number().over(Window.orderBy("o", "task")))
+    return (placed if most is None else placed.filter(F.col("place") <= most)).select("task", "place")

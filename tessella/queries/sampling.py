@@ -171,3 +171,18 @@ def m23_n_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m25_m26_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir).filter(F.col("source").rlike("^src1[0-9]$") & F.col("lang").isin("en", "de") & F.col("source").contains("5"))
     return d.join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
+
+
+@query("""WITH r AS (SELECT l_partkey::VARCHAR AS task, l_suppkey % 8 AS run, bool_or(l_returnflag = 'N') AS ok FROM lineitem GROUP BY ALL),
+  t AS (SELECT task, coalesce(bool_or(ok) FILTER (run = 0), false) AS parent, count(*) FILTER (run > 0 AND ok) / 7.0 AS stability FROM r GROUP BY 1),
+  c AS (SELECT task, row_number() OVER (ORDER BY stability DESC, sha256(task)) AS pos FROM t WHERE parent), u AS (SELECT task, row_number() OVER (ORDER BY sha256(task)) AS pos FROM t WHERE NOT parent),
+  f AS (SELECT s_suppkey::VARCHAR AS task, s_suppkey AS pos FROM supplier WHERE s_acctbal < 0 AND s_suppkey::VARCHAR IN (SELECT task FROM u)),
+  l AS (SELECT task, 1 AS turn, pos FROM f UNION ALL SELECT task, 2, pos FROM u WHERE pos <= 8 UNION ALL SELECT task, CASE WHEN EXISTS (SELECT 1 FROM f) THEN 3 ELSE 0 END, pos FROM c WHERE pos <= 12),
+  o AS (SELECT task, row_number() OVER (ORDER BY min((turn, pos))) AS place FROM l GROUP BY 1)
+SELECT * FROM o WHERE place <= 40""")
+def m21_probe_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("task"), (F.col("l_suppkey") % 8).alias("run"), (F.col("l_returnflag") == "N").alias("ok"))
+    runs = rows.groupBy("task", "run").agg(F.bool_or("ok").alias("ok"))
+    tasks = runs.groupBy("task").agg(F.coalesce(F.bool_or(F.when(F.col("run") == 0, F.col("ok"))), F.lit(False)).alias("parent"), (F.count_if((F.col("run") > 0) & F.col("ok")) / 7.0).alias("stability"))
+    focus = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").cast("string").alias("task"), F.col("s_suppkey").alias("place"))
+    return S.probe_tasks(tasks, focus, 12, 8, most=40).select("task", F.col("place").cast("long").alias("place"))

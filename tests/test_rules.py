@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
 
-from tessella.operators import conversion, outcomes, ranking, retrieval
+from tessella.operators import conversion, outcomes, ranking, retrieval, sampling
 from tessella.sources import files
 
 
@@ -188,3 +189,20 @@ def test_safe_turns(spark):
     turns = spark.createDataFrame(rows, "run long, i long, role string, calls array<string>, bad boolean, said string")
     assert sorted(tuple(r) for r in ranking.safe_turns(turns, "run", ["i"], F.col("bad"), F.col("said"), 0.6, 2).collect()) == wanted
     assert wanted
+
+
+def test_probe_tasks(spark):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    parent = {t: t in "acegi" for t in "abcdefghij"}
+    stability = {t: (ord(t) % 3) / 2 for t in parent}
+    tasks = spark.createDataFrame([(t, p, stability[t]) for t, p in parent.items()], "task string, parent boolean, stability double")
+    focus = spark.createDataFrame([("j", 1), ("a", 2), ("b", 3), ("zz", 4)], "task string, place int")
+    found = lambda *a, **k: [r["task"] for r in sampling.probe_tasks(*a, **k).orderBy("place").collect()]
+    canaries = sorted((t for t in parent if parent[t]), key=lambda t: (-stability[t], sha(t)))[:3]
+    extra = sorted((t for t in parent if not parent[t]), key=sha)[:2]
+    assert found(tasks, focus.limit(0), 3, 2) == canaries + extra
+    assert found(tasks, focus, 3, 2) == list(dict.fromkeys(["j", "b", *extra, *canaries]))
+    assert found(tasks, focus, 3, 2, most=3) == list(dict.fromkeys(["j", "b", *extra, *canaries]))[:3]
+    assert found(tasks, focus.limit(0), 2, 1, stable=False) == ["a", "c", "b"]
+    assert found(tasks.filter("parent"), focus.limit(0), 0, 2) == ["a", "c"]
+    assert found(tasks.limit(0), focus, 2, 1) == []
