@@ -33,6 +33,14 @@ def shared_folder(spark: SparkSession, name: str = "tables") -> str:
     return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this library's tables in whatever file system it is; nothing happens if it isn't there."""
+    if not path.startswith(shared_base(spark) + "/"):
+        raise ValueError(f"{path} isn't below the shared folder")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """The same rows, written once and read again."""
     path, schema = shared_folder(df.sparkSession), df.schema
