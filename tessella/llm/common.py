@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.plans.tables import shared_folder
+from tessella.plans.tables import remove_folder, shared_folder
 
 #: Bytes of text that one numpy step works on; bounds the memory of a Python worker.
 SLICE_BYTES = 1 << 19
@@ -59,6 +59,10 @@ class Scratch:
                 self.spark.conf.set(key, value)
         return self.spark.read.schema(schema).parquet(path)
 
+    def drop(self, table: str) -> None:
+        """Removes a table that no later step reads."""
+        remove_folder(self.spark, f"{self.base}/{table}")
+
 
 def fresh(name: str, taken: list[str]) -> str:
     """A column name that no input column has, whatever the case."""

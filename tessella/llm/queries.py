@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat_format, decontamination, language_id, licenses, line_dedup, media, ngram_join, packing, quality, substring_dedup
+from tessella.llm import chat_format, clustering, collocations, decontamination, language_id, licenses, line_dedup, media, ngram_join, packing, quality, substring_dedup, winnowing
 from tessella.llm.common import Scratch
 
 
@@ -72,7 +73,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_curve_packing, op2_template_leaks, op3_trie_join, op4_block_anchors, op5_quality, op6_compression_language, op7_license_scan, op8_chat_format, op9_telephony, op10_line_dedup)}
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.sort_means(_table(spark, sf_dir, "embeddings"))
+    spread = {r.cluster: int(r.s) for r in found.assigned.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()}  # a row for each centroid
+    about = [(c, spread.get(c, 0), sum(spread.values()), hashlib.sha256(",".join(map(str, v)).encode()).hexdigest()) for c, v in enumerate(found.centroids)]
+    facts = spark.createDataFrame(about, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return found.assigned.select("vec_id", "cluster", "distance").join(F.broadcast(facts), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.compare_edits(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_curve_packing, op2_template_leaks, op3_trie_join, op4_block_anchors, op5_quality, op6_compression_language, op7_license_scan, op8_chat_format, op9_telephony, op10_line_dedup, op11_sort_means, op12_winnowing, op13_collocations)}
 
 OP10_SQL = r"""
 WITH l AS (SELECT doc_id, x.i AS i, x.line AS line, translate(trim(x.line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
@@ -114,4 +132,4 @@ WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(l) AS component_id FROM c GROUP BY v) m ON m.v = d.doc_id
 """
 
-SQL: dict[str, str] = {"op3_trie_join": OP3_SQL, "op4_block_anchors": OP4_SQL, "op2_template_leaks": decontamination.SQL, "op7_license_scan": licenses.scan_sql(), "op8_chat_format": OP8_SQL, "op10_line_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op3_trie_join": OP3_SQL, "op4_block_anchors": OP4_SQL, "op2_template_leaks": decontamination.SQL, "op7_license_scan": licenses.scan_sql(), "op8_chat_format": OP8_SQL, "op10_line_dedup": OP10_SQL, "op11_sort_means": clustering.sql(), "op13_collocations": collocations.SQL}
