@@ -6,14 +6,15 @@ constraints take a language column, which the caller gets from a classifier.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import let, strip
-from tessella.functions.verifiers import is_json, words_of
+from tessella.functions.verifiers import is_json, without_thinking, words_of
 
 Constraint = Callable[..., Column]
 INSTRUCTIONS: dict[str, Constraint] = {}
@@ -32,12 +33,25 @@ def every(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def found(text: Column, pattern: str, flags: str = "") -> Column:
-    return F.regexp_count(text, F.lit(flags + pattern))
+def given(argument: object) -> Column:
+    """An argument as a column: itself, or a literal (lists as arrays of strings)."""
+    if isinstance(argument, Column):
+        return argument
+    return F.array(*map(F.lit, argument)).cast("array<string>") if isinstance(argument, list) else F.lit(argument)
 
 
-def related(n: Column, relation: str, wanted: int) -> Column:
-    """`less than` or `at least`; ValueError for another word."""
+def pattern_of(*parts: str | Column) -> Column:
+    return F.concat(*map(given, parts))
+
+
+def found(text: Column, pattern: str | Column, flags: str = "") -> Column:
+    return F.regexp_count(text, pattern_of(flags, pattern))
+
+
+def related(n: Column, relation: str | Column, wanted: int | Column) -> Column:
+    """`less than` or `at least`; another word is a ValueError, in a column null."""
+    if isinstance(relation, Column):
+        return F.when(relation == "less than", n < wanted).when(relation == "at least", n >= wanted)
     if relation not in ("less than", "at least"):
         raise ValueError(f"no such relation: {relation}")
     return n < wanted if relation == "less than" else n >= wanted
@@ -89,12 +103,12 @@ def number_bullets(text: Column, num_bullets: int) -> Column:
 
 @instruction("detectable_format:constrained_response")
 def constrained_response(text: Column, options: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.instr(strip(text), o) > 0 for o in options], F.lit(False))
+    return F.exists(given(options), lambda o: F.contains(strip(text), o))
 
 
 @instruction("combination:constrained_start")
 def constrained_start(text: Column, starter: str) -> Column:
-    return text.rlike(rf"(?m)^\s*{starter}.*$")
+    return F.regexp_like(text, pattern_of(r"(?m)^\s*", starter, ".*$"))
 
 
 @instruction("detectable_format:number_highlighted_sections")
@@ -105,7 +119,7 @@ def number_highlights(text: Column, num_highlights: int) -> Column:
 
 @instruction("detectable_format:multiple_sections")
 def multiple_sections(text: Column, section_spliter: str, num_sections: int) -> Column:
-    return found(text, rf"\s?{section_spliter}\s?\d+\s?") >= num_sections
+    return found(text, pattern_of(r"\s?", section_spliter, r"\s?\d+\s?")) >= num_sections
 
 
 @instruction("length_constraints:number_paragraphs")
@@ -121,13 +135,14 @@ def blank_line_paragraphs(text: Column, num_paragraphs: int = 2) -> Column:
 
 @instruction("detectable_content:postscript")
 def postscript(text: Column, postscript_marker: str) -> Column:
-    pattern = {"P.P.S": r"\s*p\.\s?p\.\s?s.*$", "P.S.": r"\s*p\.\s?s\..*$"}.get(postscript_marker, rf"\s*{postscript_marker.lower()}.*$")
-    return F.lower(text).rlike("(?m)" + pattern)
+    marker = given(postscript_marker)
+    pattern = F.when(marker == "P.P.S", r"\s*p\.\s?p\.\s?s.*$").when(marker == "P.S.", r"\s*p\.\s?s\..*$").otherwise(pattern_of(r"\s*", F.lower(marker), ".*$"))
+    return F.regexp_like(F.lower(text), pattern_of("(?m)", pattern))
 
 
 @instruction("keywords:existence")
 def keywords_exist(text: Column, keywords: list[str]) -> Column:
-    return every([text.rlike(f"(?i){k}") for k in keywords])
+    return F.forall(given(keywords), lambda k: F.regexp_like(text, pattern_of("(?i)", k)))
 
 
 @instruction("keywords:frequency")
@@ -160,30 +175,30 @@ def json_format(text: Column) -> Column:
 def nth_paragraph_first_word(text: Column, num_paragraphs: int, nth_paragraph: int, first_word: str) -> Column:
     p = parts(text, "\n\n")
     n = F.size(F.filter(p, lambda x: x != ""))
-    first = F.lower(F.regexp_extract(F.get(p, F.lit(nth_paragraph - 1)), r"^[\"']*([^\s.,?!'\"]*)", 1))
-    return (n == num_paragraphs) & (n >= nth_paragraph) & F.coalesce(first == first_word.lower(), F.lit(False))
+    first = F.lower(F.regexp_extract(F.get(p, (given(nth_paragraph) - 1).cast("int")), r"^[\"']*([^\s.,?!'\"]*)", 1))
+    return (n == num_paragraphs) & (n >= nth_paragraph) & F.coalesce(first == F.lower(given(first_word)), F.lit(False))
 
 
 @instruction("keywords:key_sentences")
 def key_sentences(text: Column, key_sentences: list[str], num_sentences: int) -> Column:
     s = sentences(text)
-    return reduce(lambda a, b: a + b, [F.array_contains(s, k).cast("int") for k in key_sentences], F.lit(0)) == num_sentences
+    return F.size(F.filter(given(key_sentences), lambda k: F.array_contains(s, k))) == num_sentences
 
 
 @instruction("keywords:forbidden_words")
 def forbidden_words(text: Column, forbidden_words: list[str]) -> Column:
-    return ~F.arrays_overlap(F.transform(words(text), F.lower), F.array(*(F.lit(w.lower()) for w in forbidden_words)))
+    return ~F.arrays_overlap(F.transform(words(text), F.lower), F.transform(given(forbidden_words), F.lower))
 
 
 @instruction("keywords:exclude_word_harder")
 def exclude_word(text: Column, keyword: str) -> Column:
-    return F.instr(text, f" {keyword} ") == 0
+    return ~F.contains(text, pattern_of(" ", keyword, " "))
 
 
 @instruction("detectable_content:rephrase_paragraph")
 def rephrase_paragraph(text: Column, original_paragraph: str, low: int, high: int) -> Column:
     """Words in common, by their counts, between low and high."""
-    theirs = words(F.lower(F.lit(original_paragraph)))
+    theirs = words(F.lower(given(original_paragraph)))
     count = lambda ws, w: F.size(F.filter(ws, lambda x: x == w))
     return let(words(F.lower(text)), lambda mine: F.aggregate(F.array_distinct(theirs), F.lit(0), lambda n, w: n + F.least(count(mine, w), count(theirs, w)))).between(low, high)
 
@@ -192,7 +207,7 @@ def rephrase_paragraph(text: Column, original_paragraph: str, low: int, high: in
 def rephrase(text: Column, original_message: str) -> Column:
     """Only what stands between asterisks differs; without such a part it is false."""
     bare = lambda x: F.regexp_replace(x, r"\*.*\*", "")
-    return text.rlike(r"\*.*\*") & (bare(text) == bare(F.lit(original_message)))
+    return text.rlike(r"\*.*\*") & (bare(text) == bare(given(original_message)))
 
 
 @instruction("combination:two_responses")
@@ -205,38 +220,38 @@ def two_responses(text: Column) -> Column:
 
 @instruction("combination:repeat_prompt")
 def repeat_prompt(text: Column, prompt_to_repeat: str) -> Column:
-    return F.startswith(F.lower(strip(text)), F.lit(prompt_to_repeat.strip().lower()))
+    return F.startswith(F.lower(strip(text)), F.lower(strip(given(prompt_to_repeat))))
 
 
 @instruction("copy:copy")
 @instruction("copy:copying_simple")
 def copy(text: Column, prompt_to_repeat: str) -> Column:
-    return same(text, F.lit(prompt_to_repeat))
+    return same(text, given(prompt_to_repeat))
 
 
 @instruction("copy:copy_span_idx")
 def copy_span(text: Column, prompt_to_repeat: str, n_start: int, n_end: int) -> Column:
-    return same(text, F.lit(prompt_to_repeat[n_start:n_end]))
+    return same(text, F.substring(given(prompt_to_repeat), (given(n_start) + 1).cast("int"), (given(n_end) - given(n_start)).cast("int")))
 
 
 @instruction("copy:copying_multiple")
 def copy_times(text: Column, prompt_to_repeat: str, N: int) -> Column:
     p = F.split(text, r"\*{6}")
-    return (F.size(p) == N) & F.forall(p, lambda x: same(x, F.lit(prompt_to_repeat)))
+    return (F.size(p) == N) & F.forall(p, lambda x: same(x, given(prompt_to_repeat)))
 
 
 @instruction("copy:repeat_phrase")
 def repeat_phrase(text: Column, phrase: str, small_n: int) -> Column:
     """The phrase so often, each time with one word between its ends replaced at most."""
-    ref = phrase.split()
-    said = F.regexp_extract_all(text, F.lit(rf"{ref[0]} .*? {ref[-1]}"), F.lit(0))
-    changed = lambda p: F.size(F.filter(F.zip_with(words_of(p), F.array(*map(F.lit, ref)), lambda a, b: ~a.eqNullSafe(b)), lambda x: x))
-    return (F.size(said) == small_n) & F.forall(said, lambda p: (F.size(words_of(p)) == len(ref)) & (changed(p) == 1))
+    ref = words_of(given(phrase))
+    said = F.regexp_extract_all(text, pattern_of(F.get(ref, F.lit(0)), " .*? ", F.element_at(ref, -1)), F.lit(0))
+    changed = lambda p: F.size(F.filter(F.zip_with(words_of(p), ref, lambda a, b: ~a.eqNullSafe(b)), lambda x: x))
+    return (F.size(said) == small_n) & F.forall(said, lambda p: (F.size(words_of(p)) == F.size(ref)) & (changed(p) == 1))
 
 
 @instruction("startend:end_checker")
 def ends_with(text: Column, end_phrase: str) -> Column:
-    return F.endswith(F.lower(F.regexp_replace(strip(text), '^"+|"+$', "")), F.lit(end_phrase.strip().lower()))
+    return F.endswith(F.lower(F.regexp_replace(strip(text), '^"+|"+$', "")), F.lower(strip(given(end_phrase))))
 
 
 @instruction("detectable_format:title")
@@ -247,7 +262,7 @@ def title(text: Column) -> Column:
 @instruction("keywords:letter_frequency")
 def letter_frequency(text: Column, letter: str, let_frequency: int, let_relation: str) -> Column:
     low = F.lower(text)
-    return related(F.length(low) - F.length(F.replace(low, F.lit(letter), F.lit(""))), let_relation, let_frequency)
+    return related(F.length(low) - F.length(F.replace(low, given(letter), F.lit(""))), let_relation, let_frequency)
 
 
 @instruction("letters:letter_counting")
@@ -323,12 +338,12 @@ def bigram_wrapping(text: Column) -> Column:
 
 @instruction("first_word:first_word_sent")
 def first_word_of_sentences(text: Column, first_word: str) -> Column:
-    return F.forall(sentences(text), lambda s: F.lower(F.get(words_of(s), F.lit(0))) == first_word.lower())
+    return F.forall(sentences(text), lambda s: F.lower(F.get(words_of(s), F.lit(0))) == F.lower(given(first_word)))
 
 
 @instruction("first_word:first_word_answer")
 def first_word_of_answer(text: Column, first_word: str) -> Column:
-    return F.coalesce(F.lower(F.get(words_of(text), F.lit(0))) == first_word.lower(), F.lit(False))
+    return F.coalesce(F.lower(F.get(words_of(text), F.lit(0))) == F.lower(given(first_word)), F.lit(False))
 
 
 def _last_bare(text: Column) -> Column:
@@ -338,12 +353,12 @@ def _last_bare(text: Column) -> Column:
 
 @instruction("last_word:last_word_sent")
 def last_word_of_sentences(text: Column, last_word: str) -> Column:
-    return F.forall(sentences(text), lambda s: F.coalesce(_last_bare(s) == last_word.lower(), F.lit(False)))
+    return F.forall(sentences(text), lambda s: F.coalesce(_last_bare(s) == F.lower(given(last_word)), F.lit(False)))
 
 
 @instruction("last_word:last_word_answer")
 def last_word_of_answer(text: Column, last_word: str) -> Column:
-    return F.coalesce(_last_bare(text) == last_word.lower(), F.lit(False))
+    return F.coalesce(_last_bare(text) == F.lower(given(last_word)), F.lit(False))
 
 
 @instruction("count:counting_composition")
@@ -365,7 +380,7 @@ def palindrome(text: Column) -> Column:
 
 @instruction("keywords:keyword_specific_position")
 def keyword_position(text: Column, keyword: str, n: int, m: int) -> Column:
-    return F.coalesce(F.get(words(F.get(sentences(text), F.lit(n - 1))), F.lit(m - 1)) == keyword, F.lit(False))
+    return F.coalesce(F.get(words(F.get(sentences(text), (given(n) - 1).cast("int"))), (given(m) - 1).cast("int")) == keyword, F.lit(False))
 
 
 @instruction("keywords:start_end")
@@ -379,3 +394,55 @@ def check(name: str, text: Column, **arguments: object) -> Column:
     if name not in INSTRUCTIONS:
         raise ValueError(f"unknown instruction: {name}")
     return F.coalesce(INSTRUCTIONS[name](text, **arguments), F.lit(False))
+
+
+def argument(arguments: Column, name: str, kind: str) -> Column:
+    """A constraint's argument by its annotated type out of a map of JSON values; names differ by case alone, so it isn't a struct."""
+    value = F.get(F.map_values(F.map_filter(arguments, lambda k, _: k == name)), F.lit(0))
+    return {"int": lambda: value.try_cast("long"), "list[str]": lambda: F.from_json(value, "array<string>")}.get(kind, lambda: value)()
+
+
+def dispatch(name: Column, text: Column, arguments: Column, detected: Column) -> Column:
+    """Whether the text meets the constraint whose name and arguments (a map of JSON values) are columns: one expression for
+    all constraints, of which a row computes its own alone. A missing argument meets none, an unknown name is an error."""
+    branches = None
+    for known, f in INSTRUCTIONS.items():
+        values = {}
+        for arg, p in list(inspect.signature(f).parameters.items())[1:]:
+            value = detected if arg == "detected" else argument(arguments, arg, p.annotation)
+            values[arg] = value if p.default is inspect.Parameter.empty else F.coalesce(value, F.lit(p.default))
+        met = F.coalesce(f(text, **values), F.lit(False))
+        branches = F.when(name == known, met) if branches is None else branches.when(name == known, met)
+    return branches.otherwise(F.raise_error(F.concat(F.lit("unknown instruction: "), F.coalesce(name, F.lit("null")))).cast("boolean"))
+
+
+def loosened(text: Column) -> Column:
+    """The text and its looser readings: without its first, last, or both of these lines, each with and without asterisks."""
+    lines = F.split(text, "\n")
+    n = F.size(lines)
+    cut = lambda start, less: strip(F.array_join(F.slice(lines, start, F.greatest(n - less, F.lit(0))), "\n"))
+    plain = [text, cut(2, 1), cut(1, 1), cut(2, 2)]
+    return F.array(*plain, *(F.replace(x, F.lit("*"), F.lit("")) for x in plain))
+
+
+def followed(response: Column, names: Column, arguments: Column, detected: Column) -> Column:
+    """(strict, loose) for each of a response's instructions. names: array of constraint names; arguments: array of JSON objects beside it,
+    null for none. Strict is the response itself, loose any of its looser readings; a blank response meets nothing."""
+    parsed = F.transform(arguments, lambda a: F.from_json(F.coalesce(a, F.lit("{}")), "map<string,string>"))
+    blank = strip(response) == ""
+
+    def each(both: Column) -> Column:
+        met = F.transform(loosened(response), lambda t: ~F.coalesce(blank, F.lit(True)) & (strip(t) != "") & dispatch(both["name"], t, both["arguments"], detected))
+        return let(met, lambda m: F.struct(m[0].alias("strict"), F.exists(m, lambda x: x).alias("loose")))
+
+    return F.transform(F.arrays_zip(names.alias("name"), parsed.alias("arguments")), each)
+
+
+def instruction_scores(rows: DataFrame, response: str, names: str, arguments: str, detected: Column) -> DataFrame:
+    """The rows with score (share of the instructions that the response meets), score_loose, all_met and all_met_loose.
+
+    The response counts without its thinking part. No instruction scores 0; a null response meets none."""
+    marked = rows.withColumn("met__", followed(without_thinking(F.col(response)), F.col(names), F.col(arguments), detected))
+    n = F.size("met__")
+    share = lambda kind: F.when(n > 0, F.size(F.filter("met__", lambda x: x[kind])) / n).otherwise(F.lit(0.0))
+    return marked.withColumn("score", share("strict")).withColumn("score_loose", share("loose")).withColumn("all_met", F.col("score") == 1).withColumn("all_met_loose", F.col("score_loose") == 1).drop("met__")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.text import let
+
 MESSAGES = "array<struct<role:string,content:string>>"
 ROLE_KEYS = {"human": "user", "gpt": "assistant"}
 
@@ -69,15 +71,25 @@ def trainable(ids: Column, labels: Column, most: int, ignore: int = -100) -> Col
 
 def split_dialogue(text: Column, human: str = "\n\nHuman: ", assistant: str = "\n\nAssistant: ") -> Column:
     """Messages of a marked dialogue. Markers pair up by number, so roles alternate and a surplus of either kind is left in its text."""
-    mark = F.lit("\x1e")
-    parts = F.split(F.replace(F.replace(text, F.lit(human), F.concat(mark, F.lit("H"))), F.lit(assistant), F.concat(mark, F.lit("A"))), "\x1e")
-    turns = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x != "")
-    return F.transform(turns, lambda x: F.struct(F.when(F.substring(x, 1, 1) == "H", "user").otherwise("assistant").alias("role"), F.trim(F.substr(x, F.lit(2))).alias("content")))
+    def places(marker: str) -> Column:
+        n = ((F.length(text) - F.length(F.replace(text, F.lit(marker), F.lit("")))) / len(marker)).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.length(F.call_function("substring_index", text, F.lit(marker), i)))).otherwise(F.array().cast("array<int>"))
+
+    def turn(role: str, begin: Column, marker: str, end: Column) -> Column:
+        at = begin + len(marker)
+        return F.struct(F.lit(role).alias("role"), F.substring(text, at + 1, F.greatest(end - at, F.lit(0))).alias("content"))
+
+    def pairs(p: Column) -> Column:
+        ends = F.concat(F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda x: x["h"]), F.array(F.length(text)))
+        return F.flatten(F.transform(F.arrays_zip(p.alias("p"), ends.alias("end")), lambda x: F.array(turn("user", x["p"]["h"], human, x["p"]["a"]), turn("assistant", x["p"]["a"], assistant, x["end"]))))
+
+    both = F.filter(F.arrays_zip(places(human).alias("h"), places(assistant).alias("a")), lambda x: x["h"].isNotNull() & x["a"].isNotNull())
+    return let(both, lambda p: F.when(F.size(p) > 0, pairs(p)).otherwise(F.array().cast("array<struct<role:string,content:string>>")))
 
 
 def complete_dialogue(messages: Column) -> Column:
     """No empty turn, and the assistant speaks last."""
-    return (F.size(messages) > 0) & F.forall(messages, lambda m: F.trim(m["content"]) != "") & (F.element_at(messages, -1)["role"] == "assistant")
+    return (F.size(messages) > 0) & F.forall(messages, lambda m: m["content"] != "") & (F.element_at(messages, -1)["role"] == "assistant")
 
 
 def unknown_tools(rows: DataFrame, key: str, tools: str, known: DataFrame) -> DataFrame:

@@ -100,53 +100,57 @@ def trim_to_budget(turns: DataFrame, size: Column, budget: int) -> DataFrame:
     return placed.withColumn("later__", later).filter((F.col("pos__") == 1) | (F.col("later__") + F.col("first__") <= budget)).select(*turns.columns)
 
 
-def prefix_within(df: DataFrame, by: str, order: list[str], size: str, budget: int) -> DataFrame:
-    """The rows before the running size passes the budget; the first row always stays."""
-    w = Window.partitionBy(by).orderBy(*order)
-    total = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("total__", total).withColumn("pos__", F.row_number().over(w)).filter((F.col("total__") <= budget) | (F.col("pos__") == 1)).drop("total__", "pos__")
+def split_conversations(turns: DataFrame, size: str, budget: int, extra: int = 6) -> DataFrame:
+    """The turns that pieces of conversations keep, with column `piece`, the place of its first turn.
 
-
-def next_fit(df: DataFrame, by: str, order: list[str], size: str, capacity: int) -> DataFrame:
-    """Column `pack`: items in order go to the open pack while they fit, else a new one opens. A fold over sorted rows, whose memory
-    doesn't hang on a group's size."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, pack, held = object(), 0, 0
-        for rows in batches:
-            packs = []
-            for group, n in zip(rows[by], rows[size], strict=True):
-                if group != last:
-                    last, pack, held = group, 0, 0
-                elif held and held + n > capacity:
-                    pack, held = pack + 1, 0
-                held += n
-                packs.append(pack)
-            yield rows.assign(pack=packs)
-
-    return df.repartition(by).sortWithinPartitions(by, *order).mapInPandas(work, T.StructType([*df.schema.fields, T.StructField("pack", T.LongType())]))
-
-
-def split_conversations(turns: DataFrame, size: str, budget: int) -> DataFrame:
-    """Column `piece`: pairs of turns go to the open piece until it has reached the budget."""
+    An odd last turn goes. Pairs of turns, each turn with `extra` on its size, are added up; one that would pass the budget closes the
+    piece before it. It begins the next piece with its size counted, but one that is too long by itself is left out
+    though its size counts on. A piece that no later pair closes counts only if it holds the last pair.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, piece, held, count = None, 0, 0, 0
+        held: list[pd.DataFrame] = []
         for rows in batches:
-            out = []
-            for conv, n in zip(rows["conv_id"], rows[size], strict=True):
-                if conv != last:
-                    last, piece, held, count = conv, 0, 0, 0
-                elif count % 2 == 0 and held >= budget:
-                    piece, held = piece + 1, 0
-                held, count = held + n, count + 1
-                out.append(piece)
-            yield rows.assign(piece=out)
+            for conv, part in rows.groupby("conv_id", sort=False, dropna=False):
+                if held and not _alike(held[0]["conv_id"].iloc[0], conv):
+                    yield _split_one(pd.concat(held), size, budget, extra)
+                    held = []
+                held.append(part)
+        if held:
+            yield _split_one(pd.concat(held), size, budget, extra)
 
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
     return ordered.mapInPandas(work, T.StructType([*turns.schema.fields, T.StructField("piece", T.LongType())]))
 
 
+def _alike(a: object, b: object) -> bool:
+    return a == b or (pd.isna(a) and pd.isna(b))
+
+
+def _split_one(rows: pd.DataFrame, size: str, budget: int, extra: int) -> pd.DataFrame:
+    sizes = (rows[size].to_numpy() + extra).tolist()
+    pairs = len(sizes) // 2
+    pieces, start, held = [], 0, 0
+    for p in range(pairs):
+        n = sizes[2 * p] + sizes[2 * p + 1]
+        if held + n > budget:
+            pieces.append((start, 2 * p))
+            start, held = (2 * p + 2 if n > budget else 2 * p), 0
+        elif p == pairs - 1:
+            pieces.append((start, 2 * p + 2))
+        held += n
+    kept = [rows.iloc[a:b].assign(piece=a) for a, b in pieces if b > a]
+    return pd.concat(kept) if kept else rows.iloc[:0].assign(piece=pd.Series(dtype="int64"))
+
+
+def windows_of(messages: DataFrame) -> DataFrame:
+    """Column `part`: `system` for a first message of the system, `active` for a last message of the user, `history` for the rest."""
+    w = Window.partitionBy("conv_id")
+    turn = F.struct("turn")
+    first, last = F.min(turn).over(w) == turn, F.max(turn).over(w) == turn
+    return messages.withColumn("part", F.when(first & (F.col("role") == "system"), "system").when(last & (F.col("role") == "user"), "active").otherwise("history"))
+
+
 def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
     """Advantages by the reverse recurrence over arrays of rewards and values; nothing follows the last step."""
     n = F.size(rewards)

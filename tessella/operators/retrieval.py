@@ -12,20 +12,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.functions.text import strip
+
 # Where capabilities are named in a text.
 COMMAND = r"(?m)(?:^|\||&&|;|\$\()\s*([a-z][a-z0-9_.+-]{1,24})\b"
 IMPORT = r"(?m)^\s*(?:import|from)\s+([a-zA-Z_][\w.]*)"
 EXTENSION = r"\.(c|cpp|h|hpp|py|pyx|rs|go|java|sql|db|sqlite3?|json|yaml|yml|csv|tsv|toml|pem|crt|key|md|tex|gcode|mjcf|xml|so|a|tar|gz|zip|png|jpg|mp4|log)\b"
-STOP_TOOLS = ["for", "while", "head", "tail", "wc", "sleep", "exit", "chmod", "which", "printf", "test", "eval", "read", "local", "return", "function", "sh", "bash"]
+PIP = r"(?:pip3?|uv pip)\s+install\s+([^\n|&;]+)"
+APT = r"apt(?:-get)?\s+install[^\n|&;]*?((?:\s+-\w+)*\s+[\w+.-]+(?:\s+[\w+.-]+)*)"
+STOP_TOOLS = ["cd", "ls", "cat", "echo", "pwd", "mkdir", "rm", "cp", "mv", "touch", "true", "false", "set", "export", "source", "then", "else", "fi", "do", "done", "if", "for", "while", "head", "tail", "wc", "sleep", "exit", "chmod", "which", "printf", "test", "eval", "read", "local", "return", "function", "sh", "bash"]
 
 
 def capability_tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, tf): commands, imports and file extensions with their counts."""
+    """(key, token, tf): commands, imports, installed packages and file extensions with their counts."""
     low, group = F.lower(text), F.lit(1)
     commands = F.transform(F.filter(F.regexp_extract_all(low, F.lit(COMMAND), group), lambda x: ~x.isin(STOP_TOOLS)), lambda x: F.concat(F.lit("cmd:"), x))
     modules = F.transform(F.regexp_extract_all(F.col(text), F.lit(IMPORT), group), lambda x: F.concat(F.lit("py:"), F.lower(F.substring_index(x, ".", 1))))
     files = F.transform(F.regexp_extract_all(low, F.lit(EXTENSION), group), lambda x: F.concat(F.lit("ext:"), x))
-    return docs.select(key, F.explode(F.concat(commands, modules, files)).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+
+    def packages(pattern: str, divider: str, kind: str) -> Column:
+        named = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(pattern), group), lambda x: F.split(strip(x), divider)))
+        return F.transform(F.filter(named, lambda x: (x != "") & ~F.startswith(x, F.lit("-"))), lambda x: F.concat(F.lit(kind), x))
+
+    installed = F.concat(packages(PIP, r"[\s,]+", "py:"), packages(APT, r"\s+", "apt:"))
+    return docs.select(key, F.explode(F.concat(commands, modules, installed, files)).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
 def word_counts(docs: DataFrame, key: str, text: str, least: int = 3) -> DataFrame:

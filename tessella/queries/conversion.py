@@ -70,13 +70,20 @@ def p15_p16_qa_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.to_json(row).alias("row"))
 
 
-@query("""SELECT conv_id, count(*) AS turns, bool_and(trim(text) <> '') AND arg_max(role, turn) = 'assistant' AS complete FROM conversations WHERE role <> 'system' GROUP BY 1""")
+@query("""WITH m AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN chr(10) || chr(10) || 'Human: ' ELSE chr(10) || chr(10) || 'Assistant: ' END || text AS s FROM conversations WHERE role <> 'system'),
+  t AS (SELECT conv_id, string_agg(s, '' ORDER BY turn) AS t FROM m GROUP BY conv_id),
+  p AS (SELECT conv_id, role, sum(length(s)) OVER (PARTITION BY conv_id ORDER BY turn) - length(s) AS place FROM m),
+  n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY place) AS k FROM p),
+  c AS (SELECT u.conv_id, u.k, unnest([u.place, a.place]) AS place, unnest([9, 13]) AS mark FROM n u JOIN n a ON a.conv_id = u.conv_id AND a.k = u.k AND u.role = 'user' AND a.role <> 'user'),
+  o AS (SELECT c.conv_id, k, mark, substring(t, (place + mark + 1)::BIGINT, greatest(coalesce(lead(place) OVER (PARTITION BY c.conv_id ORDER BY k, mark), length(t)) - place - mark, 0)::BIGINT) AS content FROM c JOIN t USING (conv_id)),
+  g AS (SELECT conv_id, count(*) AS turns, bool_and(content <> '') AS complete, md5(string_agg(content, '|' ORDER BY k, mark)) AS said FROM o GROUP BY conv_id)
+SELECT conv_id, coalesce(turns, 0) AS turns, coalesce(complete, false) AS complete, coalesce(said, md5('')) AS said FROM t LEFT JOIN g USING (conv_id)""")
 def p17_p18_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.when(F.col("role") == "user", "\n\nHuman: ").otherwise("\n\nAssistant: "), "text")
     g = table(spark, sf_dir, "conversations").filter("role <> 'system'").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", said.alias("s")))).alias("t"))
     text = F.array_join(F.transform("t", lambda x: x["s"]), "")
     m = g.select("conv_id", F.explode(F.array(C.split_dialogue(text))).alias("m"))
-    return m.select("conv_id", F.size("m").cast("long").alias("turns"), C.complete_dialogue(F.col("m")).alias("complete"))
+    return m.select("conv_id", F.size("m").cast("long").alias("turns"), C.complete_dialogue(F.col("m")).alias("complete"), F.md5(F.array_join(F.transform("m", lambda x: x["content"]), "|")).alias("said"))
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{}' WHEN 1 THEN props WHEN 2 THEN '{"_raw":"ls -l"}' ELSE '{"value":[1,2]}' END AS args FROM (SELECT event_id, regexp_replace(props, '\\s+', '', 'g') AS props FROM events)""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import ranking as R
+from tessella.operators.sequences import next_fit, prefix_within
 from tessella.queries import query, table
 from tessella.queries.aggregates import T, passed, trials
 
@@ -106,32 +107,40 @@ def w17_trim_to_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.trim_to_budget(table(spark, sf_dir, "conversations"), F.length("text"), 1500).select("conv_id", "turn")
 
 
-@query("""WITH l AS (SELECT conv_id, max(turn) FILTER (role = 'user') AS u FROM conversations GROUP BY 1)
-SELECT c.conv_id, turn, CASE WHEN role = 'system' THEN 'system' WHEN turn >= u THEN 'active' ELSE 'history' END AS part FROM conversations c JOIN l USING (conv_id)""")
+@query("""SELECT conv_id, turn, CASE WHEN role = 'system' AND turn = min(turn) OVER w THEN 'system' WHEN role = 'user' AND turn = max(turn) OVER w THEN 'active' ELSE 'history' END AS part
+FROM conversations WINDOW w AS (PARTITION BY conv_id)""")
 def w18_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    last = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(Window.partitionBy("conv_id"))
-    return table(spark, sf_dir, "conversations").withColumn("u", last).select("conv_id", "turn", F.when(F.col("role") == "system", "system").when(F.col("turn") >= F.col("u"), "active").otherwise("history").alias("part"))
+    return R.windows_of(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "part")
 
 
 @query("WITH s AS (SELECT doc_id, sum(n_chars) OVER w AS total, row_number() OVER w AS pos FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)) SELECT doc_id FROM s WHERE total <= 20000 OR pos = 1")
 def w19_prefix_within(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.prefix_within(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", ["doc_id"], "n_chars", 20000).select("doc_id")
+    return prefix_within(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", ["doc_id"], "n_chars", 20000).select("doc_id")
 
 
-@query("""WITH RECURSIVE d AS (SELECT source, doc_id, n_chars AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+_NEXT_FIT = """WITH RECURSIVE d AS (SELECT source, doc_id, n_chars AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, {cap} AS cap FROM documents),
   f AS (SELECT source, i, doc_id, n AS held, 0::BIGINT AS pack FROM d WHERE i = 1 UNION ALL
-    SELECT d.source, d.i, d.doc_id, CASE WHEN f.held > 0 AND f.held + d.n > 8000 THEN d.n ELSE f.held + d.n END, f.pack + (f.held > 0 AND f.held + d.n > 8000)::BIGINT FROM f JOIN d ON d.source = f.source AND d.i = f.i + 1)
-SELECT doc_id, pack FROM f""")
+    SELECT d.source, d.i, d.doc_id, CASE WHEN f.held > 0 AND f.held + d.n > d.cap THEN d.n ELSE f.held + d.n END, f.pack + (f.held > 0 AND f.held + d.n > d.cap)::BIGINT FROM f JOIN d ON d.source = f.source AND d.i = f.i + 1)
+SELECT doc_id, pack FROM f"""
+
+
+@query(_NEXT_FIT.format(cap=8000))
 def w20_next_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.next_fit(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", ["doc_id"], "n_chars", 8000).select("doc_id", "pack")
+    return next_fit(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", ["doc_id"], "n_chars", 8000).select("doc_id", "pack")
+
+
+@query(_NEXT_FIT.format(cap="CASE WHEN sum(n_chars) OVER (PARTITION BY source) > 0 THEN least((sum(n_chars) OVER (PARTITION BY source) // 40)::BIGINT, 16000) ELSE 16000 END"))
+def w20_least_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return next_fit(rows, "source", ["doc_id"], "n_chars", 16000, min_packs=40).select("doc_id", "pack")
 
 
-@query("""WITH RECURSIVE d AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
-  f AS (SELECT conv_id, i, turn, n AS held, 0::BIGINT AS piece FROM d WHERE i = 1 UNION ALL
-    SELECT d.conv_id, d.i, d.turn, CASE WHEN f.i % 2 = 0 AND f.held >= 900 THEN d.n ELSE f.held + d.n END, f.piece + (f.i % 2 = 0 AND f.held >= 900)::BIGINT FROM f JOIN d ON d.conv_id = f.conv_id AND d.i = f.i + 1)
-SELECT conv_id, turn, piece FROM f""")
+@query("""WITH RECURSIVE d AS (SELECT conv_id, turn, length(text) + 6 AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) // 2 AS pairs FROM conversations),
+  p AS (SELECT conv_id, i // 2 AS p, pairs, sum(n)::BIGINT AS n FROM d WHERE i < 2 * pairs GROUP BY ALL),
+  f AS (SELECT conv_id, p, CASE WHEN n > 900 THEN 2 ELSE 0 END::BIGINT AS start, n AS held, CASE WHEN n > 900 OR pairs = 1 THEN 0 END::BIGINT AS a, CASE WHEN n > 900 THEN 0 WHEN pairs = 1 THEN 2 END::BIGINT AS b FROM p WHERE p = 0
+    UNION ALL SELECT p.conv_id, p.p, CASE WHEN f.held + p.n > 900 THEN 2 * p.p + CASE WHEN p.n > 900 THEN 2 ELSE 0 END ELSE f.start END, CASE WHEN f.held + p.n > 900 THEN p.n ELSE f.held + p.n END,
+      CASE WHEN f.held + p.n > 900 OR p.p = p.pairs - 1 THEN f.start END, CASE WHEN f.held + p.n > 900 THEN 2 * p.p WHEN p.p = p.pairs - 1 THEN 2 * p.p + 2 END FROM f JOIN p ON p.conv_id = f.conv_id AND p.p = f.p + 1)
+SELECT d.conv_id, d.turn, f.a AS piece FROM d JOIN f ON f.conv_id = d.conv_id AND d.i >= f.a AND d.i < f.b""")
 def w21_split_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
     return R.split_conversations(rows, "n", 900).select("conv_id", "turn", "piece")

@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from tessella.operators import retrieval as R
 from tessella.plans.tables import keep
 from tessella.queries import query, table
+from tessella.queries.filters import strip_sql
 
-_SHELL = "'import os.path' || chr(10) || 'cat ' || props || ' | grep x && python3 run.py > out' || event_id % 3 || '.json'"
+_SHELL = "'import os.path' || chr(10) || 'cat ' || props || ' | grep x && python3 run.py > out' || event_id % 3 || '.json'" + " || chr(10) || 'uv pip install numpy, Pandas==1.0 -U && apt-get install -y gcc make' || chr(10) || 'cd /x; ls'"
 
 
 @query(rf"""WITH e AS (SELECT event_id, {_SHELL} AS s FROM events),
   k AS (SELECT event_id, unnest(list_concat(list_concat(list_transform(list_filter(regexp_extract_all(lower(s), '(?m)(?:^|\||&&|;|\$\()\s*([a-z][a-z0-9_.+-]{{1,24}})\b', 1), lambda x: x NOT IN ({", ".join(f"'{x}'" for x in R.STOP_TOOLS)})), lambda x: 'cmd:' || x),
-    list_transform(regexp_extract_all(s, '(?m)^\s*(?:import|from)\s+([a-zA-Z_][\w.]*)', 1), lambda x: 'py:' || lower(split_part(x, '.', 1)))), list_transform(regexp_extract_all(lower(s), '{R.EXTENSION}', 1), lambda x: 'ext:' || x))) AS token FROM e)
+    list_concat(list_transform(regexp_extract_all(s, '(?m)^\s*(?:import|from)\s+([a-zA-Z_][\w.]*)', 1), lambda x: 'py:' || lower(split_part(x, '.', 1))),
+    list_concat(list_transform(list_filter(flatten(list_transform(regexp_extract_all(lower(s), '{R.PIP}', 1), lambda x: regexp_split_to_array({strip_sql('x')}, '[\s,]+'))), lambda x: x <> '' AND x[1] <> '-'), lambda x: 'py:' || x),
+      list_transform(list_filter(flatten(list_transform(regexp_extract_all(lower(s), '{R.APT}', 1), lambda x: regexp_split_to_array({strip_sql('x')}, '\s+'))), lambda x: x <> '' AND x[1] <> '-'), lambda x: 'apt:' || x)))), list_transform(regexp_extract_all(lower(s), '{R.EXTENSION}', 1), lambda x: 'ext:' || x))) AS token FROM e)
 SELECT event_id, token, count(*) AS tf FROM k GROUP BY ALL""")
 def r01_capability_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.concat(F.lit("import os.path\ncat "), "props", F.lit(" | grep x && python3 run.py > out"), (F.col("event_id") % 3).cast("string"), F.lit(".json"))
+    s = F.concat(F.lit("import os.path\ncat "), "props", F.lit(" | grep x && python3 run.py > out"), (F.col("event_id") % 3).cast("string"), F.lit(".json\nuv pip install numpy, Pandas==1.0 -U && apt-get install -y gcc make\ncd /x; ls"))
     return R.capability_tokens(table(spark, sf_dir, "events").select("event_id", s.alias("s")), "event_id", "s")
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import verifiers as V
-from tessella.functions.constraints import check
+from tessella.functions.constraints import check, instruction_scores
 from tessella.functions.latex import math_match, strict_math_match
 from tessella.queries import query, table
 from tessella.queries.filters import lit, strip_sql
@@ -75,12 +77,12 @@ def v07_v08_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said(spark, sf_dir).select("conv_id", "turn", V.answer_match(t, y).alias("answer"), V.tagged_match(t, y).alias("tagged"))
 
 
-_DONE = "string_split(string_split(text, '</finish>')[1], '<finish>')[-1]"
+_DONE = "string_split(string_split(text, '<finish>')[-1], '</finish>')[1]"
 
 
 @query(f"""WITH {SAID}, f AS (SELECT conv_id, turn, "full", label, CASE WHEN turn % 4 = 1 THEN replace(replace(text, '<answer>', '<finish>'), '</answer>', '</finish>') WHEN turn % 4 = 2 THEN '<FINISH>' || text || '</Finish>' ELSE text END AS text FROM s),
   k AS (SELECT conv_id, turn, text, label, "full", {_bag(_DONE)} AS a, {_bag('label')} AS b, regexp_extract(text, '(?is)<finish>(.*?)</finish>', 1) AS found FROM f)
-SELECT conv_id, turn, CASE WHEN NOT contains(text, '<finish>') AND NOT contains(text, '</finish>') THEN 0.0 ELSE greatest(0.1, {_f1('a', 'b')}) END AS f1,
+SELECT conv_id, turn, CASE WHEN NOT contains(text, '<finish>') AND NOT contains(text, '</finish>') OR {_DONE} = '' THEN 0.0 WHEN {_f1('a', 'b')} > 0 THEN {_f1('a', 'b')} ELSE 0.1 END AS f1,
   CASE WHEN {strip_sql('found')} <> '' AND {norm_sql('found')} IN ({norm_sql('label')}, {norm_sql(lit('The answer is: ') + ' || "full"[:60]')}) THEN 1.0 ELSE 0.0 END AS match FROM k""")
 def v11_v12_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, n = F.col("text"), F.col("turn") % 4
@@ -186,6 +188,25 @@ def v21_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", *(check(name, text, **args).alias(name.split(":")[1]) for name, (args, _) in V21.items()))
 
 
+_MIXED = [(name, json.dumps(args), sql) for name, (args, sql) in V21.items()]
+_CUT = {"t": "s", "f": "array_to_string(x[2:], chr(10))", "l": "array_to_string(x[:-2], chr(10))", "b": "array_to_string(x[2:-2], chr(10))"}
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, {strip_sql("replace(replace(string_split(text, '</think>')[-1], '<answer>', ''), '</answer>', '')")} AS s FROM conversations),
+  v AS (SELECT conv_id, turn, s, string_split(s, chr(10)) AS x FROM r),
+  w AS (SELECT conv_id, turn, {strip_sql('s')} <> '' AS filled, unnest([{", ".join(["s"] + [strip_sql(c) for c in list(_CUT.values())[1:]])}]) AS u, unnest([true, false, false, false]) AS strict FROM v),
+  o AS (SELECT conv_id, turn, filled, unnest([u, replace(u, '*', '')]) AS text, unnest([strict, false]) AS strict FROM w),
+  i AS (SELECT o.*, j, (conv_id * 7 + turn * 3 + j * 5) % {len(_MIXED)} AS k FROM o, range(3) t(j)),
+  m AS (SELECT conv_id, turn, j, strict, filled AND {strip_sql('text')} <> '' AND CASE k {" ".join(f"WHEN {n} THEN ({sql})" for n, (_, _, sql) in enumerate(_MIXED))} END AS met FROM i),
+  e AS (SELECT conv_id, turn, j, bool_or(coalesce(met, false) AND strict) AS strict, bool_or(coalesce(met, false)) AS loose FROM m GROUP BY ALL)
+SELECT conv_id, turn, count(*) FILTER (strict) / 3.0::DOUBLE AS score, count(*) FILTER (loose) / 3.0::DOUBLE AS score_loose, bool_and(strict) AS all_met, bool_and(loose) AS all_met_loose FROM e GROUP BY conv_id, turn""")
+def v14_instruction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(args).alias("arguments")) for name, args, _ in _MIXED))
+    chosen = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda j: F.get(kinds, ((F.col("conv_id") * 7 + F.col("turn") * 3 + j * 5) % len(_MIXED)).cast("int")))
+    rows = table(spark, sf_dir, "conversations").withColumn("chosen", chosen).select("conv_id", "turn", "text", F.col("chosen.name").alias("names"), F.col("chosen.arguments").alias("arguments"))
+    return instruction_scores(rows, "text", "names", "arguments", F.lit(None).cast("string")).select("conv_id", "turn", "score", "score_loose", "all_met", "all_met_loose")
+
+
 @query("SELECT p_partkey, CASE WHEN p_size % 3 <> 2 THEN 1.0 ELSE 0.0 END AS math, CASE WHEN p_size % 3 = 1 THEN 1.0 ELSE 0.0 END AS strict FROM part")
 def v03_v04_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey").cast("string")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.functions import verifiers as V
-from tessella.operators import attribution, chat, conversion, joins, outcomes, ranking, repetition, retrieval, sampling
+from tessella.operators import attribution, chat, conversion, joins, outcomes, ranking, repetition, retrieval, sampling, sequences
 from tessella.plans import registry
 from tessella.sources import files
 from tessella.streaming import runs
@@ -205,8 +205,8 @@ def test_masks_and_advantages(spark):
 
 def test_next_fit_and_trim(spark):
     df = spark.createDataFrame([("g", i, n) for i, n in enumerate([5, 4, 3, 9, 1, 20, 2])], "g string, i int, n int")
-    assert [r.pack for r in ranking.next_fit(df, "g", ["i"], "n", 10).orderBy("i").collect()] == [0, 0, 1, 2, 2, 3, 4]
-    assert [r.i for r in ranking.prefix_within(df, "g", ["i"], "n", 12).orderBy("i").collect()] == [0, 1, 2]
+    assert [r.pack for r in sequences.next_fit(df, "g", ["i"], "n", 10).orderBy("i").collect()] == [0, 0, 1, 2, 2, 3, 4]
+    assert [r.i for r in sequences.prefix_within(df, "g", ["i"], "n", 12).orderBy("i").collect()] == [0, 1, 2]
 
 
 def test_loops_in_a_stream_go_on_between_batches(spark, tmp_path):
