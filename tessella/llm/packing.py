@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +22,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tessella.llm.common import Scratch, doc_columns, slices, tidy, word_table
 
@@ -50,6 +52,22 @@ def tokenizer(path: str, pattern: str, added: tuple[tuple[str, int], ...] = ())
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
+#: The quicker library takes the square of a run of white space as its time, and runs out of its stack in the end.
+LONG_BLANK = re.compile(r"\s{2000}")
+
+
+@lru_cache(maxsize=4)
+def plain_tokenizer(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
+def text_ids(text: str, encoding: tiktoken.Encoding, file: str | None) -> np.ndarray:
+    """The ids of a text; one with a very long run of white space is left to the tokenizers file, which has no such bound."""
+    if file and len(text) >= 2000 and LONG_BLANK.search(text):
+        return np.array(plain_tokenizer(file).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    return encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+
+
 def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
     """Places of integer points (n, d), each coordinate below 2**bits, on a Hilbert curve; d * bits is at most 62."""
     x = [points[:, i].astype(np.int64) for i in range(points.shape[1])]
@@ -150,11 +168,12 @@ class _Packer:
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
 
-def pack_documents(docs: DataFrame, *, vocabulary: str, pattern: str, added: dict[str, int] | None = None, size: int = 2048, end_id: int = 1, dims: int = 4, bits: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, *, vocabulary: str, pattern: str, added: dict[str, int] | None = None, file: str | None = None, size: int = 2048, end_id: int = 1, dims: int = 4, bits: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of a document: doc_id, start (ids of the document before it), length, doc_tokens (with the end
     id), sequence_id, offset in that sequence, and ids as packed little-endian unsigned 32-bit numbers.
 
     vocabulary and pattern: the tokenizer's rank file, at the same path on every machine, and its splitting pattern.
+    file: the same vocabulary as a tokenizers file, for texts with long runs of white space; without it such a text is an error.
     added: tokens that are matched in texts as a whole, with their ids; without them such strings are plain text.
     Null and empty texts are the end id alone. Rows that repeat an id are documents of their own. size is a power of two.
     """
@@ -191,7 +210,7 @@ def pack_documents(docs: DataFrame, *, vocabulary: str, pattern: str, added: dic
         packer = _Packer(size, TaskContext.get().partitionId() << 36)
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encoding.encode_to_numpy(text.as_py(), allowed_special="all", disallowed_special=())
+                ids = text_ids(text.as_py(), encoding, file)
                 packer.add(doc, np.append(ids, np.uint32(end_id)))
                 if len(packer.out) >= 2000:
                     yield packer.batch()

@@ -90,8 +90,8 @@ def hashes(keys: Column) -> Column:
 
 
 def spelt(keys: Column) -> Column:
-    """A fingerprint as text: hash@position, both in hexadecimal digits, separated by blanks."""
-    return F.array_join(F.transform(keys, lambda x: F.concat(F.lower(F.hex(gram_hash(x))), F.lit("@"), F.lower(F.hex(position(x))))), " ")
+    """A fingerprint as text: each choice's number hash * 2**31 + 2**31 - 1 - position in hexadecimal digits, separated by blanks."""
+    return F.array_join(F.transform(keys, lambda x: F.hex(x)), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -145,9 +145,9 @@ def with_next(docs: DataFrame, *, k: int = K, window: int = WINDOW, id_col: str
     home, above = at(F.col("stretch"), 0), at((F.col("stretch") + 1) % n, 1)
     ends_here = F.element_at(ends, F.least(F.col("stretch") + 1, F.lit(n))) == F.col("key")
     dealt = placed.select("doc_id", "text", "key", F.explode(F.when(ends_here, F.array(home, above)).otherwise(F.array(home))).alias("to"))
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 1)
-    spread = dealt.select("doc_id", "text", "key", "to.*").repartition(tasks, "stretch").select("*", chosen(F.col("text"), k, window).alias("keys"))
-    order = Window.partitionBy("stretch").orderBy("guest", F.desc("key"))
+    tasks = min(n, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    spread = dealt.select("doc_id", "text", "key", "to.*", (F.col("to.stretch") % tasks).alias("task")).repartitionById(tasks, "task").select("*", chosen(F.col("text"), k, window).alias("keys"))
+    order = Window.partitionBy("task", "stretch").orderBy("guest", F.desc("key"))
     return spread.select("doc_id", "text", "keys", "guest", F.lead("text").over(order).alias("next_text"), F.lead("keys").over(order).alias("next_keys")).filter("guest = 0").drop("guest")
 
 
