@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +28,6 @@ def instruction(name: str) -> Callable[[Constraint], Constraint]:
     return register
 
 
-def every(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
-
-
 def given(argument: object) -> Column:
     """An argument as a column: itself, or a literal (lists as arrays of strings)."""
     if isinstance(argument, Column):
