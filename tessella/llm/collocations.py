@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 from tessella.llm.common import Scratch, mix, tidy
 
 #: Words of a shard; a longer text makes a larger one.
-SHARD_WORDS = 1 << 20
-#: Bytes of text for each shuffle partition, at most, and for each of the parts that an owner merges at once.
-OWNER_BYTES, PART_BYTES = 256 << 20, 16 << 20
+SHARD_WORDS = 1 << 18
+#: Bytes of text for each owner and for each of the parts that it merges at once, and the number of owners beyond which each has several parts.
+PART_BYTES, OWNERS = 4 << 20, 4096
 #: Entries that an owner holds before it merges or splits them.
-HELD = 1 << 20
+HELD = 1 << 18
+#: Phrases that are hashed at once.
+STEP = 1 << 14
 CELLS = "owner int, langs array<string>, held array<int>, phrases binary, counts binary"
 PARTS = "part int, langs array<string>, held array<int>, phrases binary, counts binary"
 COUNTS = "lang string, phrase string, n long"
@@ -50,24 +52,22 @@ def words_of(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     text = np.searchsorted(np.cumsum(lengths + 1), starts, side="right")
-    piece = np.cumsum(kind == 2, dtype=np.int64)[starts]
+    piece = np.searchsorted(np.flatnonzero(kind == 2), starts)
     return words, text, piece
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes in the order of their first `depth` symbols at least (0 follows the end), by prefix doubling."""
+    """Starts of all suffixes in the order of their first `depth` symbols (0 or more each) at least, by prefix doubling; the end comes first."""
     n = len(symbols)
-    _, rank = np.unique(symbols, return_inverse=True)
-    rank = rank.astype(np.int64) + 1
-    order, have = np.argsort(rank, kind="stable"), 1
-    while have < depth and rank.max(initial=0) < n:
+    rank = symbols.astype(np.int64) + 1
+    order, have = np.argsort(rank), 1
+    while have < depth:
         later = np.zeros(n, dtype=np.int64)
         later[: max(n - have, 0)] = rank[have:]
-        key = rank * (n + 1) + later
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, dtype=np.int64)
-        new[order] = np.cumsum(np.diff(key[order], prepend=-1) != 0)
-        rank, have = new, 2 * have
+        key = rank * (rank.max(initial=0) + 1) + later
+        order = np.argsort(key)
+        rank[order] = np.cumsum(np.diff(key[order], prepend=-1) != 0)
+        have *= 2
     return order
 
 
@@ -163,7 +163,7 @@ def _byte_hashes(words: pa.LargeBinaryArray) -> np.ndarray:
 
 def _cells(group: np.ndarray, lang: np.ndarray, phrase: pa.LargeBinaryArray, count: np.ndarray, names: list[str], name: str) -> pa.RecordBatch:
     """One row for each group: its languages, how many phrases each has, the phrases (ended by line feeds) and counts, compressed."""
-    order = np.lexsort((lang, group))  # stable: phrases stay in order
+    order = np.argsort((group * len(names) + lang) * len(group) + np.arange(len(group)))  # phrases stay in order
     group, lang, count = group[order], lang[order], count[order].astype("<u8")
     phrase = phrase.take(pa.array(order))
     offsets = np.frombuffer(phrase.buffers()[1], dtype=np.int64)[: len(phrase) + 1]
@@ -201,13 +201,13 @@ def _merged(tables: list[pa.Table]) -> pa.Table:
     return whole.group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"])
 
 
-def count_phrases(docs: DataFrame, *, most: int = 3, least: int = 10, shard_words: int = SHARD_WORDS, owner_bytes: int = OWNER_BYTES, part_bytes: int = PART_BYTES, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def count_phrases(docs: DataFrame, *, most: int = 3, least: int = 10, shard_words: int = SHARD_WORDS, part_bytes: int = PART_BYTES, most_owners: int = OWNERS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, phrase, n): exact counts of the phrases of 1 to `most` words that a language's texts hold `least` times or more, and of
     all its words for the empty phrase. Null texts are empty, a null language is `und`."""
     spark = docs.sparkSession
     own = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
     total = int(own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
-    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-total // owner_bytes))
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), min(-(-total // part_bytes), most_owners))
     parts = max(1, -(-total // (owners * part_bytes)))
 
     @tidy
@@ -225,6 +225,9 @@ def count_phrases(docs: DataFrame, *, most: int = 3, least: int = 10, shard_word
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
+            if parts == 1:
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, dtype=np.int32)), *batch.columns[1:]], names=["part", *batch.schema.names[1:]])
+                continue
             for table in _entries(batch):
                 held.append(table)
                 rows += table.num_rows
@@ -265,9 +268,11 @@ def _by_part(table: pa.Table, parts: int) -> pa.RecordBatch:
 
 
 def _byte_hashes_or_empty(phrases: pa.LargeBinaryArray) -> np.ndarray:
-    filled = np.asarray(pc.binary_length(phrases)) > 0
     out = np.zeros(len(phrases), dtype=np.uint64)
-    out[filled] = _byte_hashes(phrases.filter(pa.array(filled)))
+    for a in range(0, len(phrases), STEP):
+        part = phrases.slice(a, STEP)
+        filled = np.asarray(pc.binary_length(part)) > 0
+        out[a : a + STEP][filled] = _byte_hashes(part.filter(pa.array(filled)))
     return out
 
 
