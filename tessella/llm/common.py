@@ -19,8 +19,8 @@ SLICE_BYTES = 1 << 19
 FILTER_BITS = 23
 
 
-#: Rows of one Arrow batch while a table is written, which the JVM and the Python worker hold at the same time.
-BATCH_ROWS = 2000
+#: Rows and bytes of one Arrow batch while a table is written, which the JVM and the Python worker hold at the same time.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -48,7 +48,7 @@ class Scratch:
     def write(self, df: DataFrame, table: str, level: int = 3) -> DataFrame:
         path, schema = f"{self.base}/{table}", df.schema
         # the table replaces the shuffle files that made it
-        wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
+        wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
         before = {key: self.spark.conf.get(key) for key in wanted}
         try:
             for key, value in wanted.items():
