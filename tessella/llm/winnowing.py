@@ -155,18 +155,22 @@ def compare_edits(docs: DataFrame, *, k: int = K, window: int = WINDOW, id_col:
     """Each document's fingerprint beside that of an edited text and of the next document (see with_next): doc_id, n_chars, edited_text,
     fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The edited text's last floor(n_chars / 3) characters are the first as many (or all) of the next document. Where a window
-    lies in the part that stays its choice does, too; only the rest of the edited text is winnowed again.
+    The edited text's last floor(n_chars / 3) characters are the first as many (or all) of the next document. A window that lies in
+    the part that stays, or in that of the next document, chooses what it chose there; only those across are winnowed again.
     """
     pairs = with_next(docs, k=k, window=window, id_col=id_col, text_col=text_col)
     n = F.char_length("text")
     cut = pairs.select("*", n.alias("n_chars"), (n - F.floor(n / 3)).cast("int").alias("stays"))
     edited = cut.select("*", F.concat(F.substring("text", F.lit(1), F.col("stays")), F.substring("next_text", F.lit(1), F.col("n_chars") - F.col("stays"))).alias("edited_text"))
-    # windows from `again` on may reach into what changed
-    again = F.greatest(F.col("stays") - (k + window - 2), F.lit(0))
-    tail = edited.select("*", again.alias("again")).select("*", chosen(F.expr("substring(edited_text, again + 1)"), k, window, start=F.col("again"), first=F.col("again") == 0).alias("tail_keys"))
-    early = F.when(F.col("again") > 0, before(F.col("keys"), F.col("again"), window)).otherwise(F.array().cast("array<long>"))
-    both = tail.select("*", once(F.array_distinct(F.concat(early, "tail_keys"))).alias("edited_keys"))
+    # windows that begin before `again` lie in the part that stays, those from `stays` on in the part of the next text
+    reach = k + window - 2
+    again, taken = F.greatest(F.col("stays") - reach, F.lit(0)), F.least(F.col("n_chars") - F.col("stays"), F.char_length("next_text"))
+    placed = edited.select("*", again.alias("again"), taken.alias("taken"))
+    none = F.array().cast("array<long>")
+    early = F.when(F.col("again") > 0, before(F.col("keys"), F.col("again"), window)).otherwise(none)
+    between = chosen(F.substring("edited_text", F.col("again") + 1, F.col("stays") - F.col("again") + reach), k, window, start=F.col("again"), first=F.col("again") == 0)
+    late = F.when(F.col("taken") > reach, F.transform(before(F.col("next_keys"), F.col("taken") - reach, window), lambda x: x - F.col("stays"))).otherwise(none)
+    both = placed.select("*", once(F.array_distinct(F.concat(early, between, late))).alias("edited_keys"))
     own = both.select("*", once(hashes(F.col("keys"))).alias("own"))
     return own.select(
         "doc_id",
