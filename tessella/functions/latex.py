@@ -14,6 +14,18 @@ REMOVED = [
     "students", "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", "\\mathrm{th}", "^\\circ", "^{\\circ}", "\\;", ",\\!", "{,}", '"', "\\dots",
 ]
 
+# The patterns of the same normalisation (Lewkowycz et al., 2022, "Solving quantitative reasoning problems with language
+# models", appendix on answer normalisation) and what replaces them, in order.
+UNWRAPPED = [
+    (r"(.*?)(\$)(.*?)(\$)(.*)", r"\$$3\$"),
+    (r"\\text\{(.*?)\}", r"$1"),
+    (r"\\textbf\{(.*?)\}", r"$1"),
+    (r"\\overline\{(.*?)\}", r"$1"),
+    (r"\\boxed\{(.*)\}", r"$1"),
+    (r"frac([^{])(.)", r"frac{$1}{$2}"),
+    (r"sqrt([^{])", r"sqrt{$1}"),
+]
+
 #: Braces nested three deep.
 _INSIDE = r"((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)"
 
@@ -41,7 +53,7 @@ def normal(answer: Column) -> Column:
     out = F.substring_index(answer, "=", -1)
     for old, new in [*SUBSTITUTIONS, *((x, "") for x in REMOVED)]:
         out = F.replace(out, F.lit(old), F.lit(new))
-    for pattern, by in ((r"(.*?)(\$)(.*?)(\$)(.*)", r"\$$3\$"), (r"\\text\{(.*?)\}", "$1"), (r"\\textbf\{(.*?)\}", "$1"), (r"\\overline\{(.*?)\}", "$1"), (r"\\boxed\{(.*)\}", "$1"), (r"frac([^{])(.)", r"frac{$1}{$2}"), (r"sqrt([^{])", r"sqrt{$1}")):
+    for pattern, by in UNWRAPPED:
         out = F.regexp_replace(out, pattern, by)
     out = F.replace(out, F.lit("$"), F.lit(""))
     bare = F.replace(out, F.lit(","), F.lit(""))
