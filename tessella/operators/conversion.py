@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,6 +144,32 @@ def tool_arguments(text: Column) -> Column:
     )
 
 
+def _calls_as_text(messages: str | None) -> str | None:
+    try:
+        rows = json.loads(messages) if messages is not None else None
+    except ValueError:
+        return None
+    if not isinstance(rows, list) or not all(isinstance(m, dict) for m in rows):
+        return None
+    for call in (c for m in rows if isinstance(m.get("tool_calls"), list) for c in m["tool_calls"] if isinstance(c, dict)):
+        function = call.get("function")
+        if isinstance(function, dict) and "arguments" in function:
+            given = function["arguments"]
+            if isinstance(given, dict):
+                function["arguments"] = {k: v if isinstance(v, str) else str(v) for k, v in given.items()}
+            elif not isinstance(given, str):
+                function["arguments"] = json.dumps(given)
+    return json.dumps(rows, ensure_ascii=False, separators=(",", ":"))
+
+
+def tool_calls_as_text(messages: Column) -> Column:
+    """Messages as a JSON array whose tool calls have arguments of one type: each value of an object as Python prints it, strings as they
+    are; arguments that are neither object nor string as JSON text. What nests in a value becomes part of its text, whatever its depth.
+    Null for what is no JSON array of objects. Values of any depth need a walk that column functions don't have, so it is an Arrow batch function.
+    """
+    return F.pandas_udf(lambda s: s.map(_calls_as_text, na_action="ignore").astype(object).where(lambda x: x.notna(), None), "string")(messages)
+
+
 def clipped(text: Column, most: int, mark: str = "\n...[truncated]...") -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(mark))).otherwise(text)
 

@@ -7,8 +7,7 @@ import json
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import conversion as C
@@ -64,11 +63,43 @@ def config_key(config: dict, length: int = 10) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:length]
 
 
-def cached(build: Callable[[], DataFrame], spark, folder: str, config: dict) -> DataFrame:
-    """The table kept under the configuration's key, built and written if it isn't there."""
-    path = f"{folder.rstrip('/')}/{config_key(config)}"
+def _place(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, whatever store it is in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    where, files = _place(spark, path)
+    out = files.create(where, True)
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.mode("errorifexists").parquet(path)
-        return spark.read.parquet(path)
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def statistics(df: DataFrame) -> dict:
+    """Columns and number of rows, and rows for each dataset_source where there is that column."""
+    if "dataset_source" not in df.columns:
+        return {"columns": df.columns, "num_rows": df.count()}
+    by = {r.dataset_source: r["count"] for r in df.groupBy("dataset_source").count().collect()}
+    return {"columns": df.columns, "num_rows": sum(by.values()), "num_rows_by_source": {str(k): by[k] for k in sorted(by, key=str)}}
+
+
+def cached(build: Callable[[], DataFrame], spark: SparkSession, folder: str, config: dict) -> DataFrame:
+    """The table kept under the configuration's key, built and written if it isn't there.
+
+    Below the key: data (Parquet), config.json and statistics.json. What a write left without finishing (no _SUCCESS among the
+    data) is removed and built anew; any other failure to read is an error.
+    """
+    path = f"{folder.rstrip('/')}/{config_key(config)}"
+    done, files = _place(spark, f"{path}/data/_SUCCESS")
+    if not files.exists(done):
+        files.delete(_place(spark, path)[0], True)
+        build().write.mode("errorifexists").parquet(f"{path}/data")
+    table = spark.read.parquet(f"{path}/data")
+    # statistics.json comes last, so where it is the others are, too
+    if not files.exists(_place(spark, f"{path}/statistics.json")[0]):
+        _write_text(spark, f"{path}/config.json", json.dumps(config, sort_keys=True))
+        _write_text(spark, f"{path}/statistics.json", json.dumps(statistics(table)))
+    return table

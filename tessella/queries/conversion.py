@@ -86,6 +86,18 @@ def p17_p18_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("conv_id", F.size("m").cast("long").alias("turns"), C.complete_dialogue(F.col("m")).alias("complete"), F.md5(F.array_join(F.transform("m", lambda x: x["content"]), "|")).alias("said"))
 
 
+_CALL = """'[{"role":"assistant","tool_calls":[{"id":' || event_id || ',"function":{"name":"f","arguments":' || %s || '}}]},{"role":"tool","content":null}]'"""
+
+
+@query(f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN {_CALL % """'{"props":"' || replace(props, '"', chr(39)) || '","all":"[1, ' || chr(39) || 'x' || chr(39) || ', None]","yes":"True","s":"as is"}'"""}
+  WHEN 1 THEN {_CALL % """'"[' || event_id || ', {' || chr(92) || '"a' || chr(92) || '": null}]"'"""} WHEN 2 THEN {_CALL % "'\"plain\"'"} END AS messages FROM events""")
+def p19_tool_calls_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id") % 4
+    given = F.when(n == 0, F.concat(F.lit('{"props": '), "props", F.lit(', "all": [1, "x", null], "yes": true, "s": "as is"}'))).when(n == 1, F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit(', {"a": null}]'))).when(n == 2, '"plain"').otherwise("broken")
+    text = F.concat(F.lit('[{"role": "assistant", "tool_calls": [{"id": '), F.col("event_id").cast("string"), F.lit(', "function": {"name": "f", "arguments": '), given, F.lit('}}]}, {"role": "tool", "content": null}]'))
+    return table(spark, sf_dir, "events").select("event_id", C.tool_calls_as_text(text).alias("messages"))
+
+
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{}' WHEN 1 THEN props WHEN 2 THEN '{"_raw":"ls -l"}' ELSE '{"value":[1,2]}' END AS args FROM (SELECT event_id, regexp_replace(props, '\\s+', '', 'g') AS props FROM events)""")
 def p19_p21_t02_tool_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id") % 4
