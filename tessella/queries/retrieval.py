@@ -81,10 +81,10 @@ def r12_src09_relevant_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.relevant_lines(table(spark, sf_dir, "documents"), "doc_id", "text", "license", 1).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.md5("line").alias("line"), "hit")
 
 
-@query("""WITH d AS (SELECT event_id, value * exp(-ln(2.0) * greatest((epoch_us(TIMESTAMP '2024-12-31 00:00:00') - epoch_us(ts)) / 86400000000.0, 0) / 30) AS score FROM events)
+@query("""WITH d AS (SELECT event_id, value * exp(-ln(2.0) * greatest((epoch_us(TIMESTAMP '2024-02-10 00:00:00') - epoch_us(ts)) / 86400000000.0, 0) / 30) AS score FROM events)
 SELECT event_id, round(score, 6) AS score FROM d WHERE score >= 1 ORDER BY score DESC, event_id LIMIT 200""")
 def r13_r14_r15_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = F.lit("2024-12-31 00:00:00").cast("timestamp")
+    now = F.lit("2024-02-10 00:00:00").cast("timestamp")
     d = table(spark, sf_dir, "events").select("event_id", R.decayed(F.col("value"), F.col("ts"), now, 30).alias("score"))
     return d.filter("score >= 1").orderBy(F.desc("score"), "event_id").limit(200).select("event_id", F.round("score", 6).alias("score"))
 
@@ -138,7 +138,7 @@ def r12_relevant_text(spark: SparkSession, sf_dir: str) -> DataFrame:
   d AS (SELECT doc_id, match, n_chars / 1000.0 * exp(-ln(2.0) * (n_chars / 24.0) / 30) AS decay FROM f JOIN documents USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0))
 SELECT doc_id, match, round(decay, 6) AS decay, row_number() OVER (ORDER BY match DESC, round(decay, 9) DESC, doc_id) AS place FROM d""")
 def r10_r13_search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, now = table(spark, sf_dir, "documents"), F.lit("2024-12-31 00:00:00").cast("timestamp")
+    docs, now = table(spark, sf_dir, "documents"), F.lit("2024-02-10 00:00:00").cast("timestamp")
     poor = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id", F.lit("archived").alias("poor")).distinct()
     field = F.concat(F.when(F.col("lang") == "de", "german").when(F.col("lang") == "es", "spanish").otherwise(""), F.lit(", prose"))
     accessed = F.timestamp_micros(F.unix_micros(now) - F.col("n_chars") * 3_600_000_000)
