@@ -1,4 +1,4 @@
-"""Answers in LaTeX: where a text gives its answer, and a normal form to compare answers by. No symbolic algebra."""
+"""Answers in LaTeX: where a text gives its answer, and a normal form to compare answers by. Answers are compared by `equations`."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.functions.equations import any_same
+
 # Replacements and removals of the published answer normalisation, in order.
 SUBSTITUTIONS = [("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), ("\\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}")]
 REMOVED = [
@@ -17,7 +19,7 @@ REMOVED = [
 # The patterns of the same normalisation (Lewkowycz et al., 2022, "Solving quantitative reasoning problems with language
 # models", appendix on answer normalisation) and what replaces them, in order.
 UNWRAPPED = [
-    (r"(.*?)(\$)(.*?)(\$)(.*)", r"\$$3\$"),
+    (r"(?dm)^[^$\n]*+\$([^$\n]*+)\$.*", r"\$$1\$"),  # written so that lines without dollars take linear time
     (r"\\text\{(.*?)\}", r"$1"),
     (r"\\textbf\{(.*?)\}", r"$1"),
     (r"\\overline\{(.*?)\}", r"$1"),
@@ -26,20 +28,23 @@ UNWRAPPED = [
     (r"sqrt([^{])", r"sqrt{$1}"),
 ]
 
-#: Braces nested three deep.
-_INSIDE = r"((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)"
+#: What balanced braces hold, nested nine deep, without backtracking.
+_INSIDE = reduce(lambda inside, _: r"[^{}]*+(?:\{" + inside + r"\}[^{}]*+)*+", range(8), r"[^{}]*+")
+_BLANK = " \t\n\x0b\x0c\r"
 
 
 def boxed(text: Column) -> Column:
-    """What the last `\\boxed{...}` holds; null without one."""
-    found = F.regexp_extract_all(text, F.lit(r"\\boxed\{" + _INSIDE + r"\}"), F.lit(1))
-    return F.when(F.size(found) > 0, F.element_at(found, -1))
+    """What the last `\\boxed{...}` holds, or what follows the last `\\boxed ` up to a dollar sign; null without either."""
+    last = F.regexp_extract_all(F.substring_index(text, "\\boxed", -1), F.lit(r"^\{(" + _INSIDE + r")\}"), F.lit(1))
+    braces = F.when(F.contains(text, F.lit("\\boxed")) & (F.size(last) > 0), F.get(last, F.lit(0)))
+    loose = F.substring_index(F.substring_index(text, "\\boxed ", -1), "$", 1)
+    return F.when(F.contains(text, F.lit("\\boxed ")), loose).otherwise(braces)
 
 
 def stated(text: Column) -> Column:
     """What `Final Answer: The final answer is ... I hope it is correct.` says; null without it."""
-    found = F.regexp_extract(F.concat(text, F.lit("I hope it is correct.")), r"Final Answer: The final answer is(.*?). I hope it is correct.", 1)
-    return F.when(F.trim(found) != "", F.trim(found))
+    found = F.regexp_extract_all(F.concat(text, F.lit("I hope it is correct.")), F.lit(r"Final Answer: The final answer is(.*?). I hope it is correct."), F.lit(1))
+    return F.btrim(F.get(found, F.lit(0)), F.lit(_BLANK))
 
 
 def last_formula(text: Column) -> Column:
@@ -60,22 +65,18 @@ def normal(answer: Column) -> Column:
     return F.when(bare.rlike(r"^\d+$"), bare).otherwise(out)
 
 
-def _equal(answer: Column, label: Column) -> Column:
-    return F.coalesce((normal(answer) == normal(label)) | (F.trim(answer) == F.trim(label)), F.lit(False))
-
-
 def math_match(text: Column, label: Column) -> Column:
-    """1.0 if the boxed, the stated or, without either, the last formula's or the whole text's answer is the label."""
-    direct = boxed(text).isNotNull() | stated(text).isNotNull()
-    fallback = F.coalesce(last_formula(text), text)
-    good = _equal(boxed(text), label) | _equal(stated(text), label) | (~direct & _equal(fallback, label))
-    return F.when(good, 1.0).otherwise(0.0)
+    """1.0 if the boxed or the stated answer is the label; without either, the last formula's; without that, the whole text or its normal form.
 
-
-def strict_math_match(text: Column, label: Column) -> Column:
-    """1.0 if the stated answer, or the whole text without one, is the label."""
-    return F.when(_equal(F.coalesce(stated(text), text), label), 1.0).otherwise(0.0)
+    Null texts and labels score 0.0.
+    """
+    box, said, formula = boxed(text), normal(stated(text)), normal(last_formula(text))
+    direct = box.isNotNull() | said.isNotNull()
+    second = F.when(direct, said).when(formula.isNotNull(), formula).otherwise(normal(text))
+    third = F.when(~direct & formula.isNull(), text)
+    return F.when(any_same(F.array(box, second, third), label), 1.0).otherwise(0.0)
 
 
-def any_equal(answers: list[Column], label: Column) -> Column:
-    return reduce(lambda a, b: a | b, [_equal(a, label) for a in answers], F.lit(False))
+def strict_math_match(text: Column, label: Column) -> Column:
+    """1.0 if the stated answer, or the whole text without one, is the label, in normal form."""
+    return F.when(any_same(F.array(normal(F.coalesce(stated(text), text))), label), 1.0).otherwise(0.0)

@@ -207,7 +207,7 @@ def v14_instruction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instruction_scores(rows, "text", "names", "arguments", F.lit(None).cast("string")).select("conv_id", "turn", "score", "score_loose", "all_met", "all_met_loose")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 <> 2 THEN 1.0 ELSE 0.0 END AS math, CASE WHEN p_size % 3 = 1 THEN 1.0 ELSE 0.0 END AS strict FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 3 <> 2 OR p_partkey / 7 = 9 THEN 1.0 ELSE 0.0 END AS math, CASE WHEN p_size % 3 = 1 OR (p_size % 3 = 2 AND p_partkey / 7 = 8) THEN 1.0 ELSE 0.0 END AS strict FROM part")
 def v03_v04_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey").cast("string")
     said = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(r"so \boxed{\frac{"), n, F.lit("}{7}}"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit(r"Final Answer: The final answer is $\frac{"), n, F.lit("}{7}$. I hope it is correct."))).otherwise(F.lit("it is $8$, not $9$"))
@@ -224,3 +224,18 @@ def v17_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = said(spark, sf_dir).withColumn("verifier", name)
     g = reward_breakdown(rows, "conv_id", "verifier", V.registry_score(F.col("verifier"), F.col("text"), F.col("label")), (1 + F.col("turn") % 2).cast("double"), 10.0)
     return g.select("conv_id", "reward", F.col("parts")["number"].alias("number"), F.col("parts")["puzzle"].alias("puzzle"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey % 3 <> 0 AS good, (l_orderkey + l_linenumber) % 6 AS form FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN good THEN 1.0 ELSE 0.0 END AS math, CASE WHEN good AND form IN (1, 2) THEN 1.0 ELSE 0.0 END AS strict FROM r""")
+def v03_v04_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line's quantity as an answer in one spelling and as a label in another; a third of the labels are of another quantity."""
+    form = (F.col("l_orderkey") + F.col("l_linenumber")) % 6
+    q, k = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
+    of = q + F.when(F.col("l_partkey") % 3 == 0, 1).otherwise(0)
+    answer = F.when(form == 0, F.format_string(r"it is \boxed{\frac{%d}{8}}", q)).when(form == 1, F.format_string(r"Final Answer: The final answer is $\sqrt{%d}$. I hope it is correct.", 2 * q * q))
+    answer = answer.when(form == 2, F.format_string("it is $(x+%d)^2$", q)).when(form == 3, F.format_string(r"it is \boxed{2^{%d}\cdot %d}", k, q))
+    answer = answer.when(form == 4, F.format_string(r"it is \boxed{%d\text{ units}}", q)).otherwise(F.format_string(r"it is \boxed{(%d, %d)}", q, k))
+    label = F.when(form == 0, (of / 8).cast("decimal(12,3)").cast("string")).when(form == 1, F.format_string(r"%d\sqrt{2}", of)).when(form == 2, F.format_string("x^2+%dx+%d", 2 * of, of * of))
+    label = label.when(form == 3, (of * F.pow(F.lit(2), k)).cast("long").cast("string")).when(form == 4, of.cast("string")).otherwise(F.format_string("(%d,%d)", of, k))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", math_match(answer, label).alias("math"), strict_math_match(answer, label).alias("strict"))
