@@ -469,15 +469,42 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     found = tmp.write(_digests(own, buckets), "found")
     digest = found.filter("shared = -1").select("doc_id", "n", "s1", "s2")
     shared = found.filter("shared >= 0").groupBy("s1").agg(F.sum("shared").alias("shared"), F.max("n").alias("n")).filter(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("n") * 2 / 25)))
-    reps = tmp.write(digest.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("sid")), "reps")
-    wanted = tmp.write(reps.join(shared.select("s1"), "s1").select("sid", "n", "s1"), "wanted")
-    some = maybe(own, wanted, "doc_id").join(wanted.hint("merge"), F.col("doc_id") == F.col("sid")).select("sid", "n", "s1", "text")
-    sets = tmp.write(_sets(some), "sets")
+    repeated = tmp.write(digest.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.struct("n", "s1", "s2")).alias("low"), F.max(F.struct("n", "s1", "s2")).alias("own")).filter("rows > 1"), "repeated")
+    again = repeated.limit(1).count() > 0
+    reps = digest.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id")).withColumn("sid", F.col("doc_id"))
+    if again:  # an id with several sets can't name them: those sets are named by a hash of their signatures
+        several = repeated.filter("low <> own").select("doc_id", F.lit(True).alias("several"))
+        reps = reps.join(several, "doc_id", "left").withColumn("sid", F.when(F.col("several"), F.xxhash64("n", "s1", "s2")).otherwise(F.col("doc_id"))).select("n", "s1", "s2", "doc_id", "sid")
+    reps = tmp.write(reps, "reps")
+    wanted = tmp.write(reps.join(shared.select("s1"), "s1").select("doc_id", "sid", "n", "s1"), "wanted")
+    some = maybe(own, wanted.select(F.col("doc_id").alias("sid")), "doc_id").join(wanted.withColumnRenamed("doc_id", "named").hint("merge"), F.col("doc_id") == F.col("named")).select("sid", "n", "s1", "text")
+    sets = _sets(some)
+    sets = tmp.write(sets.dropDuplicates(["sid"]) if again else sets, "sets")  # rows that repeat an id and its text give one set
     bits = sketch_bits(wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     links = _star_links(sets, spark.sparkContext.broadcast(_sketch(sets, bits)), bits, buckets, tmp)
+    if again:
+        links = links.union(_within_ids(digest, repeated, reps))
     component = connected(links, tmp, "component")
-    label = reps.join(component.select(F.col("v").alias("sid"), "label"), "sid", "left").select("n", "s1", "s2", F.coalesce("label", "sid").alias("component_id"))
-    return digest.join(label, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    label = reps.join(component.select(F.col("v").alias("sid"), "label"), "sid", "left").select("n", "s1", "s2", "doc_id", F.coalesce("label", "sid").alias("component_id"))
+    if again:  # labels may be hashes: the smallest id takes their place
+        label = tmp.write(label, "label")
+        lowest = label.groupBy("component_id").agg(F.min("doc_id").alias("lowest")).filter("component_id <> lowest")
+        label = label.join(lowest, "component_id", "left").withColumn("component_id", F.coalesce("lowest", "component_id"))
+        # a row without words belongs to its id's other rows
+        filled = repeated.filter("low.n = 0 and own.n > 0").select("doc_id", "own")
+        digest = digest.join(filled, "doc_id", "left").select("doc_id", "n", F.when(F.col("n") == 0, F.col("own")).otherwise(F.struct("n", "s1", "s2")).alias("key"))
+    else:
+        digest = digest.select("doc_id", "n", F.struct("n", "s1", "s2").alias("key"))
+    digest = digest.select("doc_id", F.col("n").alias("n_shingles"), "key.n", "key.s1", "key.s2")
+    return digest.join(label.drop("doc_id"), ["n", "s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _within_ids(digest: DataFrame, repeated: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): the sets of one id, each linked with the smallest of them."""
+    several = repeated.filter("low <> own").select("doc_id")
+    held = digest.filter("n > 0").join(several, "doc_id").select("doc_id", "n", "s1", "s2").distinct().join(reps.select("n", "s1", "s2", "sid"), ["n", "s1", "s2"]).select("doc_id", "sid")
+    first = held.groupBy("doc_id").agg(F.min("sid").alias("a"))
+    return held.join(first, "doc_id").filter("sid <> a").select("a", F.col("sid").alias("b"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

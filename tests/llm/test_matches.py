@@ -149,6 +149,20 @@ def test_families_in_many_chunks(spark, rows, monkeypatch):
     assert sorted(tuple(r) for r in ngram_join.near_groups(frame(spark, rows)).collect()) == brute_groups(rows)
 
 
+@pytest.mark.parametrize("chunk", [300, 1 << 20])
+def test_ids_with_several_texts(spark, rows, monkeypatch, chunk):
+    monkeypatch.setattr(ngram_join, "STAR_CHUNK", chunk)
+    plain = [f"{a}{i}" for a in "ab" for i in range(30)]
+    a, b, c = " ".join(plain[:30]), " ".join(plain[30:]), " ".join(plain[10:50])
+    named = [(905, a), (907, a), (905, b), (903, b), (908, c), (908, None), (908, c), (906, ""), (906, None), (909, c + " tail"), (909, a + " tail"), (910, "one"), (910, "two"), (911, "two")]
+    named += [(920, t) for t in (a, a, b, None)] + [(doc, rows[0][1]) for doc in (930, 931, 930)]
+    again = [*rows, *named, *((doc + 1, text) for doc, text in rows[::3])]
+    got = sorted(tuple(r) for r in ngram_join.near_groups(frame(spark, again)).collect())
+    assert got == brute_groups([(r[0], r[1]) for r in again])
+    small = sorted(tuple(r) for r in ngram_join.near_groups(spark.createDataFrame(named[:4], SCHEMA)).collect())
+    assert {(doc, label) for doc, _, label in small} == {(903, 903), (905, 903), (907, 903)}
+
+
 def test_chains_across_chunks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "STAR_CHUNK", 200)
     words = [f"w{i}" for i in range(400)]
