@@ -207,8 +207,9 @@ def v14_instruction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instruction_scores(rows, "text", "names", "arguments", F.lit(None).cast("string")).select("conv_id", "turn", "score", "score_loose", "all_met", "all_met_loose")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 <> 2 OR p_partkey / 7 = 9 THEN 1.0 ELSE 0.0 END AS math, CASE WHEN p_size % 3 = 1 OR (p_size % 3 = 2 AND p_partkey / 7 = 8) THEN 1.0 ELSE 0.0 END AS strict FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 3 <> 2 OR p_partkey / 7 = 9 THEN 1.0 ELSE 0.0 END AS math, CASE WHEN p_size % 3 = 1 OR (p_size % 3 = 0 AND p_partkey = 0) OR (p_size % 3 = 2 AND p_partkey / 7 = 8) THEN 1.0 ELSE 0.0 END AS strict FROM part")
 def v03_v04_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # by value 63/7 is the last formula's 9, 56/7 the first's 8, and the letters of `so` times 0/7 are 0
     n = F.col("p_partkey").cast("string")
     said = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(r"so \boxed{\frac{"), n, F.lit("}{7}}"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit(r"Final Answer: The final answer is $\frac{"), n, F.lit("}{7}$. I hope it is correct."))).otherwise(F.lit("it is $8$, not $9$"))
     label = F.concat(F.lit(r"\frac{"), n, F.lit("}{7}"))
