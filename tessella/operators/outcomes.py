@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,11 +31,32 @@ def pass_at_k(n: Column, c: Column, k: int) -> Column:
     return F.when(n - c < k, 1.0).when(c <= 0, 0.0).otherwise(1 - product)
 
 
+#: Terms of one array while a tail is summed.
+TERMS = 8192
+_STIRLING = [0.0] + [math.lgamma(x + 1) - (x + 0.5) * math.log(x) + x - 0.5 * math.log(2 * math.pi) for x in range(1, 16)]
+
+
+def _stirling_error(x: Column) -> Column:
+    """ln(x!) less Stirling's formula for it."""
+    y = 1 / (x.cast("double") * x)
+    series = (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y / 1680))) / x
+    return F.when(x > 15, series).otherwise(F.get(F.array(*map(F.lit, _STIRLING)), F.least(x, F.lit(15)).cast("int")))
+
+
+def fair_coin_log(n: Column, k: Column) -> Column:
+    """ln P(k heads of n tosses), 0 <= k <= n and n > 0, without a loop: Stirling's errors and the distance from n / 2."""
+    d = (2 * k - n) / n
+    apart = (1 + d) * F.log1p(d) + (1 - d) * F.log1p(-d)
+    inner = _stirling_error(n) - _stirling_error(k) - _stirling_error(n - k) - n / 2 * apart + 0.5 * F.log(n / (2 * math.pi * k * (n - k)))
+    return F.when((k == 0) | (k == n), -n * math.log(2)).otherwise(inner)
+
+
 def sign_test(wins: Column, losses: Column) -> Column:
-    """One-sided P(at least this many wins of wins + losses) for a fair coin, by logarithms; 1 without any."""
+    """One-sided P(at least this many wins of wins + losses) for a fair coin, a term for each further win; 1 without any."""
     n = wins + losses
-    log_term = lambda k: F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0).cast("double"), lambda acc, i: acc + F.when(i > 0, F.log((n - i + 1) / i)).otherwise(0.0)) - n * F.log(F.lit(2.0))
-    return F.when(n == 0, 1.0).otherwise(F.aggregate(F.transform(F.sequence(wins, n), lambda k: F.exp(log_term(k))), F.lit(0.0).cast("double"), lambda a, x: a + x))
+    add = lambda a, x: a + x
+    part = lambda low: F.aggregate(F.sequence(low, F.least(low + (TERMS - 1), n)), F.lit(0.0).cast("double"), lambda a, k: a + F.exp(fair_coin_log(n, k)))
+    return F.when(n == 0, 1.0).otherwise(F.aggregate(F.transform(F.sequence(wins, n, F.lit(TERMS).cast("long")), part), F.lit(0.0).cast("double"), add))
 
 
 def paired(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
