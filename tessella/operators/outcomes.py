@@ -102,9 +102,25 @@ def mean_and_spread(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(r(F.avg(value), "mean"), r(F.coalesce(F.stddev_samp(value), F.lit(0.0)), "stddev"), r(F.min(value), "min"), r(F.max(value), "max"))
 
 
+#: Whole scores up to this size are summed exactly.
+WHOLE = 10_000
+
+
+def exact_spread(score: str) -> Column:
+    """Population deviation as an aggregate that no order of rows changes, so that equal spreads tie: exact of whole scores, else to 40 bits."""
+    x = F.col(score).cast("double")
+    whole = (F.rint(x) == x) & (F.abs(x) <= WHOLE)
+    i, d = F.when(whole, x.cast("long")), lambda c: c.cast("decimal(20,0)")
+    n, s, q = d(F.count(x)), d(F.sum(i)), d(F.sum(i * i))
+    exact = F.sqrt((n * q - s * s).cast("double") / (n * n).cast("double"))
+    std = F.stddev_pop(x)
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(std)) - 40)
+    return F.when(F.bool_and(whole), exact).when((std > 0) & (std < math.inf), F.rint(std / unit) * unit).otherwise(std)
+
+
 def prune_by_spread(scores: DataFrame, query: str, rubric: str, score: str, top: int) -> DataFrame:
-    """Rubrics with some spread of scores: the `top` of each query by population deviation; those without any score stay."""
-    g = scores.groupBy(query, rubric).agg(F.count(score).alias("n"), F.stddev_pop(score).alias("std"))
+    """Rubrics with some spread of scores: the `top` of each query by population deviation, ties by rubric; those without any score stay."""
+    g = scores.groupBy(query, rubric).agg(F.count(score).alias("n"), exact_spread(score).alias("std"))
     live = g.filter((F.col("n") == 0) | (F.col("std") > 0))
     order = Window.partitionBy(query, (F.col("n") == 0)).orderBy(F.desc("std"), rubric)
     return live.withColumn("rank", F.row_number().over(order)).filter((F.col("n") == 0) | (F.col("rank") <= top)).select(query, rubric, "std")

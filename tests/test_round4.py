@@ -23,3 +23,13 @@ def test_sign_test_of_many_tasks(spark):
     p = spark.createDataFrame([(half, half)], "wins long, losses long").select(outcomes.sign_test(F.col("wins"), F.col("losses"))).first()[0]
     middle = math.exp(math.lgamma(2 * half + 1) - 2 * math.lgamma(half + 1) - 2 * half * math.log(2))
     assert p == pytest.approx(0.5 + middle / 2, rel=1e-9) and time.monotonic() - begin < 60
+
+
+def test_equal_spreads_tie_whatever_the_order(spark):
+    shapes = [(1, 2, 4), (4, 7, 9, 9, 2), (1, 1, 2, 3, 5, 8, 13)]
+    rows = [(q, r, float(x + 3 * r if r % 2 else 60 - x + r)) for q, shape in enumerate(shapes) for r in range(1, 15) for x in (shape if r % 3 else shape[::-1])]
+    got = outcomes.prune_by_spread(spark.createDataFrame(rows, "q long, r long, x double"), "q", "r", "x", 3)
+    assert {(r.q, r.r) for r in got.collect()} == {(q, r) for q in range(3) for r in (1, 2, 3)}
+    parts = [(q, r, x / 10) for q, r, x in rows] + [(9, 1, None), (9, 2, 0.3), (9, 2, 0.3)]
+    got = outcomes.prune_by_spread(spark.createDataFrame(parts, "q long, r long, x double"), "q", "r", "x", 3)
+    assert {(r.q, r.r) for r in got.collect()} == {(q, r) for q in range(3) for r in (1, 2, 3)} | {(9, 1)}
