@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -173,28 +175,100 @@ def masked_mean(value: Column, mask: Column) -> Column:
     return F.coalesce(F.sum(value * mask) / F.nullif(F.sum(mask), F.lit(0)), F.lit(0.0))
 
 
-#: Queries of one block that is broadcast.
-QUERY_BLOCK = 100_000
+#: Queries of one block that is broadcast, vectors and queries of one group that is compared by matrix products, and queries of one product.
+QUERY_BLOCK, VECTOR_GROUP, QUERY_GROUP, QUERY_ROWS = 100_000, 16_384, 16_384, 256
 
 
 def knn_novelty(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
     """(key, novelty): mean cosine distance of each query to its k nearest others; 1.0 without any. A stated query set is held against
-    all rows, in blocks that are small enough to be broadcast."""
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    if blocks > 1:
-        block = F.pmod(F.xxhash64(key), F.lit(blocks))
-        return reduce(DataFrame.union, [_knn_block(vectors, key, vector, queries.filter(block == i), k) for i in range(blocks)])
-    return _knn_block(vectors, key, vector, queries, k)
-
-
-def _knn_block(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
-    q = queries.select(F.col(key).alias("q"), F.col(vector).alias("u"))
-    near = vectors.select(F.col(key).alias("o"), F.col(vector).alias("v")).join(F.broadcast(q), F.col("q") != F.col("o")).select("q", "o", cosine_distance(F.col("u"), F.col("v")).alias("d"))
+    all rows: groups of vectors against groups of queries by matrix products, of which each group keeps its k nearest. Vectors of
+    another length than most, or with null or infinite components, are joined pair by pair."""
+    q, o = queries.select(F.col(key).alias("q"), F.col(vector).alias("u")), vectors.select(F.col(key).alias("o"), F.col(vector).alias("v"))
+    size = F.size("v")
+    dims = o.groupBy(size.alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dims")).first()  # a row for each length
+    plain = lambda v: F.coalesce((F.size(v) == (dims.dims if dims else 0)) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < 1e100)), F.lit(False))
+    sizes = [df.agg(F.count("*"), F.coalesce(F.count_if(~plain(v)), F.lit(0))).first() for df, v in ((o, "v"), (q, "u"))]
+    near = _nearest_by_products(o.filter(plain("v")), q.filter(plain("u")), k, sizes[0][0], sizes[1][0])
+    if sizes[0][1]:
+        near = near.union(_nearest_by_pairs(o.filter(~plain("v")), q, sizes[1][0]))
+    if sizes[1][1]:
+        near = near.union(_nearest_by_pairs(o.filter(plain("v")), q.filter(~plain("u")), sizes[1][1]))
     w = Window.partitionBy("q").orderBy("d", "o")
     mean = near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).groupBy("q").agg(F.avg("d").alias("novelty"))
     return q.select("q").join(mean, "q", "left").select(F.col("q").alias(key), F.coalesce("novelty", F.lit(1.0)).alias("novelty"))
 
 
+def _nearest_by_pairs(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """(q, o, d) of all pairs; queries in blocks that are small enough to be broadcast."""
+    blocks = -(-n // QUERY_BLOCK)
+    block = F.pmod(F.xxhash64("q"), F.lit(blocks))
+    each = [vectors.join(F.broadcast(queries.filter(block == i)), F.col("q") != F.col("o")).select("q", "o", cosine_distance(F.col("u"), F.col("v")).alias("d")) for i in range(blocks)]
+    return reduce(DataFrame.union, each)
+
+
+def _nearest_by_products(vectors: DataFrame, queries: DataFrame, k: int, n: int, m: int) -> DataFrame:
+    """(q, o, d) of each group's k nearest, or of more that tie; n and m: rows of both."""
+    groups, blocks = max(1, -(-n // VECTOR_GROUP)), max(1, -(-m // QUERY_GROUP))
+    part = lambda c, count: F.pmod(F.xxhash64(*c), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    o = vectors.filter("o is not null").select(part(("o", "v"), groups).alias("g"), every(blocks).alias("b"), "o", "v")
+    q = queries.filter("q is not null").select(every(groups).alias("g"), part(("q", "u"), blocks).alias("b"), "q", "u")
+    found = T.StructType([T.StructField("q", q.schema["q"].dataType), T.StructField("o", o.schema["o"].dataType), T.StructField("d", T.DoubleType())])
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _nearest_of_group(left, right, k)
+
+    return o.groupBy("g", "b").cogroup(q.groupBy("g", "b")).applyInArrow(nearest, found)
+
+
+def _nearest_of_group(vectors: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """Products in single precision find the pairs that can be among a query's k nearest; their distances are then computed anew."""
+    names, asked = (t.column(c).combine_chunks() for t, c in ((vectors, "o"), (queries, "q")))
+    if not len(names) or not len(asked):
+        return pa.table({"q": asked[:0], "o": names[:0], "d": pa.array([], pa.float64())})
+    v, u = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), -1) for t, c in ((vectors, "v"), (queries, "u")))
+    ids, wanted = names.to_numpy(zero_copy_only=False), asked.to_numpy(zero_copy_only=False)
+    order = np.argsort(ids, kind="stable")
+    own = [np.searchsorted(ids[order], wanted, side) for side in ("left", "right")]
+    unit = [np.sqrt(_dots(x, x)) for x in (v, u)]
+    flat = [n < 1e-100 for n in unit]  # such a vector may be near to all
+    short_v, short_u = ((x / np.where(f, 1, n)[:, None]).astype(np.float32) for x, f, n in zip((v, u), flat, unit, strict=True))
+    slack = (v.shape[1] + 8) * 2.0**-22
+    width = max(1, len(v) // 256)
+    heads = np.arange(0, len(v), width)
+    rows: list[np.ndarray] = []
+    for low in range(0, len(u), QUERY_ROWS):
+        likeness = short_u[low : low + QUERY_ROWS] @ short_v.T
+        likeness[:, flat[0]] = 1
+        likeness[flat[1][low : low + QUERY_ROWS]] = 1
+        for i in range(len(likeness)):
+            likeness[i, order[own[0][low + i] : own[1][low + i]]] = -np.inf
+        tops = np.maximum.reduceat(likeness, heads, axis=1)
+        bar = np.partition(tops, -k, axis=1)[:, -k] if tops.shape[1] >= k else np.full(len(likeness), -2.0)
+        at_u, at_v = np.nonzero(likeness >= np.maximum(bar - slack, -2)[:, None])
+        at_u += low
+        d = np.concatenate([_distances(u[at_u[i : i + 65_536]], v[at_v[i : i + 65_536]], unit[1][at_u[i : i + 65_536]], unit[0][at_v[i : i + 65_536]]) for i in range(0, len(at_u), 65_536)] or [np.empty(0)])
+        best = np.lexsort((ids[at_v], d, at_u))
+        place = np.arange(len(best)) - np.searchsorted(at_u, at_u[best])
+        best = best[place < k]
+        rows.append(np.stack([at_u[best], at_v[best], d[best].view(np.int64)]))
+    at_u, at_v, d = np.concatenate(rows, axis=1)
+    return pa.table({"q": asked.take(pa.array(at_u)), "o": names.take(pa.array(at_v)), "d": d.view(np.float64)})
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, summed in the order of components."""
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += a[:, i] * b[:, i]
+    return out
+
+
+def _distances(a: np.ndarray, b: np.ndarray, norm_a: np.ndarray, norm_b: np.ndarray) -> np.ndarray:
+    norm = norm_a * norm_b
+    return np.where(norm > 0, 1 - _dots(a, b) / np.where(norm > 0, norm, 1), 0.0)
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine; 0 if a vector is zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0).cast("double"), lambda s, v: s + v)

@@ -6,10 +6,11 @@ import math
 import time
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import outcomes
+from tessella.operators import outcomes, ranking
 
 
 def test_sign_test_of_many_tasks(spark):
@@ -33,3 +34,29 @@ def test_equal_spreads_tie_whatever_the_order(spark):
     parts = [(q, r, x / 10) for q, r, x in rows] + [(9, 1, None), (9, 2, 0.3), (9, 2, 0.3)]
     got = outcomes.prune_by_spread(spark.createDataFrame(parts, "q long, r long, x double"), "q", "r", "x", 3)
     assert {(r.q, r.r) for r in got.collect()} == {(q, r) for q in range(3) for r in (1, 2, 3)} | {(9, 1)}
+
+
+def test_nearest_by_products_and_by_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(ranking, "VECTOR_GROUP", 60)
+    monkeypatch.setattr(ranking, "QUERY_GROUP", 30)
+    base = rng.normal(size=(30, 8)).astype(np.float32)
+    rows = [(i, (base[i % 30] * (1 + i % 3) + (0 if i % 4 else rng.normal(size=8) * 1e-4)).astype(np.float32).tolist()) for i in range(400)]
+    rows += [(400, [0.0] * 8), (401, [0.0] * 8), (402, [1e-30] * 8), (403, [1e30] * 8), (7, [1.0] * 8)]
+    strange = [(500, [float("nan")] * 8), (501, [float("inf"), *[1.0] * 7])]
+    for more in ([], strange):
+        df = spark.createDataFrame(rows + more, "id long, v array<float>")
+        got = {r.id: r.novelty for r in ranking.knn_novelty(df, "id", "v", df.filter("id % 5 = 0 or id in (7, 401, 403)"), 4).collect()}
+        pairs = df.selectExpr("id q", "v u").filter("q % 5 = 0 or q in (7, 401, 403)").join(df.selectExpr("id o", "v"), F.expr("q <> o"))
+        near = pairs.select("q", "o", ranking.cosine_distance(F.col("u"), F.col("v")).alias("d"))
+        want = {r.q: r.n for r in near.withColumn("r", F.expr("row_number() over (partition by q order by d, o)")).filter("r <= 4").groupBy("q").agg(F.avg("d").alias("n")).collect()}
+        assert len(want) > 80 and got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-14, nan_ok=True) for i in want)
+    one = spark.createDataFrame([(5, [1.0, 2.0]), (None, [1.0, 2.0])], "id long, v array<double>")
+    assert [r.novelty for r in ranking.knn_novelty(one, "id", "v", one, 3).collect()] == [1.0, 1.0]
+
+
+def test_nearest_of_many_queries(spark):
+    df = spark.range(0, 40_000, 1, 8).select("id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (F.pmod(F.xxhash64("id", i), F.lit(2001)) - 1000).cast("float")).alias("v"))
+    begin = time.monotonic()
+    assert ranking.knn_novelty(df, "id", "v", df.filter("id % 4 = 0"), 5).filter("novelty > 0.2").count() == 10_000
+    assert time.monotonic() - begin < 150
