@@ -70,9 +70,9 @@ def math_match(text: Column, label: Column) -> Column:
 
     Null texts and labels score 0.0.
     """
-    box, said, formula = boxed(text), normal(stated(text)), normal(last_formula(text))
+    box, said, formula = boxed(text), stated(text), last_formula(text)
     direct = box.isNotNull() | said.isNotNull()
-    second = F.when(direct, said).when(formula.isNotNull(), formula).otherwise(normal(text))
+    second = normal(F.when(direct, said).otherwise(F.coalesce(formula, text)))  # the normal form of one of them alone
     third = F.when(~direct & formula.isNull(), text)
     return F.when(any_same(F.array(box, second, third), label), 1.0).otherwise(0.0)
 

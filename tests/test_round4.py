@@ -10,8 +10,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella import queries as Q
+from tessella.functions import equations
 from tessella.operators import outcomes, ranking
 
+Q.load()
+
 
 def test_sign_test_of_many_tasks(spark):
     pairs = [(0, 0), (1, 0), (0, 1), (3, 2), (20, 0), (0, 20), (16, 17), (60, 31), (900, 1000), (5000, 4900)]
@@ -60,3 +64,13 @@ def test_nearest_of_many_queries(spark):
     begin = time.monotonic()
     assert ranking.knn_novelty(df, "id", "v", df.filter("id % 4 = 0"), 5).filter("novelty > 0.2").count() == 10_000
     assert time.monotonic() - begin < 150
+
+
+def test_answers_are_compared_once_and_side_by_side(spark, sf, monkeypatch):
+    read = []
+    start = equations._Reader.__init__
+    monkeypatch.setattr(equations._Reader, "__init__", lambda self, signs, point: (read.append(point), start(self, signs, point))[1])
+    equations.values.cache_clear()
+    assert equations.same(r"\frac{630001}{7}", "90000.142857") is False and read == [0, 0]
+    assert equations.same("x+y+123", "y + 123 + x") and len(read) == 2 + 2 * equations.POINTS
+    assert "Aggregate" in Q.QUERIES["v03_v04_equivalence"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
