@@ -213,7 +213,8 @@ def v03_v04_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey").cast("string")
     said = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(r"so \boxed{\frac{"), n, F.lit("}{7}}"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit(r"Final Answer: The final answer is $\frac{"), n, F.lit("}{7}$. I hope it is correct."))).otherwise(F.lit("it is $8$, not $9$"))
     label = F.concat(F.lit(r"\frac{"), n, F.lit("}{7}"))
-    return table(spark, sf_dir, "part").select("p_partkey", math_match(said, label).alias("math"), strict_math_match(said, label).alias("strict"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a small file of many formulas
+    return rows.select("p_partkey", math_match(said, label).alias("math"), strict_math_match(said, label).alias("strict"))
 
 
 @query(f"""WITH {SAID}, r AS (SELECT conv_id, CASE turn % 3 WHEN 0 THEN 'number' WHEN 1 THEN 'puzzle' END AS v, CASE WHEN turn % 3 = 0 THEN CASE WHEN lower({_NUM}) = lower(label) THEN 1.0 ELSE 0.0 END WHEN turn % 3 = 1 THEN CASE WHEN {norm_sql(AFTER)} = {norm_sql('label')} THEN 1.0 ELSE 0.0 END END AS score, 1 + turn % 2 AS weight FROM s)

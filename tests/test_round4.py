@@ -73,4 +73,5 @@ def test_answers_are_compared_once_and_side_by_side(spark, sf, monkeypatch):
     equations.values.cache_clear()
     assert equations.same(r"\frac{630001}{7}", "90000.142857") is False and read == [0, 0]
     assert equations.same("x+y+123", "y + 123 + x") and len(read) == 2 + 2 * equations.POINTS
+    assert Q.QUERIES["v03_v04_math"](spark, sf).rdd.getNumPartitions() == 4  # of one small file
     assert "Aggregate" in Q.QUERIES["v03_v04_equivalence"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
