@@ -61,8 +61,8 @@ def r08_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def r05_capped_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("task"), F.col("l_partkey").alias("task_order"), (-F.col("l_quantity")).alias("rank"), (F.col("l_suppkey") % 12).alias("env"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("cand"))
-    best = c.groupBy("task", "task_order", "env", "cand").agg(F.min("rank").alias("rank"))
-    quotas = best.select("task").distinct().withColumn("need", F.lit(6))
+    quotas = c.select("task").distinct().withColumn("need", F.lit(6))
+    best = c.repartition("task").groupBy("task", "task_order", "env", "cand").agg(F.min("rank").alias("rank"))
     return R.capped_selection(best, quotas, keep, 10)
 
 

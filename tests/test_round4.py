@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import time
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella import queries as Q
 from tessella.functions import equations
-from tessella.operators import outcomes, ranking
+from tessella.operators import outcomes, ranking, retrieval
 
 Q.load()
 
@@ -75,3 +76,25 @@ def test_answers_are_compared_once_and_side_by_side(spark, sf, monkeypatch):
     assert equations.same("x+y+123", "y + 123 + x") and len(read) == 2 + 2 * equations.POINTS
     assert Q.QUERIES["v03_v04_math"](spark, sf).rdd.getNumPartitions() == 4  # of one small file
     assert "Aggregate" in Q.QUERIES["v03_v04_equivalence"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_selection_drops_what_a_full_env_never_takes(spark, tmp_path):
+    rows = [(t, t, float(c), c % 3, 100 * t + c) for t in range(40) for c in range(30)] + [(0, 0, 0.5, 1, 0)]  # a candidate of two envs
+    used, want, written = Counter(), set(), []
+    for t in range(40):
+        took = 0
+        for _, _, _, env, cand in sorted((r for r in rows if r[0] == t), key=lambda r: (r[2], r[4], r[3])):
+            if took < 2 and used[env] < 4:
+                used[env] += 1
+                took += 1
+                want.add((t, env, cand))
+
+    def keep(df):
+        path = f"{tmp_path}/{len(written)}"
+        df.write.parquet(path)
+        written.append(spark.read.parquet(path).count())
+        return spark.read.schema(df.schema).parquet(path)
+
+    df = spark.createDataFrame(rows, "task int, task_order int, rank double, env int, cand int")
+    got = retrieval.capped_selection(df, df.selectExpr("task", "2 need").distinct(), keep, 4)
+    assert {tuple(r) for r in got.select("task", "env", "cand").collect()} == want and sum(written) < 2 * len(rows)
