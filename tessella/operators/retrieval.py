@@ -45,22 +45,24 @@ def word_counts(docs: DataFrame, key: str, text: str, least: int = 3) -> DataFra
 
 
 def idf(counts: DataFrame, key: str, n: int) -> DataFrame:
-    """(token, idf): ln((n + 1) / (df + 1)) + 1."""
-    return counts.groupBy("token").agg((F.log(F.lit(n + 1.0) / (F.countDistinct(key) + 1.0)) + 1.0).alias("idf"))
+    """(token, idf): ln((n + 1) / (df + 1)) + 1; counts: one row for each (key, token)."""
+    return counts.groupBy("token").agg((F.log(F.lit(n + 1.0) / (F.count(key) + 1.0)) + 1.0).alias("idf"))
 
 
 def weights(counts: DataFrame, idfs: DataFrame, key: str) -> DataFrame:
     """(key, token, w) of unit length: (1 + ln tf) * idf; tokens without an idf count with 1."""
     w = counts.join(idfs, "token", "left").select(key, "token", ((1.0 + F.log("tf")) * F.coalesce("idf", F.lit(1.0))).alias("w"))
-    norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norms, key).select(key, "token", (F.col("w") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return w.filter(F.col(key).isNotNull()).select(key, "token", (F.col("w") / norm).alias("w"))
 
 
-def retrieve(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float, k: int) -> DataFrame:
+def retrieve(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float, k: int, few: bool = False) -> DataFrame:
     """(left, right, sim): the k most similar rights of each left, through the tokens they share; never a cross join.
 
-    Both sides are unit weights (key, token, w)."""
+    Both sides are unit weights (key, token, w). Few lefts are broadcast: the weights of a right stay together, and pairs are summed where
+    they arise, so that frequent tokens shuffle nothing."""
     a, b = left.withColumnRenamed("w", "wa"), right.withColumnRenamed("w", "wb")
+    a = F.broadcast(a) if few else a
     sims = a.join(b, "token").groupBy(left_key, right_key).agg(F.sum(F.col("wa") * F.col("wb")).alias("sim")).filter(F.col("sim") >= least)
     order = Window.partitionBy(left_key).orderBy(F.desc(F.round("sim", 9)), right_key)
     return sims.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(left_key, right_key, "sim", "rank")

@@ -35,10 +35,11 @@ COUNTS = """c AS (SELECT id, token, count(*) AS tf FROM (SELECT doc_id AS id, un
 SELECT item_id, doc_id, round(sim, 6) AS sim, row_number() OVER (PARTITION BY item_id ORDER BY round(sim, 9) DESC, doc_id) AS rank FROM s QUALIFY rank <= 5""")
 def r02_r03_r04_j10_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    counts = R.word_counts(docs, "doc_id", "text")
-    idfs = R.idf(counts, "doc_id", docs.count())
-    items = R.weights(R.word_counts(table(spark, sf_dir, "benchmark"), "item_id", "text"), idfs, "item_id")
-    found = R.retrieve(items, R.weights(counts, idfs, "doc_id"), "item_id", "doc_id", 0.2, 5)
+    spread = docs.select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a file may be one task
+    counts = keep(R.word_counts(spread, "doc_id", "text"))
+    idfs = keep(R.idf(counts, "doc_id", docs.count()))
+    items = keep(R.weights(R.word_counts(table(spark, sf_dir, "benchmark"), "item_id", "text"), idfs, "item_id"))
+    found = R.retrieve(items, R.weights(counts, idfs, "doc_id"), "item_id", "doc_id", 0.2, 5, few=items.count() <= 100_000)
     return found.select("item_id", "doc_id", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 

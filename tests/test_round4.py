@@ -98,3 +98,11 @@ def test_selection_drops_what_a_full_env_never_takes(spark, tmp_path):
     df = spark.createDataFrame(rows, "task int, task_order int, rank double, env int, cand int")
     got = retrieval.capped_selection(df, df.selectExpr("task", "2 need").distinct(), keep, 4)
     assert {tuple(r) for r in got.select("task", "env", "cand").collect()} == want and sum(written) < 2 * len(rows)
+
+
+def test_pairs_of_frequent_tokens_are_summed_where_they_arise(spark):
+    words = spark.range(0, 60).selectExpr("id", "id % 7 as t", "explode(array('the', 'of', concat('w', id % 7), concat('x', id % 3))) as token").withColumn("tf", F.lit(2))
+    w = retrieval.weights(words.select("id", "token", "tf"), retrieval.idf(words, "id", 60), "id")
+    left = w.filter("id < 20").withColumnRenamed("id", "q")
+    one, other = (retrieval.retrieve(left, w, "q", "id", 0.2, 5, few=few) for few in (True, False))
+    assert {(r.q, r.id, round(r.sim, 9)) for r in one.collect()} == {(r.q, r.id, round(r.sim, 9)) for r in other.collect()} and one.count() == 100
